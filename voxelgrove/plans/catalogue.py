@@ -1,6 +1,651 @@
-"""The named queries over the driver's tables, and their DuckDB SQL."""
+"""The named queries over the driver's tables, and their DuckDB SQL.
+
+Lineitem's measures stand for the modalities of a sample (an order), embeddings for volumes of 4 x 4 x 4,
+documents with labels for a manifest, events for reviews, parts for boxes and geometry."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+import tempfile
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import geometry as geo
+from ..operators import boxes, cases, checksum, edit, labels, manifest, patches, review, split, stats, transforms, validation
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    """Registers a function under its name, with the SQL that says the same."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d.rstrip('/')}/{name}.parquet")
+
+
+MODALITIES = {"quantity": "l_quantity", "extendedprice": "l_extendedprice", "discount": "l_discount", "tax": "l_tax"}
+POSITION = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
+_POS = "row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) - 1"
+_VOX = "v as (select l_orderkey as sid, l_returnflag = 'R' as fg, unnest(['quantity', 'extendedprice', 'discount', 'tax']) as modality, unnest([l_quantity, l_extendedprice, l_discount, l_tax])::double as v from lineitem)"
+_VOXP = f"v as (select sid, pos, unnest(['quantity', 'extendedprice', 'discount', 'tax']) as modality, unnest([l_quantity, l_extendedprice, l_discount, l_tax])::double as v from (select *, l_orderkey as sid, {_POS} as pos from lineitem))"
+_STATS = "modality, count(*) as n_voxels, round(avg(v), 6) as mean, round(stddev_pop(v), 6) as std, min(v) as vmin, max(v) as vmax, round(quantile_cont(v, 0.01), 6) as p01, round(quantile_cont(v, 0.99), 6) as p99"
+
+
+def voxels(spark: SparkSession, d: str, position: bool = False) -> DataFrame:
+    rows = table(spark, d, "lineitem")
+    keys = [F.col("l_orderkey").alias("sample_id"), (F.col("l_returnflag") == "R").alias("fg")]
+    if position:
+        keys.append((F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*POSITION)) - 1).cast("long").alias("pos"))
+    wide = rows.select(*keys, *MODALITIES.values())
+    return stats.unpivot(wide, ["sample_id", "fg", *(["pos"] if position else [])], MODALITIES)
+
+
+def _rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in cols})
+
+
+def volume_voxels(spark: SparkSession, d: str) -> DataFrame:
+    """(sample_id, label, p, c0, c1, c2, value) of the embeddings as 4 x 4 x 4 volumes."""
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("sample_id"), "label", F.posexplode("embedding").alias("p", "value"))
+    c = patches.coordinates(F.col("p"), (4, 4, 4))
+    return rows.select("sample_id", "label", F.col("p").cast("int").alias("p"), *(x.alias(f"c{a}") for a, x in enumerate(c)), F.col("value").cast("double").alias("value"))
+
+
+_VOL = "e as (select vec_id, label, (generate_subscripts(embedding, 1) - 1)::int as p, unnest(embedding)::double as v from embeddings), x as (select vec_id, label, p, p // 16 as c0, (p // 4) % 4 as c1, p % 4 as c2, v from e)"
+
+
+# ---- statistics
+
+
+@query(f"with {_VOX} select {_STATS} from v where fg group by modality")
+def modality_stats_foreground(spark, d):
+    """Statistics of each modality inside the mask."""
+    return _rounded(stats.modality_stats(stats.foreground(voxels(spark, d), "fg")), "mean", "std", "p01", "p99")
+
+
+@query(f"with {_VOX} select {_STATS} from v group by modality")
+def modality_stats_full(spark, d):
+    return _rounded(stats.modality_stats(voxels(spark, d)), "mean", "std", "p01", "p99")
+
+
+@query(f"with {_VOX}, m as (select o_orderkey as sid, o_orderstatus <> 'F' as has_mask from orders) select modality, count(*) as n_voxels, round(avg(v), 6) as mean from v join m using (sid) where fg or not has_mask group by modality")
+def modality_stats_fallback(spark, d):
+    """Samples without a mask (orders of status F) count whole; a mask that is there but empty adds nothing."""
+    masked = table(spark, d, "orders").select(F.col("o_orderkey").alias("sample_id"), (F.col("o_orderstatus") != "F").alias("has_mask"))
+    rows = voxels(spark, d).join(masked, "sample_id").withColumn("mask", F.when(F.col("has_mask"), F.col("fg")))
+    return _rounded(stats.modality_stats(stats.foreground(rows, "mask"), exact=False), "mean").select("modality", "n_voxels", "mean")
+
+
+@query(f"with {_VOX} select sid as sample_id, modality, count(*) as n, round(avg(v), 6) as mean, round(var_pop(v) * count(*), 4) as m2, min(v) as vmin, max(v) as vmax from v group by all")
+def per_sample_partials(spark, d):
+    return _rounded(_rounded(stats.partials(voxels(spark, d)), "mean"), "m2", digits=4)
+
+
+@query(f"with {_VOX} select modality, count(*) as n_voxels, round(avg(v), 6) as mean, round(stddev_pop(v), 5) as std from v group by modality")
+def chan_merge_check(spark, d):
+    """Merged per-sample partials against the plain statistics."""
+    return _rounded(_rounded(stats.merge(stats.partials(voxels(spark, d))), "mean"), "std", digits=5).select("modality", "n_voxels", "mean", "std")
+
+
+@query("select quality::varchar as label, count(*) as n from documents d join labels l on d.doc_id = l.doc_id where quality is not null group by 1")
+def label_counts(spark, d):
+    rows = table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left")
+    return stats.label_counts(rows, "quality")
+
+
+@query("select '(' || n || ',)' as shape_key, count(*) as n from (select l_orderkey, count(*) as n from lineitem group by 1) group by 1")
+def shape_histogram(spark, d):
+    rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array(F.count("*")).alias("shape"))
+    return stats.shape_histogram(rows)
+
+
+@query("select mask, round(avg(s), 6) as coverage from (select l_orderkey, 'R' as mask, avg((l_returnflag = 'R')::int) as s from lineitem group by 1 union all select l_orderkey, 'O' as mask, avg((l_linestatus = 'O')::int) as s from lineitem group by 1) group by mask")
+def seg_coverage(spark, d):
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("sample_id"), F.expr("stack(2, 'R', l_returnflag = 'R', 'O', l_linestatus = 'O') as (mask, inside)"))
+    return _rounded(stats.seg_coverage(rows), "coverage")
+
+
+@query(f"with {_VOXP} select sid as sample_id, pos from (select sid, pos, row_number() over (partition by sid order by md5(sid || ':' || pos), pos) as k from v where modality = 'quantity') where k <= 3")
+def sample_cap(spark, d):
+    rows = voxels(spark, d, True).where("modality = 'quantity'")
+    key = F.md5(F.concat_ws(":", F.col("sample_id").cast("string"), F.col("pos").cast("string")).cast("binary"))
+    return stats.sample_cap(rows, 3, F.struct(key, "pos")).select("sample_id", "pos")
+
+
+@query("select count(*) as n_files from documents")
+def n_files(spark, d):
+    return stats.compute_stats(table(spark, d, "documents").select("doc_id", F.lit("").alias("label"), F.array("n_chars").alias("shape")), voxels(spark, d))["n_files"]
+
+
+# ---- manifest
+
+
+@query("select d.doc_id from documents d join labels l on d.doc_id = l.doc_id where l.quality = 1 and d.lang = 'en' and d.n_chars >= 500")
+def manifest_filter(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", "lang", "n_chars").join(table(spark, d, "labels"), "doc_id", "left")
+    keep = (F.col("quality") == 1) & (F.col("lang") == "en") & (F.col("n_chars") >= 500)
+    return manifest.filter_records(rows, keep).select("doc_id")
+
+
+@query("select k::bigint as k, count(*) as n from (select json_extract_string(props, '$.k') as k from events) group by 1")
+def manifest_extra_lookup(spark, d):
+    return table(spark, d, "events").groupBy(manifest.lookup("props", "k").cast("long").alias("k")).agg(F.count("*").alias("n"))
+
+
+@query("select d.doc_id, case when toxic = 1 then 'flagged' when quality = 1 then 'reviewed' else 'pending' end as status from documents d left join labels l on d.doc_id = l.doc_id")
+def review_status_default(spark, d):
+    rows = table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left")
+    said = F.when(F.col("toxic") == 1, "flagged").when(F.col("quality") == 1, "reviewed")
+    extra = F.when(F.col("quality").isNull(), F.lit('{"review": 3}')).otherwise(F.to_json(F.struct(F.struct(F.coalesce(said, F.lit("")).alias("status")).alias("review"))))
+    return rows.select("doc_id", manifest.review_status(extra).alias("status"))
+
+
+@query("select o_orderkey as id, case when o_orderkey % 7 = 0 then 'missing' when o_orderkey % 5 = 0 then 'o_totalprice' when o_orderkey % 11 = 0 then 'o_orderdate' end as why from orders where o_orderkey % 7 = 0 or o_orderkey % 5 = 0 or o_orderkey % 11 = 0")
+def manifest_stale(spark, d):
+    """The orders against a later listing of them, in which some are gone and some differ."""
+    rows, k = table(spark, d, "orders"), F.col("o_orderkey")
+    now = rows.where(k % 7 != 0).withColumn("o_totalprice", F.when(k % 5 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    now = now.withColumn("o_orderdate", F.when(k % 11 == 0, F.col("o_orderdate") + F.expr("interval 1 day")).otherwise(F.col("o_orderdate")))
+    return manifest.stale(rows, now, "o_orderkey", ("o_totalprice", "o_orderdate")).withColumnRenamed("o_orderkey", "id")
+
+
+@query("select max(n)::bigint as n, count(*) as parts from (select count(*) over (partition by lang) as n from documents)")
+def manifest_summary(spark, d):
+    rows = table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"))
+    return rows.agg(F.max("n").alias("n"), F.sum("n").alias("parts"))
+
+
+_RANK = "g as (select source as grp, arg_min(lang, doc_id) as st from documents group by 1), r as (select *, row_number() over (partition by st order by sha256('3:' || grp), grp) - 1 as rank, count(*) over (partition by st) as n from g)"
+
+
+@query(f"""with {_RANK}, s as (select distinct st, n from r), p as (select st, n, unnest([0, 1, 2]) as i, unnest(['train', 'val', 'test']) as part, round(unnest([0.7::double, 0.15::double, 0.15::double]) * n, 9) as raw from s),
+q as (select *, floor(raw) as base, round(raw - floor(raw), 9) as frac from p), t as (select *, n - sum(base) over (partition by st) as lft, row_number() over (partition by st order by frac desc, i) as turn from q),
+u as (select *, base + case when turn <= lft then 1 else 0 end as want from t), w as (select *, sum(want) over (partition by st order by i rows unbounded preceding) as stop from u)
+select d.doc_id, w.part from documents d join r on d.source = r.grp join w on w.st = r.st and r.rank >= w.stop - w.want and r.rank < w.stop""")
+def split_ratio_grouped_stratified(spark, d):
+    """70/15/15 of the sources, balanced by language; no source is in two parts."""
+    rows = table(spark, d, "documents").select("doc_id", "source", "lang")
+    return split.ratio_split(rows, {"train": 0.7, "val": 0.15, "test": 0.15}, "source", "lang", "doc_id", 3).select("doc_id", "part")
+
+
+@query("with r as (select doc_id, lang, row_number() over (partition by lang order by sha256('3:' || doc_id), doc_id::varchar) - 1 as rank from documents) select lang, (rank % 5)::int as fold, count(*) as n from r group by all")
+def split_kfold(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", "lang")
+    return split.k_fold(rows, 5, "doc_id", "lang", "doc_id", 3).groupBy("lang", "fold").agg(F.count("*").alias("n"))
+
+
+@query("with r as (select doc_id, lang, row_number() over (partition by lang order by sha256('3:' || doc_id), doc_id::varchar) - 1 as rank from documents) select doc_id from r where rank % 5 <> 2")
+def split_fold_train(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", "lang")
+    return split.fold_train(split.k_fold(rows, 5, "doc_id", "lang", "doc_id", 3), 2).select("doc_id")
+
+
+# ---- patches and boxes
+
+
+@query(f"with {_VOL} select label, c0 as z, count(*) as n, round(avg(v), 6) as m from x where c0 >= 1 and c0 < 3 and c1 >= 0 and c1 < 2 and c2 >= 1 and c2 < 4 group by label, c0")
+def patch_slice(spark, d):
+    rows = patches.slice_volume(volume_voxels(spark, d), (1, 0, 1), (3, 2, 4))
+    return rows.groupBy("label", F.col("c0").alias("z")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("m"))
+
+
+@query(f"with {_VOL}, g as (select vec_id, z, y, w from embeddings, range(5) a(z), range(5) b(y), range(4) c(w)) select g.vec_id, z::int as z, y::int as y, w::int as x, round(coalesce(v, -1), 6) as v from g left join x on x.vec_id = g.vec_id and c0 = z and c1 = y and c2 = w")
+def patch_pad(spark, d):
+    rows = volume_voxels(spark, d)
+    out = patches.pad(rows, table(spark, d, "embeddings").select(F.col("vec_id").alias("sample_id")), (5, 5, 4), -1)
+    return out.select(F.col("sample_id").alias("vec_id"), F.col("c0").alias("z"), F.col("c1").alias("y"), F.col("c2").alias("x"), F.round("value", 6).alias("v"))
+
+
+def _u(a: int | str) -> str:
+    return f"(('0x' || substr(md5('9:' || vec_id || ':{a}'), 1, 13))::bigint::double / {1 << 52}::double)"
+
+
+_UNI = ", ".join(f"floor({_u(a)} * 3)::int as u{a}" for a in range(3))
+_FG = f"{_VOL}, h as (select vec_id, arg_min([c0, c1, c2], md5('9:' || vec_id || ':' || c0 || ':' || c1 || ':' || c2)) as c from x where v > 0 group by vec_id), f as (select vec_id, " + ", ".join(f"least(greatest(c[{a + 1}] - 1, 0), 2)::int as f{a}" for a in range(3)) + " from h)"
+
+
+def _starts(spark, d, strategy):
+    rows = volume_voxels(spark, d)
+    out = patches.starts(table(spark, d, "embeddings").select(F.col("vec_id").alias("sample_id")), rows.where("value > 0"), (4, 4, 4), (2, 2, 2), 9, strategy)
+    return out.withColumnRenamed("sample_id", "vec_id")
+
+
+@query(f"select vec_id, u0 as s0, u1 as s1, u2 as s2 from (select vec_id, {_UNI} from embeddings)")
+def patch_start_uniform(spark, d):
+    return _starts(spark, d, "uniform")
+
+
+@query(f"with {_FG} select e.vec_id, coalesce(f0, u0) as s0, coalesce(f1, u1) as s1, coalesce(f2, u2) as s2 from (select vec_id, {_UNI} from embeddings) e left join f on e.vec_id = f.vec_id")
+def patch_start_foreground(spark, d):
+    return _starts(spark, d, "foreground")
+
+
+@query(f"with {_FG} select e.vec_id, " + ", ".join(f"case when b < 0.5 then coalesce(f{a}, u{a}) else u{a} end as s{a}" for a in range(3)) + f" from (select vec_id, {_u('balanced')} as b, {_UNI} from embeddings) e left join f on e.vec_id = f.vec_id")
+def patch_start_balanced(spark, d):
+    return _starts(spark, d, "balanced")
+
+
+@query("select vec_id, k * (select count(*) from embeddings) + vec_id as idx from embeddings, range(3) t(k)")
+def patch_oversample(spark, d):
+    rows = table(spark, d, "embeddings").select("vec_id", F.col("vec_id").alias("ordinal"))
+    return patches.oversample(rows, 3).select("vec_id", "idx")
+
+
+def part_boxes(spark, d):
+    s, k = F.col("p_size"), F.col("p_partkey")
+    lo = F.array((s - 3).cast("long"), k % 40, (s % 9).cast("long"))
+    hi = F.array((s + 4).cast("long"), k % 40 + k % 13 - 2, (s % 9 + s % 5).cast("long"))
+    return table(spark, d, "part").select(k.alias("box_id"), (k % 100).alias("sample_id"), lo.alias("lo"), hi.alias("hi"))
+
+
+_BOX = "b as (select p_partkey as box_id, p_partkey % 100 as sample_id, [p_size - 3, p_partkey % 40, p_size % 9] as lo, [p_size + 4, p_partkey % 40 + p_partkey % 13 - 2, p_size % 9 + p_size % 5] as hi from part)"
+_CLAMP = f"""{_BOX}, c as (select box_id, list_transform(lo, lambda x: greatest(x, 0)) as l, [least(hi[1], 50), least(hi[2], 45), least(hi[3], 8)] as h, len(list_filter(lo, lambda x: x < 0)) > 0 as i1, hi[1] > 50 or hi[2] > 45 or hi[3] > 8 as i2 from b),
+i as (select box_id, l, h, concat_ws(';', case when i1 then 'min_below_zero' end, case when i2 then 'max_above_shape' end, case when l[1] > h[1] or l[2] > h[2] or l[3] > h[3] then 'min_above_max' end) as issues from c)"""
+
+
+@query(f"with {_CLAMP} select box_id, issues, " + ", ".join(f"least(l[{a + 1}], h[{a + 1}])::bigint as lo{a}, greatest(l[{a + 1}], h[{a + 1}])::bigint as hi{a}" for a in range(3)) + " from i")
+def bbox_clamp(spark, d):
+    out = boxes.clamp(part_boxes(spark, d), (50, 45, 8))
+    return out.select("box_id", "issues", *(F.get(c, F.lit(a)).alias(f"{c}{a}") for a in range(3) for c in ("lo", "hi")))
+
+
+@query(f"with {_CLAMP} select issues, count(*) as n from i group by issues")
+def bbox_issue_counts(spark, d):
+    return boxes.clamp(part_boxes(spark, d), (50, 45, 8)).groupBy("issues").agg(F.count("*").alias("n"))
+
+
+@query(f"""with {_BOX}, p as (select s as sample_id, [s % 30, s % 20, s % 3] as st from range(100) t(s)), j as (select box_id, st, lo, hi from b join p using (sample_id))
+select box_id, """ + ", ".join(f"(lo[{a}] - st[{a}])::bigint as lo{a - 1}, (hi[{a}] - st[{a}])::bigint as hi{a - 1}" for a in (1, 2, 3)) + " from j where " + " and ".join(f"hi[{a}] - st[{a}] >= 0 and lo[{a}] - st[{a}] < {p}" for a, p in ((1, 16), (2, 16), (3, 4))))
+def patch_boxes(spark, d):
+    s = F.col("id")
+    where = spark.range(100).select(s.alias("sample_id"), F.array(s % 30, s % 20, s % 3).alias("start"))
+    out = boxes.in_patches(part_boxes(spark, d), where, (16, 16, 4))
+    return out.select("box_id", *(F.get(c, F.lit(a)).alias(f"{c}{a}") for a in range(3) for c in ("lo", "hi")))
+
+
+@query(f"with {_BOX} select box_id, 59 - hi[1] as lo0, 59 - lo[1] as hi0, lo[2] as lo1, hi[2] as hi1, 19 - hi[3] as lo2, 19 - lo[3] as hi2 from b")
+def flip_boxes(spark, d):
+    lo, hi = boxes.flip(F.col("lo"), F.col("hi"), (60, 60, 20), (0, 2))
+    rows = part_boxes(spark, d).select("box_id", lo.alias("lo"), hi.alias("hi"))
+    return rows.select("box_id", *(F.get(c, F.lit(a)).cast("long").alias(f"{c}{a}") for a in range(3) for c in ("lo", "hi")))
+
+
+# ---- transforms
+
+
+@query(f"with {_VOXP} select sid as sample_id, pos, modality, case when modality = 'quantity' then least(greatest(v, 10), 40) else v end as value from v")
+def clip(spark, d):
+    return transforms.clip(voxels(spark, d, True), 10, 40, ["quantity"]).select("sample_id", "pos", "modality", "value")
+
+
+@query(f"with {_VOXP} select sid as sample_id, pos, modality, round((case modality when 'quantity' then (v::float - 25::float) / 14::float when 'discount' then (v::float - 0.05::float) / 0.03::float else v::float end)::double, 4) as value from v")
+def normalize(spark, d):
+    out = transforms.normalize(voxels(spark, d, True), {"quantity": 25.0, "discount": 0.05, "tax": 1.0}, {"quantity": 14.0, "discount": 0.03, "tax": 0.0})
+    return out.select("sample_id", "pos", "modality", F.round(F.col("value").cast("double"), 4).alias("value"))
+
+
+@query(f"with {_VOXP} select sid as sample_id, pos, modality, round((v - avg(v) over w) / (stddev_pop(v) over w + 1e-6), 4) + 0.0 as value from v where modality in ('quantity', 'discount') window w as (partition by sid, modality)")
+def zscore(spark, d):
+    rows = voxels(spark, d, True).where(F.col("modality").isin("quantity", "discount"))
+    return transforms.zscore(rows).select("sample_id", "pos", "modality", (F.round("value", 4) + F.lit(0.0)).alias("value"))
+
+
+@query(f"with {_VOL} select vec_id, ((3 - c0) * 16 + c1 * 4 + 3 - c2)::int as vpos, round(v, 6) as x from x")
+def flip_voxels(spark, d):
+    out = transforms.flip_voxels(volume_voxels(spark, d), (4, 4, 4), (0, 2))
+    return out.select(F.col("sample_id").alias("vec_id"), (F.col("c0") * 16 + F.col("c1") * 4 + F.col("c2")).cast("int").alias("vpos"), F.round("value", 6).alias("x"))
+
+
+@query(f"with {_VOXP} select sid as sample_id, pos, round(((least(greatest(v, 10), 40)::float - 25::float) / 14::float)::double, 4) as value from v where modality = 'quantity'")
+def compose_pipeline(spark, d):
+    steps = transforms.compose(lambda x: x.where("modality = 'quantity'"), lambda x: transforms.clip(x, 10, 40), lambda x: transforms.normalize(x, 25.0, 14.0))
+    return voxels(spark, d, True).transform(steps).select("sample_id", "pos", F.round(F.col("value").cast("double"), 4).alias("value"))
+
+
+@query("select p_partkey as id, round(p_size * 2.0 + 1, 6) as v from part")
+def modality_lut(spark, d):
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.round(transforms.apply_lut(F.col("p_size").cast("double"), 2.0, 1.0), 6).alias("v"))
+
+
+# ---- geometry
+
+
+def part_geometry(spark, d):
+    """Spacing, origin and a rotation about the last axis, from a part's numbers."""
+    s, k = F.col("p_size").cast("double"), F.col("p_partkey").cast("double")
+    t = s / 10
+    arr = lambda *x: F.array(*(F.lit(y).cast("double") if isinstance(y, float) else y for y in x))
+    direction = F.array(arr(F.cos(t), -F.sin(t), 0.0), arr(F.sin(t), F.cos(t), 0.0), arr(0.0, 0.0, 1.0))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), arr(s / 4, s / 8, 2.5).alias("spacing"), arr(k, s, -k).alias("origin"), direction.alias("direction"))
+
+
+_GEO = "g as (select p_partkey as id, [p_size / 4.0::double, p_size / 8.0::double, 2.5::double] as sp, [p_partkey::double, p_size::double, -p_partkey::double] as og, cos(p_size / 10.0::double) as c, sin(p_size / 10.0::double) as s from part)"
+_MAT = f"{_GEO}, m as (select id, sp, og, c, s, [[c * sp[1], -s * sp[2], 0, og[1]], [s * sp[1], c * sp[2], 0, og[2]], [0, 0, sp[3], og[3]], [0, 0, 0, 1]] as a from g)"
+
+
+@query(f"with {_MAT} select id, (r - 1)::int as r, (k - 1)::int as c, round(a[r][k], 6) + 0.0 as v from m, range(1, 5) x(r), range(1, 5) y(k)")
+def affine_compose(spark, d):
+    rows = part_geometry(spark, d).select("id", F.posexplode(geo.affine(F.col("spacing"), F.col("origin"), F.col("direction"))).alias("r", "row"))
+    return rows.select("id", "r", F.posexplode("row").alias("c", "v")).select("id", "r", "c", (F.round("v", 6) + F.lit(0.0)).alias("v"))
+
+
+@query(f"with {_GEO} select id, (i - 1)::int as i, round(sp[i], 6) as spacing, round(og[i], 6) + 0.0 as origin, round(case i when 1 then c when 2 then s else 0 end, 6) + 0.0 as d0 from g, range(1, 4) x(i)")
+def affine_decompose(spark, d):
+    got = geo.decompose(F.col("m"))
+    rows = part_geometry(spark, d).select("id", geo.affine(F.col("spacing"), F.col("origin"), F.col("direction")).alias("m"))
+    rows = rows.select("id", got["spacing"].alias("s"), got["origin"].alias("o"), F.transform(got["direction"], lambda r: F.get(r, 0)).alias("d"))
+    rows = rows.select("id", F.posexplode(F.arrays_zip("s", "o", "d")).alias("i", "x"))
+    return rows.select("id", "i", F.round("x.s", 6).alias("spacing"), (F.round("x.o", 6) + F.lit(0.0)).alias("origin"), (F.round("x.d", 6) + F.lit(0.0)).alias("d0"))
+
+
+@query(f"with {_GEO} select id, round(og[1] + c * sp[1] * 3 + 0 * sp[3] * 5, 6) + 0.0 as o0, round(og[2] + s * sp[1] * 3, 6) + 0.0 as o1, round(og[3] + sp[3] * 5, 6) + 0.0 as o2, round(-c, 6) + 0.0 as d00, round(-s, 6) + 0.0 as d01, round(-s, 6) + 0.0 as d10m, -1.0::double as d22 from g")
+def flip_geometry(spark, d):
+    o, m = geo.flip_geometry(F.col("spacing"), F.col("origin"), F.col("direction"), [4, 5, 6], [0, 2])
+    rows = part_geometry(spark, d).select("id", o.alias("o"), m.alias("m"))
+    z = lambda c: F.round(c, 6) + F.lit(0.0)
+    at = lambda r, c: F.get(F.get("m", r), c)
+    return rows.select("id", *(z(F.get("o", F.lit(a))).alias(f"o{a}") for a in range(3)), z(at(F.lit(0), F.lit(0))).alias("d00"), z(at(F.lit(0), F.lit(1))).alias("d01"), z(at(F.lit(1), F.lit(0))).alias("d10m"), z(at(F.lit(2), F.lit(2))).alias("d22"))
+
+
+@query("select p_partkey as id, not (p_partkey % 3 = 1) as same_grid from part")
+def grid_equality(spark, d):
+    """Each grid against itself, moved by less than the tolerance or, for every third part, by more."""
+    rows = part_geometry(spark, d).withColumn("m", F.flatten(geo.affine(F.col("spacing"), F.col("origin"), F.col("direction"))))
+    step = F.when(F.col("id") % 3 == 1, 0.01 + F.abs(F.get("origin", F.lit(0))) * 1e-4).when(F.col("id") % 3 == 2, 1e-6).otherwise(0.0)
+    other = F.transform("m", lambda x: x + step)
+    return rows.select("id", geo.all_close(other, F.col("m")).alias("same_grid"))
+
+
+@query(f"with {_GEO} select id, 0.0::double as nx, 0.0::double as ny, 1.0::double as nz, round(og[3], 6) as pos from g")
+def orientation_normal(spark, d):
+    """Normals of slices that lie in the rotated plane, from row and column directions of any length."""
+    col_of = lambda c: F.transform("direction", lambda r: F.get(r, F.lit(c)) * 3.0)
+    rows = part_geometry(spark, d).select("id", "origin", geo.slice_normal(col_of(0), col_of(1)).alias("n"))
+    z = lambda c: F.round(c, 6) + F.lit(0.0)
+    return rows.select("id", *(z(F.get("n", F.lit(a))).alias(c) for a, c in enumerate(("nx", "ny", "nz"))), z(geo.slice_position(F.col("origin"), F.col("n"))).alias("pos"))
+
+
+# ---- labels, cases, series
+
+
+_DECLARED = {"A": 1, "N": 2, "R": 3}
+
+
+def label_volume(spark, d):
+    rows = table(spark, d, "lineitem")
+    lab = F.when(F.col("l_linestatus") == "O", 0).when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "N", 2).otherwise(3)
+    pos = (F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*POSITION)) - 1).cast("long")
+    return rows.select(F.col("l_orderkey").alias("sample_id"), pos.alias("pos"), lab.cast("double").alias("value"))
+
+
+_LAB = f"lab as (select l_orderkey as sample_id, {_POS} as pos, case when l_linestatus = 'O' then 0 when l_returnflag = 'A' then 1 when l_returnflag = 'N' then 2 else 3 end as v, l_returnflag, l_linestatus from lineitem)"
+
+
+@query(f"with {_LAB} select sample_id, pos, case v when 1 then 'A' when 2 then 'N' else 'R' end as mask from lab where v > 0")
+def label_split(spark, d):
+    return labels.split_labels(label_volume(spark, d), _DECLARED)
+
+
+@query(f"with {_LAB} select sample_id, pos, greatest(case when l_returnflag = 'R' then 1 else 0 end, case when l_linestatus = 'F' then 2 else 0 end)::int as lab from lab")
+def label_merge(spark, d):
+    """Overlapping masks R (1) and F (2): the larger value wins."""
+    rows = table(spark, d, "lineitem")
+    pos = (F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*POSITION)) - 1).cast("long")
+    rows = rows.select(F.col("l_orderkey").alias("sample_id"), pos.alias("pos"), F.expr("stack(2, 'R', l_returnflag = 'R', 'F', l_linestatus = 'F') as (mask, inside)"))
+    return labels.merge_labels(rows, {"R": 1, "F": 2})
+
+
+@query(f"with {_LAB} select v::double as value from lab where v > 2 group by v")
+def label_undeclared(spark, d):
+    return labels.undeclared(label_volume(spark, d), {"background": 0, "A": 1, "N": 2})
+
+
+@query("select conv_id as case_id, count(distinct turn) as n from conversations where turn < 9999 group by 1")
+def case_discovery(spark, d):
+    files = table(spark, d, "conversations").select(cases.channel_name(F.col("conv_id"), F.col("turn")).alias("name"))
+    found = cases.discover(cases.case_files(files))
+    return found.where("missing = '' and extra = '' and duplicates = 0").select(F.col("case_id").cast("long").alias("case_id"), "n")
+
+
+@query("""with f as (select conv_id, turn from conversations where not (conv_id % 5 = 0 and turn = 1) union all select conv_id, turn from conversations where conv_id % 7 = 0 and turn = 0),
+g as (select conv_id, count(*) as files, list_sort(list(distinct turn)) as have from f group by 1)
+select conv_id as case_id, len(have)::bigint as n, (files - len(have))::bigint as duplicates, array_to_string(list_filter(range(0, 2), lambda x: not list_contains(have, x)), ',') as missing, array_to_string(list_filter(have, lambda x: x > 1), ',') as extra from g""")
+def case_errors(spark, d):
+    """Cases of two channels, with some channels taken out and some doubled."""
+    rows = table(spark, d, "conversations").select("conv_id", "turn")
+    rows = rows.where(~((F.col("conv_id") % 5 == 0) & (F.col("turn") == 1))).union(rows.where("conv_id % 7 = 0 and turn = 0"))
+    files = cases.case_files(rows.select(cases.channel_name(F.col("conv_id"), F.col("turn")).alias("name")))
+    return cases.discover(files, channels=2).withColumn("case_id", F.col("case_id").cast("long"))
+
+
+@query("select l_suppkey::varchar as uid, count(*) as n from lineitem group by 1 order by n desc, uid limit 1")
+def series_argmax(spark, d):
+    return cases.largest_series(table(spark, d, "lineitem"), "l_suppkey")
+
+
+@query("""with g as (select l_orderkey as sample_id, l_linenumber * 1.5::double as p, l_linenumber * 1.5::double - lag(l_linenumber * 1.5::double) over (partition by l_orderkey order by l_linenumber) as gap from lineitem),
+a as (select sample_id, count(*) as n, arg_min(gap, p) filter (gap is not null) as fg, min(gap) as g0, max(gap) as g1 from g group by 1)
+select sample_id, n, g0, g1, case when n = 1 then 'single' when g0 <= 1e-5 then 'duplicate' when abs(g0 - g1) <= 1e-3 then 'ok' else 'uneven' end as status from a""")
+def slice_spacing_check(spark, d):
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("sample_id"), (F.col("l_linenumber") * 1.5).alias("p"))
+    out = cases.slice_spacing(rows, "sample_id", "p")
+    gap = rows.withColumn("gap", F.col("p") - F.lag("p").over(Window.partitionBy("sample_id").orderBy("p"))).groupBy("sample_id").agg(F.min("gap").alias("g0"), F.max("gap").alias("g1"))
+    return out.join(gap, "sample_id").select("sample_id", "n", "g0", "g1", "status")
+
+
+@query(f"with {_VOL} select vec_id, (z * 4 + y * 2 + w)::int as idx, round(v, 6) as v from x join (select z, y, w, z * 2 as a, y * 2 as b, w * 2 as c from range(2) p(z), range(2) q(y), range(2) r(w)) on c0 = a and c1 = b and c2 = c")
+def resample_nearest(spark, d):
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("sample_id"), F.col("embedding").alias("data"))
+    out = labels.resample(rows, (4, 4, 4), (2, 2, 2), (2, 2, 2), "nearest")
+    return out.select(F.col("sample_id").alias("vec_id"), F.posexplode("data").alias("idx", "v")).withColumn("v", F.round("v", 6))
+
+
+@query(f"with {_VOL} select vec_id, c0 * 3 + (c1 // 2) * 0 + k as idx, round((a + b) / 2, 6) as v from (select vec_id, c0, 0 as c1, k, max(case when c2 = k then v end) as a, max(case when c2 = k + 1 then v end) as b from x, range(3) t(k) where c1 = 0 group by all)")
+def resample_linear(spark, d):
+    """Half-way points along the last axis of the first row of each slab."""
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("sample_id"), F.transform(F.sequence(F.lit(0), F.lit(3)), lambda z: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda x: F.get("embedding", z * 16 + x).cast("double"))).alias("m"))
+    rows = rows.select("sample_id", F.flatten("m").alias("data"))
+    out = labels.resample(rows, (4, 4), (4, 7), (1, 0.5), "linear").select(F.col("sample_id").alias("vec_id"), F.posexplode("data").alias("i", "v"))
+    return out.where("i % 7 % 2 = 1").select("vec_id", (F.floor(F.col("i") / 7) * 3 + F.floor(F.col("i") % 7 / 2)).cast("long").alias("idx"), F.round("v", 6).alias("v"))
+
+
+# ---- review, validation, checksum, edits
+
+
+def review_events(spark, d):
+    e = table(spark, d, "events")
+    status = F.when(F.col("event_type") == "error", "flagged").when(F.col("event_type").isin("purchase", "view"), "reviewed").when(F.col("event_type") == "signup", "pending").otherwise("rejected")
+    return e.select(F.col("user_id").alias("sample_id"), "ts", F.col("event_id").alias("seq"), status.alias("status"))
+
+
+_REV = "r as (select user_id as sample_id, ts, event_id as seq, case event_type when 'error' then 'flagged' when 'purchase' then 'reviewed' when 'view' then 'reviewed' when 'signup' then 'pending' else 'rejected' end as status from events)"
+
+
+@query(f"with {_REV} select seq, sample_id, status, coalesce(lag(status) over (partition by sample_id order by ts, seq), 'pending') as prev from r")
+def review_history(spark, d):
+    return review.history(review_events(spark, d), ["ts", "seq"]).select("seq", "sample_id", "status", "prev")
+
+
+@query(f"with {_REV} select sample_id, arg_max(status, (ts, seq)) as status from r group by 1")
+def review_current(spark, d):
+    return review.current(review_events(spark, d), ["ts", "seq"])
+
+
+@query(f"with {_REV}, c as (select sample_id, arg_max(status, (ts, seq)) as status from r group by 1) select status, count(*) as n from c group by 1")
+def review_list_counts(spark, d):
+    return review.current(review_events(spark, d), ["ts", "seq"]).groupBy("status").agg(F.count("*").alias("n"))
+
+
+def document_samples(spark, d):
+    """The documents as samples, with faults that depend on the id."""
+    k, n = F.col("doc_id"), F.lit(None)
+    one = F.array(F.lit("text"))
+    return table(spark, d, "documents").select(
+        k.alias("path"), F.when(k % 97 == 0, "unreadable").alias("open_error"), F.when(k % 89 == 0, n.cast("array<string>")).when(k % 83 == 0, F.array().cast("array<string>")).otherwise(one).alias("images"),
+        F.when(k % 79 == 0, F.array(F.lit("1"), F.lit("2"))).otherwise(F.array(F.col("n_chars").cast("string"))).alias("image_shapes"), F.when(k % 73 == 0, n.cast("string")).when(k % 71 == 0, F.lit("2")).otherwise(F.lit("1")).alias("schema_version"),
+        F.array("n_chars").alias("shape"), F.array(F.lit(1.0)).alias("spacing"), F.when(k % 67 == 0, n.cast("array<string>")).otherwise(F.array(F.when(k % 61 == 0, "other").otherwise("text"))).alias("image_names"), F.lit(False).alias("has_seg"), F.lit(False).alias("has_bbox"),
+        F.when(k % 59 != 0, F.md5(k.cast("string").cast("binary"))).alias("checksum"), F.when(k % 53 != 0, F.md5(k.cast("string").cast("binary"))).otherwise("0").alias("computed"),
+    )
+
+
+_ISS = """k as (select doc_id as path, doc_id % 97 = 0 as op, doc_id % 89 = 0 as ni, doc_id % 83 = 0 as ei, doc_id as i from documents),
+g as (select *, not op and not ni and not (ei and not ni) as go, not op and not ni and not ei and not (i % 71 = 0 and i % 73 <> 0) as onn from k),
+s as (select path, 'error' as severity, 'file_open_failed' as code, null as location from g where op
+union all select path, 'error', 'missing_images_group', 'images' from g where not op and ni
+union all select path, 'error', 'empty_images_group', 'images' from g where not op and not ni and ei
+union all select path, 'error', 'image_shape_mismatch', 'images' from g where go and i % 79 = 0
+union all select path, 'error', 'missing_schema_version', null from g where go and i % 73 = 0
+union all select path, 'error', 'metadata_read_failed', null from g where go and i % 71 = 0 and i % 73 <> 0
+union all select path, 'warning', 'missing_image_names', null from g where onn and i % 67 = 0
+union all select path, 'error', 'image_names_mismatch', 'images' from g where onn and i % 67 <> 0 and i % 61 = 0
+union all select path, 'error', 'shape_mismatch', 'images' from g where onn and i % 79 = 0
+union all select path, 'warning', 'missing_checksum', null from g where onn and i % 59 = 0
+union all select path, 'error', 'checksum_mismatch', null from g where onn and i % 59 <> 0 and i % 53 = 0)"""
+
+
+@query(f"with {_ISS} select path, severity, code, location from s")
+def validation_issues(spark, d):
+    return validation.issues(document_samples(spark, d))
+
+
+@query(f"with {_ISS} select (select count(*) from documents) as checked, count(distinct path) as invalid from s where severity = 'error'")
+def validation_summary(spark, d):
+    rows = document_samples(spark, d)
+    return validation.summary(rows, validation.issues(rows))
+
+
+@query(f"with {_ISS} select path, min(code) as code from s where severity = 'error' group by path order by path limit 3")
+def validation_fail_fast(spark, d):
+    return validation.first_failures(validation.issues(document_samples(spark, d)), limit=3)
+
+
+_DIG = "dig as (select l_orderkey as sample_id, sha256(string_agg(l_linenumber || ':' || l_partkey || ':' || l_suppkey || ':' || l_returnflag || '|', '' order by l_linenumber, l_partkey, l_suppkey, l_returnflag)) as digest from lineitem group by 1)"
+
+
+def order_digests(spark, d):
+    text = F.concat_ws(":", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
+    rows = table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "sample_id")
+    out = rows.select("sample_id", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
+    joined = checksum.sample_digest(out, "sample_id", ["l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"], F.concat(text, F.lit("|")))
+    return joined
+
+
+@query(f"with {_DIG} select sample_id, digest from dig")
+def checksum_digest(spark, d):
+    return order_digests(spark, d)
+
+
+_VER = f"{_DIG}, ver as (select sample_id, case when sample_id % 10 = 0 then 'missing' when sample_id % 11 = 0 then 'mismatch' else 'ok' end as status from dig)"
+
+
+def _verified(spark, d):
+    rows = order_digests(spark, d)
+    stored = F.when(F.col("sample_id") % 10 == 0, None).when(F.col("sample_id") % 11 == 0, "0").otherwise(F.col("digest"))
+    return rows.select("sample_id", checksum.verify(stored, F.col("digest")).alias("status"))
+
+
+@query(f"with {_VER} select sample_id, status from ver")
+def checksum_verify(spark, d):
+    return _verified(spark, d)
+
+
+@query(f"with {_VER} select count(*) as checked, count(*) filter (status = 'mismatch') as failed from ver")
+def audit_summary(spark, d):
+    return checksum.audit(_verified(spark, d))
+
+
+@query("""select event_id as id, 'review is not an object' as warning from events where event_id % 4 = 0
+union all select event_id, 'checksum has a newer version' from events where event_id % 4 = 1 union all select event_id, 'extra is not JSON' from events where event_id % 4 = 2""")
+def extra_warnings(spark, d):
+    i = F.col("event_id") % 4
+    extra = F.when(i == 0, '{"review": 1}').when(i == 1, '{"checksum": {"schema_version": 2}}').when(i == 2, "{broken").otherwise(F.col("props"))
+    return validation.extra_warnings(table(spark, d, "events").select(F.col("event_id").alias("id"), extra.alias("extra")), "id")
+
+
+@query("select o_orderkey as sample_id, case when o_orderkey % 3 = 0 then null when o_orderkey % 3 = 1 then 'X' else o_orderstatus end as label from orders")
+def meta_update(spark, d):
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("sample_id"), F.col("o_orderstatus").alias("label"))
+    changes = rows.where("sample_id % 3 < 2").select("sample_id", F.when(F.col("sample_id") % 3 == 1, "X").alias("new"))
+    return edit.update_meta(rows, changes, {"label": "new"})
+
+
+def _masks(spark, d):
+    return table(spark, d, "lineitem").where("l_returnflag <> 'N'").groupBy(F.col("l_orderkey").alias("sample_id"), F.col("l_returnflag").alias("mask")).agg(F.count("*").alias("voxels"))
+
+
+_MASK = "m as (select l_orderkey as sample_id, l_returnflag as mask, count(*) as voxels from lineitem where l_returnflag <> 'N' group by all), n as (select l_orderkey as sample_id, 'N' as mask, count(*) as voxels from lineitem where l_returnflag = 'N' group by 1)"
+
+
+@query(f"with {_MASK} select * from m union all select * from n")
+def seg_add(spark, d):
+    new = table(spark, d, "lineitem").where("l_returnflag = 'N'").groupBy(F.col("l_orderkey").alias("sample_id")).agg(F.count("*").alias("voxels")).select("sample_id", F.lit("N").alias("mask"), "voxels")
+    return edit.seg_add(_masks(spark, d), new)
+
+
+@query(f"with {_MASK} select sample_id, mask, case when mask = 'R' then 0 else voxels end::bigint as voxels from m")
+def seg_replace(spark, d):
+    rows = _masks(spark, d)
+    return edit.seg_replace(rows, rows.where("mask = 'R'").select("sample_id", "mask", F.lit(0).cast("long").alias("voxels")))
+
+
+@query(f"with {_MASK} select * from m where mask <> 'A'")
+def seg_remove(spark, d):
+    rows = _masks(spark, d)
+    return edit.seg_remove(rows, rows.where("mask = 'A'"))
+
+
+@query("select p_partkey as sample_id, case when p_partkey % 4 = 0 then 0 else p_size end::int as lo from part where p_partkey % 4 <> 1")
+def bbox_set(spark, d):
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("sample_id"), F.col("p_size").alias("lo"))
+    out = edit.bbox_set(rows, rows.where("sample_id % 4 = 0").withColumn("lo", F.lit(0)))
+    return edit.bbox_clear(out, rows.where("sample_id % 4 = 1"))
+
+
+@query(f"with {_MASK}, s as (select sample_id, list_sort(list(distinct mask)) as names from m group by 1) select o_orderkey as sample_id, s.names is not null as has_seg, array_to_string(s.names, ',') as seg_names, o_orderkey % 2 = 0 as has_bbox from orders left join s on o_orderkey = s.sample_id")
+def meta_resync(spark, d):
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("sample_id"))
+    out = edit.resync(rows, _masks(spark, d), rows.where("sample_id % 2 = 0"))
+    return out.select("sample_id", "has_seg", F.array_join("seg_names", ",").alias("seg_names"), "has_bbox")
+
+
+# ---- round trips
+
+
+def _scratch(spark: SparkSession) -> str:
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="voxelgrove-")
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+@query("select doc_id, source, lang from documents")
+def manifest_roundtrip(spark, d):
+    path = _scratch(spark)
+    manifest.save(table(spark, d, "documents").select("doc_id", "source", "lang"), path)
+    return manifest.load(spark, path, "doc_id long, source string, lang string, manifest_version int")
+
+
+@query("select lang as label, count(*) as n from documents group by 1")
+def stats_roundtrip(spark, d):
+    path = _scratch(spark)
+    stats.label_counts(table(spark, d, "documents"), "lang").write.json(path)
+    return spark.read.schema("label string, n long").json(path)
+
+
+@query("select vec_id, label, round(embedding[1]::double, 6) as v from embeddings")
+def recompress(spark, d):
+    from ..sources import samples
+
+    path = _scratch(spark)
+    samples.recompress(spark, f"{d.rstrip('/')}/embeddings.parquet", path, "max")
+    return spark.read.parquet(path).select("vec_id", "label", F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("v"))

@@ -15,8 +15,8 @@ def digest_parts(parts: Sequence[Column]) -> Column:
 
 def sample_digest(chunks: DataFrame, key: str, order: Sequence[str], text: Column) -> DataFrame:
     """(key, digest): SHA-256 over a sample's chunk texts, each with a bar after it, in order. A sample is one group."""
-    rows = chunks.select(key, F.struct(*order, text.alias("__text")).alias("c"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list("c")), lambda c: c["__text"]), "|")
+    rows = chunks.select(key, F.struct(*order, F.concat(text, F.lit("|")).alias("__text")).alias("c"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list("c")), lambda c: c["__text"]), "")
     return rows.groupBy(key).agg(F.sha2(joined.cast("binary"), 256).alias("digest"))
 
 

@@ -25,7 +25,7 @@ def undeclared(volume: DataFrame, declared: Mapping[str, int]) -> DataFrame:
 
 def split_labels(volume: DataFrame, declared: Mapping[str, int], background: int = 0, check: bool = True) -> DataFrame:
     """(…, mask): the mask of each voxel whose value isn't the background; others aren't stored."""
-    if check and not undeclared(volume, declared).isEmpty():
+    if check and not undeclared(volume.where(F.col("value") != background), declared).isEmpty():
         raise ValidationError("the volume has undeclared values")
     return volume.where(F.col("value") != background).withColumn("mask", label_map(declared, F.col("value").cast("int"))).drop("value")
 

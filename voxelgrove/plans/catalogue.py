@@ -88,15 +88,16 @@ def modality_stats_fallback(spark, d):
     return _rounded(stats.modality_stats(stats.foreground(rows, "mask"), exact=False), "mean").select("modality", "n_voxels", "mean")
 
 
-@query(f"with {_VOX} select sid as sample_id, modality, count(*) as n, round(avg(v), 6) as mean, round(var_pop(v) * count(*), 4) as m2, min(v) as vmin, max(v) as vmax from v group by all")
+@query(f"with {_VOX} select sid as sample_id, modality, count(*) as n, round(avg(v), 6) as mean, round(sqrt(var_pop(v)), 5) as std, min(v) as vmin, max(v) as vmax from v group by all")
 def per_sample_partials(spark, d):
-    return _rounded(_rounded(stats.partials(voxels(spark, d)), "mean"), "m2", digits=4)
+    parts = stats.partials(voxels(spark, d)).withColumn("std", F.sqrt(F.col("m2") / F.col("n"))).drop("m2")
+    return _rounded(_rounded(parts, "mean"), "std", digits=5)
 
 
-@query(f"with {_VOX} select modality, count(*) as n_voxels, round(avg(v), 6) as mean, round(stddev_pop(v), 5) as std from v group by modality")
+@query(f"with {_VOX} select modality, count(*) as n_voxels, round(avg(v), 5) as mean, round(stddev_pop(v), 5) as std from v group by modality")
 def chan_merge_check(spark, d):
     """Merged per-sample partials against the plain statistics."""
-    return _rounded(_rounded(stats.merge(stats.partials(voxels(spark, d))), "mean"), "std", digits=5).select("modality", "n_voxels", "mean", "std")
+    return _rounded(stats.merge(stats.partials(voxels(spark, d))), "mean", "std", digits=5).select("modality", "n_voxels", "mean", "std")
 
 
 @query("select quality::varchar as label, count(*) as n from documents d join labels l on d.doc_id = l.doc_id where quality is not null group by 1")
@@ -368,7 +369,7 @@ def grid_equality(spark, d):
     return rows.select("id", geo.all_close(other, F.col("m")).alias("same_grid"))
 
 
-@query(f"with {_GEO} select id, 0.0::double as nx, 0.0::double as ny, 1.0::double as nz, round(og[3], 6) as pos from g")
+@query(f"with {_GEO} select id, 0.0::double as nx, 0.0::double as ny, 1.0::double as nz, round(og[3], 6) + 0.0 as pos from g")
 def orientation_normal(spark, d):
     """Normals of slices that lie in the rotated plane, from row and column directions of any length."""
     col_of = lambda c: F.transform("direction", lambda r: F.get(r, F.lit(c)) * 3.0)
@@ -403,7 +404,8 @@ def label_merge(spark, d):
     """Overlapping masks R (1) and F (2): the larger value wins."""
     rows = table(spark, d, "lineitem")
     pos = (F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*POSITION)) - 1).cast("long")
-    rows = rows.select(F.col("l_orderkey").alias("sample_id"), pos.alias("pos"), F.expr("stack(2, 'R', l_returnflag = 'R', 'F', l_linestatus = 'F') as (mask, inside)"))
+    rows = rows.select(F.col("l_orderkey").alias("sample_id"), pos.alias("pos"), "l_returnflag", "l_linestatus")
+    rows = rows.select("sample_id", "pos", F.expr("stack(2, 'R', l_returnflag = 'R', 'F', l_linestatus = 'F') as (mask, inside)"))
     return labels.merge_labels(rows, {"R": 1, "F": 2})
 
 
@@ -538,7 +540,7 @@ def order_digests(spark, d):
     text = F.concat_ws(":", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
     rows = table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "sample_id")
     out = rows.select("sample_id", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
-    joined = checksum.sample_digest(out, "sample_id", ["l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"], F.concat(text, F.lit("|")))
+    joined = checksum.sample_digest(out, "sample_id", ["l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"], text)
     return joined
 
 

@@ -1,0 +1,185 @@
+"""URL filter, fixity audit, top-k search, mixing and the pipeline."""
+
+import hashlib
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from voxelgrove.llm import bpe, mixing, topk, urlfilter, warc
+
+PAGES = "page_id long, url string, html string, host string, verdict int, digest string"
+
+
+def test_url_rules_and_terms(spark):
+    cases = [
+        (None, "", "", None, "allow"),
+        ("no scheme/xxx", "", "", None, "block"),
+        ("http://A.Example.COM/en/8?x", "a.example.com", "/en/8", "com/en/", "block"),
+        ("https://example.com/en/71", "example.com", "/en/71", "example.com/en/7", "allow"),
+        ("http://notexample.com/en/7", "notexample.com", "/en/7", "com/en/", "block"),
+        ("http://example.net/de/81", "example.net", "/de/81", "example.net/de/8", "block"),
+        ("http://net/de/xxx", "net", "/de/xxx", "net/de/", "allow"),
+        ("http://b.org/es/", "b.org", "/es/", "org/es/", "block"),
+        ("http://b.org/EN/", "b.org", "/EN/", None, "allow"),
+        ("http://x.io/a-xxx-b", "x.io", "/a-xxx-b", None, "block"),
+        ("http://x.io/axxx", "x.io", "/axxx", None, "allow"),
+        ("http://x.io/win/win", "x.io", "/win/win", None, "allow"),
+        ("http://x.io/win?free=1", "x.io", "/win", None, "block"),
+        ("http://x.io#http://y/en/", "x.io", "", None, "allow"),
+    ]
+    df = spark.createDataFrame([(i, c[0], "h", "clash", 1, "d") for i, c in enumerate(cases)], PAGES)
+    out = urlfilter.judge_urls(df)
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in out.collect()}
+    assert got == {i: c[1:] for i, c in enumerate(cases)}
+    assert urlfilter.judge_urls(df.limit(0)).collect() == []
+
+
+def pages(n):
+    return [(i, f"http://x/{i}", ("body %d " % i) * (i % 7) if i % 11 else None, "h", 1, "d") for i in range(n)]
+
+
+def test_fixity_locates_damage(spark):
+    rows = pages(500)
+    df = spark.createDataFrame(rows, PAGES)
+    bad = {3, 77, 78, 499}
+    hurt = df.withColumn("html", F.when(F.col("page_id").isin(*bad), F.concat(F.coalesce("html", F.lit("")), F.lit("!"))).otherwise(F.col("html")))
+    a, b = warc.records(df, per_file=50), warc.records(hurt, per_file=50)
+    found = warc.audit(a, b, fanout=4).collect()
+    assert {r["record_id"] for r in found} == bad and all(r["expected"] != r["found"] for r in found)
+    status = {r["record_id"]: r["status"] for r in warc.fixity(a, b, fanout=4).collect()}
+    assert {k for k, v in status.items() if v == "corrupt"} == bad and len(status) == 500
+    assert warc.audit(a, a, fanout=4).isEmpty()
+    body = lambda i: f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:record:{i}>\r\nWARC-Target-URI: http://x/{i}\r\nContent-Length: {len(rows[i][2] or '')}\r\n\r\n{rows[i][2] or ''}\r\n\r\n".encode()
+    got = {r["record_id"]: r for r in a.collect()}
+    assert all(got[i]["digest"] == hashlib.sha256(body(i)).hexdigest() and got[i]["length"] == len(body(i)) for i in range(500))
+    assert got[52]["offset"] == len(body(50)) + len(body(51)) and (got[52]["file"], got[52]["pos"]) == (1, 2)
+
+
+def test_fixity_of_missing_files_and_empty_replicas(spark):
+    df = spark.createDataFrame(pages(100), PAGES)
+    a, b = warc.records(df, per_file=30), warc.records(df.where("page_id < 60 or page_id = 99"), per_file=30)
+    status = {r["record_id"]: r["status"] for r in warc.fixity(a, b, 4).collect()}
+    assert {k for k, v in status.items() if v == "ok"} == {*range(60), 99} - set() and status[61] == "missing" and status[95] == "missing"
+    none = warc.records(df.limit(0))
+    assert warc.audit(none, none).isEmpty() and warc.audit(a, none).count() == 100
+
+
+@pytest.mark.parametrize("blocks", [(16384, 2048), (30, 7)])
+def test_top_k_equals_brute_force(spark, blocks):
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 1, (230, 19)).astype(np.float32)
+    x[50:60] = x[40:50]
+    x[100:140] = x[100]
+    rows = [(i, [float(v) for v in r], 1, 2) for i, r in enumerate(x)]
+    rows += [(300, None, 1, 2), (301, [1.0, None] + [0.0] * 17, 1, 2), (302, [float("nan")] * 19, 1, 2), (303, [float("inf")] * 19, 1, 2), (305, [], 1, 2), (310, [1.0, 2.0], 1, 2), (311, [1.0, 3.0], 1, 2), (None, [1.0, 3.0], 1, 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int, score int")
+    got = topk.top_k(df, df.where("vec_id % 10 = 0"), candidates=blocks[0], query_rows=blocks[1]).collect()
+    e = np.floor(1024 * x.astype(np.float64)).astype(np.int64)
+    want = []
+    for q in range(0, 230, 10):
+        s = e @ e[q]
+        best = sorted((int(-s[c]), c) for c in range(230) if c != q)[:10]
+        want += [(q, k + 1, c, -v) for k, (v, c) in enumerate(best)]
+    want += [(310, 1, 311, 1024 * 1024 + 2048 * 3072)]
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert topk.top_k(df.limit(0), df.limit(0)).collect() == []
+
+
+def test_bounds_are_upper_bounds():
+    rng = np.random.default_rng(5)
+    q, c = rng.integers(-3000, 3000, (20, 13)), rng.integers(-3000, 3000, (40, 13))
+    for parts in (1, 4, 13, 99):
+        assert (topk.segment_features(q, parts) @ topk.segment_features(c, parts).T >= q @ c.T - 1e-3).all()
+
+
+def fill(children, total):
+    """Water-filling by whole rounds: name -> (weight, cap)."""
+    left, out, rest = dict(children), {}, total
+    while left:
+        w = sum(max(0, a) for a, _ in left.values())
+        full = {k: c for k, (a, c) in left.items() if a > 0 and c * w <= rest * a}
+        if not full:
+            out |= {k: rest * max(0, a) // w if w else 0 for k, (a, c) in left.items()}
+            return out
+        k = min(full, key=lambda k: (left[k][1] / left[k][0], k))
+        out[k] = left[k][1]
+        rest -= left[k][1]
+        del left[k]
+    return out
+
+
+def test_mixing_equals_plain_budgeting(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(900):
+        s = rng.choice(["src1"] * 12 + [f"src{k}" for k in range(20)] + [None, "blog"])
+        rows.append((i, None if i % 97 == 0 else " ".join(["w"] * rng.choice((0, 1, 5, 80))), rng.choice(("en", "en", "de", "fr", None)), s, "clash", 3))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, domain string, copies int")
+    got = {r["doc_id"]: r for r in mixing.mix_sources(df).collect()}
+    count = lambda t: 0 if t is None else t.count(" ") + 1
+    number = lambda s: int(s[3:]) if s and s.startswith("src") else None
+    domain = lambda s: "other" if number(s) is None else "web" if number(s) < 10 else "reference" if number(s) < 16 else "forum"
+    leaf = {}
+    for i, t, lang, s, *_ in rows:
+        leaf.setdefault((domain(s), lang or "", s or ""), []).append((i, count(t)))
+    tokens = {k: sum(n for _, n in v) for k, v in leaf.items()}
+    weight = lambda table, k: table.get(k, mixing.DEFAULT_WEIGHT)
+    cap = lambda keep: 2 * sum(v for k, v in tokens.items() if k[: len(keep)] == keep)
+    top = fill({d: (weight(mixing.DOMAIN_WEIGHTS, d), cap((d,))) for d in {k[0] for k in leaf}}, sum(tokens.values()) * 60 // 100)
+    target = {}
+    for d, b in top.items():
+        mid = fill({x: (weight(mixing.LANG_WEIGHTS, x), cap((d, x))) for x in {k[1] for k in leaf if k[0] == d}}, b)
+        for x, c in mid.items():
+            for s, t in fill({s: (1, cap((d, x, s))) for s in {k[2] for k in leaf if k[:2] == (d, x)}}, c).items():
+                target[d, x, s] = t
+    for k, docs in leaf.items():
+        whole, rest = divmod(target[k], tokens[k]) if tokens[k] else (0, 0)
+        run, taken = 0, set()
+        for i, n in sorted(docs, key=lambda x: hashlib.md5(f"{mixing.SEED}:{whole}:{x[0]}".encode()).hexdigest()):
+            run += n
+            if rest and run <= rest:
+                taken.add(i)
+        for i, n in docs:
+            assert (got[i]["mix_target"], got[i]["mix_tokens"], got[i]["copies"]) == (target[k], n, whole + (i in taken)), (k, i)
+    assert sum(r["mix_tokens"] * r["copies"] for r in got.values()) <= sum(tokens.values()) * 60 // 100
+    assert mixing.mix_sources(df.limit(0)).collect() == []
+
+
+def test_shortage_goes_to_siblings_first(spark):
+    rows = [(i, "w " * 9 + "w", "en", s) for i, s in enumerate(["src1"] * 2 + ["src2"] * 50 + ["src16"] * 50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["source"]: r["mix_target"] for r in mixing.mix_sources(df, percent=50, epochs=1, domain_weights={"web": 1, "forum": 1}).collect()}
+    assert got["src1"] == 20 and got["src2"] == 510 // 2 - 20 and got["src16"] == 255
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline
+    import public_tokenizers
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("rank", F.lit(1))
+    docs = docs.union(docs.where("doc_id = 5").withColumn("doc_id", F.lit(100_000).cast("long"))).union(docs.where("doc_id = 5").withColumn("doc_id", F.lit(100_001).cast("long")).withColumn("text", F.lit(None).cast("string")))
+    before = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, before, sf)
+        rows = after.collect()
+        assert after.columns == list(corpus_pipeline.COLUMNS)
+        ids = [r["doc_id"] for r in rows]
+        assert len(ids) == len(set(ids)) and 0 < len(ids) <= before.count()
+        if name == "language_id":
+            assert 100_001 not in ids and len(ids) >= 195
+        if name == "near_dedup":
+            from test_dedup import brute
+
+            src = sorted((r["doc_id"], r["text"]) for r in before.collect())
+            assert sorted(ids) == [src[i][0] for i, _, _, kept in brute([t for _, t in src], 5, 80) if kept]
+        before = spark.createDataFrame(rows, after.schema)
+    last = corpus_pipeline.STAGES[-1][1](spark, before, sf).collect()
+    coder = bpe.coder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    text = {r["doc_id"]: r["text"] for r in before.collect()}
+    assert len(last) == len(text)
+    for r in last:
+        assert r["ids_sha256"] == hashlib.sha256(coder.encode(text[r["doc_id"]])).hexdigest() and r["decoded_sha256"] == hashlib.sha256(text[r["doc_id"]].encode()).hexdigest()
+    assert corpus_pipeline.run(spark, sf).count() > 100

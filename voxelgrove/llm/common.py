@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,15 +18,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; where none is set (tests on one machine), a temporary one."""
+    global _OWN
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named is None and _OWN is None:
+        _OWN = tempfile.mkdtemp(prefix="checkpoints-")
+    return (named or _OWN).rstrip("/")
+
+
+_OWN: str | None = None
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """df, computed once and cut from its lineage in the shared folder of spark.checkpoint.dir.
-
-    The files are in reliable storage, so a lost executor costs no more than the tasks it ran.
-    Where no folder is set (tests on one machine), one is made."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
+    """df, written as Parquet to the shared folder and read again: computed once, and cut from its lineage.
+
+    The files are in reliable storage, so a lost executor costs no more than the tasks it ran. A written table
+    also has a true size, where the estimate of a checkpoint() multiplies with each join of a loop. clear()
+    removes the files."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/voxelgrove/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes all settled tables, once no DataFrame needs them."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/voxelgrove")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def part_of(doc_id: str | Column, parts: int) -> Column:

@@ -23,7 +23,6 @@ def components(edges: DataFrame) -> DataFrame:
         for _ in range(2):
             up = point.select(F.col("u").alias("p"), F.col("p").alias("q"))
             point = point.join(up, "p").select("u", F.col("q").alias("p"))
-        point = settle(point)
         nodes = settle(
             nodes.join(point.withColumnRenamed("u", "component"), "component", "left")
             .select("node", F.coalesce("p", "component").alias("component"))

@@ -102,7 +102,7 @@ with r as (select page_id, coalesce(url, '') as url, coalesce(html, '') as html
 rec as (select page_id, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:record:' || page_id || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10)
   || 'Content-Length: ' || octet_length(encode(html)) || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10) as body from r),
 d as (select page_id, page_id // {warc.PER_FILE} as file, octet_length(encode(body))::bigint as length, sha256(body) as digest from rec)
-select page_id, file, row_number() over w - 1 as pos, (sum(length) over w - length)::bigint as "offset", length, digest,
+select page_id, file, page_id % {warc.PER_FILE} as pos, (sum(length) over w - length)::bigint as "offset", length, digest,
   case when md5(page_id::varchar) like '%0' then 'corrupt' else 'ok' end as status
 from d window w as (partition by file order by page_id)
 """,

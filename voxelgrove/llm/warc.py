@@ -28,13 +28,16 @@ def warc_record(record_id: Column, url: Column, body: Column) -> Column:
 def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", per_file: int = PER_FILE) -> DataFrame:
     """(file, pos, record_id, offset, length, digest): ids in order, per_file consecutive ids to a file.
 
-    Only digests and lengths are shuffled. Rows without an id are left out; equal ids are ordered by digest."""
+    pos is the id's place in its file, so a missing record doesn't move the others. Only digests and lengths
+    are shuffled. Rows without an id are left out; further rows of one id, in the order of their digests, have
+    places behind those of all ids."""
     rec = warc_record(F.col(id_col), F.col(url_col), F.col(body_col))
     rows = pages.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("record_id"), F.octet_length(rec).cast("long").alias("length"), F.sha2(rec, 256).alias("digest"))
     rows = rows.withColumn("file", F.floor(F.col("record_id") / per_file).cast("long"))
     order = Window.partitionBy("file").orderBy("record_id", "digest")
     end = F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return rows.select("file", (F.row_number().over(order) - 1).cast("long").alias("pos"), "record_id", (end - F.col("length")).alias("offset"), "length", "digest")
+    again = F.row_number().over(Window.partitionBy("file", "record_id").orderBy("digest")) - 1
+    return rows.select("file", (F.pmod("record_id", F.lit(per_file)) + again * per_file).cast("long").alias("pos"), "record_id", (end - F.col("length")).alias("offset"), "length", "digest")
 
 
 def _parents(nodes: DataFrame, fanout: int) -> DataFrame:

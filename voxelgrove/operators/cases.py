@@ -32,6 +32,12 @@ def discover(found: DataFrame, keys: str = "case_id", channels: int | None = Non
     )
 
 
+def with_label(found: DataFrame, label_files: DataFrame, keys: str = "case_id") -> DataFrame:
+    """found with label_path and complete: whether each case has its label file."""
+    one = label_files.select(keys, F.col("path").alias("label_path"))
+    return found.join(one, keys, "left").withColumn("complete", F.col("label_path").isNotNull())
+
+
 def name_difference(have: Column, want: Column) -> tuple[Column, Column]:
     """(missing, extra) of two lists of names."""
     return F.array_sort(F.array_except(want, have)), F.array_sort(F.array_except(have, want))

@@ -66,6 +66,26 @@ def issues(samples: DataFrame, key: str = "path") -> DataFrame:
     return samples.select(key, F.inline(F.array_compact(F.array(*found))))
 
 
+def write_issues(inputs: DataFrame, key: str = "path") -> DataFrame:
+    """(key, code) for samples that may not be written.
+
+    inputs: image_shapes and seg_shapes (arrays of texts like 4x4x4), level, n_boxes, box_axes, n_scores and
+    n_box_labels; a null of the last five is absent."""
+    c = F.col
+    shape = F.get("image_shapes", F.lit(0))
+    ndim = F.size(F.split(shape, "x"))
+    found = F.array(
+        F.when(F.coalesce(F.size("image_shapes"), F.lit(0)) <= 0, "no images"),
+        F.when(F.size(F.array_distinct("image_shapes")) > 1, "image shapes differ"),
+        F.when(~F.coalesce(c("level").between(0, 9), F.lit(True)), "compression level"),
+        F.when(F.exists(F.coalesce("seg_shapes", F.array().cast("array<string>")), lambda x: x != shape), "mask shape"),
+        F.when(F.coalesce(c("box_axes") != ndim, F.lit(False)), "box shape"),
+        F.when(c("n_scores").isNotNull() & ~c("n_scores").eqNullSafe(c("n_boxes")), "score count"),
+        F.when(c("n_box_labels").isNotNull() & ~c("n_box_labels").eqNullSafe(c("n_boxes")), "box label count"),
+    )
+    return inputs.select(key, F.explode(F.array_compact(found)).alias("code"))
+
+
 def summary(samples: DataFrame, found: DataFrame, key: str = "path", strict: bool = False) -> DataFrame:
     """(checked, invalid); strict: warnings count too."""
     bad = (found if strict else found.where("severity = 'error'")).select(key).distinct().agg(F.count("*").alias("invalid"))

@@ -622,6 +622,61 @@ def meta_resync(spark, d):
     return out.select("sample_id", "has_seg", F.array_join("seg_names", ",").alias("seg_names"), "has_bbox")
 
 
+@query("""with p as (select p_partkey as path, p_partkey % 13 = 0 as e, p_partkey % 11 = 0 as d, p_size - 5 as lv, p_partkey % 7 = 0 as sg, p_partkey % 5 = 0 as bx, p_partkey % 3 = 0 as sc from part)
+select path, 'no images' as code from p where e union all select path, 'image shapes differ' from p where d and not e union all select path, 'compression level' from p where lv < 0 or lv > 9
+union all select path, 'mask shape' from p where sg and not e union all select path, 'box shape' from p where bx and not e union all select path, 'score count' from p where sc""")
+def write_input_issues(spark, d):
+    """What would be refused on writing, over samples with faults that depend on the part."""
+    k = F.col("p_partkey")
+    text = lambda *x: F.array(*(F.lit(v) for v in x))
+    rows = table(spark, d, "part").select(
+        k.alias("path"), F.when(k % 13 == 0, F.array().cast("array<string>")).when(k % 11 == 0, text("4x4x4", "4x4x5")).otherwise(text("4x4x4")).alias("image_shapes"), (F.col("p_size") - 5).alias("level"),
+        F.when(k % 7 == 0, text("2x2x2")).otherwise(text("4x4x4")).alias("seg_shapes"), F.lit(2).alias("n_boxes"), F.when(k % 5 == 0, 2).otherwise(3).alias("box_axes"), F.when(k % 3 == 0, 1).alias("n_scores"), F.lit(2).alias("n_box_labels"),
+    )
+    rows = rows.withColumn("seg_shapes", F.when(F.size("image_shapes") == 0, F.lit(None)).otherwise(F.col("seg_shapes")))
+    return validation.write_issues(rows)
+
+
+@query("select distinct conv_id as case_id, conv_id % 6 <> 0 as complete from conversations")
+def case_label_join(spark, d):
+    """Cases and their label files, some of which are missing."""
+    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("case_id")).distinct()
+    files = rows.where("case_id % 6 <> 0").withColumn("path", F.concat(F.lit("labelsTr/"), F.col("case_id").cast("string"), F.lit(".nii.gz")))
+    return cases.with_label(rows, files).select("case_id", "complete")
+
+
+@query("select conv_id as case_id, array_to_string(list_sort(list_filter(['assistant', 'system', 'user'], lambda x: not list_contains(have, x))), ',') as missing, array_to_string(list_sort(list_filter(have, lambda x: not list_contains(['assistant', 'system', 'user'], x))), ',') as extra from (select conv_id, list(distinct role) as have from conversations group by 1)")
+def channel_difference(spark, d):
+    rows = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("case_id")).agg(F.collect_set("role").alias("have"))
+    missing, extra = cases.name_difference(F.col("have"), F.array(F.lit("user"), F.lit("assistant"), F.lit("system")))
+    return rows.select("case_id", F.array_join(missing, ",").alias("missing"), F.array_join(extra, ",").alias("extra"))
+
+
+@query("select conv_id as case_id, string_agg(role, '|' order by turn) as stack from conversations group by 1")
+def stack_slices(spark, d):
+    rows = cases.stack_slices(table(spark, d, "conversations"), "conv_id", "turn", "role")
+    return rows.select(F.col("conv_id").alias("case_id"), F.array_join("role", "|").alias("stack"))
+
+
+@query("select distinct l_returnflag as value from lineitem")
+def distinct_label_values(spark, d):
+    return table(spark, d, "lineitem").select(F.col("l_returnflag").alias("value")).distinct()
+
+
+@query(f"with {_VOX} select modality, count(*) as n_voxels, min(v) as vmin, max(v) as vmax from v where modality in ('quantity', 'tax') group by modality")
+def modality_restriction(spark, d):
+    """Statistics of chosen modalities only; in a partitioned table the others aren't read."""
+    out = stats.compute_stats(table(spark, d, "documents").select(F.col("lang").alias("label"), F.array("n_chars").alias("shape")), voxels(spark, d), modalities=["quantity", "tax"], exact=False)
+    return out["modalities"].select("modality", "n_voxels", "vmin", "vmax")
+
+
+@query(f"with {_REV}, c as (select sample_id, arg_max(status, (ts, seq)) as status from r group by 1) select u as sample_id, coalesce(c.status, 'pending') as review_status from range(200) t(u) left join c on c.sample_id = u")
+def review_status_of(spark, d):
+    ids = spark.range(200).select(F.col("id").alias("sample_id"))
+    events = review_events(spark, d).withColumn("seq", F.struct("ts", "seq"))
+    return review.status_of(ids, events)
+
+
 # ---- round trips
 
 

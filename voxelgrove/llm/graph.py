@@ -31,3 +31,18 @@ def components(edges: DataFrame) -> DataFrame:
         left = left.join(point.select(F.col("u").alias("b"), F.col("p").alias("y")), "b")
         left = settle(left.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     return nodes
+
+
+def add_links(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """components() of all links so far, from comps of the earlier ones and further links (a, b).
+
+    Only the components that the new links join are looked at again."""
+    ends = links
+    for side in "ab":
+        of = comps.select(F.col("node").alias(side), F.col("component").alias("c" + side))
+        ends = ends.join(of, side, "left").withColumn("c" + side, F.coalesce("c" + side, side))
+    ends = settle(ends.select("a", "b", "ca", "cb"))
+    joined = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("into"))
+    new = ends.select(F.col("a").alias("node"), F.col("ca").alias("component")).union(ends.select("b", "cb")).distinct()
+    every = comps.join(new, "node", "left_anti").select("node", "component").union(new)
+    return settle(every.join(joined, "component", "left").select("node", F.coalesce("into", "component").alias("component")))

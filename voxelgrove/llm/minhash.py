@@ -5,8 +5,10 @@
 2. One-permutation hashing with optimal densification gives 128 bins; 4 bins make a band, 32 bands. A pair of
    similarity 0.8 misses every band with probability (1 - 0.8**4)**32 = 4e-8.
 3. A bucket links its members to its smallest member: a star. Buckets whose members still lie in different
-   components after verification are dealt again, with the next 1, 2, 4, 8 ... members as centres, until each
-   bucket is one component or every member was a centre. So no link within a bucket is lost, while buckets of
+   components after verification are dealt again. First, texts leave that can't be linked by counting: those
+   with too many shingles that no other candidate has. Then those outside a bucket's largest component meet it
+   whole, in blocks. The rest get stars around the 32 members with fewest such shingles, then around the next
+   992 and so on, until each bucket is one component or every member was a centre. So no link within a bucket is lost, while buckets of
    true copies, however large, need one star.
 4. Candidates pass two filters that can't lose a link (set sizes: exact; 256 sketch bits: 5.5 sigma), then
    are confirmed on their full sets with integer arithmetic.
@@ -19,14 +21,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 from .common import mix, settle, shingle_set, words_of
-from .graph import components
+from .graph import add_links, components
 
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
+#: A bucket that one star leaves in several components gets this many centres, then so many times more.
+GROWTH = 32
+#: Texts outside a component of GROUP or more texts of a bucket meet it whole, in blocks of about BLOCK texts.
+GROUP, BLOCK = 16, 512
 _EDGES = np.arange(1, BINS, dtype=np.uint64) << np.uint64(57)
 
 
@@ -129,16 +135,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = settle(texts.mapInArrow(_sign(words), _SIGNED))
     groups = signed.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"))
     reps = settle(signed.join(groups.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"))
-    links = link_buckets(texts, reps, words, percent)
-    comps = components(links).select(F.col("node").alias("rep"), F.col("component"))
+    comps = link_components(texts, reps, words, percent).withColumnRenamed("node", "rep")
     classes = groups.join(comps, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "n_shingles", "fp").join(classes, "fp", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
-def link_buckets(texts: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
-    """Confirmed links (a, b) that give the components of all links between representatives."""
+def link_components(texts: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
+    """(node, component) of the representatives that have a confirmed link."""
     low = reps.select("doc_id", "n_shingles", "s0", "s1", "s2", "s3")
     member = reps.select(F.explode("bands").alias("bucket"), "doc_id")
     shared = member.groupBy("bucket").agg(F.min("doc_id").alias("center"), F.max("doc_id").alias("last")).where("center <> last")
@@ -146,46 +151,116 @@ def link_buckets(texts: DataFrame, reps: DataFrame, words: int, percent: int) ->
     inside = member.select("doc_id").distinct()
     sets = settle(texts.join(inside, "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id long, shingles binary"))
     stars = member.where("doc_id <> center").select(F.col("center").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = settle(_verify(stars, low, sets, percent))
-    todo, width, done = member.select("bucket", "doc_id"), 1, 1
+    comps = components(_verify(stars, low, sets, percent))
+    todo = _unresolved(member.select("bucket", "doc_id"), comps)
+    todo = _linkable(todo, low, sets, percent)
+    new, todo = _against_groups(todo, sets, percent)
+    if not new.isEmpty():
+        comps = add_links(comps, new)
+    first, done = 0, GROWTH
     while True:
-        todo, todo_left = _unresolved(todo, links)
-        if not todo_left:
-            return links
-        first, done, width = done, done + width, 2 * width
-        centers = todo.where((F.col("rank") > first) & (F.col("rank") <= done)).select("bucket", F.col("doc_id").alias("a"), F.col("rank").alias("ra"), F.col("component").alias("ca"))
-        pairs = todo.join(centers, "bucket").where("rank > ra and component <> ca").select("a", F.col("doc_id").alias("b")).distinct()
-        links = settle(links.union(_verify(pairs, low, sets, percent)))
-        if todo.agg(F.max("rank")).first()[0] <= done:
-            return links
-        todo = todo.select("bucket", "doc_id", "rank")
-
-
-def _unresolved(todo: DataFrame, links: DataFrame) -> tuple[DataFrame, bool]:
-    """The rows of buckets that still hold different components, ranked by id in each bucket."""
-    comps = components(links)
-    rows = todo.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+        todo = _unresolved(todo, comps)
+        last = todo.agg(F.max("rank")).first()[0]
+        if last is None:
+            return comps
+        side = {x: todo.select("bucket", *(F.col(c).alias(c + x) for c in todo.columns if c != "bucket")) for x in "ab"}
+        centers = side["a"].where((F.col("ranka") > first) & (F.col("ranka") <= done))
+        ordered = (F.col("rankb") > F.col("ranka")) & (F.col("componenta") != F.col("componentb"))
+        both = F.least(F.col("n_shinglesa") - F.col("uniquea"), F.col("n_shinglesb") - F.col("uniqueb"))
+        could = 100 * both >= percent * (F.col("n_shinglesa") + F.col("n_shinglesb") - both)
+        pairs = side["b"].join(centers, "bucket").where(ordered & could & _alike(percent))
+        pairs = settle(pairs.select(F.col("doc_ida").alias("a"), F.col("doc_idb").alias("b")).distinct())
+        new = settle(_confirmed(pairs, sets, percent))
+        if not new.isEmpty():
+            comps = add_links(comps, new)
+        if last <= done:
+            return comps
+        first, done = done, GROWTH * done
+
+
+def _unresolved(todo: DataFrame, comps: DataFrame) -> DataFrame:
+    """The rows of buckets that still hold different components."""
+    rows = todo.drop("component").join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     rows = rows.withColumn("component", F.coalesce("component", "doc_id"))
     split = rows.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1")
-    rows = rows.join(split.select("bucket"), "bucket", "left_semi")
-    if "rank" not in rows.columns:
-        from pyspark.sql import Window
+    return settle(rows.join(split.select("bucket"), "bucket", "left_semi"))
 
-        rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("doc_id")))
-    rows = settle(rows.select("bucket", "doc_id", "component", "rank"))
-    return rows, not rows.isEmpty()
 
+def _linkable(todo: DataFrame, low: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """todo with sizes and sketches, unique (the shingles that no other text of todo has) and rank in the bucket.
 
-def _verify(pairs: DataFrame, low: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are links: size and sketch filters, then the full sets."""
-    for side in "ab":
-        pairs = pairs.join(low.select(*(F.col(c).alias(c + side) for c in low.columns)).withColumnRenamed("doc_id" + side, side), side)
+    Shared shingles aren't unique ones, so a text can't be linked if too many of its own are unique: it leaves.
+    The rest are ranked with the fewest unique first, as those are the likeliest centres."""
+    ids = todo.select("doc_id").distinct()
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for doc, blob in zip(b.column(0).to_pylist(), b.column(1)):
+                x = np.frombuffer(blob.as_buffer(), dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(np.full(len(x), doc, np.int64))], names=["shingle", "doc_id"])
+
+    each = sets.join(ids, "doc_id", "left_semi").select("doc_id", "shingles").mapInArrow(explode, "shingle long, doc_id long")
+    lone = each.groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("other")).where("doc_id = other")
+    lone = lone.groupBy("doc_id").agg(F.count("*").alias("unique"))
+    facts = low.join(ids, "doc_id", "left_semi").join(lone, "doc_id", "left").fillna(0, ["unique"])
+    facts = facts.where(100 * (F.col("n_shingles") - F.col("unique")) >= percent * F.col("n_shingles"))
+    order = Window.partitionBy("bucket").orderBy(F.col("unique") / F.col("n_shingles"), "doc_id")
+    return settle(todo.join(facts, "doc_id").withColumn("rank", F.row_number().over(order)))
+
+
+def _against_groups(todo: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links between a bucket's largest component, if it has GROUP texts or more, and the texts outside it; and
+    todo without those components' rows, as all their pairs are done.
+
+    The texts outside meet the whole component in blocks, each a task's work: pairs exist only within numpy."""
+    inside = todo.groupBy("bucket", "component").agg(F.count("*").alias("k")).where(F.col("k") >= GROUP)
+    base = settle(inside.groupBy("bucket").agg(F.max_by("component", F.struct("k", "component")).alias("base")))
+    rows = todo.join(base, "bucket")
+    probes = settle(rows.where("component <> base").select("base", "doc_id").distinct())
+    members = todo.select(F.col("component").alias("base"), "doc_id").distinct().join(probes.select("base").distinct(), "base", "left_semi")
+    sizes = [x.groupBy("base").agg((F.floor(F.count("*") / BLOCK) + 1).alias(n)) for x, n in ((probes, "ni"), (members, "nj"))]
+    sizes = settle(sizes[0].join(sizes[1], "base"))
+
+    def cells(x: DataFrame, mine: str, its: str, n_mine: str, n_its: str) -> GroupedData:
+        x = x.join(sizes, "base").withColumn(mine, F.pmod(F.xxhash64("doc_id"), F.col(n_mine)))
+        x = x.join(sets, "doc_id").withColumn(its, F.explode(F.sequence(F.lit(0).cast("long"), F.col(n_its) - 1)))
+        return x.select(*(F.col(c).alias(c) for c in ("base", "i", "j", "doc_id", "shingles"))).groupBy("base", "i", "j")
+
+    def meet(x: pa.Table, y: pa.Table) -> pa.Table:
+        out = []
+        if x.num_rows and y.num_rows:
+            other, ids = [np.frombuffer(v.as_buffer(), np.uint64) for v in y.column("shingles")], y.column("doc_id").to_numpy()
+            size = np.array([len(v) for v in other])
+            flat, at = np.concatenate(other), np.concatenate([[0], np.cumsum(size)[:-1]])
+            for doc, blob in zip(x.column("doc_id").to_pylist(), x.column("shingles")):
+                mine = np.frombuffer(blob.as_buffer(), np.uint64)
+                hit = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat
+                both = np.add.reduceat(hit.astype(np.int64), at)
+                out += [(doc, k) for k in ids[100 * both >= percent * (size + len(mine) - both)].tolist() if k != doc]
+        return pa.table({"a": pa.array([min(p) for p in out], pa.int64()), "b": pa.array([max(p) for p in out], pa.int64())})
+
+    met = cells(probes, "i", "j", "ni", "nj").cogroup(cells(members, "j", "i", "nj", "ni")).applyInArrow(meet, "a long, b long")
+    rest = todo.join(base, "bucket", "left").where("base is null or component <> base").drop("base")
+    return settle(met), settle(rest)
+
+
+def _alike(percent: int) -> Column:
+    """Whether sizes and sketches of texts a and b let them be a link."""
     far = 1 - percent / 100
     most = 128 * far + 5.5 * (128 * (1.5 * far - far * far)) ** 0.5
     bits = sum(F.bit_count(F.col(f"s{k}a").bitwiseXOR(F.col(f"s{k}b"))) for k in range(4))
     small, large = F.least("n_shinglesa", "n_shinglesb"), F.greatest("n_shinglesa", "n_shinglesb")
-    fits = (100 * small >= percent * large) & ((large < 256) | (bits <= F.lit(most)))
-    pairs = settle(pairs.where(fits).select("a", "b"))
+    return (100 * small >= percent * large) & ((large < 256) | (bits <= F.lit(most)))
+
+
+def _verify(pairs: DataFrame, low: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that are links: size and sketch filters, then the full sets."""
+    for side in "ab":
+        pairs = pairs.join(low.select(*(F.col(c).alias(c + side) for c in low.columns)).withColumnRenamed("doc_id" + side, side), side)
+    return _confirmed(settle(pairs.where(_alike(percent)).select("a", "b")), sets, percent)
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     pairs = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
     pairs = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
     return pairs.select("a", "b", "sa", "sb").mapInArrow(_confirm(percent), "a long, b long")

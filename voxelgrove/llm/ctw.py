@@ -23,7 +23,7 @@ from .common import LOWER, part_of, settle, words_of
 
 DEPTH = 5
 #: Bytes of text to a block, about; a longer text is a block's share all the same.
-BLOCK_BYTES = 64 << 20
+BLOCK_BYTES = 32 << 20
 END = 10
 #: The end of a text, counted as a token.
 END_TOKEN = np.uint64(0x0E0D0F7E8D)

@@ -7,9 +7,10 @@
 3. A bucket links its members to its smallest member: a star. Buckets whose members still lie in different
    components after verification are dealt again. First, texts leave that can't be linked by counting: those
    with too many shingles that no other candidate has. Then those outside a bucket's largest component meet it
-   whole, in blocks. The rest get stars around the 32 members with fewest such shingles, then around the next
-   992 and so on, until each bucket is one component or every member was a centre. So no link within a bucket is lost, while buckets of
-   true copies, however large, need one star.
+   whole, in blocks, and the counting is done again without it. The rest get stars around the 32 members with
+   fewest such shingles, then around the next 992 and so on, until each bucket is one component or every member
+   was a centre; a pair is made only in the first bucket that both are in. So no link within a bucket is lost,
+   while buckets of true copies, however large, need one star.
 4. Candidates pass two filters that can't lose a link (set sizes: exact; 256 sketch bits: 5.5 sigma), then
    are confirmed on their full sets with integer arithmetic.
 """
@@ -157,6 +158,8 @@ def link_components(texts: DataFrame, reps: DataFrame, words: int, percent: int)
     new, todo = _against_groups(todo, sets, percent)
     if not new.isEmpty():
         comps = add_links(comps, new)
+    todo = _linkable(_unresolved(todo, comps).select("bucket", "doc_id", "component"), low, sets, percent)
+    todo = settle(todo.join(todo.groupBy("doc_id").agg(F.array_sort(F.collect_set("bucket")).alias("buckets")), "doc_id"))
     first, done = 0, GROWTH
     while True:
         todo = _unresolved(todo, comps)
@@ -168,8 +171,9 @@ def link_components(texts: DataFrame, reps: DataFrame, words: int, percent: int)
         ordered = (F.col("rankb") > F.col("ranka")) & (F.col("componenta") != F.col("componentb"))
         both = F.least(F.col("n_shinglesa") - F.col("uniquea"), F.col("n_shinglesb") - F.col("uniqueb"))
         could = 100 * both >= percent * (F.col("n_shinglesa") + F.col("n_shinglesb") - both)
-        pairs = side["b"].join(centers, "bucket").where(ordered & could & _alike(percent))
-        pairs = settle(pairs.select(F.col("doc_ida").alias("a"), F.col("doc_idb").alias("b")).distinct())
+        once = F.array_min(F.array_intersect("bucketsa", "bucketsb")) == F.col("bucket")
+        pairs = side["b"].join(centers, "bucket").where(ordered & could & _alike(percent) & once)
+        pairs = settle(pairs.select(F.col("doc_ida").alias("a"), F.col("doc_idb").alias("b")))
         new = settle(_confirmed(pairs, sets, percent))
         if not new.isEmpty():
             comps = add_links(comps, new)

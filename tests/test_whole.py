@@ -1,6 +1,7 @@
 """Queries and commands on more than what their SQL, or a short listing, covers."""
 
 import duckdb
+from pyspark.sql import functions as F
 
 from voxelgrove.plans import catalogue
 
@@ -12,3 +13,17 @@ def test_review_status_of_all_users(spark):
     want = dict(duckdb.connect().execute(f"select u, coalesce(s, 'pending') from (select distinct user_id as u from '{d}/events.parquet' union select * from range(200)) left join ({last}) on u = user_id").fetchall())
     got = catalogue.review_status_of(spark, d).collect()
     assert len(got) == len(want) > 200 and {r["sample_id"]: r["review_status"] for r in got} == want
+
+
+def test_command_line_shows_every_row(spark, tmp_path, capsys):
+    from voxelgrove import cli
+
+    root = str(tmp_path / "ds")
+    samples = spark.range(0, 2500, 1, 3).select(
+        F.col("id").cast("string").alias("path"), F.array(F.lit("CT")).alias("images"), F.lit("9").alias("schema_version"), F.array(F.lit("CT")).alias("image_names"), F.lit("x").alias("checksum"), F.lit("y").alias("computed")
+    )
+    samples.write.parquet(root + "/samples")
+    spark.createDataFrame([("1", 0, "flagged", None, "t", None)], "sample_id string, seq long, status string, annotator string, ts string, notes string").write.parquet(root + "/review_events")
+    for args, code, text, n in ((["info", root], 0, '"path"', 2500), (["validate-all", root], 1, "metadata_read_failed", 2500), (["audit", root], 1, '"mismatch"', 2500), (["review", "list", root, "--status", "pending"], 0, '"pending"', 2499)):
+        assert cli.main(args) == code
+        assert sum(text in line for line in capsys.readouterr().out.splitlines()) == n, args

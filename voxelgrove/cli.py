@@ -21,8 +21,9 @@ def _table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root.rstrip('/')}/{name}")
 
 
-def _show(df: DataFrame, rows: int = 1000) -> None:
-    for row in df.limit(rows).toJSON().toLocalIterator():
+def _show(df: DataFrame) -> None:
+    """Prints every row; the driver holds one partition at a time."""
+    for row in df.toJSON().toLocalIterator():
         print(row)
 
 

@@ -1,6 +1,7 @@
 """Queries and commands on more than what their SQL, or a short listing, covers."""
 
 import duckdb
+import numpy as np
 from pyspark.sql import functions as F
 
 from voxelgrove.plans import catalogue
@@ -27,3 +28,27 @@ def test_command_line_shows_every_row(spark, tmp_path, capsys):
     for args, code, text, n in ((["info", root], 0, '"path"', 2500), (["validate-all", root], 1, "metadata_read_failed", 2500), (["audit", root], 1, '"mismatch"', 2500), (["review", "list", root, "--status", "pending"], 0, '"pending"', 2499)):
         assert cli.main(args) == code
         assert sum(text in line for line in capsys.readouterr().out.splitlines()) == n, args
+
+
+def test_resampling_of_whole_volumes(spark, monkeypatch):
+    d, shapes, of = "/root/testdata/sf0.001", [], catalogue.labels.resample
+    monkeypatch.setattr(catalogue.labels, "resample", lambda df, shape, *a, **k: shapes.append(tuple(shape)) or of(df, shape, *a, **k))
+    volumes = {r["vec_id"]: np.array(r["embedding"]).reshape(4, 4, 4) for r in spark.read.parquet(f"{d}/embeddings.parquet").collect()}
+    got = {}
+    for r in catalogue.resample_linear_volume(spark, d).collect():
+        got.setdefault(r["vec_id"], {})[r["idx"]] = r["v"]
+    assert got.keys() == volumes.keys()
+    for i, x in volumes.items():
+        for axis in range(3):
+            x = np.moveaxis(x, axis, 0)
+            y = np.repeat(x, 2, axis=0)[:-1].copy()
+            y[1::2] = (x[:-1] + x[1:]) / 2
+            x = np.moveaxis(y, 0, axis)
+        assert sorted(got[i]) == list(range(343)) and np.abs([got[i][p] for p in range(343)] - x.ravel()).max() < 1e-6
+    assert catalogue.resample_linear(spark, d).count() == 12 * len(volumes) and set(shapes) == {(4, 4, 4)}
+
+
+def test_recompress_gives_every_component(spark):
+    d = "/root/testdata/sf0.001"
+    want = {(r["vec_id"], i): v for r in spark.read.parquet(f"{d}/embeddings.parquet").collect() for i, v in enumerate(r["embedding"])}
+    assert {(r["vec_id"], r["idx"]): r["v"] for r in catalogue.recompress_components(spark, d).collect()} == want

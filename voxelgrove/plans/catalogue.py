@@ -454,13 +454,25 @@ def resample_nearest(spark, d):
     return out.select(F.col("sample_id").alias("vec_id"), F.posexplode("data").alias("idx", "v")).withColumn("v", F.round("v", 6))
 
 
+def _linear_volumes(spark, d):
+    """(vec_id, i, v): the embeddings as 4 x 4 x 4 volumes on a grid of 7 x 7 x 7, half-way points between all neighbours."""
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("sample_id"), F.col("embedding").alias("data"))
+    out = labels.resample(rows, (4, 4, 4), (7, 7, 7), (0.5, 0.5, 0.5), "linear")
+    return out.select(F.col("sample_id").alias("vec_id"), F.posexplode("data").alias("i", "v"))
+
+
 @query(f"with {_VOL} select vec_id, c0 * 3 + (c1 // 2) * 0 + k as idx, round((a + b) / 2, 6) as v from (select vec_id, c0, 0 as c1, k, max(case when c2 = k then v end) as a, max(case when c2 = k + 1 then v end) as b from x, range(3) t(k) where c1 = 0 group by all)")
 def resample_linear(spark, d):
-    """Half-way points along the last axis of the first row of each slab."""
-    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("sample_id"), F.transform(F.sequence(F.lit(0), F.lit(3)), lambda z: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda x: F.get("embedding", z * 16 + x).cast("double"))).alias("m"))
-    rows = rows.select("sample_id", F.flatten("m").alias("data"))
-    out = labels.resample(rows, (4, 4), (4, 7), (1, 0.5), "linear").select(F.col("sample_id").alias("vec_id"), F.posexplode("data").alias("i", "v"))
-    return out.where("i % 7 % 2 = 1").select("vec_id", (F.floor(F.col("i") / 7) * 3 + F.floor(F.col("i") % 7 / 2)).cast("long").alias("idx"), F.round("v", 6).alias("v"))
+    """Half-way points along the last axis of the first row of each slab, out of whole resampled volumes."""
+    a, b, c = F.floor(F.col("i") / 49), F.floor(F.col("i") / 7) % 7, F.col("i") % 7
+    out = _linear_volumes(spark, d).where((a % 2 == 0) & (b == 0) & (c % 2 == 1))
+    return out.select("vec_id", (F.floor(a / 2) * 3 + F.floor(c / 2)).cast("long").alias("idx"), F.round("v", 6).alias("v"))
+
+
+@query(f"with {_VOL}, g as (select a, b, c, (a + i) // 2 as ga, (b + j) // 2 as gb, (c + k) // 2 as gc from range(7) p(a), range(7) q(b), range(7) r(c), range(2) s(i), range(2) t(j), range(2) u(k)) select vec_id, (a * 49 + b * 7 + c)::int as idx, round(avg(v), 6) as v from x join g on c0 = ga and c1 = gb and c2 = gc group by vec_id, a, b, c")
+def resample_linear_volume(spark, d):
+    """Every point of whole volumes at twice the density of each axis."""
+    return _linear_volumes(spark, d).select("vec_id", F.col("i").alias("idx"), F.round("v", 6).alias("v"))
 
 
 # ---- review, validation, checksum, edits
@@ -700,10 +712,20 @@ def stats_roundtrip(spark, d):
     return spark.read.schema("label string, n long").json(path)
 
 
-@query("select vec_id, label, round(embedding[1]::double, 6) as v from embeddings")
-def recompress(spark, d):
+def _recompressed(spark, d):
     from ..sources import samples
 
     path = _scratch(spark)
     samples.recompress(spark, f"{d.rstrip('/')}/embeddings.parquet", path, "max")
-    return spark.read.parquet(path).select("vec_id", "label", F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("v"))
+    return spark.read.parquet(path)
+
+
+@query("select vec_id, label, round(embedding[1]::double, 6) as v from embeddings")
+def recompress(spark, d):
+    return _recompressed(spark, d).select("vec_id", "label", F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("v"))
+
+
+@query("select vec_id, label, (generate_subscripts(embedding, 1) - 1)::int as idx, unnest(embedding)::double as v from embeddings")
+def recompress_components(spark, d):
+    """All components after recompress, not rounded."""
+    return _recompressed(spark, d).select("vec_id", "label", F.posexplode("embedding").alias("idx", "v")).withColumn("v", F.col("v").cast("double"))

@@ -5,6 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from voxelgrove.plans import catalogue
+from voxelgrove.sources import nifti
 
 
 def test_review_status_of_all_users(spark):
@@ -52,3 +53,17 @@ def test_recompress_gives_every_component(spark):
     d = "/root/testdata/sf0.001"
     want = {(r["vec_id"], i): v for r in spark.read.parquet(f"{d}/embeddings.parquet").collect() for i, v in enumerate(r["embedding"])}
     assert {(r["vec_id"], r["idx"]): r["v"] for r in catalogue.recompress_components(spark, d).collect()} == want
+
+
+def test_nifti_files_are_written_in_tasks(spark, tmp_path, monkeypatch):
+    rows = [(f"imagesTr/v{i}.nii.gz", [2, 2], "int16", np.eye(4).ravel().tolist(), [float(i), 1.0, 2.0, 3.0]) for i in range(20)]
+    vol = spark.createDataFrame(rows, "name string, shape array<bigint>, dtype string, affine array<double>, data array<double>").repartition(3)
+
+    def to_driver(*a, **k):
+        raise AssertionError("volumes pass through the driver")
+
+    monkeypatch.setattr(type(vol), "toLocalIterator", to_driver)
+    for _ in range(2):
+        nifti.export(vol, str(tmp_path / "out"))
+    assert sorted(p.name for p in (tmp_path / "out" / "imagesTr").iterdir()) == sorted(r[0][9:] for r in rows)
+    assert all(nifti.parse((tmp_path / "out" / r[0]).read_bytes())["data"].tolist() == r[4] for r in rows)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import gzip
+import os
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -111,21 +113,61 @@ def read(spark: SparkSession, root: str, pattern: str = "*.nii*", skip_invalid:
     return out.where(F.col("error").isNull()) if skip_invalid else out
 
 
+def _built(b: pd.DataFrame) -> Iterator[bytes]:
+    for s, t, a, x in zip(b["shape"], b["dtype"], b["affine"], b["data"]):
+        yield build(np.asarray(x, dtype=float).reshape(s).astype(t), np.asarray(a, dtype=float).reshape(4, 4))
+
+
 def encode(volumes: DataFrame) -> DataFrame:
     """(name, content) of rows (name, shape, dtype, affine, data): files as bytes, made on the executors."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            made = [build(np.asarray(x, dtype=float).reshape(s).astype(t), np.asarray(a, dtype=float).reshape(4, 4)) for s, t, a, x in zip(b["shape"], b["dtype"], b["affine"], b["data"])]
-            yield pd.DataFrame({"name": b["name"], "content": made})
+            yield pd.DataFrame({"name": b["name"], "content": list(_built(b))})
 
     return volumes.select("name", "shape", "dtype", "affine", "data").mapInPandas(run, "name string, content binary")
 
 
+def _put(path: str, content: bytes) -> None:
+    """A whole file under a hidden name, then renamed, so that a task that is run again does no harm."""
+    folder, name = os.path.split(path)
+    os.makedirs(folder, exist_ok=True)
+    part = f"{folder}/.{uuid.uuid4().hex}.tmp"
+    try:
+        with open(part, "wb") as f:
+            f.write(content)
+        # The checksum that Hadoop keeps of a file it wrote here before.
+        if os.path.exists(old := f"{folder}/.{name}.crc"):
+            os.remove(old)
+        os.replace(part, path)
+    except BaseException:
+        if os.path.exists(part):
+            os.remove(part)
+        raise
+
+
 def export(volumes: DataFrame, folder: str) -> None:
-    """Writes encode()'s files into a folder that all executors see, through Hadoop's file systems one file at a time."""
+    """Writes encode()'s files into a folder that all executors see: in the tasks, one volume at a time.
+
+    Python workers reach mounted folders only; other file systems are written by Hadoop on the driver, a partition at a time."""
     spark = volumes.sparkSession
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    top = jvm.org.apache.hadoop.fs.Path(folder)
+    place = top.getFileSystem(conf).makeQualified(top).toUri()
+    if place.getScheme() == "file":
+        root = place.getPath().rstrip("/")
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                sizes = []
+                for name, content in zip(b["name"], _built(b)):
+                    _put(f"{root}/{name}", content)
+                    sizes.append(len(content))
+                yield pd.DataFrame({"name": b["name"], "bytes": sizes})
+
+        rows = volumes.select("name", "shape", "dtype", "affine", "data")
+        rows.mapInPandas(run, "name string, bytes long").write.format("noop").mode("overwrite").save()
+        return
     for row in encode(volumes).toLocalIterator():
         path = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{row['name']}")
         out = path.getFileSystem(conf).create(path, True)

@@ -105,7 +105,7 @@ class TreeBPE:
         return out
 
     def decode(self, ids: bytes) -> bytes:
-        """Concatenation is the monoid on the way back: bytes of tokens, joined up the tree."""
+        """Concatenation is the monoid on the way back: bytes of tokens, in one flat join. It is associative, so a tree would give the same bytes."""
         of = self.bytes_of
         return b"".join([of[i] for i in np.frombuffer(ids, dtype="<u4").tolist()])
 

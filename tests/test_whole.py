@@ -1,9 +1,13 @@
 """Queries and commands on more than what their SQL, or a short listing, covers."""
 
+import hashlib
+import re
+
 import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
+from voxelgrove.operators import split
 from voxelgrove.plans import catalogue
 from voxelgrove.sources import nifti
 
@@ -67,3 +71,21 @@ def test_nifti_files_are_written_in_tasks(spark, tmp_path, monkeypatch):
         nifti.export(vol, str(tmp_path / "out"))
     assert sorted(p.name for p in (tmp_path / "out" / "imagesTr").iterdir()) == sorted(r[0][9:] for r in rows)
     assert all(nifti.parse((tmp_path / "out" / r[0]).read_bytes())["data"].tolist() == r[4] for r in rows)
+
+
+def test_groups_are_ranked_in_buckets(spark):
+    rows = [(i, f"g{i}" if i % 50 else None, None if i % 7 == 0 else "ab"[i % 2]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "ordinal long, g string, s string")
+    key = lambda g: (hashlib.sha256(f"4:{g or ''}".encode()).hexdigest(), g or "")
+    for stratum in (None, "s"):
+        ranks = split.group_ranks(df, "g", stratum, "ordinal", 4)
+        of = {}
+        for _, g, s in rows:
+            of.setdefault(g, s if stratum else "")
+        want = {}
+        for s in set(of.values()):
+            mine = sorted((g for g in of if of[g] == s), key=key)
+            want |= {g: (s, k, len(mine)) for k, g in enumerate(mine)}
+        assert {r["group"]: (r["stratum"], r["rank"], r["n"]) for r in ranks.collect()} == want and ranks.count() == len(want)
+        plan = ranks._jdf.queryExecution().analyzed().toString()
+        assert re.findall(r"row_number\(\) windowspecdefinition\((.*?) ASC", plan) and all("__b#" in x for x in re.findall(r"row_number\(\) windowspecdefinition\((.*?) ASC", plan))

@@ -11,14 +11,25 @@ from pyspark.sql import functions as F
 
 from ..errors import ValidationError
 
+#: First hex digits of the hash: the buckets that a stratum's groups are numbered in.
+HEX = 3
+
 
 def group_ranks(records: DataFrame, group: str, stratum: str | None, ordinal: str, seed: int) -> DataFrame:
-    """(group, stratum, rank, n): each group once, in the stratum of its first record. Null is a group of its own."""
+    """(group, stratum, rank, n): each group once, in the stratum of its first record. Null is a group of its own.
+
+    Groups are numbered within buckets of their hash; running sums of the buckets' counts, at most 16 ** HEX a stratum, go before."""
     s = F.col(stratum).cast("string") if stratum else F.lit("")
     groups = records.groupBy(F.col(group).cast("string").alias("group")).agg(F.min_by(s, F.col(ordinal)).alias("stratum"))
     key = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce("group", F.lit(""))).cast("binary"), 256)
-    order = Window.partitionBy("stratum").orderBy(key, "group")
-    return groups.withColumns({"rank": F.row_number().over(order) - 1, "n": F.count("*").over(Window.partitionBy("stratum"))})
+    groups = groups.withColumn("__key", key).withColumn("__b", F.substring("__key", 1, HEX))
+    counts = groups.groupBy(F.col("stratum").alias("__s"), F.col("__b").alias("__c")).agg(F.count("*").alias("__m"))
+    every = Window.partitionBy("__s")
+    before = F.sum("__m").over(every.orderBy("__c").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__m")
+    counts = counts.select("__s", "__c", before.alias("__before"), F.sum("__m").over(every).alias("n"))
+    order = Window.partitionBy("stratum", "__b").orderBy("__key", "group")
+    placed = groups.withColumn("__r", F.row_number().over(order)).join(counts, F.col("stratum").eqNullSafe(F.col("__s")) & (F.col("__b") == F.col("__c")))
+    return placed.select("group", "stratum", (F.col("__before") + F.col("__r") - 1).alias("rank"), "n")
 
 
 def ratio_split(records: DataFrame, ratios: Mapping[str, float], group: str, stratum: str | None = None, ordinal: str = "ordinal", seed: int = 0) -> DataFrame:

@@ -103,10 +103,45 @@ def test_scores_equal_plain_context_tree_weighting(spark):
 def test_probabilities_of_all_bytes_sum_to_one():
     text = b"\n\n\nabracadabra alakazam\n"
     keys, n = np.unique(ctw.grams(np.frombuffer(text, np.uint8), 3), return_counts=True)
-    tree = ctw.Subtree(keys, n, 3, 0)
     for context in (b"abr", b"zzz", b"xbr"):
         every = np.concatenate([ctw.grams(np.frombuffer(context + bytes([x]), np.uint8), 3) for x in range(256)])
-        assert (10 ** tree.log10(every, {})).sum() == pytest.approx(1)
+        both, at = np.unique(np.concatenate([keys, every]), return_inverse=True)
+        counts = np.bincount(at, np.concatenate([n, np.zeros(256)]), len(both))
+        assert (10 ** ctw.Subtrees(both, counts, 3, 0).log10({})[np.searchsorted(both, every)]).sum() == pytest.approx(1)
+
+
+def test_grams_read_the_context_nearest_first():
+    for depth in (3, 5, 6):
+        low = np.frombuffer(bytes(range(60, 80)), np.uint8)
+        got = ctw.grams(low, depth)
+        for i, key in enumerate(got.tolist(), depth):
+            assert key.to_bytes(8, "big").lstrip(b"\0") == b"\x01" + bytes(low[i - depth : i][::-1]) + bytes([low[i]])
+    assert len(ctw.grams(np.frombuffer(b"ab", np.uint8), 3)) == 0
+
+
+def test_tallies_and_lookups():
+    rng = np.random.default_rng(1)
+    tally, plain = ctw.Tally(), Counter()
+    tally.merged = 500
+    for k in range(40):
+        keys = rng.integers(1, 3000, 700, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        tally.add(keys, k % 3 > 0)
+        plain.update({x: (k % 3 > 0) * c for x, c in Counter(keys.tolist()).items()})
+    keys, n = tally.items()
+    assert dict(zip(keys.tolist(), n.tolist())) == dict(plain)
+    table = ctw.Lookup(keys, n.astype(float) + 1)
+    asked = np.concatenate([keys, np.arange(1, 5000, dtype=np.uint64)])
+    assert table.get(asked).tolist() == [float(plain[x] + 1) if x in plain else 0.0 for x in asked.tolist()]
+    assert ctw.Tally().items()[0].size == 0 and ctw.Lookup(*ctw.Tally().items()).get(keys).sum() == 0
+
+
+def test_slices_cut_between_contexts_and_lose_nothing(monkeypatch):
+    monkeypatch.setattr(ctw, "SLICE", 50)
+    keys = np.unique(ctw.grams(np.random.default_rng(2).integers(97, 103, 4000).astype(np.uint8), 5))
+    parts = [keys[s] for s in ctw._slices(keys, 5)]
+    assert len(parts) > 5 and np.array_equal(np.concatenate(parts), keys)
+    heads = [set((p >> np.uint64(24)).tolist()) for p in parts]
+    assert sum(map(len, heads)) == len(set().union(*heads))
 
 
 def test_scores_beat_the_base_on_held_out_texts(spark):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,12 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where none is set (tests on one machine), a temporary one."""
+    """This application's folder in the one of spark.checkpoint.dir; a session on one machine (tests) that names none gets a temporary one.
+
+    A cluster without that setting is an error: a driver's own folder is out of its executors' reach."""
     global _OWN
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named is None and _OWN is None:
-        _OWN = tempfile.mkdtemp(prefix="checkpoints-")
-    return (named or _OWN).rstrip("/")
+    if named is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+        named = _OWN = _OWN or tempfile.mkdtemp(prefix="checkpoints-")
+    return f"{named.rstrip('/')}/voxelgrove-{spark.sparkContext.applicationId}"
 
 
 _OWN: str | None = None
@@ -37,18 +42,24 @@ def settle(df: DataFrame) -> DataFrame:
     also has a true size, where the estimate of a checkpoint() multiplies with each join of a loop. clear()
     removes the files."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/voxelgrove/{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def clear(spark: SparkSession) -> None:
-    """Removes all settled tables, once no DataFrame needs them."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/voxelgrove")
+    """Removes the settled tables of this application, once none of its DataFrames needs them; others' stay."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Has Spark hand rows with whole texts to Python `rows` at a time, where the session has Spark's own 10,000."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def part_of(doc_id: str | Column, parts: int) -> Column:
     """crc32 of the id as text, modulo parts: the fold of a row."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -5,9 +5,10 @@ estimates its bit by Krichevsky-Trofimov counts, and its weight against its chil
 context-tree weighting gives it. A prediction mixes the estimates of all depths along the path; a context
 that was never seen adds nothing to the mix below it, so every bit's two probabilities sum to one.
 
-All counts are exact and cover all training rows. Texts are dealt to blocks; a block asks only for its own distinct
-words and grams, whose counts and predictions come back by equi-joins. So no model is broadcast or held whole:
-what a task holds is one block of texts and its dictionary, at any size of the corpus.
+All counts are exact and cover all training rows. Texts are dealt to blocks. A block's first pass gives its distinct
+words and grams with their training counts (0 for those of held-out texts); their sums and predictions come back to
+the block by equi-joins. So no model is broadcast or held whole: what a task holds is one block of texts and its
+dictionary, or the grams of some contexts of two bytes, at any size of the corpus.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, part_of, settle, words_of
+from .common import LOWER, part_of, settle, text_batches, words_of
 
 DEPTH = 5
 #: Bytes of text to a block, about; a longer text is a block's share all the same.
@@ -30,66 +31,77 @@ END_TOKEN = np.uint64(0x0E0D0F7E8D)
 WORD, GRAM = 0, 1
 _HASH = np.uint64(0x9E3779B97F4A7C15)
 _CHUNK = 1 << 18
+#: Subtrees hang below contexts of so many bytes; a task works on about SLICE grams at once, whole subtrees of them.
+TOP, SLICE = 3, 1 << 16
+#: Shares into which the grams of a two-byte context are dealt.
+SHARES = 16
 
 
-class Dictionary:
-    """Distinct uint64 keys (not 0) in an open-addressing table that numpy probes array-wise."""
-
-    def __init__(self, bits: int = 16):
-        self.bits, self.size = bits, 0
-        self.keys = np.zeros(1 << bits, dtype=np.uint64)
-        self.counts = np.zeros(1 << bits, dtype=np.int64)
-
-    def _find(self, keys: np.ndarray, insert: bool) -> np.ndarray:
-        """The slot of each key; of absent ones, if not inserted, an empty slot."""
-        mask = np.int64((1 << self.bits) - 1)
-        at = ((keys * _HASH) >> np.uint64(64 - self.bits)).astype(np.int64)
-        out, rest = at.copy(), None
-        while True:
-            here = self.keys[at]
-            if insert:
-                free = here == 0
-                if free.any():
-                    self.keys[at[free]] = keys[free]
-                    self.size += len(np.unique(at[free]))
-                    here = self.keys[at]
-                open_ = here != keys
-            else:
-                open_ = (here != keys) & (here != 0)
-            if rest is None:
-                out[:] = at
-            else:
-                out[rest] = at
-            miss = np.flatnonzero(open_)
-            if not len(miss):
-                return out
-            rest = miss if rest is None else rest[miss]
-            keys, at = keys[miss], (at[miss] + 1) & mask
+class Tally:
+    """Distinct uint64 keys and their sums, gathered as sorted runs that are merged when they have doubled."""
+
+    def __init__(self) -> None:
+        self.runs: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held, self.merged = 0, 1 << 20
 
     def add(self, keys: np.ndarray, counted: bool) -> None:
-        for s in range(0, len(keys), _CHUNK):
-            part = keys[s : s + _CHUNK]
-            while self.size + len(part) > 7 << (self.bits - 3):
-                self._grow()
-            at = self._find(part, True)
-            if counted:
-                np.add.at(self.counts, at, 1)
-
-    def _grow(self) -> None:
-        live = np.flatnonzero(self.keys)
-        keys, counts = self.keys[live], self.counts[live]
-        self.bits, self.size = self.bits + 1, 0
-        self.keys = np.zeros(1 << self.bits, dtype=np.uint64)
-        self.counts = np.zeros(1 << self.bits, dtype=np.int64)
-        self.counts[self._find(keys, True)] = counts
+        if not len(keys):
+            return
+        keys = np.sort(keys)
+        start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        n = np.diff(start, append=len(keys)) if counted else np.zeros(len(start), np.int64)
+        self.runs.append((keys[start], n))
+        self.held += len(start)
+        if self.held > 2 * self.merged:
+            self.merged = max(1 << 20, len(self.items()[0]))
 
     def items(self) -> tuple[np.ndarray, np.ndarray]:
-        live = np.flatnonzero(self.keys)
-        return self.keys[live], self.counts[live]
+        """(sorted keys, sums)."""
+        if len(self.runs) != 1:
+            keys, n = (np.concatenate([r[k] for r in self.runs] or [np.empty(0, t)]) for k, t in ((0, np.uint64), (1, np.int64)))
+            order = np.argsort(keys, kind="stable")
+            keys, n = keys[order], n[order]
+            start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+            self.runs = [(keys[start], np.add.reduceat(n, start) if len(start) else n)]
+            self.held = len(start)
+        return self.runs[0]
+
+
+class Lookup:
+    """Values of distinct uint64 keys (not 0), in an open-addressing table that numpy probes array-wise."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(10, int(len(keys)).bit_length() + 1)
+        self.keys, self.values = np.zeros(1 << self.bits, dtype=np.uint64), np.zeros(1 << self.bits)
+        at = self._home(keys)
+        rest = np.arange(len(keys))
+        while len(rest):
+            free = self.keys[at] == 0
+            self.keys[at[free]] = keys[rest[free]]
+            won = self.keys[at] == keys[rest]
+            self.values[at[won]] = values[rest[won]]
+            rest, at = rest[~won], (at[~won] + 1) & ((1 << self.bits) - 1)
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * _HASH) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The value of each key; 0 for those that aren't held."""
+        at = self._home(keys)
+        here = self.keys[at]
+        out = self.values[at]
+        rest = np.flatnonzero((here != keys) & (here != 0))
+        out[here == 0] = 0
+        while len(rest):
+            at_rest = at[rest] = (at[rest] + 1) & ((1 << self.bits) - 1)
+            here = self.keys[at_rest]
+            out[rest] = np.where(here == 0, 0, self.values[at_rest])
+            rest = rest[(here != keys[rest]) & (here != 0)]
+        return out
 
 
 def streams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, ends): the texts lower-cased, with single spaces and one end byte, each behind `depth` end bytes."""
+    """(bytes, marks): the texts lower-cased, with single spaces and one end byte (marked 2), each behind `depth` end bytes (marked 1)."""
     pad = bytes([0] * depth)
     raw = np.frombuffer(b"".join(x for t in texts for x in (pad, t, b"\0")), dtype=np.uint8)
     size = np.array([len(t) for t in texts], dtype=np.int64) + depth + 1
@@ -106,21 +118,25 @@ def streams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     low, mark = low[keep], mark[keep]
     after = np.concatenate([mark[1:] == 2, [False]])
     keep = ~((low == 0x20) & after)
-    low, mark = low[keep], mark[keep]
-    return low, np.flatnonzero(mark == 2)
+    return low[keep], mark[keep]
 
 
 def grams(low: np.ndarray, depth: int) -> np.ndarray:
     """For each byte from position `depth` on: its context, nearest byte first, then itself; never 0."""
-    wide = low.astype(np.uint64)
     n = len(low) - depth
-    key = wide[depth:] | (np.uint64(1) << np.uint64(8 * depth + 8))
-    for d in range(1, depth + 1):
-        key |= wide[depth - d : depth - d + n] << np.uint64(8 * (depth + 1 - d))
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    wide = np.concatenate([np.zeros(8 - depth, np.uint8), low])
+    # Eight bytes up to the one before each symbol, read as a little-endian number: the nearest byte is its highest.
+    key = np.array(np.ndarray(n, "<u8", wide, 0, (1,)), dtype=np.uint64)
+    key >>= np.uint64(8 * (8 - depth))
+    key <<= np.uint64(8)
+    key |= low[depth:]
+    key |= np.uint64(1) << np.uint64(8 * depth + 8)
     return key
 
 
-def _packs(texts: list[bytes | None], limit: int = 1 << 20) -> Iterator[list[int]]:
+def _packs(texts: list[bytes | None], limit: int = 1 << 19) -> Iterator[list[int]]:
     pack, held = [], 0
     for i, t in enumerate(texts):
         pack.append(i)
@@ -132,56 +148,53 @@ def _packs(texts: list[bytes | None], limit: int = 1 << 20) -> Iterator[list[int
         yield pack
 
 
-def _gram_positions(low: np.ndarray, ends: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(text number of each gram, grams) over a pack's stream, a slice at a time; the end bytes before a text are no symbols."""
-    starts = np.concatenate([[0], ends[:-1] + 1]) + depth
+def _gram_slices(low: np.ndarray, mark: np.ndarray, depth: int) -> Iterator[tuple[slice, np.ndarray]]:
+    """(positions, grams) over a pack's stream, a slice at a time; what stands before a text is no symbol and has gram 0."""
     for s in range(depth, len(low), _CHUNK):
         e = min(len(low), s + _CHUNK)
         keys = grams(low[s - depth : e], depth)
-        at = np.arange(s, e)
-        owner = np.searchsorted(ends, at)
-        real = at >= starts[owner]
-        yield owner[real], keys[real]
+        keys[mark[s:e] == 1] = 0
+        yield slice(s, e), keys
 
 
-def _keys(texts: list[bytes], words: Dictionary, tree: Dictionary, depth: int, counted: bool) -> None:
+def _tally(texts: list[bytes], words: Tally, tree: Tally, depth: int, counted: bool) -> None:
     for pack in _packs(texts):
-        some = [texts[i] or b"" for i in pack]
+        some = [texts[i] for i in pack]
         words.add(np.concatenate([*words_of(some), np.full(len(some), END_TOKEN)]), counted)
-        for _, keys in _gram_positions(*streams(some, depth), depth):
-            tree.add(keys, counted)
-
-
-def _table(words: Dictionary, tree: Dictionary) -> pa.Table:
-    (w, wn), (g, gn) = words.items(), tree.items()
-    kind = np.concatenate([np.full(len(w), WORD, np.int32), np.full(len(g), GRAM, np.int32)])
-    return pa.table({"kind": kind, "key": np.concatenate([w, g]).view(np.int64), "n": np.concatenate([wn, gn])})
-
+        for _, keys in _gram_slices(*streams(some, depth), depth):
+            tree.add(keys[keys != 0], counted)
 
-def count_grams(docs: DataFrame, text_col: str = "text", depth: int = DEPTH) -> DataFrame:
-    """(kind, key, n): the count of each word (with the end of each text) and of each gram of docs.
 
-    Each task counts its own rows first; it hands over its table whenever that holds 2**21 keys."""
+def block_keys(dealt: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(block, kind, key, n): the distinct words (with the end of each text) and grams of each block's texts, and how often
+    its training texts have them. dealt: (block, held_out, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, tree = Dictionary(), Dictionary()
+        words, tree, block = Tally(), Tally(), 0
         for b in batches:
-            _keys(b.column(0).cast(pa.binary()).to_pylist(), words, tree, depth, True)
-            if words.size + tree.size > 1 << 21:
-                yield from _table(words, tree).to_batches(65536)
-                words, tree = Dictionary(), Dictionary()
-        yield from _table(words, tree).to_batches(65536)
-
-    parts = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "kind int, key long, n long")
-    return parts.groupBy("kind", "key").agg(F.sum("n").alias("n"))
+            texts, held = b.column("text").cast(pa.binary()).to_pylist(), b.column("held_out").to_pylist()
+            for side in (False, True):
+                _tally([t for t, h in zip(texts, held) if h is side], words, tree, depth, not side)
+            block = b.column("block")[0].as_py() if b.num_rows else block
+        for kind, x in ((WORD, words), (GRAM, tree)):
+            keys, n = x.items()
+            for s in range(0, len(keys), 1 << 16):
+                part = slice(s, s + (1 << 16))
+                size = len(keys[part])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(size, block, np.int32)), pa.array(np.full(size, kind, np.int32)), pa.array(keys[part].view(np.int64)), pa.array(n[part])], names=["block", "kind", "key", "n"]
+                )
+
+    return dealt.select("block", "held_out", "text").groupBy("block").applyInArrow(run, "block int, kind int, key long, n long")
 
 
 def lgamma(x: np.ndarray) -> np.ndarray:
     y = x + 8
     series = (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5)
-    for k in range(8):
-        series = series - np.log(x + k)
-    return series
+    rising = x
+    for k in range(1, 8):
+        rising = rising * (x + k)
+    return series - np.log(rising)
 
 
 def kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
@@ -189,123 +202,194 @@ def kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return lgamma(n0 + 0.5) + lgamma(n1 + 0.5) - lgamma(n0 + n1 + 1.0) - np.log(np.pi)
 
 
-def _nodes(keys: np.ndarray, n: np.ndarray, depth: int, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Nodes of depth d, as context and bit prefix, with the counts of their two bits."""
-    ctx = (keys >> np.uint64(8 * (depth - d) + 8)) << np.uint64(8)
-    sym = keys & np.uint64(255)
-    ids, ones = [], []
-    for j in range(8):
-        ids.append(ctx | (np.uint64(1) << np.uint64(j)) | (sym >> np.uint64(8 - j)))
-        ones.append((sym >> np.uint64(7 - j)) & np.uint64(1))
-    node, at = np.unique(np.concatenate(ids), return_inverse=True)
-    bit, n = np.concatenate(ones).astype(bool), np.tile(n.astype(np.float64), 8)
-    return node, np.bincount(at, n * ~bit, len(node)), np.bincount(at, n * bit, len(node))
-
-
 def _weigh(pe: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(log of the weighted probability, weight of the node's own estimate)."""
     pw = np.log(0.5) + np.logaddexp(pe, below)
     return pw, np.exp(np.log(0.5) + pe - pw)
 
 
-class Subtree:
-    """The trees below some contexts of `top` bytes, from all their grams."""
+class Level:
+    """One depth of some subtrees: sorted rows (context, byte) with counts, and for each bit of the byte its nodes.
+
+    Rows of one node stand together, as a node is a context and the bits before its own."""
+
+    def __init__(self, rows: np.ndarray, n: np.ndarray):
+        self.rows, self.n = rows, n.astype(np.float64)
+        self.start, self.node, self.n0, self.n1 = [], [], [], []
+        for j in range(8):
+            group = rows >> np.uint64(8 - j)
+            first = np.concatenate([[True], group[1:] != group[:-1]])
+            start = np.flatnonzero(first)
+            one = np.add.reduceat(self.n * ((rows >> np.uint64(7 - j)) & np.uint64(1)), start)
+            self.start.append(start)
+            self.node.append(np.cumsum(first) - 1)
+            self.n0.append(np.add.reduceat(self.n, start) - one)
+            self.n1.append(one)
+
+    def names(self, j: int) -> np.ndarray:
+        """The nodes of bit j, as context and bit prefix."""
+        row = self.rows[self.start[j]]
+        return (row >> np.uint64(8)) << np.uint64(8) | (np.uint64(1) << np.uint64(j)) | ((row & np.uint64(255)) >> np.uint64(8 - j))
+
+    def up(self) -> tuple[Level, np.ndarray]:
+        """The depth above, and the row there of each row here."""
+        short = (self.rows >> np.uint64(16)) << np.uint64(8) | (self.rows & np.uint64(255))
+        rows, at = np.unique(short, return_inverse=True)
+        return Level(rows, np.bincount(at, self.n, len(rows))), at
+
+
+class Subtrees:
+    """The trees below some contexts of `top` bytes, from all their grams (sorted); grams with a count of 0 aren't in
+    the trees but can be asked for."""
 
     def __init__(self, keys: np.ndarray, n: np.ndarray, depth: int, top: int):
-        self.depth, self.top, self.levels = depth, top, {}
-        below = None
+        self.depth, self.top = depth, top
+        self.levels, self.ups, self.weights = {depth: Level(keys, n)}, {}, {}
+        below: list[np.ndarray] = []
         for d in range(depth, top - 1, -1):
-            node, n0, n1 = _nodes(keys, n, depth, d)
-            pe = kt(n0, n1)
-            if below is None:
-                pw, w = pe, np.ones(len(pe))
-            else:
-                kid, kid_pw = below
-                parent = (kid >> np.uint64(16)) << np.uint64(8) | (kid & np.uint64(255))
-                pw, w = _weigh(pe, np.bincount(np.searchsorted(node, parent), kid_pw, len(node)))
-            self.levels[d] = (node, n0, n1, w)
-            below = (node, pw)
-        self.roots = below
-
-    def log10(self, keys: np.ndarray, head: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
-        """log10 of the mixed probability of each gram's byte; head: the levels above, (nodes, n0, n1, weight)."""
-        levels, out, sym = head | self.levels, np.zeros(len(keys)), keys & np.uint64(255)
+            here, weights, pws = self.levels[d], [], []
+            for j in range(8):
+                pe = kt(here.n0[j], here.n1[j])
+                if d == depth:
+                    pw, w = pe, np.ones(len(pe))
+                else:
+                    parent = here.node[j][self.ups[d][self.levels[d + 1].start[j]]]
+                    pw, w = _weigh(pe, np.bincount(parent, below[j], len(pe)))
+                weights.append(w)
+                pws.append(pw)
+            self.weights[d], below = weights, pws
+            if d > 0:
+                self.levels[d - 1], self.ups[d - 1] = here.up()
+        self.below = below
+
+    def above(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(nodes, n0, n1, log of the weighted probability of the subtrees below them) of the depth above the top."""
+        here, out = self.levels[self.top - 1], []
         for j in range(8):
-            prefix = (np.uint64(1) << np.uint64(j)) | (sym >> np.uint64(8 - j))
-            p1, acc, rest = np.full(len(keys), 0.5), np.zeros(len(keys)), np.ones(len(keys))
-            seen = np.ones(len(keys), dtype=bool)
+            parent = here.node[j][self.ups[self.top - 1][self.levels[self.top].start[j]]]
+            out.append((here.names(j), here.n0[j], here.n1[j], np.bincount(parent, self.below[j], len(here.start[j]))))
+        nodes, n0, n1, below = (np.concatenate(x) for x in zip(*out))
+        return nodes, n0, n1, below
+
+    def log10(self, head: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
+        """log10 of the mixed probability of each gram's byte; head: the depths above, (sorted nodes, n0, n1, weight)."""
+        at = {self.depth: np.arange(len(self.levels[self.depth].rows))}
+        for d in range(self.depth - 1, -1, -1):
+            if d < self.top - 1:
+                self.levels[d], self.ups[d] = self.levels[d + 1].up()
+            at[d] = self.ups[d][at[d + 1]]
+        sym, out = self.levels[self.depth].rows & np.uint64(255), np.zeros(len(at[self.depth]))
+        for j in range(8):
+            p1, acc, rest, seen = np.full(len(out), 0.5), np.zeros(len(out)), np.ones(len(out)), np.ones(len(out), dtype=bool)
             for d in range(self.depth + 1):
-                node, n0, n1, w = levels[d]
-                want = ((keys >> np.uint64(8 * (self.depth - d) + 8)) << np.uint64(8)) | prefix
-                at = np.minimum(np.searchsorted(node, want), max(0, len(node) - 1))
-                seen = seen & (node[at] == want) if len(node) else np.zeros(len(keys), dtype=bool)
-                if not seen.any():
-                    break
-                a = at[seen]
-                est = (n1[a] + 0.5) / (n0[a] + n1[a] + 1)
-                acc[seen] += rest[seen] * w[a] * est
-                rest[seen] *= 1 - w[a]
-                p1[seen] = acc[seen] + rest[seen] * est
-            bit = ((sym >> np.uint64(7 - j)) & np.uint64(1)).astype(bool)
-            out += np.log10(np.where(bit, p1, 1 - p1))
+                here = self.levels[d]
+                if d in head:
+                    names, n0, n1, w = head[d]
+                    want = here.names(j)
+                    k = np.minimum(np.searchsorted(names, want), max(0, len(names) - 1))
+                    known = names[k] == want if len(names) else np.zeros(len(want), dtype=bool)
+                    n0, n1, w = (x[k] if len(names) else np.zeros(len(want)) for x in (n0, n1, w))
+                else:
+                    n0, n1, w = here.n0[j], here.n1[j], self.weights[d][j]
+                    known = n0 + n1 > 0
+                node = here.node[j][at[d]]
+                seen &= known[node]
+                est, w = ((n1 + 0.5) / (n0 + n1 + 1))[node], w[node]
+                acc += rest * w * est
+                rest *= 1 - w
+                p1 = np.where(seen, acc + rest * est, p1)
+            out += np.log10(np.where((sym >> np.uint64(7 - j)) & np.uint64(1) == 1, p1, 1 - p1))
         return out
 
 
-#: Subtrees hang below contexts of two bytes; the levels above have at most 257 * 255 nodes.
-TOP = 2
+def _share(key: Column, depth: int) -> Column:
+    """Which share of its two-byte context a gram falls to: one of SHARES, by its third byte, as some contexts have many grams."""
+    return F.pmod(F.xxhash64(F.shiftright(key, 8 * (depth - TOP) + 8)), F.lit(SHARES)).cast("int")
 
 
 def _by_context(rows: DataFrame, depth: int) -> DataFrame:
-    """Grams (key, n) of one two-byte context in one partition."""
-    ctx = F.shiftright("key", 8 * (depth - TOP) + 8)
-    return rows.select(ctx.alias("ctx"), "key", "n").repartition("ctx").select("key", "n")
+    """Rows (key, share, ...) by the two-byte context of the gram in key, and its share."""
+    return rows.withColumn("ctx", F.shiftright("key", 8 * (depth - 2) + 8)).repartition("ctx", "share").drop("ctx", "share")
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted trained grams, their counts, and the grams asked for (n is null)."""
-    parts = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).fill_null(-1).to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
-    if not parts:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.uint64)
-    keys, n = (np.concatenate(x) for x in zip(*parts))
-    keys = keys.view(np.uint64)
-    return keys[n >= 0], n[n >= 0], keys[n < 0]
+def _gather(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
+    """The columns of a partition."""
+    parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
+    return [np.concatenate(x) for x in zip(*parts)] if parts else []
 
 
-def head_levels(counts: DataFrame, depth: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """The levels above the subtrees. What is collected has at most 256 * 255 rows, whatever the corpus holds."""
+def _slices(keys: np.ndarray, depth: int) -> Iterator[slice]:
+    """Slices of sorted grams of about SLICE each, cut between contexts of TOP bytes."""
+    ctx = keys >> np.uint64(8 * (depth - TOP) + 8)
+    cut = np.concatenate([[0], np.flatnonzero(ctx[1:] != ctx[:-1]) + 1, [len(keys)]])
+    at = 0
+    while at < len(keys):
+        end = int(cut[max(np.searchsorted(cut, at + SLICE, "right") - 1, np.searchsorted(cut, at, "right"))])
+        yield slice(at, end)
+        at = end
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, n, _ = _read(batches)
-        if len(keys):
-            node, pw = Subtree(keys, n, depth, TOP).roots
-            up = (node >> np.uint64(16)) << np.uint64(8) | (node & np.uint64(255))
-            at, inverse = np.unique(up, return_inverse=True)
-            mine, n0, n1 = _nodes(keys, n, depth, TOP - 1)
-            yield pa.RecordBatch.from_arrays([pa.array(at.view(np.int64)), pa.array(n0), pa.array(n1), pa.array(np.bincount(inverse, pw, len(at)))], names=["node", "n0", "n1", "below"])
-
-    rows = _by_context(counts, depth).mapInArrow(run, "node long, n0 double, n1 double, below double")
-    rows = rows.groupBy("node").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "below"))).orderBy("node").toPandas()
+
+def middle_level(counts: DataFrame, depth: int) -> DataFrame:
+    """(key, n0, n1, pw, w): the nodes of depth TOP - 1, with the weights that the trees below give them.
+
+    counts: (key, n), the grams of training. key is a node, as context and bit prefix, at the place of a gram's context."""
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _gather(batches)
+        if found:
+            keys = found[0].view(np.uint64)
+            order = np.argsort(keys)
+            keys, n = keys[order], found[1][order]
+            for part in _slices(keys, depth):
+                nodes, n0, n1, below = Subtrees(keys[part], n[part], depth, TOP).above()
+                yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), pa.array(n0), pa.array(n1), pa.array(below)], names=["node", "n0", "n1", "below"])
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            node, n0, n1, below = (c.to_numpy() for c in b.columns)
+            pw, w = _weigh(kt(n0, n1), below)
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(n0), pa.array(n1), pa.array(pw), pa.array(w)], names=["node", "n0", "n1", "pw", "w"])
+
+    rows = _by_context(counts.select("key", "n", _share(F.col("key"), depth).alias("share")), depth).mapInArrow(grow, "node long, n0 double, n1 double, below double")
+    sums = rows.groupBy("node").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "below")))
+    return sums.mapInArrow(weigh, "node long, n0 double, n1 double, pw double, w double")
+
+
+def head_levels(middle: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Depths 0 and 1. What is collected has at most 256 * 255 rows, whatever the corpus holds."""
+    up = F.shiftleft(F.shiftright("node", 16), 8).bitwiseOR(F.col("node").bitwiseAND(255))
+    rows = middle.groupBy(up.alias("node")).agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "pw"))).orderBy("node").toPandas()
     node, n0, n1 = rows["node"].to_numpy(np.int64).view(np.uint64), rows["n0"].to_numpy(float), rows["n1"].to_numpy(float)
-    pw, w = _weigh(kt(n0, n1), rows["below"].to_numpy(float))
-    high = np.uint64(1 << 8)  # the marker bit above the context stays in every key
+    pw, w = _weigh(kt(n0, n1), rows["pw"].to_numpy(float))
     root, at = np.unique((node >> np.uint64(16)) << np.uint64(8) | (node & np.uint64(255)), return_inverse=True)
     r0, r1 = np.bincount(at, n0, len(root)), np.bincount(at, n1, len(root))
     _, rw = _weigh(kt(r0, r1), np.bincount(at, pw, len(root)))
-    assert not len(root) or int(root[0] & ~np.uint64(255)) == int(high)
     return {0: (root, r0, r1, rw), 1: (node, n0, n1, w)}
 
 
-def predictions(counts: DataFrame, asked: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(key, value): log10 of the probability of each gram of asked (key), seen in training or not."""
-    head = head_levels(counts, depth)
+def predictions(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(key, value): log10 of the probability of each gram of counts (key, n); those with n = 0 weren't seen in training."""
+    middle = settle(middle_level(counts.where("n > 0"), depth))
+    head = head_levels(middle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, n, want = _read(batches)
-        if len(want):
-            tree = Subtree(keys, n, depth, TOP)
-            yield from pa.table({"key": want.view(np.int64), "value": tree.log10(want, head)}).to_batches(65536)
-
-    rows = counts.select("key", "n").union(asked.select("key", F.lit(None).cast("long")))
+        found = _gather(batches)
+        if not found:
+            return
+        keys, n, n0, n1, w = found
+        keys, is_node = keys.view(np.uint64), n < 0
+        order = np.argsort(keys[is_node])
+        # A node came at the place of its context's grams: its marker bit goes back to where the nodes have it.
+        own = head | {TOP - 1: ((keys[is_node][order] >> np.uint64(8 * (depth - TOP + 1))), *(x[is_node][order] for x in (n0, n1, w)))}
+        order = np.argsort(keys[~is_node])
+        keys, n = keys[~is_node][order], n[~is_node][order]
+        for part in _slices(keys, depth):
+            value = Subtrees(keys[part], n[part], depth, TOP).log10(own)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[part].view(np.int64)), pa.array(value)], names=["key", "value"])
+
+    nothing = F.lit(0.0)
+    nodes = middle.select(F.shiftleft("node", 8 * (depth - TOP + 1)).alias("key"), F.lit(-1).cast("long").alias("n"), "n0", "n1", "w", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("share"))
+    rows = counts.select("key", "n", nothing.alias("n0"), nothing.alias("n1"), nothing.alias("w"), _share(F.col("key"), depth).alias("share")).union(nodes)
     return _by_context(rows, depth).mapInArrow(run, "key long, value double")
 
 
@@ -314,61 +398,47 @@ def score_documents(docs: DataFrame, held_out: Column | None = None, id_col: str
 
     held_out: rows not learned from; by default crc32(doc_id as text) mod 10 = 0, and rows without an id. A null
     text is empty: one end token. base_score is the smoothed unigram log10 probability of the words, score the
-    context-tree model's of the same lower-cased words. Rows that share an id are rows of their own."""
+    context-tree model's of the same lower-cased words. Rows that share an id are rows of their own. depth: TOP to 6."""
+    if not TOP <= depth <= 6:
+        raise ValueError(f"depth is {depth}; {TOP} to 6 are possible")
+    text_batches(docs.sparkSession)
     held = part_of(id_col, 10) == 0 if held_out is None else held_out
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held, F.lit(True)).alias("held_out"), F.coalesce(text_col, F.lit("")).alias("text"))
-    counts = settle(count_grams(rows.where("not held_out"), "text", depth))
-    vocabulary = counts.where(F.col("kind") == WORD)
-    total = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = 1 + size // block_bytes
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")).select("block", "doc_id", "held_out", "text")
-
-    def ask(block: pa.Table) -> pa.Table:
-        words, tree = Dictionary(), Dictionary()
-        for b in block.to_batches(4096):
-            _keys(b.column("text").cast(pa.binary()).to_pylist(), words, tree, depth, False)
-        out = _table(words, tree).drop_columns(["n"])
-        return out.add_column(0, "block", pa.array(np.full(out.num_rows, block.column("block")[0].as_py() if block.num_rows else 0, np.int32)))
-
-    asked = dealt.groupBy("block").applyInArrow(ask, "block int, kind int, key long")
-    known = asked.where(F.col("kind") == WORD).join(vocabulary.select("key", F.col("n").cast("double").alias("value")), "key", "left")
-    wanted = asked.where(F.col("kind") == GRAM)
-    logs = predictions(counts.where(F.col("kind") == GRAM), wanted.select("key").distinct(), depth)
-    told = known.select("block", "kind", "key", F.coalesce("value", F.lit(0.0)).alias("value")).union(wanted.join(logs, "key").select("block", "kind", "key", "value"))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 + size // block_bytes)).cast("int")).select("block", "doc_id", "held_out", "text")
+    keys = settle(block_keys(dealt, depth))
+    counts = settle(keys.groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    total = counts.where((F.col("kind") == WORD) & (F.col("n") > 0)).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    logs = predictions(counts.where(F.col("kind") == GRAM), depth)
+    values = counts.where(F.col("kind") == WORD).select("kind", "key", F.col("n").cast("double").alias("value")).union(logs.select(F.lit(GRAM).alias("kind"), "key", "value"))
+    told = keys.select("block", "kind", "key").join(values, ["kind", "key"]).select("block", "kind", "key", "value")
     n, v = int(total["n"]), int(total["v"])
 
     def score(texts: pa.Table, told: pa.Table) -> pa.Table:
-        tables = {}
         kind, key, value = (told.column(c).to_numpy() for c in ("kind", "key", "value"))
-        for k in (WORD, GRAM):
-            d = Dictionary(max(10, int(np.count_nonzero(kind == k)).bit_length() + 1))
-            at = d._find(key[kind == k].view(np.uint64), True)
-            values = np.zeros(len(d.keys))
-            values[at] = value[kind == k]
-            tables[k] = (d, values)
+        words, tree = (Lookup(key[kind == k].view(np.uint64), value[kind == k]) for k in (WORD, GRAM))
         cols: dict[str, list[np.ndarray]] = {c: [] for c in ("n_tokens", "n_known", "base_score", "score", "bits_per_byte")}
-        for b in texts.to_batches(4096):
+        for b in texts.to_batches(1024):
             all_texts = b.column("text").cast(pa.binary()).to_pylist()
             for pack in _packs(all_texts):
                 some = [all_texts[i] for i in pack]
                 hashes = words_of(some)
-                words, count = tables[WORD]
                 size = np.array([len(h) + 1 for h in hashes])
-                flat = np.concatenate([x for h in hashes for x in (h, [END_TOKEN])]).astype(np.uint64)
-                c = count[words._find(flat, False)]
-                at = np.concatenate([[0], np.cumsum(size)[:-1]])
+                c = words.get(np.concatenate([x for h in hashes for x in (h, [END_TOKEN])]).astype(np.uint64))
+                at = np.cumsum(size) - size
                 cols["n_tokens"].append(size)
                 cols["n_known"].append(np.add.reduceat((c > 0).astype(np.int64), at))
                 cols["base_score"].append(np.add.reduceat(np.log10((c + 0.1) / (n + 0.1 * (v + 1))), at))
-                low, ends = streams(some, depth)
-                tree, logp = tables[GRAM]
-                got, nbytes = np.zeros(len(some)), np.zeros(len(some))
-                for owner, keys in _gram_positions(low, ends, depth):
-                    got += np.bincount(owner, logp[tree._find(keys, False)], len(some))
-                    nbytes += np.bincount(owner, minlength=len(some))
+                low, mark = streams(some, depth)
+                logp = np.zeros(len(low))
+                for place, keys in _gram_slices(low, mark, depth):
+                    logp[place] = tree.get(keys)
+                logp[mark == 1] = 0
+                end = np.flatnonzero(mark == 2) + 1
+                begin = np.concatenate([[0], end[:-1]])
+                got = np.add.reduceat(logp, begin)
                 cols["score"].append(got)
-                cols["bits_per_byte"].append(-got * np.log2(10) / nbytes)
+                cols["bits_per_byte"].append(-got * np.log2(10) / (end - begin - depth))
         out = {c: np.concatenate(x) if x else np.empty(0) for c, x in cols.items()}
         ints = {c: pa.array(out[c], pa.int64()) for c in ("n_tokens", "n_known")}
         return pa.table({"doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), **ints, "train_tokens": pa.array(np.full(texts.num_rows, n), pa.int64()), **{c: pa.array(out[c], pa.float64()) for c in ("base_score", "score", "bits_per_byte")}})

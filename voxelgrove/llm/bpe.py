@@ -8,6 +8,7 @@ re-encoding a window around the boundary and growing it until both pairs at the
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,9 +17,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_batches
+
 LEAF = 24
-#: Pieces and token pairs that a worker process remembers; about 200 bytes each.
-CACHE = 1 << 20
+#: Pieces and token pairs that a worker process remembers, about 250 bytes each: at most 32 MB of pieces and 16 MB of pairs.
+CACHE = 1 << 16
+#: Tokens of a leaf of the tree that decoding goes up.
+DECODE_LEAF = 256
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -33,7 +38,9 @@ class TreeBPE:
         self.ranks, self.split = ranks, regex.compile(pattern)
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.valid: dict[tuple[int, int], bool] = {}
+        #: Ids of pieces; a full memory becomes the older one, from which pieces in use come back.
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def leaf(self, piece: bytes) -> list[int]:
         """The plain merge loop, for short strings: always the lowest rank, leftmost first."""
@@ -92,22 +99,21 @@ class TreeBPE:
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
         pieces, known = self.split.findall(text), self.known
-        if new := set(pieces).difference(known):
-            if len(known) > CACHE:
-                known.clear()
-                new = set(pieces)
-            for piece in new:
-                known[piece] = np.array(self.encode_piece(piece.encode()), dtype="<u4").tobytes()
+        for piece in set(pieces).difference(known):
+            ids = self.older.get(piece)
+            known[piece] = np.array(self.encode_piece(piece.encode()), dtype="<u4").tobytes() if ids is None else ids
         out = b"".join([known[p] for p in pieces])
-        for piece in new:
-            if len(piece) > 64:
-                del known[piece]
+        if len(known) > CACHE:
+            self.known, self.older = {}, {p: x for p, x in known.items() if len(p) <= 64}
         return out
 
     def decode(self, ids: bytes) -> bytes:
-        """Concatenation is the monoid on the way back: bytes of tokens, in one flat join. It is associative, so a tree would give the same bytes."""
-        of = self.bytes_of
-        return b"".join([of[i] for i in np.frombuffer(ids, dtype="<u4").tolist()])
+        """The bytes of each leaf's tokens, then neighbours concatenated pair by pair, level by level."""
+        of, tokens = self.bytes_of, np.frombuffer(ids, dtype="<u4").tolist()
+        level = [b"".join([of[t] for t in tokens[i : i + DECODE_LEAF]]) for i in range(0, len(tokens), DECODE_LEAF)] or [b""]
+        while len(level) > 1:
+            level = [level[i] + level[i + 1] if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+        return level[0]
 
 
 _CODERS: dict[tuple[str, str], TreeBPE] = {}
@@ -123,7 +129,8 @@ def coder(path: str, pattern: str) -> TreeBPE:
 def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids binary): the token ids of each whole text, little-endian uint32. Null text is empty: no ids.
 
-    One pass without a shuffle; path must be readable on every executor. Ids may repeat or be null."""
+    One pass without a shuffle; path must be readable on every executor. Ids may repeat or be null: each row gives one
+    row. Other columns are ignored; an empty table gives an empty table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path, pattern)
@@ -133,6 +140,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
                 ids = [bpe.encode(t or "") for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
+    text_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids binary")
 
 
@@ -151,6 +159,22 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def token_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) for every row: encode, decode, then digest both."""
-    out = decode_documents(encode_documents(docs, path, pattern, id_col, text_col), path, pattern)
-    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    """(doc_id, n_tokens long, ids_sha256, decoded_sha256) for each row: a text is encoded, its ids are decoded, both are digested.
+
+    The three happen in one pass, so that ids and bytes never leave the task. Nulls, repeats and empty tables are as
+    in encode_documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = coder(path, pattern)
+        for b in batches:
+            n, ids_digest, digest = [], [], []
+            for text in b.column(1):
+                ids = bpe.encode(text.as_py() or "")
+                n.append(len(ids) // 4)
+                ids_digest.append(hashlib.sha256(ids).hexdigest())
+                digest.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_digest, pa.string()), pa.array(digest, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    text_batches(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

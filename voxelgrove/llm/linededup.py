@@ -20,16 +20,16 @@ def line_key(line: Column) -> Column:
 
 
 def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
-    """(doc_id, pos, line, site): each line with a letter or digit."""
-    lines = F.split(F.col(text_col), "\n", -1)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(site_col).alias("site"), F.posexplode(lines).alias("pos", "raw"))
-    return rows.select("doc_id", "pos", line_key(F.col("raw")).alias("line"), "site").where("line is not null and doc_id is not null")
+    """(doc_id, row, pos, line, site): each line with a letter or digit. row is a hash of the text, which tells rows of one id apart."""
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("row"), F.col(site_col).alias("site"), F.split(F.col(text_col), "\n", -1).alias("lines"))
+    rows = rows.select("doc_id", "row", "site", F.posexplode("lines").alias("pos", "raw"))  # the hash is taken once for a text, below the lines
+    return rows.select("doc_id", "row", "pos", line_key(F.col("raw")).alias("line"), "site").where("line is not null")
 
 
 def line_sketches(seen: DataFrame, lg_k: int = LG_K) -> DataFrame:
     """(line, sites binary, n, first): a mergeable sketch of the sites of each line, its occurrences and the first
-    of them by (doc_id, pos). Partial sketches are merged on both sides of the shuffle, so a hot line is a few rows."""
-    return seen.groupBy("line").agg(F.hll_sketch_agg("site", F.lit(lg_k)).alias("sites"), F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("first"))
+    of them by (doc_id, pos, row). Partial sketches are merged on both sides of the shuffle, so a hot line is a few rows."""
+    return seen.groupBy("line").agg(F.hll_sketch_agg("site", F.lit(lg_k)).alias("sites"), F.count("*").alias("n"), F.min(F.struct("doc_id", "pos", "row")).alias("first"))
 
 
 def merge_sketches(*parts: DataFrame) -> DataFrame:
@@ -56,18 +56,25 @@ def remove_boilerplate(docs: DataFrame, sites: int = SITES, margin: float = MARG
 
     A line (trimmed) seen on `sites` distinct sites or more is removed everywhere but at its first occurrence by
     (id, position), so no content is lost. Every row stays; rows with a null text or id stay as they are (a null
-    text has 0 lines); null sites don't count as a site; an empty text is one line. Rows that share an id count
-    as one document: they lose the same positions. Columns named like the added ones are replaced."""
+    text has 0 lines); null sites don't count as a site; an empty text is one line. Rows that share an id are told
+    apart by their texts: each loses its own lines, and of rows equal in both every one keeps a first occurrence.
+    An empty table gives an empty one. Columns named like the added ones are replaced. The work on a text grows with
+    its length, whatever the number of its lines and of those that go."""
     docs = docs.drop("n_lines", "n_removed")
     seen = settle(occurrences(docs, id_col, text_col, site_col))
     spread = spread_lines(seen, line_sketches(seen), sites, margin)
-    gone = seen.join(spread, "line").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("pos") != F.col("first.pos")))
-    gone = gone.groupBy("doc_id").agg(F.collect_set("pos").alias("__gone")).withColumnRenamed("doc_id", "__id")
-    out = docs.join(gone, F.col(id_col) == F.col("__id"), "left")
+    gone = seen.join(spread, "line").where(F.struct("doc_id", "pos", "row") != F.col("first"))
+    gone = gone.groupBy(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).agg(F.collect_set("pos").alias("__gone"))
+    out = docs.join(gone, (F.col(id_col) == F.col("__id")) & (F.xxhash64(text_col) == F.col("__row")), "left")
     lines = F.split(F.col(text_col), "\n", -1)
-    stay = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone")))
-    clean = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
+
+    def without(held: Column) -> Column:
+        """The lines that stay. held is a variable of a lambda, so the text is split once, not once for each line."""
+        stay = F.array_except(F.sequence(F.lit(0), F.size(held) - 1), F.col("__gone"))
+        return F.array_join(F.transform(stay, lambda i: F.get(held, i)), "\n")
+
+    clean = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.transform(F.array(lines), without)[0])
     n, k = F.coalesce(F.size(lines), F.lit(0)).cast("long"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long")
     n = F.when(F.col(text_col).isNull(), F.lit(0).cast("long")).otherwise(n)
     k = F.when(F.col("__gone").isNull(), F.lit(0).cast("long")).otherwise(k)
-    return out.withColumns({"n_lines": n, "n_removed": k}).withColumn(text_col, clean).drop("__gone", "__id")
+    return out.withColumns({"n_lines": n, "n_removed": k}).withColumn(text_col, clean).drop("__gone", "__id", "__row")

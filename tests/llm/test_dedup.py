@@ -76,6 +76,25 @@ def test_near_duplicates_of_a_hot_group_and_false_buckets(spark):
     assert sorted(map(tuple, got)) == brute(texts, 2, 80)
 
 
+@pytest.mark.parametrize("size", [2, 5])
+def test_near_duplicates_of_documents_equal_brute_force(spark, size):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id")
+    texts = [r["text"] for r in docs.collect()]
+    ids = [r["doc_id"] for r in docs.select("doc_id").collect()]
+    want = [(ids[i], n, ids[c], k) for i, n, c, k in brute(texts, size, 80)]
+    assert sorted(map(tuple, minhash.near_duplicates(docs, words=size).collect())) == want
+
+
+def test_near_duplicates_of_rows_that_share_an_id(spark):
+    """A link of one text of an id is a link of all; rows that are equal come back as often as they are there."""
+    one, two = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    found = [(3, one), (7, one + " x"), (7, two), (5, two + " y"), (7, two), (9, "else"), (None, one), (9, None)]
+    got = minhash.near_duplicates(spark.createDataFrame([(i, t, "en", "s", 0, 0, "") for i, t in found], SCHEMA), words=2).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got) == [
+        (3, 29, 3, True), (5, 30, 3, False), (7, 29, 3, False), (7, 29, 3, False), (7, 30, 3, False), (9, 0, 9, True), (9, 1, 9, True)
+    ]
+
+
 def test_near_duplicates_of_nothing(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import part_of
+from .common import part_of, text_batches
 
 HIDDEN = 8
 #: The bounds of the training sample and the training's length.
@@ -187,6 +187,7 @@ def identify_languages(docs: DataFrame, held_out: Column | None = None, id_col:
     held_out: rows not learned from; by default crc32(doc_id as text) mod 4 = 2, and rows without an id. A null
     text or one without a letter is und with score 0; so is every text when nothing could be learned. One pass
     over the texts, without a shuffle; the network (a few thousand numbers) goes with the tasks."""
+    text_batches(docs.sparkSession)
     held = F.coalesce(part_of(id_col, 4) == 2 if held_out is None else held_out, F.lit(True))
     langs, x, y = training_sample(docs, ~held, id_col, text_col, lang_col)
     model = ByteBiGRU(langs or ["und"])

@@ -4,13 +4,13 @@ Every stage works on all that the stage before kept, and writes Parquet that the
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelgrove.llm import bpe, langid, linededup, minhash, mixing
+from voxelgrove.llm.common import shared_folder
 from voxelgrove.llm.queries import rank_file
 
 #: Columns of documents that every stage but the last gives back.
@@ -48,12 +48,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, and whether they decode to its text."""
-    path, pattern = rank_file()
-    out = bpe.decode_documents(bpe.encode_documents(docs, path, pattern), path, pattern)
-    return out.select(
-        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
-    )
+    """The number of tokens of each document, and digests of its token ids and of the bytes that they decode to."""
+    return bpe.token_digests(docs, *rank_file())
 
 
 STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mix", mix), ("tokenize", tokenize)]
@@ -64,9 +60,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to documents, with a Parquet table in the shared folder after each but the last."""
-    sc = spark.sparkContext
-    shared = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pipeline-")
-    place = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    place = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = _documents(spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet"))
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -148,6 +148,38 @@ def test_cuckoo_filter_grows_on_overflow():
     assert all(g.insert(k) for k in same) and all(k in g for k in same)
 
 
+def test_cuckoo_filter_places_stay_and_are_used_again():
+    keys = [hashlib.sha256(str(i).encode()).digest() for i in range(900)]
+    f = cuckoo.CuckooFilter(4)
+    for k in keys:
+        f.insert(k)
+    at = {k: f.find(k) for k in keys}
+    assert sorted(at.values()) == list(range(900))
+    assert all(f.delete(k) for k in keys[::3]) and all(f.find(k) == at[k] for k in keys if k in f)
+    for k in keys[::3]:
+        assert k not in f and f.insert(k)
+    assert sorted(map(f.find, keys)) == list(range(900)) and f.size == 900
+
+
+def test_exact_duplicates_of_long_texts_and_repeated_rows(spark):
+    long = "word  " * 400_000
+    found = [(4, long), (9, long.replace("  ", "\n")), (9, "a"), (9, "a"), (None, "a"), (2, long + "x")]
+    got = cuckoo.exact_duplicates(spark.createDataFrame([(i, t, 1) for i, t in found], "doc_id long, text string, keep_id int")).collect()
+    assert sorted((r["doc_id"] or -1, r["keep_id"] or -1, r["group_size"], r["kept"]) for r in got) == [(-1, -1, 2, False), (2, 2, 1, True), (4, 4, 2, True), (9, 4, 2, False), (9, 9, 2, True), (9, 9, 2, True)]
+
+
+def test_line_dedup_tells_rows_of_one_id_apart(spark):
+    """A row loses its own lines, not those of another row with its id; of equal rows each keeps the first occurrence."""
+    many = "\n".join(["kept"] + [f"l{i}" for i in range(30_000)] + ["shared x"] * 30_000)
+    found = [(i, f"shared x\nown {i}", f"s{i}") for i in range(1, 15)] + [(100, many, "z"), (100, "mine\nshared x", "z"), (1, "shared x\nown 1", "s1"), (None, "shared x", "q"), (7, None, "q")]
+    got = linededup.remove_boilerplate(spark.createDataFrame(found, "doc_id long, text string, source string")).collect()
+    texts = sorted((r["doc_id"] or -1, r["text"] or "", r["n_lines"], r["n_removed"]) for r in got)
+    assert texts == sorted(
+        [(1, "shared x\nown 1", 2, 0)] * 2 + [(i, f"own {i}", 2, 1) for i in range(2, 15)] + [(7, "", 0, 0), (-1, "shared x", 1, 0), (100, "mine", 2, 1)]
+        + [(100, "\n".join(["kept"] + [f"l{i}" for i in range(30_000)]), 60_001, 30_000)]
+    )
+
+
 def line_brute(docs, sites):
     where, first = {}, {}
     key = lambda x: x.strip(" \t\r\x0b\x0c") if re.search(r"[^\W_]", x) else None

@@ -2,12 +2,14 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from voxelgrove.llm import bpe, mixing, topk, urlfilter, warc
+from voxelgrove.llm.queries import source_tree
 
 PAGES = "page_id long, url string, html string, host string, verdict int, digest string"
 
@@ -117,10 +119,11 @@ def test_mixing_equals_plain_budgeting(spark):
     rows = []
     for i in range(900):
         s = rng.choice(["src1"] * 12 + [f"src{k}" for k in range(20)] + [None, "blog"])
-        rows.append((i, None if i % 97 == 0 else " ".join(["w"] * rng.choice((0, 1, 5, 80))), rng.choice(("en", "en", "de", "fr", None)), s, "clash", 3))
+        rows.append((i, None if i % 97 == 0 else rng.choice((" ", "\n ")).join(["w"] * rng.choice((0, 1, 5, 80))), rng.choice(("en", "en", "de", "fr", None)), s, "clash", 3))
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, domain string, copies int")
-    got = {r["doc_id"]: r for r in mixing.mix_sources(df).collect()}
-    count = lambda t: 0 if t is None else t.count(" ") + 1
+    df = df.withColumn("mix_target", F.lit("clash"))
+    got = {r["doc_id"]: r for r in mixing.mix_sources(df, source_tree(df)).collect()}
+    count = lambda t: 0 if t is None else len(re.findall("[^\\x20\\x09-\\x0D]+", t))
     number = lambda s: int(s[3:]) if s and s.startswith("src") else None
     domain = lambda s: "other" if number(s) is None else "web" if number(s) < 10 else "reference" if number(s) < 16 else "forum"
     leaf = {}
@@ -146,13 +149,14 @@ def test_mixing_equals_plain_budgeting(spark):
         for i, n in docs:
             assert (got[i]["mix_target"], got[i]["mix_tokens"], got[i]["copies"]) == (target[k], n, whole + (i in taken)), (k, i)
     assert sum(r["mix_tokens"] * r["copies"] for r in got.values()) <= sum(tokens.values()) * 60 // 100
-    assert mixing.mix_sources(df.limit(0)).collect() == []
+    assert mixing.mix_sources(df.limit(0), source_tree(df)).collect() == []
+    assert {r["mix_domain"] for r in mixing.mix_sources(df, source_tree(df.limit(0))).collect()} == {"other"}
 
 
 def test_shortage_goes_to_siblings_first(spark):
     rows = [(i, "w " * 9 + "w", "en", s) for i, s in enumerate(["src1"] * 2 + ["src2"] * 50 + ["src16"] * 50)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    got = {r["source"]: r["mix_target"] for r in mixing.mix_sources(df, percent=50, epochs=1, domain_weights={"web": 1, "forum": 1}).collect()}
+    got = {r["source"]: r["mix_target"] for r in mixing.mix_sources(df, source_tree(df), percent=50, epochs=1, domain_weights={"web": 1, "forum": 1}).collect()}
     assert got["src1"] == 20 and got["src2"] == 510 // 2 - 20 and got["src16"] == 255
 
 

@@ -18,16 +18,9 @@ SEED = 17
 HEX = 3
 
 
-def domain_of(source: Column) -> Column:
-    """Sources are named by a number: below 10 they are web, below 16 reference, else forum; unnamed: other."""
-    n = F.regexp_extract(source, "([0-9]{1,9})$", 1)
-    n = F.when(n != "", n.cast("int"))
-    return F.coalesce(F.when(n < 10, "web").when(n < 16, "reference").when(n.isNotNull(), "forum"), F.lit("other"))
-
-
 def token_count(text: Column) -> Column:
-    """Runs between single spaces: a cheap stand-in for tokens, the same in any engine. Null: 0."""
-    return F.coalesce(F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1, F.lit(0)).cast("long")
+    """The number of words, [^\\x20\\x09-\\x0D]+. Null and texts without words: 0."""
+    return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
 
 
 def _weight(name: str, weights: Mapping[str, int]) -> Column:
@@ -69,33 +62,38 @@ def leaf_targets(leaves: DataFrame, percent: int, epochs: int, domain_weights: M
 
 
 def mix_sources(
-    docs: DataFrame, percent: int = 60, epochs: int = 2, seed: int = SEED, domain_weights: Mapping[str, int] = DOMAIN_WEIGHTS, lang_weights: Mapping[str, int] = LANG_WEIGHTS,
+    docs: DataFrame, tree: DataFrame, percent: int = 60, epochs: int = 2, seed: int = SEED, domain_weights: Mapping[str, int] = DOMAIN_WEIGHTS, lang_weights: Mapping[str, int] = LANG_WEIGHTS,
     id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
 ) -> DataFrame:
     """docs plus mix_domain, mix_tokens, mix_target (of the document's leaf) and copies (0 to epochs).
 
-    A leaf's target is whole epochs and a prefix of one more: documents in the order of md5(seed:epoch:id),
-    as long as the running sum of tokens stays within the target. Null lang and source are leaves named ''.
-    Rows with a null id are given copies of the whole epochs only; rows with one id move together in the order.
-    Columns of these names are replaced. Documents aren't shuffled: leaf plans and the prefix's last buckets
-    are joined to them."""
+    tree: (source, domain), the domain of each source; sources that it lacks are in the domain `other`, and one that it
+    has twice is in the first by name. A leaf's target is whole epochs and a prefix of one more: documents in the order
+    of md5(seed:epoch:id), as long as the running sum of tokens stays within the target. Null lang and source are leaves
+    named ''. Rows with a null id are given copies of the whole epochs only; rows with one id move together in the order.
+    Null texts and texts without words have 0 tokens; an empty table gives an empty one. Columns of the added names are
+    replaced. Texts are counted twice (for the plan and for the rows that are given back) and never shuffled: leaf plans
+    and the prefix's last buckets are joined to them."""
     docs = docs.drop("mix_domain", "mix_tokens", "mix_target", "copies")
-    key = {"__d": domain_of(F.col(source_col)), "__l": F.coalesce(lang_col, F.lit("")), "__s": F.coalesce(source_col, F.lit("")), "__n": token_count(F.col(text_col)), "__i": F.col(id_col)}
-    rows = docs.withColumns(key)
-    leaves = rows.groupBy("__d", "__l", "__s").agg(F.sum("__n").alias("tokens")).withColumnsRenamed({"__d": "domain", "__l": "lang", "__s": "source"})
+    rows = docs.withColumns({"__l": F.coalesce(lang_col, F.lit("")), "__s": F.coalesce(source_col, F.lit("")), "__n": token_count(F.col(text_col)), "__i": F.col(id_col)})
+    on = ["__l", "__s"]
+    light = settle(rows.select("__i", "__n", *on))
+    domains = tree.where("source is not null and domain is not null").groupBy(F.col("source").alias("__s")).agg(F.min("domain").alias("domain"))
+    leaves = light.groupBy(*on).agg(F.sum("__n").alias("tokens")).join(domains, "__s", "left")
+    leaves = leaves.select(F.coalesce("domain", F.lit("other")).alias("domain"), F.col("__l").alias("lang"), F.col("__s").alias("source"), "tokens")
     plan = leaf_targets(settle(leaves), percent, epochs, domain_weights, lang_weights)
     plan = plan.select(
         F.col("domain").alias("__d"), F.col("lang").alias("__l"), F.col("source").alias("__s"), F.col("target").alias("__t"),
         F.expr("case when tokens > 0 then target div tokens else 0 end").alias("__e"), F.expr("case when tokens > 0 then target % tokens else 0 end").alias("__r"),
     )
-    plan, on = small(settle(plan)), ["__d", "__l", "__s"]
+    plan = small(settle(plan))
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.col("__e").cast("string"), F.lit(":"), F.col("__i").cast("string")).cast("binary"))
     bucket = F.substring("__o", 1, HEX)
 
     def placed(df: DataFrame) -> DataFrame:
         return df.join(plan, on).withColumn("__o", order).withColumn("__b", bucket)
 
-    light = placed(rows.select("__i", "__n", *on)).where("__i is not null and __r > 0")
+    light = placed(light).where("__i is not null and __r > 0")
     sums = light.groupBy(*on, "__r", "__b").agg(F.sum("__n").alias("n"))
     upto = Window.partitionBy(*on).orderBy("__b")
     sums = sums.withColumn("__end", F.sum("n").over(upto.rowsBetween(Window.unboundedPreceding, Window.currentRow)))

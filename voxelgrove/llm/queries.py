@@ -63,8 +63,17 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_languages(table(spark, sf_dir, "documents"))
 
 
+def source_tree(docs: DataFrame) -> DataFrame:
+    """(source, domain) of these tables, whose sources have numbers only: below 10 they stand for the web, below 16 for reference works, else for forums."""
+    n = F.regexp_extract("source", "([0-9]{1,9})$", 1)
+    n = F.when(n != "", n.cast("int"))
+    domain = F.when(n < 10, "web").when(n < 16, "reference").when(n.isNotNull(), "forum")
+    return docs.select("source").distinct().select("source", domain.alias("domain"))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.mix_sources(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    out = mixing.mix_sources(docs, source_tree(docs))
     return out.select("doc_id", F.col("mix_domain").alias("domain"), F.col("mix_tokens").alias("n_tokens"), F.col("mix_target").alias("leaf_target"), "copies")
 
 
@@ -141,7 +150,7 @@ from (select *, ({weight})::bigint as w from {rows}) window o as (partition by {
 
 def _mixing_sql(percent: int = 60, epochs: int = 2, seed: int = mixing.SEED) -> str:
     return f"""
-with d as (select doc_id, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(length(text) - length(replace(text, ' ', '')) + 1, 0)::bigint as n_tokens,
+with d as (select doc_id, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as n_tokens,
   case when not regexp_matches(coalesce(source, ''), '[0-9]{{1,9}}$') then 'other' when regexp_extract(source, '([0-9]{{1,9}})$', 1)::int < 10 then 'web' when regexp_extract(source, '([0-9]{{1,9}})$', 1)::int < 16 then 'reference' else 'forum' end as domain from documents),
 leaves as (select domain, lang, source, sum(n_tokens)::bigint as tokens, (sum(n_tokens) * {epochs})::bigint as cap from d group by all),
 langs as (select domain, lang, sum(cap)::bigint as cap, sum(tokens)::bigint as tokens from leaves group by all),

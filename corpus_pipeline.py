@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from voxelgrove.llm import bpe, langid, linededup, minhash, mixing
 from voxelgrove.llm.common import shared_folder
-from voxelgrove.llm.queries import rank_file
+from voxelgrove.llm.queries import rank_file, source_tree
 
 #: Columns of documents that every stage but the last gives back.
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -43,8 +43,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents within their leaf's share of the token budget, each once."""
-    return _documents(mixing.mix_sources(docs, percent=80, epochs=1).where("copies > 0"))
+    """Documents within their leaf's share of the token budget, each once. Those with a null id go, as they have no place in the order."""
+    return _documents(mixing.mix_sources(docs, source_tree(docs), percent=80, epochs=1).where("copies > 0"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,7 +28,12 @@ def test_url_rules_and_terms(spark):
         ("http://x.io/a-xxx-b", "x.io", "/a-xxx-b", None, "block"),
         ("http://x.io/axxx", "x.io", "/axxx", None, "allow"),
         ("http://x.io/win/win", "x.io", "/win/win", None, "allow"),
-        ("http://x.io/win?free=1", "x.io", "/win", None, "block"),
+        ("http://x.io/win?free=1", "x.io", "/win", None, "allow"),
+        ("http://x.io/casino?free=1", "x.io", "/casino", None, "block"),
+        ("http://x.io/casino/casino", "x.io", "/casino/casino", None, "allow"),
+        ("http://x.io/win?free=1&bet=2", "x.io", "/win", None, "block"),
+        ("http://x.io/win?free=1&bet=2", "x.io", "/win", None, "block"),
+        ("http://x.io/" + "a/" * 200_000 + "porn", "x.io", "/" + "a/" * 200_000 + "porn", None, "block"),
         ("http://x.io#http://y/en/", "x.io", "", None, "allow"),
     ]
     df = spark.createDataFrame([(i, c[0], "h", "clash", 1, "d") for i, c in enumerate(cases)], PAGES)
@@ -38,6 +43,15 @@ def test_url_rules_and_terms(spark):
     assert urlfilter.judge_urls(df.limit(0)).collect() == []
 
 
+def test_url_vocabulary_from_a_file(spark, tmp_path):
+    (tmp_path / "terms.csv").write_text("term,kind,weight\nAlpha,strict,\nbeta,soft,2\ngamma ,soft,\ngamma,soft,1\n,soft,1\nalpha,soft,1\n")
+    strict, soft = urlfilter.read_vocabulary(spark, str(tmp_path / "terms.csv"))
+    assert strict == ["alpha"] and soft == {1: ["gamma"], 2: ["beta"]}
+    df = spark.createDataFrame([(i, u, "h", "c", 1, "d") for i, u in enumerate(("x://a/alpha", "x://a/beta-gamma", "x://a/beta", "x://a/porn"))], PAGES)
+    assert [r["verdict"] for r in urlfilter.judge_urls(df, strict=strict, soft=soft).orderBy("page_id").collect()] == ["block", "block", "allow", "allow"]
+    assert {r["verdict"] for r in urlfilter.judge_urls(df, strict=(), soft={}).collect()} == {"allow"}
+
+
 def pages(n):
     return [(i, f"http://x/{i}", ("body %d " % i) * (i % 7) if i % 11 else None, "h", 1, "d") for i in range(n)]
 

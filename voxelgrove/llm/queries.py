@@ -42,7 +42,7 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = urlfilter.judge_urls(table(spark, sf_dir, "pages"))
-    return out.select("page_id", "host", "path", "n_strict", "n_soft", "rule", "verdict")
+    return out.select("page_id", "host", "path", "n_strict", "n_soft", "soft_weight", "rule", "verdict")
 
 
 def op7_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,16 +124,16 @@ select query_id, rank::int as rank, vec_id, score from (select *, row_number() o
 """,
 }
 
-_STRICT = ", ".join(f"'{t}'" for t in urlfilter.STRICT)
-_SOFT = ", ".join(f"'{t}'" for t in urlfilter.SOFT)
+_TERMS = ", ".join(f"('{t}', {w})" for w, terms in {0: urlfilter.STRICT, **urlfilter.SOFT}.items() for t in terms)
 _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in urlfilter.RULES)
 ORACLES["op6_url_filter"] = f"""
-with rules(rh, rp, rv) as (values {_RULES}),
+with rules(rh, rp, rv) as (values {_RULES}), terms(term, weight) as (values {_TERMS}),
 u as (select page_id, url, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path,
-  regexp_split_to_array(lower(coalesce(url, '')), '[^a-z0-9]+') as words from pages),
-c as (select *, (select count(*) from (values {_STRICT.replace("', '", "'), ('").join("()")}) t(x) where list_contains(words, x)) as n_strict, (select count(*) from (values {_SOFT.replace("', '", "'), ('").join("()")}) t(x) where list_contains(words, x)) as n_soft from u),
+  list_distinct(regexp_split_to_array(lower(coalesce(url, '')), '[^a-z0-9]+')) as words from pages),
+t as (select page_id, count(*) filter (weight = 0) as n_strict, count(*) filter (weight > 0) as n_soft, sum(weight) as soft_weight from (select page_id, unnest(words) as word from u) join terms on word = term group by page_id),
+c as (select u.*, coalesce(n_strict, 0)::int as n_strict, coalesce(n_soft, 0)::int as n_soft, coalesce(soft_weight, 0)::int as soft_weight from u left join t using (page_id)),
 m as (select page_id, max_by(rh || rp, len(rh || rp)) as rule, max_by(rv, len(rh || rp)) as rv from c join rules on (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp) group by page_id)
-select c.page_id, host, path, n_strict::int as n_strict, n_soft::int as n_soft, rule, coalesce(rv, case when n_strict >= 1 or n_soft >= {urlfilter.MIN_SOFT} then 'block' else 'allow' end) as verdict from c left join m on c.page_id = m.page_id
+select c.page_id, host, path, n_strict, n_soft, soft_weight, rule, coalesce(rv, case when n_strict >= 1 or (n_soft >= {urlfilter.MIN_SOFT} and soft_weight >= {urlfilter.MIN_WEIGHT}) then 'block' else 'allow' end) as verdict from c left join m on c.page_id = m.page_id
 """
 
 

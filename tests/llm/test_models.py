@@ -219,6 +219,66 @@ def test_reader_predicts_what_the_network_says():
     assert got[0] == pytest.approx(prob.mean(axis=(0, 1)), abs=1e-4) and got[1].sum() == 0 and got[2].sum() == pytest.approx(1)
 
 
+def plain_language(net, text):
+    """The mean of every position's probabilities, window by window, one byte at a time, in float64."""
+    total, h = np.zeros(len(net.classes)), net.h
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+
+    def states(window, d):
+        state, out = np.zeros(h), []
+        for x in window if d == "f" else window[::-1]:
+            e, u = net.p["E" + d][x], state @ net.p["U" + d]
+            z, r = sigmoid(e[:h] + u[:h]), sigmoid(e[h : 2 * h] + u[h : 2 * h])
+            state = (1 - z) * np.tanh(e[2 * h :] + r * u[2 * h :]) + z * state
+            out.append(state)
+        return out if d == "f" else out[::-1]
+
+    for at in range(0, len(text), langid.STEP):
+        window = text[at : at + langid.STEP]
+        for f, b in zip(states(window, "f"), states(window, "b")):
+            logits = f @ net.p["Wf"] + b @ net.p["Wb"] + net.p["b"]
+            total += np.exp(logits) / np.exp(logits).sum()
+    return total / len(text)
+
+
+def test_texts_of_many_windows_equal_a_plain_network():
+    net = langid.ByteBiGRU(["a", "b", "c"], hidden=8, seed=7)
+    rng = np.random.default_rng(1)
+    texts = [bytes(rng.integers(0, 256, n).astype(np.uint8)) for n in (1, 127, 128, 129, 700, 5000)]
+    got = langid.predict(net.reader(), texts)
+    for row, text in zip(got, texts):
+        assert row == pytest.approx(plain_language(net, text), abs=2e-4)
+
+
+def test_query_of_languages_equals_a_plain_network(spark):
+    """Every row of the query, from the network that the same sample trains."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    held = langid.part_of("doc_id", 4) == 2
+    langs, x, y = langid.training_sample(docs, ~held, "doc_id", "text", "lang")
+    net = langid.ByteBiGRU(langs)
+    net.fit(x, y)
+    got = {r["doc_id"]: r for r in langid.identify_languages(docs).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        g = got[r["doc_id"]]
+        assert g["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+        if r["text"] is None or not re.search(r"[^\W\d_]", r["text"]):
+            assert (g["lang_pred"], g["score"]) == ("und", 0.0)
+        else:
+            prob = plain_language(net, r["text"].encode()[: 40 * langid.STEP]) if len(r["text"]) < 5000 else None
+            if prob is not None:
+                assert g["score"] == pytest.approx(prob.max(), abs=1e-3) and prob[langs.index(g["lang_pred"])] > prob.max() - 1e-3
+
+
+def test_a_sample_of_too_many_languages_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGS", 2)
+    monkeypatch.setattr(langid, "PER_LANG", 3)
+    some = [(i, "words of a text " * 3, f"l{i % 4}") for i in range(40)]
+    with pytest.raises(ValueError, match="over 2 languages"):
+        langid.identify_languages(spark.createDataFrame(some, "doc_id long, text string, lang string"))
+
+
 def test_languages_of_held_out_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = langid.identify_languages(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()

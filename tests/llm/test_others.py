@@ -158,15 +158,8 @@ def fill(children, total):
     return out
 
 
-def test_mixing_equals_plain_budgeting(spark):
-    rng = random.Random(6)
-    rows = []
-    for i in range(900):
-        s = rng.choice(["src1"] * 12 + [f"src{k}" for k in range(20)] + [None, "blog"])
-        rows.append((i, None if i % 97 == 0 else rng.choice((" ", "\n ")).join(["w"] * rng.choice((0, 1, 5, 80))), rng.choice(("en", "en", "de", "fr", None)), s, "clash", 3))
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, domain string, copies int")
-    df = df.withColumn("mix_target", F.lit("clash"))
-    got = {r["doc_id"]: r for r in mixing.mix_sources(df, source_tree(df)).collect()}
+def plain_mix(rows, percent, epochs):
+    """id -> (leaf target, tokens, copies) of rows (id, text, lang, source, ...)."""
     count = lambda t: 0 if t is None else len(re.findall("[^\\x20\\x09-\\x0D]+", t))
     number = lambda s: int(s[3:]) if s and s.startswith("src") else None
     domain = lambda s: "other" if number(s) is None else "web" if number(s) < 10 else "reference" if number(s) < 16 else "forum"
@@ -175,14 +168,15 @@ def test_mixing_equals_plain_budgeting(spark):
         leaf.setdefault((domain(s), lang or "", s or ""), []).append((i, count(t)))
     tokens = {k: sum(n for _, n in v) for k, v in leaf.items()}
     weight = lambda table, k: table.get(k, mixing.DEFAULT_WEIGHT)
-    cap = lambda keep: 2 * sum(v for k, v in tokens.items() if k[: len(keep)] == keep)
-    top = fill({d: (weight(mixing.DOMAIN_WEIGHTS, d), cap((d,))) for d in {k[0] for k in leaf}}, sum(tokens.values()) * 60 // 100)
+    cap = lambda keep: epochs * sum(v for k, v in tokens.items() if k[: len(keep)] == keep)
+    top = fill({d: (weight(mixing.DOMAIN_WEIGHTS, d), cap((d,))) for d in {k[0] for k in leaf}}, sum(tokens.values()) * percent // 100)
     target = {}
     for d, b in top.items():
         mid = fill({x: (weight(mixing.LANG_WEIGHTS, x), cap((d, x))) for x in {k[1] for k in leaf if k[0] == d}}, b)
         for x, c in mid.items():
             for s, t in fill({s: (1, cap((d, x, s))) for s in {k[2] for k in leaf if k[:2] == (d, x)}}, c).items():
                 target[d, x, s] = t
+    out = {}
     for k, docs in leaf.items():
         whole, rest = divmod(target[k], tokens[k]) if tokens[k] else (0, 0)
         run, taken = 0, set()
@@ -190,9 +184,22 @@ def test_mixing_equals_plain_budgeting(spark):
             run += n
             if rest and run <= rest:
                 taken.add(i)
-        for i, n in docs:
-            assert (got[i]["mix_target"], got[i]["mix_tokens"], got[i]["copies"]) == (target[k], n, whole + (i in taken)), (k, i)
-    assert sum(r["mix_tokens"] * r["copies"] for r in got.values()) <= sum(tokens.values()) * 60 // 100
+        out |= {i: (target[k], n, whole + (i in taken)) for i, n in docs}
+    return out
+
+
+def test_mixing_equals_plain_budgeting(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(900):
+        s = rng.choice(["src1"] * 12 + [f"src{k}" for k in range(20)] + [None, "blog"])
+        rows.append((i, None if i % 97 == 0 else rng.choice((" ", "\n ")).join(["w"] * rng.choice((0, 1, 5, 80))), rng.choice(("en", "en", "de", "fr", None)), s, "clash", 3))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, domain string, copies int")
+    df = df.withColumn("mix_target", F.lit("clash"))
+    got = {r["doc_id"]: r for r in mixing.mix_sources(df, source_tree(df)).collect()}
+    want = plain_mix(rows, 60, 2)
+    assert {i: (r["mix_target"], r["mix_tokens"], r["copies"]) for i, r in got.items()} == want
+    assert sum(n * c for _, n, c in want.values()) <= sum(n for _, n, _ in want.values()) * 60 // 100
     assert mixing.mix_sources(df.limit(0), source_tree(df)).collect() == []
     assert {r["mix_domain"] for r in mixing.mix_sources(df, source_tree(df.limit(0))).collect()} == {"other"}
 
@@ -204,6 +211,58 @@ def test_shortage_goes_to_siblings_first(spark):
     assert got["src1"] == 20 and got["src2"] == 510 // 2 - 20 and got["src16"] == 255
 
 
+def plain_pipeline(spark, docs):
+    """run() by plain versions of its stages: rows (doc_id, n_tokens, ids_sha256, decoded_sha256)."""
+    import corpus_pipeline
+    import public_tokenizers
+    import tiktoken
+    from test_dedup import brute, line_brute
+
+    from voxelgrove.llm import langid
+
+    told = {}
+    for r in langid.identify_languages(docs).collect():  # held against a plain network in test_models.py
+        told.setdefault((r["doc_id"],), []).append((r["lang_pred"], r["score"]))
+    rows = []
+    for r in sorted(docs.collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0)):
+        lang, score = told[r["doc_id"],][0]
+        if lang != "und" and score >= corpus_pipeline.MIN_SCORE:
+            rows.append((r["doc_id"], r["text"], lang, r["source"]))
+    known = [r for r in rows if r[0] is not None]
+    clean = {i: (t, gone) for i, t, _, gone in line_brute([(i, t, s) for i, t, _, s in known], 10)}
+    rows = [(i, clean[i][0], x, s) for i, t, x, s in known if not clean[i][1] or clean[i][0].strip(" \t\r\n\x0b\x0c")]
+    rows = [r for r, (*_, kept) in zip(rows, brute([r[1] for r in rows], 5, 80)) if kept]
+    copies = plain_mix(rows, 80, 1)
+    rows = [r for r in rows if copies[r[0]][2] > 0]
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    coder = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    out = []
+    for i, t, *_ in rows:
+        ids = coder.encode_ordinary(t)
+        out.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()))
+    return sorted(out)
+
+
+def test_pipeline_equals_plain_stages(spark, tmp_path):
+    """run() over whole tables, with nulls in every column, an empty and a very long text and columns of clashing names."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    more = [(900_001, None, "en", "src1", 0), (900_002, "", "en", "src1", 0), (900_003, "the words of a text with neither language nor source " * 3, None, None, None), (None, "a text without an id is read, and then it goes", "en", "src1", 9)]
+    more.append((900_004, "\n".join(f"a very long text has many lines and this is number {i}" for i in range(20_000)), "en", "src2", 7))
+    docs = docs.union(spark.createDataFrame(more, docs.schema)).withColumns({"rank": F.lit(1), "mix_domain": F.lit("clash"), "score": F.lit("clash")})
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()))
+    assert got == plain_pipeline(spark, docs) and len(got) > 100
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
     import public_tokenizers

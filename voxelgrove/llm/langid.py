@@ -164,12 +164,14 @@ def training_sample(docs: DataFrame, learn: Column, id_col: str, text_col: str,
     """(languages, windows, classes): PER_LANG texts of each language by a hash of the id, WINDOWS stretches of each.
 
     Each task keeps its own first PER_LANG of a language before the shuffle, so no language gathers in one
-    task, and at most MAX_LANGS * PER_LANG * WINDOWS * SPAN characters reach the driver."""
+    task, and at most MAX_LANGS * PER_LANG * WINDOWS * SPAN characters reach the driver: a sample of more is an error."""
     ok = docs.where(learn & F.col(lang_col).isNotNull() & (F.length(text_col) >= 8))
     piece = [F.substr(F.col(text_col), (F.pmod(F.xxhash64(id_col, F.lit(k)), F.greatest(F.length(text_col) - SPAN, F.lit(1))) + 1).cast("int"), F.lit(SPAN)) for k in range(WINDOWS)]
     rows = ok.select(F.col(lang_col).alias("lang"), F.xxhash64(id_col, F.lit(1)).alias("order"), F.array(*piece).alias("pieces"))
     rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("order", "pieces"))).where(F.col("k") <= PER_LANG)
-    found = rows.orderBy("lang", "k").limit(MAX_LANGS * PER_LANG).collect()
+    found = rows.orderBy("lang", "k").limit(MAX_LANGS * PER_LANG + 1).collect()
+    if len(found) > MAX_LANGS * PER_LANG:
+        raise ValueError(f"over {MAX_LANGS} languages of {PER_LANG} texts: raise MAX_LANGS, or give rare languages one name")
     langs = sorted({r["lang"] for r in found})
     at, x, y = {v: i for i, v in enumerate(langs)}, [], []
     for r in found:
@@ -185,8 +187,9 @@ def identify_languages(docs: DataFrame, held_out: Column | None = None, id_col:
     """(doc_id, held_out, lang_pred, score) for each row; with_text: the row's other columns too, from its whole text alone.
 
     held_out: rows not learned from; by default crc32(doc_id as text) mod 4 = 2, and rows without an id. A null
-    text or one without a letter is und with score 0; so is every text when nothing could be learned. One pass
-    over the texts, without a shuffle; the network (a few thousand numbers) goes with the tasks."""
+    text or one without a letter is und with score 0; so is every text when nothing could be learned. Rows are judged each
+    by itself, so repeated rows come back as often; equal probabilities give the first language by name; a text of any length
+    is read whole, window by window. An empty table gives an empty one. One pass over the texts, without a shuffle; the network (a few thousand numbers) goes with the tasks."""
     text_batches(docs.sparkSession)
     held = F.coalesce(part_of(id_col, 4) == 2 if held_out is None else held_out, F.lit(True))
     langs, x, y = training_sample(docs, ~held, id_col, text_col, lang_col)

@@ -178,15 +178,6 @@ def test_nifti_round_trip(spark, tmp_path):
     assert nifti.parse((tmp_path / "out" / "o.nii.gz").read_bytes())["data"].tolist() == x.ravel().tolist()
 
 
-def test_tile_shapes():
-    for image, patch in (((128, 256, 256), 64), ((10, 10), 3), ((512, 512, 512), (16, 128, 128))):
-        t = tiles.tile_shape(image, patch)
-        assert all(1 <= a <= b for a, b in zip(t, image)) and np.prod(t) * 4 <= tiles.L3_BYTES * tiles.SAFETY
-    assert tiles.tile_shape((3, 64, 64), 32, spatial=[False, True, True])[0] == 3
-    with pytest.raises(ValueError):
-        tiles.tile_shape((8, 8), (4,))
-
-
 def test_review_stream(spark, tmp_path):
     from voxelgrove.streaming import reviews
 

@@ -30,7 +30,7 @@ def test_command_line_shows_every_row(spark, tmp_path, capsys):
     )
     samples.write.parquet(root + "/samples")
     spark.createDataFrame([("1", 0, "flagged", None, "t", None)], "sample_id string, seq long, status string, annotator string, ts string, notes string").write.parquet(root + "/review_events")
-    for args, code, text, n in ((["info", root], 0, '"path"', 2500), (["validate-all", root], 1, "metadata_read_failed", 2500), (["audit", root], 1, '"mismatch"', 2500), (["review", "list", root, "--status", "pending"], 0, '"pending"', 2499)):
+    for args, code, text, n in ((["info", root], 0, '"file"', 2500), (["validate-all", root], 1, "metadata_read_failed", 2500), (["audit", root], 1, '"mismatch"', 2500), (["review", "list", root, "--status", "pending"], 0, '"pending"', 2499)):
         assert cli.main(args) == code
         assert sum(text in line for line in capsys.readouterr().out.splitlines()) == n, args
 

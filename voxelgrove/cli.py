@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .errors import EngineError, ValidationError
-from .operators import checksum, manifest, review, split, stats, validation
+from .operators import checksum, manifest, records, review, series, split, stats, validation
 from .session import session
-from .sources import nifti, optional, samples
+from .sources import hdf5, nifti, optional, samples
 
 
 def _table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -40,7 +40,8 @@ def parse_ratios(text: str) -> dict[str, float]:
 
 def info(spark, a):
     rows = _table(spark, a.root, "samples")
-    _show(rows.where(F.col("path") == a.path) if a.path else rows)
+    for row in records.info(rows.where(F.col("path") == a.path) if a.path else rows).orderBy("path").toLocalIterator():
+        print(row["payload"])
 
 
 def validate(spark, a):
@@ -73,7 +74,12 @@ def recompress(spark, a):
 
 
 def index(spark, a):
-    manifest.save(manifest.list_files(spark, a.root, a.suffix), a.out)
+    if a.files:
+        samples_read = hdf5.read_meta(spark, a.root, a.suffix)
+        found = records.build(samples_read, manifest.list_files(spark, a.root, a.suffix), skip_invalid=a.skip_invalid)
+    else:
+        found = records.build(_table(spark, a.root, "samples"), skip_invalid=a.skip_invalid)
+    manifest.save(found, a.out)
 
 
 def do_split(spark, a):
@@ -81,15 +87,14 @@ def do_split(spark, a):
     rows = rows.withColumn("ordinal", F.xxhash64("path")) if "ordinal" not in rows.columns else rows
     kw = {"stratum": a.stratify, "seed": a.seed}
     out = split.make_splits(rows, a.group, parse_ratios(a.ratios) if a.ratios else None, a.k_folds, **kw)
-    out.write.partitionBy("part" if a.ratios else "fold").json(a.out)
+    out.orderBy("path").write.partitionBy("part" if a.ratios else "fold").json(a.out)
 
 
 def do_stats(spark, a):
     modal = a.modalities.split(",") if a.modalities else None
-    out = stats.compute_stats(_table(spark, a.root, "samples"), _table(spark, a.root, "voxels"), modalities=modal, mask=a.foreground, exact=a.exact)
+    out = stats.compute_stats(_table(spark, a.root, "samples"), _table(spark, a.root, "voxels"), modalities=modal, mask=a.foreground, exact=a.exact, cap=a.sample_voxels)
     if a.out:
-        for name, df in out.items():
-            df.write.json(f"{a.out.rstrip('/')}/{name}")
+        stats.save(out, a.out)
     else:
         for name, df in out.items():
             print(json.dumps({"table": name}))
@@ -101,19 +106,14 @@ def import_nifti(spark, a):
 
 
 def import_dicom(spark, a):
-    optional.read_dicom(spark, a.source).write.parquet(a.target)
+    series.assemble(optional.read_dicom(spark, a.source), a.series_uid, lut=not a.stored_values).withColumn("modality", F.lit(a.modality)).write.parquet(a.target)
 
 
 def import_nnunetv2(spark, a):
-    from .operators import cases
     from .sources import nnunet
 
-    files = nnunet.list_cases(spark, a.source)
-    bad = cases.discover(files, channels=a.channels).where("missing <> '' or extra <> '' or duplicates > 0")
-    if not bad.isEmpty():
-        _show(bad)
-        return 1
-    nifti.read(spark, f"{a.source.rstrip('/')}/imagesTr").write.parquet(a.target)
+    for name, df in nnunet.import_dataset(spark, a.source, not a.no_test).items():
+        df.write.parquet(f"{a.target.rstrip('/')}/{name}")
 
 
 def export_nifti(spark, a):
@@ -128,7 +128,9 @@ def export_nnunetv2(spark, a):
 
 def review_set(spark, a):
     events = _table(spark, a.root, "review_events")
-    new = review.set_status(events, a.sample, a.status, a.annotator, a.notes, a.timestamp)
+    known = _table(spark, a.root, "samples")
+    key = "sample_id" if "sample_id" in known.columns else "path"
+    new = review.set_status(events, a.sample, a.status, a.annotator, a.notes, a.timestamp, known, key)
     new.join(events.select("sample_id", "seq"), ["sample_id", "seq"], "left_anti").select(*events.columns).write.mode("append").parquet(f"{a.root.rstrip('/')}/review_events")
 
 
@@ -145,9 +147,13 @@ def review_list(spark, a):
 def review_import_seg(spark, a):
     from .operators import edit
 
-    volume = nifti.read(spark, a.source)
-    new = volume.select(F.lit(a.sample).alias("sample_id"), F.lit(a.name).alias("mask"), F.transform("data", lambda x: x != 0).alias("data"))
+    which = spark.createDataFrame([(a.sample, a.name)], "sample_id string, mask string")
+    one = nifti.read(spark, a.source)
+    images = _table(spark, a.root, "images").where(F.col("sample_id") == a.sample)
+    grid = images.groupBy("sample_id").agg(F.min_by(F.struct("shape", "affine"), "modality").alias("g")).select("sample_id", "g.shape", "g.affine")
+    new = nifti.import_masks(which.crossJoin(one.select("path").limit(1)), one, grid, a.resample)
     masks = _table(spark, a.root, "masks")
+    new = new.select(*masks.columns)
     out = edit.seg_replace(masks, new) if a.replace else edit.seg_add(masks, new)
     out.write.parquet(a.target)
 
@@ -169,13 +175,13 @@ def parser() -> argparse.ArgumentParser:
     add(sub, "validate-all", validate_all, root, ("--strict", flag), ("--fail-fast", flag))
     add(sub, "audit", audit, root)
     add(sub, "recompress", recompress, *two, ("--preset", {"default": "balanced", "choices": sorted(samples.PRESETS)}))
-    add(sub, "index", index, root, ("out", {}), ("--suffix", {"default": manifest.SUFFIX}))
+    add(sub, "index", index, root, ("out", {}), ("--suffix", {"default": manifest.SUFFIX}), ("--files", flag), ("--skip-invalid", flag))
     add(sub, "split", do_split, ("manifest", {}), ("out", {}), ("--ratios", {}), ("--k-folds", {"type": int}), ("--group", {"default": "path"}), ("--stratify", {}), ("--seed", {"type": int, "default": 0}))
-    add(sub, "stats", do_stats, root, ("--out", {}), ("--modalities", {}), ("--foreground", {}), ("--exact", flag))
+    add(sub, "stats", do_stats, root, ("--out", {}), ("--modalities", {}), ("--foreground", {}), ("--exact", flag), ("--sample-voxels", {"type": int}))
     imp = sub.add_parser("import").add_subparsers(required=True)
     add(imp, "nifti", import_nifti, *two, ("--skip-invalid", flag))
-    add(imp, "dicom", import_dicom, *two)
-    add(imp, "nnunetv2", import_nnunetv2, *two, ("--channels", {"type": int}))
+    add(imp, "dicom", import_dicom, *two, ("--series-uid", {}), ("--modality", {"default": "image"}), ("--stored-values", flag))
+    add(imp, "nnunetv2", import_nnunetv2, *two, ("--no-test", flag))
     exp = sub.add_parser("export").add_subparsers(required=True)
     add(exp, "nifti", export_nifti, *two)
     add(exp, "nnunetv2", export_nnunetv2, *two, ("--channels", {"required": True}), ("--labels", {"required": True}))
@@ -183,7 +189,7 @@ def parser() -> argparse.ArgumentParser:
     add(rev, "set", review_set, root, ("sample", {}), ("status", {"choices": review.STATUSES}), ("--annotator", {}), ("--notes", {}), ("--timestamp", {}))
     add(rev, "get", review_get, root, ("sample", {}))
     add(rev, "list", review_list, root, ("--status", {"choices": review.STATUSES}))
-    add(rev, "import-seg", review_import_seg, root, ("sample", {}), ("source", {}), ("name", {}), ("target", {}), ("--replace", flag))
+    add(rev, "import-seg", review_import_seg, root, ("sample", {}), ("source", {}), ("name", {}), ("target", {}), ("--replace", flag), ("--resample", flag))
     return p
 
 

@@ -25,7 +25,11 @@ def affine(spacing: Column, origin: Column, direction: Column, ndim: int = 3) ->
 
 
 def as_affine(spacing: Column, origin: Column, direction: Column, ndim: int = 3) -> Column:
-    """affine(), or null without a direction or where it is the identity, near enough."""
+    """affine(), or null without a direction or where it is the identity, near enough.
+
+    A spacing or origin of another length than ndim counts as absent, and so does a direction that isn't square."""
+    spacing, origin = (F.when(F.size(x) == ndim, x) for x in (spacing, origin))
+    direction = F.when((F.size(direction) == ndim) & F.forall(direction, lambda r: F.size(r) == ndim), direction)
     m = affine(F.coalesce(spacing, F.array(*[F.lit(1.0)] * ndim)), F.coalesce(origin, F.array(*[F.lit(0.0)] * ndim)), direction, ndim)
     eye = F.array(*(F.lit(float(r == c)) for r in range(ndim + 1) for c in range(ndim + 1)))
     return F.when(direction.isNotNull() & ~all_close(F.flatten(m), eye, 1e-8), m)
@@ -43,12 +47,14 @@ def decompose(matrix: Column, ndim: int = 3) -> dict[str, Column]:
 
 
 def flip_geometry(spacing: Column, origin: Column, direction: Column, shape: list[int], axes: list[int], ndim: int = 3) -> tuple[Column, Column]:
-    """(origin, direction) after mirroring: origin moves to the far end of each axis, whose direction turns round."""
+    """(origin, direction) after mirroring: origin moves to the far end of each axis, whose direction turns round.
+
+    Without a direction both stay as they are."""
     o = [_at(origin, r) for r in range(ndim)]
     for a in axes:
         o = [o[r] + _at(direction, r, a) * _at(spacing, a) * (shape[a] - 1) for r in range(ndim)]
     d = F.array(*(F.array(*(-_at(direction, r, c) if c in axes else _at(direction, r, c) for c in range(ndim))) for r in range(ndim)))
-    return F.array(*o), d
+    return F.when(direction.isNull(), origin).otherwise(F.array(*o)), F.when(direction.isNotNull(), d)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -68,8 +74,10 @@ def cross(a: Column, b: Column) -> Column:
 
 
 def slice_normal(row: Column, col: Column) -> Column:
-    """The normal of a slice from its row and column directions."""
-    return cross(unit(row), unit(col))
+    """The normal of a slice from its row and column directions; directions of length 0 or parallel ones fail the query."""
+    normal = cross(unit(row), unit(col))
+    size = F.sqrt(dot(normal, normal))
+    return F.when((size > 1e-6) | row.isNull() | col.isNull(), normal).otherwise(F.raise_error(F.lit("slice directions of length 0 or parallel")).cast("array<double>"))
 
 
 def slice_position(position: Column, normal: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,6 +49,25 @@ def bbox_clear(boxes: DataFrame, which: DataFrame, key: str = "sample_id") -> Da
     return boxes.join(which.select(key).distinct(), key, "left_anti").select(*boxes.columns)
 
 
+def bbox_update(boxes: DataFrame, new: DataFrame, columns: Sequence[str], key: str = "sample_id", order: str = "box") -> DataFrame:
+    """boxes (key, order, lo, hi, score, label) with only `columns` of new's samples replaced, box by box.
+
+    Ends (lo and hi) may come in another number only with the columns that depend on them: scores or labels that stay must be
+    as many as the boxes, else it is an error. A sample without boxes can't be given scores or labels alone."""
+    own, its = boxes.groupBy(key).agg(F.count("*").alias("n")), new.groupBy(key).agg(F.count("*").alias("m"))
+    both = its.join(own, key, "left")
+    ends = "lo" in columns or "hi" in columns
+    if not ends and not both.where("n is null").isEmpty():
+        raise ValidationError("scores or labels without boxes")
+    rest = {"lo", "hi", "score", "label"} - set(columns)
+    kept = boxes.join(new.select(key).distinct(), key, "left_semi").where(" or ".join(f"{c} is not null" for c in sorted(rest)) if rest else "false")
+    if not both.join(kept.select(key).distinct(), key, "left_semi").where("n <> m").isEmpty():
+        raise ValidationError("the number of boxes differs from that of the scores or labels that stay")
+    old = boxes.select(F.col(key), F.col(order), *(F.col(c).alias(f"__{c}") for c in sorted(rest)))
+    done = new.select(key, order, *columns).join(old, [key, order], "left").withColumnsRenamed({f"__{c}": c for c in rest})
+    return boxes.join(new.select(key).distinct(), key, "left_anti").select(*boxes.columns).unionByName(done.select(*boxes.columns))
+
+
 def resync(samples: DataFrame, masks: DataFrame, boxes: DataFrame, key: str = "sample_id") -> DataFrame:
     """samples with has_seg, seg_names and has_bbox as the tables have them."""
     names = masks.groupBy(key).agg(F.array_sort(F.collect_set("mask")).alias("seg_names"))
@@ -60,3 +79,60 @@ def resync(samples: DataFrame, masks: DataFrame, boxes: DataFrame, key: str = "s
 def guard(stored: Column, computed: Column, force: bool = False) -> Column:
     """Rows that may be edited: those whose digest isn't known to be wrong, or all if forced."""
     return F.lit(True) if force else F.coalesce(stored == computed, F.lit(True))
+
+
+def restamp(samples: DataFrame, digests: DataFrame, key: str = "sample_id", column: str = "checksum") -> DataFrame:
+    """samples with the digests (key, digest) stored; those that aren't among them keep what they have."""
+    new = digests.select(F.col(key).alias("__k"), F.col("digest").alias("__d"))
+    return samples.join(new, F.col(key) == F.col("__k"), "left").withColumn(column, F.coalesce("__d", column)).select(*samples.columns)
+
+
+def update(
+    tables: Mapping[str, DataFrame],
+    meta: tuple[DataFrame, Mapping[str, str]] | None = None,
+    seg: Mapping[str, DataFrame] | None = None,
+    boxes: DataFrame | None = None,
+    clear_boxes: DataFrame | None = None,
+    digests: Callable[[Mapping[str, DataFrame]], DataFrame] | None = None,
+    force: bool = False,
+    done: Callable[[Mapping[str, DataFrame]], None] | None = None,
+    key: str = "sample_id",
+) -> dict[str, DataFrame]:
+    """samples, masks and boxes after one edit: metadata, masks (seg: add, replace, remove) and boxes together.
+
+    Every operation is checked before the first is done. A sample that is touched and whose stored checksum isn't the computed
+    one (columns checksum and computed of samples) is an error, unless forced. Afterwards has_seg, seg_names and has_bbox
+    follow the tables; digests gives (key, digest) of the edited tables, and those of the touched samples are stored. done is
+    called with the result. Nothing is written: save the tables beside the old ones and swap them."""
+    samples, masks, old = tables["samples"], tables["masks"], tables["boxes"]
+    if seg and (unknown := set(seg) - {"add", "replace", "remove"}):
+        raise ValidationError(f"unknown mask operations: {', '.join(sorted(unknown))}")
+    parts = [x.select(key) for x in (meta[0] if meta else None, boxes, clear_boxes, *(seg or {}).values()) if x is not None]
+    if not parts:
+        return dict(tables)
+    touched = parts[0]
+    for p in parts[1:]:
+        touched = touched.union(p)
+    touched = touched.distinct()
+    if not touched.join(samples.select(key), key, "left_anti").isEmpty():
+        raise ValidationError("an edit of a sample that isn't there")
+    if {"checksum", "computed"} <= set(samples.columns):
+        if not samples.join(touched, key, "left_semi").where(~guard(F.col("checksum"), F.col("computed"), force)).isEmpty():
+            raise ValidationError("the stored checksum of a sample doesn't match; use force to edit it all the same")
+    out = dict(tables)
+    for name, step in (("remove", seg_remove), ("replace", seg_replace), ("add", seg_add)):
+        if seg and name in seg:
+            masks = step(masks, seg[name])
+    out["masks"] = masks
+    if clear_boxes is not None:
+        old = bbox_clear(old, clear_boxes, key)
+    out["boxes"] = bbox_set(old, boxes, key) if boxes is not None else old
+    samples = update_meta(samples, *meta, key) if meta else samples
+    columns = samples.columns
+    samples = resync(samples, out["masks"], out["boxes"], key)
+    out["samples"] = samples.select(*columns, *(c for c in samples.columns if c not in columns))
+    if digests is not None:
+        out["samples"] = restamp(out["samples"], digests(out).join(touched, key, "left_semi"), key)
+    if done is not None:
+        done(out)
+    return out

@@ -7,14 +7,14 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SUFFIX = ".medh5"
+SUFFIX = ".h5"
 MANIFEST_VERSION = 1
 
 
 def list_files(spark: SparkSession, root: str, suffix: str = SUFFIX, recursive: bool = True) -> DataFrame:
-    """(path, file_size, mtime) of the files under root with the suffix; contents aren't read."""
+    """(path, file_size, mtime) of the files under root with the suffix, in the order of their paths; contents aren't read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", str(recursive).lower()).load(root)
-    return files.select("path", F.col("length").alias("file_size"), F.unix_micros("modificationTime").cast("double").alias("us")).select("path", "file_size", (F.col("us") / 1e6).alias("mtime"))
+    return files.select("path", F.col("length").alias("file_size"), F.unix_micros("modificationTime").cast("double").alias("us")).select("path", "file_size", (F.col("us") / 1e6).alias("mtime")).orderBy("path")
 
 
 def filter_records(records: DataFrame, predicate: Column | Callable) -> DataFrame:

@@ -9,6 +9,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .boxes import in_patches
+
 
 def draw(seed: int, *keys: Column | str) -> Column:
     """A number in [0, 1) from the first 52 bits of an MD5."""
@@ -84,3 +86,39 @@ def oversample(samples: DataFrame, per_volume: int, ordinal: str = "ordinal") ->
     n = samples.agg(F.count("*").alias("__n"))
     rows = samples.crossJoin(F.broadcast(n))  # one number
     return rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(per_volume - 1)))).withColumn("idx", F.col("k") * F.col("__n") + F.col(ordinal)).drop("__n", "k")
+
+
+def sample_patches(
+    samples: DataFrame, voxels: DataFrame, shape: Sequence[int], size: int | Sequence[int], seed: int = 0, strategy: str = "uniform", masks: DataFrame | None = None, foreground: str | None = None,
+    foreground_prob: float = 0.5, boxes: DataFrame | None = None, pad_value: float = 0.0, key: str = "sample_id",
+) -> dict[str, DataFrame]:
+    """One patch of each sample: starts (key, s0, s1, ...), images, masks and boxes, in the patch's own coordinates.
+
+    voxels: (key, modality, c0, c1, ..., value); masks: the inside voxels (key, mask, c0, c1, ...); boxes: (key, lo, hi, ...). The
+    strategies foreground and balanced need the name of a mask. Where a patch reaches beyond its volume, images are padded with
+    pad_value; masks hold inside voxels only, so their padding is outside. Voxels are cut by an equi-join on the sample with
+    comparisons of coordinates; patches are generated, not gathered."""
+    patch = patch_size(size, len(shape))
+    if strategy in ("foreground", "balanced") and (foreground is None or masks is None):
+        raise ValueError(f"{strategy} needs masks and the name of one")
+    axes, inside = range(len(shape)), masks.where(F.col("mask") == foreground) if foreground is not None and masks is not None else None
+    at = starts(samples, inside, shape, patch, seed, strategy, foreground_prob, key)
+
+    def cut(rows: DataFrame) -> DataFrame:
+        out = rows.join(at, key)
+        for a in axes:
+            out = out.where((F.col(f"c{a}") >= F.col(f"s{a}")) & (F.col(f"c{a}") < F.col(f"s{a}") + patch[a]))
+        return out.withColumns({f"c{a}": (F.col(f"c{a}") - F.col(f"s{a}")).cast("int") for a in axes}).select(*rows.columns)
+
+    named = voxels.select(key, "modality").distinct()
+    grid = named
+    for a in axes:
+        grid = grid.withColumn(f"c{a}", F.explode(F.sequence(F.lit(0), F.lit(patch[a] - 1))))
+    on = [key, "modality", *(f"c{a}" for a in axes)]
+    images = grid.join(cut(voxels).select(*on, "value"), on, "left").withColumn("value", F.coalesce("value", F.lit(float(pad_value))))
+    out = {"starts": at, "images": images}
+    if masks is not None:
+        out["masks"] = cut(masks)
+    if boxes is not None:
+        out["boxes"] = in_patches(boxes, at.select(key, F.array(*(f"s{a}" for a in axes)).alias("start")), patch, key)
+    return out

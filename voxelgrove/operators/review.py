@@ -10,16 +10,16 @@ from ..errors import ValidationError
 STATUSES = ("pending", "reviewed", "flagged", "rejected")
 
 
-def set_status(events: DataFrame, sample_id: object, status: str, annotator: str | None = None, notes: str | None = None, timestamp: str | None = None) -> DataFrame:
-    """events with one more; seq goes on from the sample's last."""
+def set_status(events: DataFrame, sample_id: object, status: str, annotator: str | None = None, notes: str | None = None, timestamp: str | None = None, samples: DataFrame | None = None, key: str = "sample_id") -> DataFrame:
+    """events with one more; seq goes on from the sample's last. With samples, one that isn't among them is an error."""
     if status not in STATUSES:
         raise ValidationError(f"unknown review status: {status}")
-    spark = events.sparkSession
+    if samples is not None and samples.where(F.col(key) == F.lit(sample_id)).isEmpty():
+        raise ValidationError(f"no such sample: {sample_id}")
     now = F.lit(timestamp) if timestamp else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
     last = events.where(F.col("sample_id") == F.lit(sample_id)).agg(F.coalesce(F.max("seq") + 1, F.lit(0)).alias("seq"))
     kind = events.schema["sample_id"].dataType
     row = last.select(F.lit(sample_id).cast(kind).alias("sample_id"), F.col("seq").cast("long").alias("seq"), F.lit(status).alias("status"), F.lit(annotator).cast("string").alias("annotator"), now.alias("ts"), F.lit(notes).cast("string").alias("notes"))
-    assert spark is not None
     return events.unionByName(row)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -21,6 +21,19 @@ def foreground(voxels: DataFrame, mask: str, fallback: bool = True) -> DataFrame
     return voxels.where(F.coalesce(inside, F.lit(True))) if fallback else voxels.where(inside)
 
 
+def masked(voxels: DataFrame, masks: DataFrame, mask: str, shapes: DataFrame, on: Sequence[str] = ("sample_id", "pos")) -> DataFrame:
+    """voxels of (sample_id, modality, pos, value) inside a named mask; the whole of a volume that has none of its shape.
+
+    masks: the inside voxels (sample_id, mask, pos); shapes: (sample_id, modality or null, mask or null, shape), the shape of
+    each image and of each mask, in one table. Masks are joined by sample and place, volumes by sample and modality."""
+    own = shapes.where("mask is null").select("sample_id", "modality", F.col("shape").alias("__image"))
+    its = shapes.where(F.col("mask") == mask).select("sample_id", F.col("shape").alias("__mask"))
+    fits = own.join(its, "sample_id", "left").select("sample_id", "modality", F.coalesce(F.col("__image") == F.col("__mask"), F.lit(False)).alias("__fits"))
+    inside = masks.where(F.col("mask") == mask).select(*on).distinct().withColumn("__in", F.lit(True))
+    rows = voxels.join(fits, ["sample_id", "modality"], "left").join(inside, list(on), "left")
+    return rows.where(~F.coalesce("__fits", F.lit(False)) | F.coalesce("__in", F.lit(False))).select(*voxels.columns)
+
+
 def modality_stats(voxels: DataFrame, keys: Sequence[str] = ("modality",), exact: bool = True) -> DataFrame:
     """n_voxels, mean, population std, vmin, vmax, p01 and p99 per modality, in doubles.
 
@@ -43,14 +56,16 @@ def partials(voxels: DataFrame) -> DataFrame:
 
 
 def merge(parts: DataFrame) -> DataFrame:
-    """Statistics of the union from partials: m2 = sum of m2 + sum of n * (mean - grand mean)^2, by sums alone."""
-    n, m = F.col("n"), F.col("mean")
-    agg = parts.groupBy("modality").agg(
-        F.sum("n").alias("n_voxels"), F.sum(n * m).alias("s1"), F.sum(n * m * m).alias("s2"), F.sum("m2").alias("m2"), F.min("vmin").alias("vmin"), F.max("vmax").alias("vmax")
+    """Statistics of the union from partials: m2 = sum of m2 + sum of n * (mean - grand mean)^2.
+
+    The grand means come first, by an aggregate of their own, so that nothing large is subtracted from something large."""
+    grand = parts.groupBy(F.col("modality").alias("__m")).agg(F.try_divide(F.sum(F.col("n") * F.col("mean")), F.sum("n")).alias("mean_all"))
+    rows = parts.join(grand, F.col("modality").eqNullSafe(F.col("__m")))
+    off = F.col("mean") - F.col("mean_all")
+    agg = rows.groupBy("modality").agg(
+        F.sum("n").alias("n_voxels"), F.first("mean_all").alias("mean"), F.sum(F.coalesce("m2", F.lit(0.0)) + F.coalesce(F.col("n") * off * off, F.lit(0.0))).alias("m2"), F.min("vmin").alias("vmin"), F.max("vmax").alias("vmax")
     )
-    mean = F.col("s1") / F.col("n_voxels")
-    total = F.greatest(F.col("m2") + F.col("s2") - F.col("n_voxels") * mean * mean, F.lit(0.0))
-    return agg.select("modality", "n_voxels", mean.alias("mean"), F.sqrt(total / F.col("n_voxels")).alias("std"), "vmin", "vmax")
+    return agg.select("modality", "n_voxels", "mean", F.sqrt(F.try_divide("m2", "n_voxels")).alias("std"), "vmin", "vmax").where("n_voxels > 0")
 
 
 def label_counts(samples: DataFrame, label: str = "label") -> DataFrame:
@@ -73,19 +88,56 @@ def seg_coverage(masks: DataFrame) -> DataFrame:
     return share.groupBy("mask").agg(F.avg("share").alias("coverage"))
 
 
-def sample_cap(voxels: DataFrame, cap: int, order: Column) -> DataFrame:
-    """At most cap voxels of each sample, the first by a hash order: a bounded pool for percentiles."""
-    rank = F.row_number().over(Window.partitionBy("sample_id").orderBy(order))
+def sample_cap(voxels: DataFrame, cap: int, order: Column, by: Sequence[str] = ("sample_id",)) -> DataFrame:
+    """At most cap voxels of each sample (or each value of by), the first by a hash order: a bounded pool for percentiles."""
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(order))
     return voxels.withColumn("__rank", rank).where(F.col("__rank") <= cap).drop("__rank")
 
 
-def compute_stats(samples: DataFrame, voxels: DataFrame, masks: DataFrame | None = None, modalities: Sequence[str] | None = None, mask: str | None = None, exact: bool = True) -> dict[str, DataFrame]:
-    """All statistics of a dataset as lazy tables: modalities, labels, shapes, coverage, n_files."""
+def save(stats: dict[str, DataFrame], folder: str, mode: str = "errorifexists") -> None:
+    """Statistics as JSON, a folder for each table."""
+    for name, df in stats.items():
+        df.write.mode(mode).json(f"{folder.rstrip('/')}/{name}")
+
+
+#: The tables of saved statistics, with their types.
+SAVED = {
+    "modalities": "modality string, n_voxels long, mean double, std double, vmin double, vmax double, p01 double, p99 double",
+    "labels": "label string, n long",
+    "shapes": "shape_key string, n long",
+    "n_files": "n_files long",
+    "coverage": "mask string, coverage double",
+}
+
+
+def load(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """Saved statistics by name; tables that weren't saved are left out."""
+    out = {}
+    for name, schema in SAVED.items():
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{name}")
+        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            out[name] = spark.read.schema(schema).json(f"{folder.rstrip('/')}/{name}")
+    return out
+
+
+def compute_stats(
+    samples: DataFrame, voxels: DataFrame, masks: DataFrame | None = None, modalities: Sequence[str] | None = None, mask: str | None = None, exact: bool = True, cap: int | None = None, seed: int = 0
+) -> dict[str, DataFrame]:
+    """All statistics of a dataset as lazy tables: modalities, labels, shapes, coverage, n_files.
+
+    With cap, percentiles are those of at most cap voxels of each sample and modality, drawn by a hash; the other
+    statistics are of all voxels."""
     if modalities is not None:
         voxels = voxels.where(F.col("modality").isin(list(modalities)))
     if mask is not None:
         voxels = foreground(voxels, mask)
-    out = {"modalities": modality_stats(voxels, exact=exact), "labels": label_counts(samples), "shapes": shape_histogram(samples), "n_files": samples.agg(F.count("*").alias("n_files"))}
+    found = modality_stats(voxels, exact=exact if cap is None else False)
+    if cap is not None:
+        place = [c for c in voxels.columns if c not in ("sample_id", "modality", "value", mask)]
+        pool = sample_cap(voxels, cap, F.xxhash64(F.lit(seed), "sample_id", "modality", *place), ("sample_id", "modality"))
+        own = pool.groupBy("modality").agg(F.percentile("value", F.lit(0.01)).alias("p01"), F.percentile("value", F.lit(0.99)).alias("p99"))
+        found = found.drop("p01", "p99").join(own, "modality", "left")
+    out = {"modalities": found, "labels": label_counts(samples), "shapes": shape_histogram(samples), "n_files": samples.agg(F.count("*").alias("n_files"))}
     if masks is not None:
         out["coverage"] = seg_coverage(masks)
     return out

@@ -7,6 +7,8 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .patches import draw
+
 
 def _only(modalities: Sequence[str] | None, new: Column) -> Column:
     return new if modalities is None else F.when(F.col("modality").isin(list(modalities)), new).otherwise(F.col("value"))
@@ -48,6 +50,19 @@ def flip_voxels(voxels: DataFrame, size: Sequence[int], axes: Sequence[int]) ->
     return voxels.withColumns({f"c{a}": F.lit(size[a] - 1) - F.col(f"c{a}") for a in axes})
 
 
+def random_flips(samples: DataFrame, axes: Sequence[int], p: float = 0.5, seed: int = 0, key: str = "sample_id") -> DataFrame:
+    """(key, flips array<int>): the axes along which each sample is mirrored, each with probability p, by hashes of seed, sample and axis."""
+    if not 0 <= p <= 1:
+        raise ValueError("p is a probability")
+    return samples.select(key, F.array_compact(F.array(*(F.when(draw(seed, key, F.lit(f"flip{a}")) < p, F.lit(int(a))) for a in axes))).alias("flips"))
+
+
+def random_flip(rows: DataFrame, flips: DataFrame, size: Sequence[int], key: str = "sample_id") -> DataFrame:
+    """Voxels or masks (c0, c1, ...) mirrored along their sample's flips; give both the same flips, so that they stay together."""
+    out = rows.join(flips, key, "left")
+    return out.withColumns({f"c{a}": F.when(F.coalesce(F.array_contains("flips", a), F.lit(False)), F.lit(s - 1) - F.col(f"c{a}")).otherwise(F.col(f"c{a}")) for a, s in enumerate(size)}).select(*rows.columns)
+
+
 def compose(*steps: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
     def run(df: DataFrame) -> DataFrame:
         for step in steps:

@@ -117,3 +117,43 @@ def extra_warnings(samples: DataFrame, key: str, extra: str = "extra") -> DataFr
         F.when(there("$.nnunetv2.labels") & ~kind("$.nnunetv2.labels").rlike("^OBJECT<([^:]+: BIGINT(, )?)*>$"), "nnunetv2.labels is not a map to integers"),
     ]
     return samples.select(key, F.explode(F.array_compact(F.array(*out))).alias("warning"))
+
+
+def metadata_issues(samples: DataFrame, key: str = "path") -> DataFrame:
+    """(key, problem) of metadata that doesn't fit its sample's axes: the number of which is the shape's.
+
+    Columns: shape, spacing, origin, direction (array of rows, or flat in direction_flat), axis_labels, patch_size and extra; those
+    that are absent or null are no problem. Numbers that aren't finite, and patches that aren't positive, are."""
+    kinds = {"shape": "array<bigint>", "spacing": "array<double>", "origin": "array<double>", "direction": "array<array<double>>", "direction_flat": "array<double>", "axis_labels": "array<string>", "patch_size": "array<bigint>", "extra": "string"}
+    rows = samples.select(key, *((F.col(c) if c in samples.columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()))
+    n = F.size("shape")
+
+    def bad(x: Column) -> Column:
+        return x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+
+    def length(c: str) -> Column:
+        return F.when(F.coalesce(F.size(c) != n, F.lit(False)), F.concat(F.lit(f"{c} has "), F.size(c).cast("string"), F.lit(" entries; the axes are "), n.cast("string")))
+
+    def numbers(c: str, x: Column) -> Column:
+        return F.when(F.coalesce(F.exists(x, bad), F.lit(False)), f"{c} has entries that aren't numbers")
+
+    square = F.coalesce((F.size("direction") != n) | F.exists("direction", lambda r: F.size(r) != n), F.lit(False))
+    found = F.array(
+        length("spacing"), length("origin"), length("axis_labels"), length("patch_size"), numbers("spacing", F.col("spacing")), numbers("origin", F.col("origin")), numbers("direction", F.flatten("direction")),
+        F.when(square, "direction isn't a square of the axes"), F.when(F.coalesce(F.size("direction_flat") != n * n, F.lit(False)), "direction isn't a square of the axes"),
+        F.when(F.coalesce(F.exists("axis_labels", lambda x: x.isNull()), F.lit(False)), "axis_labels has entries that aren't texts"),
+        F.when(F.coalesce(F.exists("patch_size", lambda x: x.isNull() | (x <= 0)), F.lit(False)), "patch_size has entries that aren't positive"),
+        F.when(F.col("extra").isNotNull() & F.try_parse_json("extra").isNull(), "extra is not JSON"),
+    )
+    return rows.select(key, F.explode(F.array_compact(found)).alias("problem"))
+
+
+def validity(samples: DataFrame, found: DataFrame, key: str = "path", strict: bool = False) -> DataFrame:
+    """(key, valid) of each sample: without errors, and if strict without warnings too."""
+    bad = (found if strict else found.where("severity = 'error'")).select(key).distinct().withColumn("__bad", F.lit(True))
+    return samples.select(key).join(bad, key, "left").select(key, F.col("__bad").isNull().alias("valid"))
+
+
+def is_valid(samples: DataFrame, key: str = "path", strict: bool = False) -> bool:
+    """Whether no sample has an issue that counts."""
+    return validity(samples, issues(samples, key), key, strict).where("not valid").isEmpty()

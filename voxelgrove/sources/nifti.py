@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import SourceError
+from ..operators import grids
 
 #: Data type codes of the format and numpy's names: fixed values.
 DTYPES = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4"}
@@ -175,19 +176,56 @@ def export(volumes: DataFrame, folder: str) -> None:
         out.close()
 
 
-def import_samples(images: DataFrame, files: DataFrame, same_grid: bool = True) -> DataFrame:
-    """(sample_id, modality, shape, data) of images (sample_id, modality, path) joined with read files.
-
-    With same_grid each modality must have the shape and, within 1e-5, the affine of the sample's first
-    modality by name; those that don't have a non-null problem."""
-    from pyspark.sql import Window
-
-    from ..functions.geometry import all_close
+def import_samples(images: DataFrame, files: DataFrame, same_grid: bool = True, onto: str | None = None, order: str = "linear") -> DataFrame:
+    """(sample_id, modality, shape, dtype, affine, data, problem) of images (sample_id, modality, path) joined with read files.
 
+    With onto, the name of a modality, all others are read on that one's grid. With same_grid each modality must then have
+    the shape and, within 1e-5, the affine of the sample's first modality by name; those that don't have a non-null problem."""
     rows = images.join(files, "path", "left")
-    first = Window.partitionBy("sample_id").orderBy("modality").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = rows.withColumns({"s0": F.first("shape").over(first), "a0": F.first("affine").over(first)})
+    if onto is not None:
+        target = rows.where((F.col("modality") == onto) & F.col("data").isNotNull()).select("sample_id", "shape", "affine")
+        rows = grids.resample_to(rows.where(F.col("modality") != onto), target, order).unionByName(rows.where(F.col("modality") == onto))
+    first = rows.groupBy("sample_id").agg(F.min_by(F.struct("shape", "affine"), "modality").alias("f"))
+    rows = rows.join(first, "sample_id")
     problem = F.when(F.col("data").isNull(), "unreadable or missing")
     if same_grid:
-        problem = problem.when(~F.col("shape").eqNullSafe(F.col("s0")), "shape differs").when(~all_close(F.col("affine"), F.col("a0")), "affine differs")
-    return rows.select("sample_id", "modality", "shape", "affine", "data", problem.alias("problem"))
+        problem = problem.when(~F.col("shape").eqNullSafe(F.col("f.shape")), "shape differs").when(~grids.same_grid(F.col("shape"), F.col("affine"), F.col("f.shape"), F.col("f.affine")), "affine differs")
+    return rows.select("sample_id", "modality", "shape", "dtype", "affine", "data", problem.alias("problem"))
+
+
+def import_masks(masks: DataFrame, files: DataFrame, grid: DataFrame, resample: bool = False) -> DataFrame:
+    """(sample_id, mask, shape, affine, data array<boolean>) of masks (sample_id, mask, path) joined with read files.
+
+    grid: (sample_id, shape, affine) of the images. A mask on another grid is read on the images', to the nearest point, if
+    resample, else it is an error; so is a file that can't be read. What isn't 0 is inside."""
+    rows = masks.join(files, "path", "left")
+    if bad := rows.where("data is null").select("sample_id", "mask", "path").orderBy("sample_id", "mask").first():
+        raise SourceError(f"{bad['sample_id']}, {bad['mask']}: {bad['path']} is unreadable or missing")
+    if resample:
+        rows = grids.resample_to(rows, grid, "nearest")
+    else:
+        own = grid.select("sample_id", F.col("shape").alias("__s"), F.col("affine").alias("__a"))
+        odd = rows.join(own, "sample_id", "left").where(~grids.same_grid(F.col("shape"), F.col("affine"), F.col("__s"), F.col("__a"))).orderBy("sample_id", "mask").first()
+        if odd:
+            raise SourceError(f"{odd['sample_id']}, {odd['mask']}: another grid than the images'; resample it")
+    return rows.select("sample_id", "mask", "shape", "affine", F.transform("data", lambda x: x != 0).alias("data"))
+
+
+def export_volumes(images: DataFrame, masks: DataFrame | None = None, modalities: list[str] | None = None, names: list[str] | None = None, suffix: str = ".nii.gz") -> DataFrame:
+    """(name, shape, dtype, affine, data) for export(): <sample>/image_<modality> and <sample>/seg_<mask> (uint8).
+
+    modalities and names restrict the two; one that a sample lacks is an error. Without an affine a volume has the unit one."""
+    def only(rows: DataFrame, column: str, wanted: list[str] | None) -> DataFrame:
+        if wanted is None:
+            return rows
+        ids = images.select("sample_id").distinct().withColumn(column, F.explode(F.array(*map(F.lit, wanted)).cast("array<string>")))
+        if lost := ids.join(rows.select("sample_id", column), ["sample_id", column], "left_anti").orderBy("sample_id", column).first():
+            raise SourceError(f"{lost['sample_id']} has no {column} {lost[column]}")
+        return rows.where(F.col(column).isin(wanted))
+
+    unit = F.array(*(F.lit(float(r == c)) for r in range(4) for c in range(4)))
+    out = only(images, "modality", modalities).select(F.concat(F.col("sample_id").cast("string"), F.lit("/image_"), "modality", F.lit(suffix)).alias("name"), "shape", "dtype", F.coalesce("affine", unit).alias("affine"), "data")
+    if masks is not None:
+        rows = only(masks, "mask", names)
+        out = out.union(rows.select(F.concat(F.col("sample_id").cast("string"), F.lit("/seg_"), "mask", F.lit(suffix)), "shape", F.lit("uint8"), F.coalesce("affine", unit), F.transform("data", lambda x: x.cast("double"))))
+    return out

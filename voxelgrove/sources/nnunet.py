@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Mapping
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import ValidationError
-from ..operators import cases, labels
+from ..operators import cases, grids, labels
 from . import nifti
 
 REQUIRED = ("channel_names", "labels", "numTraining", "file_ending")
@@ -60,20 +61,121 @@ def label_values(stored: Mapping[str, int] | None, masks: list[str]) -> dict[str
     return dict(stored) if stored else {"background": 0} | {m: i + 1 for i, m in enumerate(sorted(masks))}
 
 
-def export(volumes: DataFrame, folder: str, channels: Mapping[str, str], values: Mapping[str, int], ending: str = ".nii.gz") -> None:
-    """volumes (case_id, kind image or label, modality, shape, dtype, affine, data) as a dataset folder."""
+#: The version of what is kept of dataset.json beside the samples.
+KEPT_VERSION = 1
+
+
+def read_dataset(spark: SparkSession, root: str) -> dict:
+    """dataset.json of a folder, checked: one small file."""
+    rows = spark.read.text(f"{root.rstrip('/')}/dataset.json", wholetext=True).collect()
+    return check_dataset(rows[0][0])
+
+
+def kept_json(dataset: Mapping) -> str:
+    """What a sample keeps of dataset.json: all of it, with texts as channel numbers, and a version."""
+    channels = {str(k): v for k, v in sorted(dataset["channel_names"].items(), key=lambda x: int(x[0]))}
+    return json.dumps({**dataset, "channel_names": channels, "labels": dict(dataset["labels"]), "schema_version": KEPT_VERSION})
+
+
+def stem(path: str | Column) -> Column:
+    """The case of a file: its name without folders and its last ending, or without .nii.gz."""
+    return F.regexp_replace(F.regexp_extract(path, "([^/]+)$", 1), "(\\.nii\\.gz|\\.[^.]+)$", "")
+
+
+def collect_samples(paths: DataFrame, root: str) -> DataFrame:
+    """(path, part, case_id) of sample files under root: imagesTr and imagesTs if there is an imagesTr, else those right under root, all for training."""
+    inner = F.regexp_replace(F.col("path"), f"^(file:)?/*{re.escape(root.rstrip('/').removeprefix('file:').lstrip('/'))}/", "")
+    rows = paths.select("path", F.regexp_extract(inner, "^(?:(imagesTr|imagesTs)/)?[^/]+$", 0).alias("name"), F.regexp_extract(inner, "^(imagesTr|imagesTs)/[^/]+$", 1).alias("folder")).where("name <> ''")
+    split = not rows.where("folder = 'imagesTr'").isEmpty()
+    part = F.when(F.col("folder") == "imagesTr", "train").when(F.col("folder") == "imagesTs", "test") if split else F.when(F.col("folder") == "", "train")
+    return rows.select("path", part.alias("part"), stem("path").alias("case_id")).where("part is not null").orderBy("path")
+
+
+def import_dataset(spark: SparkSession, root: str, include_test: bool = True) -> dict[str, DataFrame]:
+    """samples, images and masks of a dataset folder.
+
+    samples: (sample_id, part, modalities, extra); images: (sample_id, part, modality, shape, dtype, affine, data); masks:
+    (sample_id, mask, shape, affine, data array<boolean>), one for each label but the background. Every case must have each channel
+    once and nothing else, training cases a label volume too, and all volumes of a case one grid; a label volume has declared
+    values only. What doesn't hold is an error that names the first such case. Files are read and parsed in tasks; the driver sees dataset.json."""
+    d = read_dataset(spark, root)
+    names = {int(k): v for k, v in d["channel_names"].items()}
+    ending, base = d["file_ending"], root.rstrip("/")
+    images, parts = None, [("train", "imagesTr")] + ([("test", "imagesTs")] if include_test and _exists(spark, f"{base}/imagesTs") else [])
+    modality = F.create_map(*(F.lit(x) for k, v in names.items() for x in (k, v)))
+    for part, folder in parts:
+        found = list_cases(spark, root, folder, ending)
+        wrong = cases.discover(found, channels=len(names)).where("missing <> '' or extra <> '' or duplicates > 0").orderBy("case_id").first()
+        if wrong:
+            raise ValidationError(f"{part} case {wrong['case_id']}: channels missing {wrong['missing'] or 'none'}, extra {wrong['extra'] or 'none'}, repeated {wrong['duplicates']}")
+        rows = found.select("path", F.col("case_id").alias("sample_id"), F.try_element_at(modality, F.col("channel")).alias("modality"), F.lit(part).alias("part"))
+        rows = rows.join(nifti.read(spark, f"{base}/{folder}", f"*{ending}"), "path")
+        images = rows if images is None else images.union(rows)
+    labels_read = nifti.read(spark, f"{base}/labelsTr", f"*{ending}").withColumn("sample_id", F.regexp_replace(F.regexp_extract("path", "([^/]+)$", 1), f"{re.escape(ending)}$", ""))
+    if bad := images.select("path", "error").union(labels_read.select("path", "error")).where("error is not null").orderBy("path").first():
+        raise ValidationError(f"{bad['path']}: {bad['error']}")
+    train = images.where("part = 'train'").select("sample_id").distinct()
+    for have, want, what in ((train, labels_read, "no label volume"), (labels_read, train, "a label volume but no images")):
+        if lost := have.select("sample_id").join(want.select("sample_id"), "sample_id", "left_anti").orderBy("sample_id").first():
+            raise ValidationError(f"case {lost['sample_id']}: {what}")
+    volumes = images.select("sample_id", "modality", "shape", "affine").union(labels_read.select("sample_id", F.lit("~label"), "shape", "affine"))
+    first = volumes.groupBy("sample_id").agg(F.min_by(F.struct("shape", "affine"), "modality").alias("f"))
+    if off := volumes.join(first, "sample_id").where(~grids.same_grid(F.col("shape"), F.col("affine"), F.col("f.shape"), F.col("f.affine"))).orderBy("sample_id", "modality").first():
+        raise ValidationError(f"case {off['sample_id']}: {off['modality'].lstrip('~')} lies on another grid")
+    declared = F.array(*(F.lit(float(v)) for v in d["labels"].values()))
+    if odd := labels_read.where(F.size(F.array_except("data", declared)) > 0).orderBy("sample_id").first():
+        raise ValidationError(f"case {odd['sample_id']}: undeclared label values")
+    each = F.array(*(F.struct(F.lit(k).alias("mask"), F.lit(float(v)).alias("value")) for k, v in d["labels"].items() if v))
+    masks = labels_read.select("sample_id", F.explode(each).alias("m"), "shape", "affine", "data")
+    masks = masks.select("sample_id", F.col("m.mask").alias("mask"), "shape", "affine", F.transform("data", lambda x: x == F.col("m.value")).alias("data"))
+    samples = images.groupBy("sample_id", "part").agg(F.array_sort(F.collect_set("modality")).alias("modalities")).withColumn("extra", F.lit(json.dumps({"nnunetv2": json.loads(kept_json(d))})))
+    return {"samples": samples, "images": images.select("sample_id", "part", "modality", "shape", "dtype", "affine", "data"), "masks": masks}
+
+
+def _exists(spark: SparkSession, folder: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
+def label_volumes(masks: DataFrame, values: Mapping[str, int]) -> DataFrame:
+    """(sample_id, shape, affine, data) of masks as one label volume each: the largest value of the masks a voxel is in, else 0.
+
+    A mask without a value is an error; a volume is one row, its masks are few and meet by an aggregate."""
+    if odd := masks.where(~F.col("mask").isin([k for k, v in values.items() if v])).select("sample_id", "mask").orderBy("sample_id", "mask").first():
+        raise ValidationError(f"case {odd['sample_id']}: mask {odd['mask']} has no label value")
+    value = F.try_element_at(F.create_map(*(F.lit(x) for k, v in values.items() for x in (k, float(v)))), F.col("mask"))
+    rows = masks.withColumn("data", F.transform("data", lambda x: F.when(x, value).otherwise(F.lit(0.0))))
+    whole = F.reduce(F.slice(F.collect_list("data"), 2, 1 << 30), F.get(F.collect_list("data"), F.lit(0)), lambda acc, x: F.zip_with(acc, x, lambda p, q: F.greatest(p, q)))
+    return rows.groupBy("sample_id").agg(F.first("shape").alias("shape"), F.first("affine").alias("affine"), whole.alias("data"))
+
+
+def export(volumes: DataFrame, folder: str, channels: Mapping[str, str], values: Mapping[str, int], ending: str = ".nii.gz", name: str | None = None) -> dict[str, int]:
+    """volumes (case_id, kind image or label, modality, shape, dtype, affine, data, optionally part train or test) as a dataset folder; (numTraining, numTest) as a dict.
+
+    Every case must have each channel once and no other, and training cases a label volume; else it is an error and nothing is written."""
     of = {v: int(k) for k, v in channels.items()}
+    volumes = volumes if "part" in volumes.columns else volumes.withColumn("part", F.lit("train"))
     image = volumes.where("kind = 'image'")
+    per_case = image.groupBy("case_id").agg(F.array_sort(F.collect_list("modality")).alias("have"), F.first("part").alias("part"))
+    want = F.array(*(F.lit(m) for m in sorted(of)))
+    if odd := per_case.where(F.col("have") != want).orderBy("case_id").first():
+        raise ValidationError(f"case {odd['case_id']}: channels {', '.join(odd['have'])} instead of {', '.join(sorted(of))}")
+    lab = volumes.where("kind = 'label'")
+    if lost := per_case.where("part = 'train'").join(lab.select("case_id"), "case_id", "left_anti").orderBy("case_id").first():
+        raise ValidationError(f"case {lost['case_id']}: no label volume")
     number = F.try_element_at(F.create_map(*(F.lit(x) for k, v in of.items() for x in (k, v))), F.col("modality"))
-    image = image.withColumn("name", F.concat(F.lit("imagesTr/"), cases.channel_name(F.col("case_id"), number, ending)))
-    lab = volumes.where("kind = 'label'").withColumn("name", F.concat(F.lit("labelsTr/"), F.col("case_id").cast("string"), F.lit(ending))).withColumn("dtype", F.lit(labels.label_dtype(values)))
+    place = F.when(F.col("part") == "test", "imagesTs/").otherwise("imagesTr/")
+    image = image.withColumn("name", F.concat(place, cases.channel_name(F.col("case_id"), number, ending)))
+    lab = lab.where("part <> 'test'").withColumn("name", F.concat(F.lit("labelsTr/"), F.col("case_id").cast("string"), F.lit(ending))).withColumn("dtype", F.lit(labels.label_dtype(values)))
     nifti.export(image.unionByName(lab), folder)
-    n = lab.count()
+    n = {r["part"]: r["count"] for r in per_case.groupBy("part").count().collect()}
     spark = volumes.sparkSession
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/dataset.json")
     out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
-    out.write(bytearray(json.dumps({"channel_names": dict(channels), "labels": dict(values), "numTraining": n, "file_ending": ending}).encode()))
+    told = {"channel_names": dict(channels), "labels": dict(values), "numTraining": n.get("train", 0), "file_ending": ending} | ({"name": name} if name else {})
+    out.write(bytearray(json.dumps(told).encode()))
     out.close()
+    return {"numTraining": n.get("train", 0), "numTest": n.get("test", 0)}
 
 
 def split_masks(data: np.ndarray, values: Mapping[str, int]) -> dict[str, np.ndarray]:

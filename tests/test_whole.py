@@ -50,7 +50,7 @@ def test_resampling_of_whole_volumes(spark, monkeypatch):
             y[1::2] = (x[:-1] + x[1:]) / 2
             x = np.moveaxis(y, 0, axis)
         assert sorted(got[i]) == list(range(343)) and np.abs([got[i][p] for p in range(343)] - x.ravel()).max() < 1e-6
-    assert catalogue.resample_linear(spark, d).count() == 12 * len(volumes) and set(shapes) == {(4, 4, 4)}
+    assert catalogue.resample_linear(spark, d).count() == 112 * len(volumes) and set(shapes) == {(4, 4, 4)}
 
 
 def test_recompress_gives_every_component(spark):

@@ -5,7 +5,6 @@ documents with labels for a manifest, events for reviews, parts for boxes and ge
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -13,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
-from ..operators import boxes, cases, checksum, edit, labels, manifest, patches, review, split, stats, transforms, validation
+from ..operators import boxes, cases, checksum, edit, grids, labels, manifest, patches, records, review, split, stats, transforms, validation
+from ..session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -80,12 +80,25 @@ def modality_stats_full(spark, d):
     return _rounded(stats.modality_stats(voxels(spark, d)), "mean", "std", "p01", "p99")
 
 
-@query(f"with {_VOX}, m as (select o_orderkey as sid, o_orderstatus <> 'F' as has_mask from orders) select modality, count(*) as n_voxels, round(avg(v), 6) as mean from v join m using (sid) where fg or not has_mask group by modality")
+@query(f"with {_VOX}, m as (select o_orderkey as sid, o_orderstatus <> 'F' as has_mask from orders) select {_STATS} from v join m using (sid) where fg or not has_mask group by modality")
 def modality_stats_fallback(spark, d):
     """Samples without a mask (orders of status F) count whole; a mask that is there but empty adds nothing."""
     masked = table(spark, d, "orders").select(F.col("o_orderkey").alias("sample_id"), (F.col("o_orderstatus") != "F").alias("has_mask"))
     rows = voxels(spark, d).join(masked, "sample_id").withColumn("mask", F.when(F.col("has_mask"), F.col("fg")))
-    return _rounded(stats.modality_stats(stats.foreground(rows, "mask"), exact=False), "mean").select("modality", "n_voxels", "mean")
+    return _rounded(stats.modality_stats(stats.foreground(rows, "mask")), "mean", "std", "p01", "p99")
+
+
+@query(f"with {_VOX}, m as (select o_orderkey as sid, o_orderstatus <> 'F' and o_orderkey % 5 <> 0 as fits from orders) select {_STATS} from v join m using (sid) where fg or not fits group by modality")
+def modality_stats_masked(spark, d):
+    """As with modality_stats_fallback, from tables of masks and shapes; masks of every fifth order have another shape than its images."""
+    rows = voxels(spark, d, position=True)
+    n = rows.groupBy("sample_id", "modality").agg(F.count("*").alias("n"))
+    with_mask = table(spark, d, "orders").where("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("sample_id"))
+    none = F.lit(None).cast("string")
+    its = n.where("modality = 'tax'").join(with_mask, "sample_id").select("sample_id", none.alias("modality"), F.lit("m").alias("mask"), F.array(F.col("n") + (F.col("sample_id") % 5 == 0).cast("long")).alias("shape"))
+    shapes = n.select("sample_id", "modality", none.alias("mask"), F.array("n").alias("shape")).union(its)
+    inside = rows.where("fg and modality = 'tax'").select("sample_id", F.lit("m").alias("mask"), "pos")
+    return _rounded(stats.modality_stats(stats.masked(rows, inside, "m", shapes)), "mean", "std", "p01", "p99")
 
 
 @query(f"with {_VOX} select sid as sample_id, modality, count(*) as n, round(avg(v), 6) as mean, round(sqrt(var_pop(v)), 5) as std, min(v) as vmin, max(v) as vmax from v group by all")
@@ -267,11 +280,11 @@ def bbox_issue_counts(spark, d):
     return boxes.clamp(part_boxes(spark, d), (50, 45, 8)).groupBy("issues").agg(F.count("*").alias("n"))
 
 
-@query(f"""with {_BOX}, p as (select s as sample_id, [s % 30, s % 20, s % 3] as st from range(100) t(s)), j as (select box_id, st, lo, hi from b join p using (sample_id))
+@query(f"""with {_BOX}, p as (select distinct sample_id, [sample_id % 30, sample_id % 20, sample_id % 3] as st from b), j as (select box_id, st, lo, hi from b join p using (sample_id))
 select box_id, """ + ", ".join(f"(lo[{a}] - st[{a}])::bigint as lo{a - 1}, (hi[{a}] - st[{a}])::bigint as hi{a - 1}" for a in (1, 2, 3)) + " from j where " + " and ".join(f"hi[{a}] - st[{a}] >= 0 and lo[{a}] - st[{a}] < {p}" for a, p in ((1, 16), (2, 16), (3, 4))))
 def patch_boxes(spark, d):
-    s = F.col("id")
-    where = spark.range(100).select(s.alias("sample_id"), F.array(s % 30, s % 20, s % 3).alias("start"))
+    s = F.col("sample_id")
+    where = part_boxes(spark, d).select("sample_id").distinct().select("sample_id", F.array(s % 30, s % 20, s % 3).alias("start"))
     out = boxes.in_patches(part_boxes(spark, d), where, (16, 16, 4))
     return out.select("box_id", *(F.get(c, F.lit(a)).alias(f"{c}{a}") for a in range(3) for c in ("lo", "hi")))
 
@@ -342,13 +355,14 @@ def affine_compose(spark, d):
     return rows.select("id", "r", F.posexplode("row").alias("c", "v")).select("id", "r", "c", (F.round("v", 6) + F.lit(0.0)).alias("v"))
 
 
-@query(f"with {_GEO} select id, (i - 1)::int as i, round(sp[i], 6) as spacing, round(og[i], 6) + 0.0 as origin, round(case i when 1 then c when 2 then s else 0 end, 6) + 0.0 as d0 from g, range(1, 4) x(i)")
+@query(f"with {_GEO}, t as (select *, [[c, -s, 0], [s, c, 0], [0, 0, 1]] as m from g) select id, (i - 1)::int as i, round(sp[i], 6) as spacing, round(og[i], 6) + 0.0 as origin, " + ", ".join(f"round(m[i][{k + 1}], 6) + 0.0 as d{k}" for k in range(3)) + " from t, range(1, 4) x(i)")
 def affine_decompose(spark, d):
     got = geo.decompose(F.col("m"))
     rows = part_geometry(spark, d).select("id", geo.affine(F.col("spacing"), F.col("origin"), F.col("direction")).alias("m"))
-    rows = rows.select("id", got["spacing"].alias("s"), got["origin"].alias("o"), F.transform(got["direction"], lambda r: F.get(r, 0)).alias("d"))
+    rows = rows.select("id", got["spacing"].alias("s"), got["origin"].alias("o"), got["direction"].alias("d"))
     rows = rows.select("id", F.posexplode(F.arrays_zip("s", "o", "d")).alias("i", "x"))
-    return rows.select("id", "i", F.round("x.s", 6).alias("spacing"), (F.round("x.o", 6) + F.lit(0.0)).alias("origin"), (F.round("x.d", 6) + F.lit(0.0)).alias("d0"))
+    z = lambda c: F.round(c, 6) + F.lit(0.0)
+    return rows.select("id", "i", F.round("x.s", 6).alias("spacing"), z(F.col("x.o")).alias("origin"), *(z(F.get("x.d", F.lit(k))).alias(f"d{k}") for k in range(3)))
 
 
 @query(f"with {_GEO} select id, round(og[1] + c * sp[1] * 3 + 0 * sp[3] * 5, 6) + 0.0 as o0, round(og[2] + s * sp[1] * 3, 6) + 0.0 as o1, round(og[3] + sp[3] * 5, 6) + 0.0 as o2, round(-c, 6) + 0.0 as d00, round(-s, 6) + 0.0 as d01, round(-s, 6) + 0.0 as d10m, -1.0::double as d22 from g")
@@ -369,13 +383,16 @@ def grid_equality(spark, d):
     return rows.select("id", geo.all_close(other, F.col("m")).alias("same_grid"))
 
 
-@query(f"with {_GEO} select id, 0.0::double as nx, 0.0::double as ny, 1.0::double as nz, round(og[3], 6) + 0.0 as pos from g")
+@query(f"with {_GEO}, t as (select id, og, s * sin(id / 20.0::double) as x, -c * sin(id / 20.0::double) as y, cos(id / 20.0::double) as z from g) select id, round(x, 6) + 0.0 as nx, round(y, 6) + 0.0 as ny, round(z, 6) + 0.0 as nz, round(og[1] * x + og[2] * y + og[3] * z, 4) + 0.0 as pos from t")
 def orientation_normal(spark, d):
-    """Normals of slices that lie in the rotated plane, from row and column directions of any length."""
-    col_of = lambda c: F.transform("direction", lambda r: F.get(r, F.lit(c)) * 3.0)
-    rows = part_geometry(spark, d).select("id", "origin", geo.slice_normal(col_of(0), col_of(1)).alias("n"))
-    z = lambda c: F.round(c, 6) + F.lit(0.0)
-    return rows.select("id", *(z(F.get("n", F.lit(a))).alias(c) for a, c in enumerate(("nx", "ny", "nz"))), z(geo.slice_position(F.col("origin"), F.col("n"))).alias("pos"))
+    """Normals of slices that are tilted about their rotated rows, from row and column directions of any length."""
+    tilt = F.col("id") / F.lit(20.0)
+    part_of = lambda r, c: F.get(F.get("direction", F.lit(r)), F.lit(c))
+    row = F.array(*(part_of(r, 0) * 3.0 for r in range(3)))
+    col = F.array(*(part_of(r, 1) * F.cos(tilt) * 2.0 for r in range(2)), F.sin(tilt) * 2.0)
+    rows = part_geometry(spark, d).select("id", "origin", geo.slice_normal(row, col).alias("n"))
+    z = lambda c, k=6: F.round(c, k) + F.lit(0.0)
+    return rows.select("id", *(z(F.get("n", F.lit(a))).alias(c) for a, c in enumerate(("nx", "ny", "nz"))), z(geo.slice_position(F.col("origin"), F.col("n")), 4).alias("pos"))
 
 
 # ---- labels, cases, series
@@ -461,18 +478,29 @@ def _linear_volumes(spark, d):
     return out.select(F.col("sample_id").alias("vec_id"), F.posexplode("data").alias("i", "v"))
 
 
-@query(f"with {_VOL} select vec_id, c0 * 3 + (c1 // 2) * 0 + k as idx, round((a + b) / 2, 6) as v from (select vec_id, c0, 0 as c1, k, max(case when c2 = k then v end) as a, max(case when c2 = k + 1 then v end) as b from x, range(3) t(k) where c1 = 0 group by all)")
+@query(f"with {_VOL}, g as (select c, k from range(7) r(c), range(2) u(k)) select vec_id, (c0 * 28 + c1 * 7 + c)::int as idx, round(avg(v), 6) + 0.0 as v from x join g on c2 = (c + k) // 2 group by vec_id, c0, c1, c")
 def resample_linear(spark, d):
-    """Half-way points along the last axis of the first row of each slab, out of whole resampled volumes."""
-    a, b, c = F.floor(F.col("i") / 49), F.floor(F.col("i") / 7) % 7, F.col("i") % 7
-    out = _linear_volumes(spark, d).where((a % 2 == 0) & (b == 0) & (c % 2 == 1))
-    return out.select("vec_id", (F.floor(a / 2) * 3 + F.floor(c / 2)).cast("long").alias("idx"), F.round("v", 6).alias("v"))
+    """Every point of whole volumes at twice the density of the last axis."""
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("sample_id"), F.col("embedding").alias("data"))
+    out = labels.resample(rows, (4, 4, 4), (4, 4, 7), (1, 1, 0.5), "linear")
+    return out.select(F.col("sample_id").alias("vec_id"), F.posexplode("data").alias("idx", "v")).withColumn("v", F.round("v", 6) + F.lit(0.0))
+
+
+@query(f"with {_VOL} select vec_id, (c1 * 16 + c0 * 4 + c2 - 1)::int as idx, round(v, 6) + 0.0 as v from x where c2 >= 1 union all select vec_id, (c1 * 16 + c0 * 4 + 3)::int, -1.0::double from x where c2 = 0")
+def resample_to_grid(spark, d):
+    """Whole volumes on a grid whose first two axes are swapped and whose last starts one point further on; -1 outside."""
+    matrix = lambda *rows: F.array(*(F.lit(float(x)) for r in rows for x in r))
+    shape = F.array(*[F.lit(4).cast("long")] * 3)
+    unit, turned = matrix((1, 0, 0, 0), (0, 1, 0, 0), (0, 0, 1, 0), (0, 0, 0, 1)), matrix((0, 1, 0, 0), (1, 0, 0, 0), (0, 0, 1, 1), (0, 0, 0, 1))
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("sample_id"), shape.alias("shape"), F.lit("float32").alias("dtype"), unit.alias("affine"), F.transform("embedding", lambda x: x.cast("double")).alias("data"))
+    out = grids.resample_to(rows, rows.select("sample_id", "shape", turned.alias("affine")), "linear", -1.0)
+    return out.select(F.col("sample_id").alias("vec_id"), F.posexplode("data").alias("idx", "v")).withColumn("v", F.round("v", 6) + F.lit(0.0))
 
 
-@query(f"with {_VOL}, g as (select a, b, c, (a + i) // 2 as ga, (b + j) // 2 as gb, (c + k) // 2 as gc from range(7) p(a), range(7) q(b), range(7) r(c), range(2) s(i), range(2) t(j), range(2) u(k)) select vec_id, (a * 49 + b * 7 + c)::int as idx, round(avg(v), 6) as v from x join g on c0 = ga and c1 = gb and c2 = gc group by vec_id, a, b, c")
+@query(f"with {_VOL}, g as (select a, b, c, (a + i) // 2 as ga, (b + j) // 2 as gb, (c + k) // 2 as gc from range(7) p(a), range(7) q(b), range(7) r(c), range(2) s(i), range(2) t(j), range(2) u(k)) select vec_id, (a * 49 + b * 7 + c)::int as idx, round(avg(v), 6) + 0.0 as v from x join g on c0 = ga and c1 = gb and c2 = gc group by vec_id, a, b, c")
 def resample_linear_volume(spark, d):
     """Every point of whole volumes at twice the density of each axis."""
-    return _linear_volumes(spark, d).select("vec_id", F.col("i").alias("idx"), F.round("v", 6).alias("v"))
+    return _linear_volumes(spark, d).select("vec_id", F.col("i").alias("idx"), (F.round("v", 6) + F.lit(0.0)).alias("v"))
 
 
 # ---- review, validation, checksum, edits
@@ -682,9 +710,9 @@ def modality_restriction(spark, d):
     return out["modalities"].select("modality", "n_voxels", "vmin", "vmax")
 
 
-@query(f"with {_REV}, c as (select sample_id, arg_max(status, (ts, seq)) as status from r group by 1) select u as sample_id, coalesce(c.status, 'pending') as review_status from range(200) t(u) left join c on c.sample_id = u")
+@query(f"with {_REV}, c as (select sample_id, arg_max(status, (ts, seq)) as status from r group by 1) select u as sample_id, coalesce(c.status, 'pending') as review_status from (select distinct user_id as u from events where user_id is not null union select * from range(200)) left join c on c.sample_id = u")
 def review_status_of(spark, d):
-    """All samples with events, and the ids below 200 so that some have none. The SQL says only the latter: on tables with more users it covers a part."""
+    """All samples with events, and the ids below 200 so that some have none."""
     ids = table(spark, d, "events").where("user_id is not null").select(F.col("user_id").alias("sample_id")).union(spark.range(200)).distinct()
     events = review_events(spark, d).withColumn("seq", F.struct("ts", "seq"))
     return review.status_of(ids, events)
@@ -694,8 +722,7 @@ def review_status_of(spark, d):
 
 
 def _scratch(spark: SparkSession) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="voxelgrove-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 @query("select doc_id, source, lang from documents")
@@ -720,12 +747,60 @@ def _recompressed(spark, d):
     return spark.read.parquet(path)
 
 
-@query("select vec_id, label, round(embedding[1]::double, 6) as v from embeddings")
+@query("select vec_id, label, len(embedding)::int as n, round(list_sum(list_transform(embedding, lambda x: x::double)), 5) + 0.0 as s, round(list_sum(list_transform(embedding, lambda x: x::double * x::double)), 5) as q from embeddings")
 def recompress(spark, d):
-    return _recompressed(spark, d).select("vec_id", "label", F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("v"))
+    """Of each vector after recompress the number of its components, their sum and the sum of their squares."""
+    add = lambda f: F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + f(x.cast("double")))
+    return _recompressed(spark, d).select("vec_id", "label", F.size("embedding").alias("n"), (F.round(add(lambda x: x), 5) + F.lit(0.0)).alias("s"), F.round(add(lambda x: x * x), 5).alias("q"))
 
 
 @query("select vec_id, label, (generate_subscripts(embedding, 1) - 1)::int as idx, unnest(embedding)::double as v from embeddings")
 def recompress_components(spark, d):
     """All components after recompress, not rounded."""
     return _recompressed(spark, d).select("vec_id", "label", F.posexplode("embedding").alias("idx", "v")).withColumn("v", F.col("v").cast("double"))
+
+
+# ---- metadata, validity, partial edits
+
+
+_META = "m as (select p_partkey as path, case when p_partkey % 7 = 0 then 2 else 3 end as ns, p_partkey % 11 = 0 as lost_row, p_partkey % 13 = 0 as flat, p_partkey % 17 = 0 as odd from part)"
+
+
+@query(f"""with {_META} select path, unnest(list_filter([case when ns = 2 then 'spacing has 2 entries; the axes are 3' end, case when odd then 'origin has entries that aren''t numbers' end, case when lost_row then 'direction isn''t a square of the axes' end,
+case when flat then 'patch_size has entries that aren''t positive' end], lambda x: x is not null)) as problem from m""")
+def metadata_issues(spark, d):
+    """Geometry of parts, of which some lack a spacing, a row of the direction, a number of the origin or a patch length."""
+    k, rows = F.col("id"), part_geometry(spark, d)
+    origin = F.when(k % 17 == 0, F.array(F.lit(1.0), F.lit(float("nan")), F.lit(0.0))).otherwise(F.col("origin"))
+    samples = rows.select(
+        k.alias("path"), F.array(*[F.lit(8).cast("long")] * 3).alias("shape"), F.when(k % 7 == 0, F.slice("spacing", 1, 2)).otherwise(F.col("spacing")).alias("spacing"), origin.alias("origin"),
+        F.when(k % 11 == 0, F.slice("direction", 1, 2)).otherwise(F.col("direction")).alias("direction"), F.array(F.lit(2), F.when(k % 13 == 0, 0).otherwise(2), F.lit(2)).alias("patch_size"),
+    )
+    return validation.metadata_issues(samples)
+
+
+@query(f"with {_META} select path, not (ns = 2 or lost_row or odd) as valid from m")
+def sample_validity(spark, d):
+    """The same parts: faults of the geometry are errors, those of patches warnings."""
+    found = metadata_issues(spark, d).withColumn("severity", F.when(F.col("problem").startswith("patch_size"), "warning").otherwise("error"))
+    return validation.validity(table(spark, d, "part").select(F.col("p_partkey").alias("path")), found)
+
+
+@query(f"with {_BOX}, n as (select box_id, sample_id, lo, hi, row_number() over (partition by sample_id order by box_id) - 1 as box from b) select box_id, box::bigint as box, lo[1]::bigint as lo0, hi[1]::bigint as hi0, case when sample_id % 3 = 0 then box / 8.0::double else box_id / 4.0::double end as score from n")
+def bbox_partial_update(spark, d):
+    """Scores alone replaced on the boxes of every third sample; ends and the other samples stay."""
+    rows = part_boxes(spark, d).withColumn("box", (F.row_number().over(Window.partitionBy("sample_id").orderBy("box_id")) - 1).cast("long"))
+    old = rows.withColumns({"score": F.col("box_id") / F.lit(4.0), "label": F.col("box_id").cast("string")})
+    new = rows.where("sample_id % 3 = 0").select("sample_id", "box", (F.col("box") / F.lit(8.0)).alias("score"))
+    out = edit.bbox_update(old.select("sample_id", "box", "lo", "hi", "score", "label"), new, ["score"])
+    return out.select(F.col("label").cast("long").alias("box_id"), "box", F.get("lo", F.lit(0)).alias("lo0"), F.get("hi", F.lit(0)).alias("hi0"), "score")
+
+
+@query("select doc_id::varchar as path, coalesce(lang, '') as label, row_number() over (order by doc_id::varchar) - 1 as place from documents")
+def records_in_order(spark, d):
+    """Records of documents as samples, in the order of their paths; places are counted within ranges of paths, then over the ranges."""
+    rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("lang").alias("label"))
+    found = records.build(rows).withColumn("range", F.substring("path", 1, 2))
+    before = found.groupBy("range").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # 110 ranges at most
+    place = F.row_number().over(Window.partitionBy("range").orderBy("path")) - 1
+    return found.withColumn("k", place).join(F.broadcast(before), "range").select("path", F.coalesce("label", F.lit("")).alias("label"), (F.col("before") + F.col("k")).cast("long").alias("place"))

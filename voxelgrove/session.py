@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -17,3 +20,17 @@ def session(app: str = "voxelgrove", **conf: str) -> SparkSession:
     for k, v in (settings | conf).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+_OWN: str | None = None
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """This application's folder below spark.checkpoint.dir, for tables between two steps. A session on one machine that names none gets a temporary one; on a cluster that is an error."""
+    global _OWN
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+        named = _OWN = _OWN or tempfile.mkdtemp(prefix="checkpoints-")
+    return f"{named.rstrip('/')}/voxelgrove-{spark.sparkContext.applicationId}"

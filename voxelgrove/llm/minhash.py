@@ -4,19 +4,16 @@
    member with the smallest id stands for it, so copies are never paired.
 2. One-permutation hashing with optimal densification gives 128 bins; 4 bins make a band, 32 bands. A pair of
    similarity 0.8 misses every band with probability (1 - 0.8**4)**32 = 4e-8.
-3. A bucket links its members to one of them: a star, so pairs grow with the number of members. A link whose star
-   had another centre is found in one of its other buckets, or as follows.
-4. Buckets whose members still lie in different components after verification are broken up: texts leave that can't
-   be linked by counting (too many of their shingles are in no other candidate), and the rest get FINE_BANDS
-   bands of FINE_ROWS from a longer signature, in which texts that aren't close part. Their buckets are stars first.
-   In those still in several components, the texts outside a large component meet it whole, in blocks; the counting is
-   done again without it, and the rest get stars around about GROWTH of their members, then GROWTH times more and so
-   on, until each bucket is one component or every member was a centre. A pair is made only in the first bucket that
-   both are in and only across components. So what is compared in pairs are texts whose similarity is near the
-   threshold; copies, however many, need one star.
-5. Candidates pass two filters (set sizes: exact; for sets of 256 shingles or more also 256 sketch bits: their
-   distance is 5.5 standard deviations or less above the mean at the threshold, which keeps all but 2e-8 of links), then are confirmed on their full sets
-   with integer arithmetic.
+3. A bucket links its members to its smallest member: a star. Buckets whose members still lie in different
+   components after verification are dealt again. First, texts leave that can't be linked by counting: those
+   with too many shingles that no other candidate has. Then those outside a bucket's largest component meet it
+   whole, in blocks, and the counting is done again without it. The rest get stars around the 32 members with
+   fewest such shingles, then around the next 992 and so on, until each bucket is one component or every member
+   was a centre; a pair is made only in the first bucket that both are in. So no link within a bucket is lost,
+   while buckets of true copies, however large, need one star.
+4. Candidates pass two filters: set sizes, which is exact, and for sets of 256 shingles or more 256 sketch bits. Those
+   of a pair at the threshold differ in so many that the limit is 5.5 standard deviations above the mean, if bins were
+   independent: 2e-8 of such links would be lost. Then candidates are confirmed on their full sets with integer arithmetic.
 """
 
 from __future__ import annotations
@@ -26,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, GroupedData
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 from .common import mix, settle, shingle_set, text_batches, words_of
@@ -34,38 +31,36 @@ from .graph import add_links, components
 
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
-#: The bands of texts that one star leaves in several components: a pair of similarity 0.8 misses all with
-#: probability (1 - 0.8**8)**64 = 8e-6, one of 0.5 meets in 0.25 buckets.
-FINE_BANDS, FINE_ROWS = 64, 8
-#: A bucket that these leave in several components gets about this many centres, then so many times more.
-GROWTH = 8
+#: A bucket that one star leaves in several components gets this many centres, then so many times more.
+GROWTH = 32
 #: Texts outside a component of GROUP or more texts of a bucket meet it whole, in blocks of about BLOCK texts.
 GROUP, BLOCK = 16, 512
+_EDGES = np.arange(1, BINS, dtype=np.uint64) << np.uint64(57)
 
 
-def signature(values: np.ndarray, bins: int = BINS) -> np.ndarray:
+def signature(values: np.ndarray) -> np.ndarray:
     """The least hash of each bin of a sorted, non-empty set; an empty bin copies the bin that its own probe
-    sequence of pairwise independent hashes meets first (optimal densification). bins is a power of two."""
-    shift = np.uint64(64 - (bins.bit_length() - 1))
-    at = np.concatenate([[0], np.searchsorted(values, np.arange(1, bins, dtype=np.uint64) << shift), [len(values)]])
+    sequence of pairwise independent hashes meets first (optimal densification)."""
+    at = np.concatenate([[0], np.searchsorted(values, _EDGES), [len(values)]])
     full = at[:-1] < at[1:]
     out = values[np.minimum(at[:-1], len(values) - 1)]
     empty = np.flatnonzero(~full)
     attempt = 0
     while len(empty):
         attempt += 1
-        donor = (mix(empty.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(attempt)) >> shift).astype(np.int64)
+        donor = (mix(empty.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(attempt)) >> np.uint64(57)).astype(np.int64)
         hit = full[donor]
         out[empty[hit]] = out[donor[hit]]
         empty = empty[~hit]
     return out
 
 
-def bands(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
-    """A hash of each `rows` consecutive bins."""
-    grid = sig.reshape(-1, rows)
-    h = mix(np.arange(1, len(grid) + 1, dtype=np.uint64) + np.uint64(1000 * (rows - ROWS)))
-    for col in grid.T:
+_SALT = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
+
+
+def bands(sig: np.ndarray) -> np.ndarray:
+    h = _SALT.copy()
+    for col in sig.reshape(BANDS, ROWS).T:
         h = mix(h ^ col)
     return h
 
@@ -114,15 +109,6 @@ def _sets(size: int):
     return run
 
 
-def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for at in range(0, b.num_rows, 512):
-            part = b.slice(at, 512)
-            found = [bands(signature(np.frombuffer(x.as_buffer(), np.uint64), FINE_BANDS * FINE_ROWS), FINE_ROWS) for x in part.column(1)]
-            offsets = pa.array(np.arange(len(found) + 1, dtype=np.int32) * FINE_BANDS)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(found).view(np.int64)))], names=["doc_id", "bands"])
-
-
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -153,72 +139,54 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = settle(texts.mapInArrow(_sign(words), _SIGNED))
     some = signed.where("fp is not null")
     groups = settle(some.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    reps = settle(some.join(groups.select(F.col("rep").alias("doc_id"), "fp"), ["doc_id", "fp"], "left_semi").dropDuplicates(["doc_id", "fp"]))
+    reps = settle(some.join(groups.select(F.col("rep").alias("doc_id"), "fp"), ["doc_id", "fp"], "left_semi"))
     several = some.groupBy("doc_id").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x <> y").select("doc_id")
-    known = some.join(several, "doc_id", "left_semi").join(groups, "fp").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    comps = link_components(texts, reps, words, percent, settle(known)).withColumnRenamed("node", "rep")
+    known = some.join(several, "doc_id", "left_semi").select("doc_id", "fp").join(groups, "fp").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    comps = link_components(texts, reps, words, percent, known).withColumnRenamed("node", "rep")
+    # Written, so that the join below has an exchange on either side and a hot class of copies can be split.
     classes = settle(groups.join(comps, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component")))
     out = signed.select("doc_id", "n_shingles", "fp").join(classes, "fp", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
-def _shared(member: DataFrame) -> DataFrame:
-    """member (bucket, doc_id) of the buckets with two documents or more, with one of them, drawn by a hash, as center."""
-    drawn = F.min(F.struct(F.xxhash64("bucket", "doc_id").alias("h"), F.col("doc_id").alias("center")))["center"]
-    shared = member.groupBy("bucket").agg(drawn.alias("center"), F.min("doc_id").alias("x"), F.max("doc_id").alias("y"))
-    return settle(member.join(settle(shared.where("x <> y").select("bucket", "center")), "bucket"))
-
-
 def link_components(texts: DataFrame, reps: DataFrame, words: int, percent: int, known: DataFrame) -> DataFrame:
     """(node, component) of the representatives that have a confirmed link, or one of known (a, b)."""
     low = reps.select("doc_id", "n_shingles", "s0", "s1", "s2", "s3")
-    member = _shared(reps.select(F.explode("bands").alias("bucket"), "doc_id"))
+    member = reps.select(F.explode("bands").alias("bucket"), "doc_id")
+    shared = member.groupBy("bucket").agg(F.min("doc_id").alias("center"), F.max("doc_id").alias("last")).where("center <> last")
+    member = settle(member.join(shared.select("bucket", "center"), "bucket"))
     inside = member.select("doc_id").distinct()
     sets = settle(texts.join(inside, "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id long, shingles binary"))
-    comps = components(_verify(_stars(member).distinct(), low, sets, percent).union(known))
-    todo = _linkable(_unresolved(member.select("bucket", "doc_id"), comps), sets, percent)
-    if todo.isEmpty():
-        return comps
-    left = sets.join(todo.select("doc_id").distinct(), "doc_id", "left_semi")
-    member = _shared(left.mapInArrow(_fine, "doc_id long, bands array<long>").select(F.explode("bands").alias("bucket"), "doc_id"))
-    new = settle(_verify(_apart(_stars(member).distinct(), comps), low, sets, percent))
-    if not new.isEmpty():
-        comps = add_links(comps, new)
-    todo = _linkable(_unresolved(member.select("bucket", "doc_id"), comps), sets, percent)
-    new, todo = _against_groups(todo, low, sets, percent)
+    stars = member.where("doc_id <> center").select(F.col("center").alias("a"), F.col("doc_id").alias("b")).distinct()
+    comps = components(_verify(stars, low, sets, percent).union(known))
+    todo = _unresolved(member.select("bucket", "doc_id"), comps)
+    todo = _linkable(todo, low, sets, percent)
+    new, todo = _against_groups(todo, sets, percent)
     if not new.isEmpty():
         comps = add_links(comps, new)
-    todo = _linkable(_unresolved(todo, comps), sets, percent).drop("component")
-    size = settle(todo.groupBy("bucket").agg(F.count("*").alias("size")))
-    buckets = todo.groupBy("doc_id").agg(F.array_sort(F.collect_set("bucket")).alias("buckets"))
-    order = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))  # the same in all buckets, so that a group has few centres
-    todo = settle(todo.join(size, "bucket").join(buckets, "doc_id").join(low, "doc_id").withColumn("order", order))
-    most, done = size.agg(F.max("size")).first()[0] or 0, 0
-    while done < most:
+    todo = _linkable(_unresolved(todo, comps).select("bucket", "doc_id", "component"), low, sets, percent)
+    todo = settle(todo.join(todo.groupBy("doc_id").agg(F.array_sort(F.collect_set("bucket")).alias("buckets")), "doc_id"))
+    first, done = 0, GROWTH
+    while True:
         todo = _unresolved(todo, comps)
-        first, done = done, max(GROWTH, GROWTH * done)
+        last = todo.agg(F.max("rank")).first()[0]
+        if last is None:
+            return comps
         side = {x: todo.select("bucket", *(F.col(c).alias(c + x) for c in todo.columns if c != "bucket")) for x in "ab"}
-        place = F.col("ordera") * F.col("sizea") / (1 << 30)
-        centers = side["a"].where((place >= first) & (place < done))
-        later = F.struct("orderb", "doc_idb") > F.struct("ordera", "doc_ida")
+        centers = side["a"].where((F.col("ranka") > first) & (F.col("ranka") <= done))
+        ordered = (F.col("rankb") > F.col("ranka")) & (F.col("componenta") != F.col("componentb"))
+        both = F.least(F.col("n_shinglesa") - F.col("uniquea"), F.col("n_shinglesb") - F.col("uniqueb"))
+        could = 100 * both >= percent * (F.col("n_shinglesa") + F.col("n_shinglesb") - both)
         once = F.array_min(F.array_intersect("bucketsa", "bucketsb")) == F.col("bucket")
-        pairs = side["b"].join(centers, "bucket").where(later & (F.col("componenta") != F.col("componentb")) & _alike(percent) & once)
-        new = settle(_confirmed(settle(pairs.select(F.col("doc_ida").alias("a"), F.col("doc_idb").alias("b"))), sets, percent))
+        pairs = side["b"].join(centers, "bucket").where(ordered & could & _alike(percent) & once)
+        pairs = settle(pairs.select(F.col("doc_ida").alias("a"), F.col("doc_idb").alias("b")))
+        new = settle(_confirmed(pairs, sets, percent))
         if not new.isEmpty():
             comps = add_links(comps, new)
-    return comps
-
-
-def _stars(member: DataFrame) -> DataFrame:
-    return member.where("doc_id <> center").select(F.least("doc_id", "center").alias("a"), F.greatest("doc_id", "center").alias("b"))
-
-
-def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose ends aren't in one component."""
-    for x in "ab":
-        pairs = pairs.join(comps.select(F.col("node").alias(x), F.col("component").alias("c" + x)), x, "left")
-    return pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+        if last <= done:
+            return comps
+        first, done = done, GROWTH * done
 
 
 def _unresolved(todo: DataFrame, comps: DataFrame) -> DataFrame:
@@ -226,79 +194,74 @@ def _unresolved(todo: DataFrame, comps: DataFrame) -> DataFrame:
     rows = todo.drop("component").join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     rows = rows.withColumn("component", F.coalesce("component", "doc_id"))
     split = rows.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1")
-    return settle(rows.join(settle(split.select("bucket")), "bucket", "left_semi"))
+    return settle(rows.join(split.select("bucket"), "bucket", "left_semi"))
 
 
-def _linkable(todo: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """todo without the texts that can't be linked to another text of todo by counting.
+def _linkable(todo: DataFrame, low: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """todo with sizes and sketches, unique (the shingles that no other text of todo has) and rank in the bucket.
 
-    Shared shingles are in another text of todo, so a text leaves if too few of its own are."""
+    Shared shingles aren't unique ones, so a text can't be linked if too many of its own are unique: it leaves.
+    The rest are ranked with the fewest unique first, as those are the likeliest centres."""
     ids = todo.select("doc_id").distinct()
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for doc, blob in zip(b.column(0).to_pylist(), b.column(1)):
                 x = np.frombuffer(blob.as_buffer(), dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(np.full(len(x), doc, np.int64)), pa.array(np.full(len(x), len(x), np.int64))], names=["shingle", "doc_id", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(np.full(len(x), doc, np.int64))], names=["shingle", "doc_id"])
 
-    each = sets.join(ids, "doc_id", "left_semi").select("doc_id", "shingles").mapInArrow(explode, "shingle long, doc_id long, n long")
-    lone = each.groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("other"), F.max("n").alias("n")).where("doc_id = other")
-    out = lone.groupBy("doc_id").agg(F.count("*").alias("unique"), F.max("n").alias("n")).where(100 * (F.col("n") - F.col("unique")) < percent * F.col("n"))
-    return settle(todo.join(out.select("doc_id"), "doc_id", "left_anti"))
+    each = sets.join(ids, "doc_id", "left_semi").select("doc_id", "shingles").mapInArrow(explode, "shingle long, doc_id long")
+    lone = each.groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("other")).where("doc_id = other")
+    lone = lone.groupBy("doc_id").agg(F.count("*").alias("unique"))
+    facts = low.join(ids, "doc_id", "left_semi").join(lone, "doc_id", "left").fillna(0, ["unique"])
+    facts = facts.where(100 * (F.col("n_shingles") - F.col("unique")) >= percent * F.col("n_shingles"))
+    order = Window.partitionBy("bucket").orderBy(F.col("unique") / F.col("n_shingles"), "doc_id")
+    return settle(todo.join(facts, "doc_id").withColumn("rank", F.row_number().over(order)))
 
 
-def _against_groups(todo: DataFrame, low: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def _against_groups(todo: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Links between a bucket's largest component, if it has GROUP texts or more, and the texts outside it; and
     todo without those components' rows, as all their pairs are done.
 
-    The texts outside meet the whole component in blocks, each a task's work, once for all buckets they share: a
-    text's sketch is held against the block's, and its set against those that are left. Pairs exist only within numpy."""
+    The texts outside meet the whole component in blocks, each a task's work: pairs exist only within numpy."""
     inside = todo.groupBy("bucket", "component").agg(F.count("*").alias("k")).where(F.col("k") >= GROUP)
     base = settle(inside.groupBy("bucket").agg(F.max_by("component", F.struct("k", "component")).alias("base")))
-    rows = settle(todo.join(base, "bucket", "left"))
+    rows = todo.join(base, "bucket")
     probes = settle(rows.where("component <> base").select("base", "doc_id").distinct())
-    members = rows.where("component = base").select("base", "doc_id").distinct()
+    members = todo.select(F.col("component").alias("base"), "doc_id").distinct().join(probes.select("base").distinct(), "base", "left_semi")
     sizes = [x.groupBy("base").agg((F.floor(F.count("*") / BLOCK) + 1).alias(n)) for x, n in ((probes, "ni"), (members, "nj"))]
     sizes = settle(sizes[0].join(sizes[1], "base"))
-    facts = settle(sets.join(low, "doc_id").join(probes.select("doc_id").union(members.select("doc_id")).distinct(), "doc_id", "left_semi"))
-    most, width = _bits(percent), 4
 
     def cells(x: DataFrame, mine: str, its: str, n_mine: str, n_its: str) -> GroupedData:
         x = x.join(sizes, "base").withColumn(mine, F.pmod(F.xxhash64("doc_id"), F.col(n_mine)))
-        x = x.join(facts, "doc_id").withColumn(its, F.explode(F.sequence(F.lit(0).cast("long"), F.col(n_its) - 1)))
-        return x.select(*(F.col(c).alias(c) for c in ("base", "i", "j", "doc_id", "shingles", *(f"s{k}" for k in range(width))))).groupBy("base", "i", "j")
+        x = x.join(sets, "doc_id").withColumn(its, F.explode(F.sequence(F.lit(0).cast("long"), F.col(n_its) - 1)))
+        return x.select(*(F.col(c).alias(c) for c in ("base", "i", "j", "doc_id", "shingles"))).groupBy("base", "i", "j")
 
     def meet(x: pa.Table, y: pa.Table) -> pa.Table:
         out = []
         if x.num_rows and y.num_rows:
-            left, right = ([np.frombuffer(v.as_buffer(), np.uint64) for v in t.column("shingles")] for t in (x, y))
-            marks = [np.stack([t.column(f"s{k}").to_numpy() for k in range(width)], axis=1) for t in (x, y)]
-            ids, size = y.column("doc_id").to_numpy(), np.array([len(v) for v in right])
-            for doc, mine, mark in zip(x.column("doc_id").to_pylist(), left, marks[0]):
-                small, large = np.minimum(size, len(mine)), np.maximum(size, len(mine))
-                near = (100 * small >= percent * large) & ((large < 256) | (np.bitwise_count(marks[1] ^ mark).sum(axis=1) <= most))
-                for k in np.flatnonzero(near & (ids != doc)).tolist():
-                    hit = np.minimum(np.searchsorted(mine, right[k]), len(mine) - 1)
-                    both = int(np.count_nonzero(mine[hit] == right[k]))
-                    if both and 100 * both >= percent * (len(mine) + size[k] - both):
-                        out.append((min(doc, ids[k]), max(doc, ids[k])))
-        return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
+            other, ids = [np.frombuffer(v.as_buffer(), np.uint64) for v in y.column("shingles")], y.column("doc_id").to_numpy()
+            size = np.array([len(v) for v in other])
+            flat, at = np.concatenate(other), np.concatenate([[0], np.cumsum(size)[:-1]])
+            for doc, blob in zip(x.column("doc_id").to_pylist(), x.column("shingles")):
+                mine = np.frombuffer(blob.as_buffer(), np.uint64)
+                hit = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat
+                both = np.add.reduceat(hit.astype(np.int64), at)
+                out += [(doc, k) for k in ids[100 * both >= percent * (size + len(mine) - both)].tolist() if k != doc]
+        return pa.table({"a": pa.array([min(p) for p in out], pa.int64()), "b": pa.array([max(p) for p in out], pa.int64())})
 
     met = cells(probes, "i", "j", "ni", "nj").cogroup(cells(members, "j", "i", "nj", "ni")).applyInArrow(meet, "a long, b long")
-    return settle(met), settle(rows.where("base is null or component <> base").drop("base"))
-
-
-def _bits(percent: int) -> float:
-    """The most bits in which the sketches of a link differ."""
-    far = 1 - percent / 100
-    return 128 * far + 5.5 * (128 * (1.5 * far - far * far)) ** 0.5
+    rest = todo.join(base, "bucket", "left").where("base is null or component <> base").drop("base")
+    return settle(met), settle(rest)
 
 
 def _alike(percent: int) -> Column:
     """Whether sizes and sketches of texts a and b let them be a link."""
+    far = 1 - percent / 100
+    most = 128 * far + 5.5 * (128 * (1.5 * far - far * far)) ** 0.5
     bits = sum(F.bit_count(F.col(f"s{k}a").bitwiseXOR(F.col(f"s{k}b"))) for k in range(4))
     small, large = F.least("n_shinglesa", "n_shinglesb"), F.greatest("n_shinglesa", "n_shinglesb")
-    return (100 * small >= percent * large) & ((large < 256) | (bits <= F.lit(_bits(percent))))
+    return (100 * small >= percent * large) & ((large < 256) | (bits <= F.lit(most)))
 
 
 def _verify(pairs: DataFrame, low: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -135,6 +135,26 @@ def test_top_k_equals_brute_force(spark, blocks):
     assert topk.top_k(df.limit(0), df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("blocks", [(16384, 8192), (40, 7)])
+def test_top_k_of_repeated_rows_and_shared_ids(spark, blocks):
+    """An item's score is the best of its vectors'; rows that are repeated, or a third of all, change nothing."""
+    rng = np.random.default_rng(8)
+    rows = [(int(i), [float(v) for v in rng.normal(0, 1, 6).astype(np.float32)]) for i in rng.integers(1, 40, 200)]
+    rows += [(20, rows[0][1])] * 120 + [(10, [9.0] * 6)] * 30 + [(33, [8.0] * 6)] * 30
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    got = topk.top_k(df, df.where("vec_id % 10 = 0"), candidates=blocks[0], query_rows=blocks[1]).collect()
+    best = {}
+    for a, x in ((i, np.floor(1024 * np.array(v))) for i, v in rows if i % 10 == 0):
+        for b, y in ((i, np.floor(1024 * np.array(v))) for i, v in rows):
+            if a != b:
+                best[a, b] = max(best.get((a, b), -(10**12)), int(x @ y))
+    want = []
+    for q in sorted({a for a, _ in best}):
+        top = sorted((-s, b) for (a, b), s in best.items() if a == q)[:10]
+        want += [(q, k + 1, b, -s) for k, (s, b) in enumerate(top)]
+    assert sorted(map(tuple, got)) == want
+
+
 def test_bounds_are_upper_bounds():
     rng = np.random.default_rng(5)
     q, c = rng.integers(-3000, 3000, (20, 13)), rng.integers(-3000, 3000, (40, 13))

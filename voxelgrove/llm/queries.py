@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ctw, cuckoo, langid, linededup, minhash, mixing, topk, urlfilter, warc
+from . import bpe, chat, ctw, cuckoo, langid, linededup, minhash, mixing, topk, urlfilter, warc
 from .common import table
 
 #: The rank file of op4 and of the pipeline.
@@ -79,6 +79,18 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("mix_domain").alias("domain"), F.col("mix_tokens").alias("n_tokens"), F.col("mix_target").alias("leaf_target"), "copies")
 
 
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and -7 of two turns that say marks."""
+    said = F.lit("</s>[INST] ok [/INST]")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    out = chat.format_chats(rows).withColumn("loss", chat.loss_text(F.col("formatted"), F.col("spans")))
+    read = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select(
+        "conv_id", "n_turns", F.sha2(read, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), "n_escaped",
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -87,7 +99,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_minhash_dedup, op2_line_dedup, op3_ctw_scoring, op4_byte_bpe, op5_exact_dedup, op6_url_filter, op7_warc_fixity, op8_exact_top_k, op9_language_id, op10_source_mixing)
+    for f in (op1_minhash_dedup, op2_line_dedup, op3_ctw_scoring, op4_byte_bpe, op5_exact_dedup, op6_url_filter, op7_warc_fixity, op8_exact_top_k, op9_language_id, op10_source_mixing, op13_chat_format)
 }
 
 _LINES = """
@@ -167,3 +179,15 @@ select doc_id, domain, n_tokens, target as leaf_target, (e + case when r > 0 and
 
 
 ORACLES["op10_source_mixing"] = _mixing_sql()
+
+_TAGS = {r: len(a) + len(b) + 2 for r, (a, b) in chat.MARKS.items()}
+ORACLES["op13_chat_format"] = f"""
+with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null
+  union all values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+m as (select *, regexp_matches(text, '{chat.MARK}') or regexp_matches(text, '{chat.ESCAPED}') as marked from t),
+e as (select *, length(case when marked then regexp_replace(text, '{chat.MARKED}', '\\1\\\\\\2\\3', 'g') else text end) as n,
+  case role {" ".join(f"when '{r}' then {n}" for r, n in _TAGS.items())} else {sum(map(len, chat.OTHER)) + 4} + length(replace(replace(role, '\\', '\\b'), '>', '\\g')) end as tags from m),
+g as (select conv_id, count(*) as n_turns, string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text) as said,
+  coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '') as loss, sum(n + tags)::bigint as formatted_chars, count(*) filter (marked) as n_escaped from e group by conv_id)
+select conv_id, n_turns, sha256(said) as turns_sha256, length(loss) as loss_chars, sha256(loss) as loss_sha256, formatted_chars, n_escaped from g
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, ctw, cuckoo, langid, linededup, minhash, mixing, topk, urlfilter, warc
+from . import bpe, chat, ctw, cuckoo, hardneg, langid, linededup, minhash, mixing, topk, urlfilter, warc
 from .common import table
 
 #: The rank file of op4 and of the pipeline.
@@ -79,6 +79,12 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("mix_domain").alias("domain"), F.col("mix_tokens").alias("n_tokens"), F.col("mix_target").alias("leaf_target"), "copies")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hardneg.hard_negatives(rows, rows.where("vec_id % 100 = 0")).drop("anchor_key")
+
+
 def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and -7 of two turns that say marks."""
     said = F.lit("</s>[INST] ok [/INST]")
@@ -99,7 +105,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_minhash_dedup, op2_line_dedup, op3_ctw_scoring, op4_byte_bpe, op5_exact_dedup, op6_url_filter, op7_warc_fixity, op8_exact_top_k, op9_language_id, op10_source_mixing, op13_chat_format)
+    for f in (op1_minhash_dedup, op2_line_dedup, op3_ctw_scoring, op4_byte_bpe, op5_exact_dedup, op6_url_filter, op7_warc_fixity, op8_exact_top_k, op9_language_id, op10_source_mixing, op11_hard_negatives, op13_chat_format)
 }
 
 _LINES = """
@@ -191,3 +197,13 @@ g as (select conv_id, count(*) as n_turns, string_agg(role || chr(10) || text ||
   coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '') as loss, sum(n + tags)::bigint as formatted_chars, count(*) filter (marked) as n_escaped from e group by conv_id)
 select conv_id, n_turns, sha256(said) as turns_sha256, length(loss) as loss_chars, sha256(loss) as loss_sha256, formatted_chars, n_escaped from g
 """
+
+ORACLES["op11_hard_negatives"] = f"""
+with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor({hardneg.SCALE} * x::double)::bigint) as e from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor_id, a.label = c.label as same, c.vec_id, list_sum(list_transform(list_zip(a.e, c.e), lambda p: p[1] * p[2]))::bigint as score from v a, v c where a.vec_id % 100 = 0 and c.vec_id <> a.vec_id),
+p as (select anchor_id, vec_id as positive_id, score as positive_score, row_number() over (partition by anchor_id order by score desc, vec_id) as positive_rank from s where same qualify positive_rank <= {hardneg.POSITIVES}),
+n as (select p.*, vec_id as negative_id, score as negative_score, row_number() over (partition by p.anchor_id, positive_id order by score desc, vec_id) as rank from p join s on s.anchor_id = p.anchor_id and not same
+  and {hardneg.LOW} * positive_score <= 100 * score and 100 * score <= 100 * positive_score qualify rank <= {hardneg.NEGATIVES})
+select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score, positive_rank::int as positive_rank from n
+"""

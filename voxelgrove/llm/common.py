@@ -116,10 +116,10 @@ def word_hashes(low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _ODD), starts
 
 
-def words_of(texts: list[bytes]) -> list[np.ndarray]:
+def words_of(texts: list[bytes], lower: np.ndarray = LOWER) -> list[np.ndarray]:
     """The word hashes of each text, in order; texts are packed into short buffers that fit the cache.
 
-    A text longer than a buffer is cut at white space, so memory holds one buffer and the hashes."""
+    lower gives what each byte counts as, 0x20 being white. A text longer than a buffer is cut at white space, so memory holds one buffer and the hashes."""
     out: list[np.ndarray] = [np.empty(0, dtype=np.uint64)] * len(texts)
     pack: list[int] = []
     held = 0
@@ -127,7 +127,7 @@ def words_of(texts: list[bytes]) -> list[np.ndarray]:
     def flush() -> None:
         nonlocal held
         if pack:
-            low = LOWER[np.frombuffer(b"\n".join(texts[i] for i in pack), dtype=np.uint8)]
+            low = lower[np.frombuffer(b"\n".join(texts[i] for i in pack), dtype=np.uint8)]
             hashes, starts = word_hashes(low)
             bounds = np.cumsum([len(texts[i]) + 1 for i in pack])
             for i, h in zip(pack, np.split(hashes, np.searchsorted(starts, bounds[:-1]))):
@@ -137,7 +137,7 @@ def words_of(texts: list[bytes]) -> list[np.ndarray]:
 
     for i, t in enumerate(texts):
         if len(t) > _SEGMENT:
-            out[i] = _long_words(t)
+            out[i] = _long_words(t, lower)
             continue
         if held + len(t) > _SEGMENT:
             flush()
@@ -147,19 +147,20 @@ def words_of(texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def _long_words(text: bytes) -> np.ndarray:
+def _long_words(text: bytes, lower: np.ndarray) -> np.ndarray:
+    is_white = lower == 0x20
     low, at, parts = np.frombuffer(text, dtype=np.uint8), 0, []
     while at < len(low):
         end = min(len(low), at + _SEGMENT)
-        while end < len(low) and not IS_WHITE[low[end]]:
+        while end < len(low) and not is_white[low[end]]:
             cut = low[at:end]
-            white = np.flatnonzero(IS_WHITE[cut[-4096:]])
+            white = np.flatnonzero(is_white[cut[-4096:]])
             if len(white):
                 end = end - len(cut[-4096:]) + int(white[-1])
             else:
-                ahead = np.flatnonzero(IS_WHITE[low[end : end + _SEGMENT]])
+                ahead = np.flatnonzero(is_white[low[end : end + _SEGMENT]])
                 end = end + int(ahead[0]) if len(ahead) else min(len(low), end + _SEGMENT)
-        parts.append(word_hashes(LOWER[low[at:end]])[0])
+        parts.append(word_hashes(lower[low[at:end]])[0])
         at = end
     return np.concatenate(parts)
 

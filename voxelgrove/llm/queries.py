@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, ctw, cuckoo, hardneg, langid, linededup, minhash, mixing, topk, urlfilter, warc
+from . import bpe, chat, ctw, cuckoo, hardneg, langid, lexical, linededup, minhash, mixing, topk, urlfilter, warc
 from .common import table
 
 #: The rank file of op4 and of the pipeline.
@@ -85,6 +85,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hardneg.hard_negatives(rows, rows.where("vec_id % 100 = 0")).drop("anchor_key")
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and -7 of two turns that say marks."""
     said = F.lit("</s>[INST] ok [/INST]")
@@ -105,7 +109,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_minhash_dedup, op2_line_dedup, op3_ctw_scoring, op4_byte_bpe, op5_exact_dedup, op6_url_filter, op7_warc_fixity, op8_exact_top_k, op9_language_id, op10_source_mixing, op11_hard_negatives, op13_chat_format)
+    for f in (op1_minhash_dedup, op2_line_dedup, op3_ctw_scoring, op4_byte_bpe, op5_exact_dedup, op6_url_filter, op7_warc_fixity, op8_exact_top_k, op9_language_id, op10_source_mixing, op11_hard_negatives, op12_lexical_search, op13_chat_format)
 }
 
 _LINES = """
@@ -207,3 +211,16 @@ n as (select p.*, vec_id as negative_id, score as negative_score, row_number() o
   and {hardneg.LOW} * positive_score <= 100 * score and 100 * score <= 100 * positive_score qualify rank <= {hardneg.NEGATIVES})
 select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score, positive_rank::int as positive_rank from n
 """
+
+_TERMS_OF = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+ORACLES["op12_lexical_search"] = f"""
+with d as (select doc_id, unnest({_TERMS_OF.format("text")}) as term from documents where text is not null),
+p as (select doc_id, term, count(*)::bigint as tf from d group by all),
+n as (select doc_id, sum(tf)::bigint as n from p group by doc_id),
+g as (select count(*)::bigint as docs, sum(n)::bigint as total from n),
+w as (select term, floor(1000 * ln((2 * docs::double + 2) / (2 * count(*)::double + 1)))::bigint as w from p, g group by term, docs),
+q as (select item_id, term, count(*)::bigint as q from (select item_id, unnest({_TERMS_OF.format("text")}) as term from benchmark where text is not null) group by all),
+m as (select doc_id, 25 + (75 * n * docs) // total as m from n, g),
+s as (select item_id, doc_id, sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint as score from q join w using (term) join p using (term) join m using (doc_id) group by all having score > 0)
+select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score from s qualify rank <= {lexical.K}
+"""

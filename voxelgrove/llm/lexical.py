@@ -22,9 +22,9 @@ from .common import LOWER, settle, words_of
 
 K = 10
 #: Terms (with repeats) of a segment's texts; a longer text is a segment of its own. Item terms of a block. Pairs of a text and an item term at a time.
-SEGMENT, BLOCK, STEP = 1 << 19, 200_000, 1 << 21
+SEGMENT, BLOCK, STEP = 1 << 18, 200_000, 1 << 19
 #: Segments' worth of texts that meet a block of items in one task.
-PER_CELL = 2
+PER_CELL = 4
 #: A text's length counts for PERCENT of a hundred; impacts are in millionths.
 PERCENT, ONE = 75, 1_000_000_000
 
@@ -122,7 +122,7 @@ def best_of_each(group: np.ndarray, value: np.ndarray, k: int, tie: np.ndarray |
     return order[np.arange(len(g)) - np.repeat(first, np.diff(np.append(first, len(g)))) < k]
 
 
-def _term_rows(n: int, total: int, k: int, most: int = 1 << 20):
+def _term_rows(n: int, total: int, k: int, most: int = 1 << 18):
     """Segments to (term, df, impacts): how many texts hold a term, and its k highest saturated frequencies, summed up in the task up to `most` numbers."""
 
     def rows(terms: np.ndarray, df: np.ndarray, owner: np.ndarray, top: np.ndarray) -> pa.RecordBatch:

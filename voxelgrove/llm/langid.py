@@ -163,9 +163,11 @@ def predict(w: dict[str, np.ndarray], texts: list[bytes]) -> np.ndarray:
 def training_sample(docs: DataFrame, learn: Column, id_col: str, text_col: str, lang_col: str) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(languages, windows, classes): PER_LANG texts of each language by a hash of the id, WINDOWS stretches of each.
 
+    Every labelled text with a letter can be drawn, however short; a stretch of fewer than SPAN bytes is repeated.
+
     Each task keeps its own first PER_LANG of a language before the shuffle, so no language gathers in one
     task, and at most MAX_LANGS * PER_LANG * WINDOWS * SPAN characters reach the driver: a sample of more is an error."""
-    ok = docs.where(learn & F.col(lang_col).isNotNull() & (F.length(text_col) >= 8))
+    ok = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).rlike("\\p{L}"))
     piece = [F.substr(F.col(text_col), (F.pmod(F.xxhash64(id_col, F.lit(k)), F.greatest(F.length(text_col) - SPAN, F.lit(1))) + 1).cast("int"), F.lit(SPAN)) for k in range(WINDOWS)]
     rows = ok.select(F.col(lang_col).alias("lang"), F.xxhash64(id_col, F.lit(1)).alias("order"), F.array(*piece).alias("pieces"))
     rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("order", "pieces"))).where(F.col("k") <= PER_LANG)
@@ -177,7 +179,7 @@ def training_sample(docs: DataFrame, learn: Column, id_col: str, text_col: str,
     for r in found:
         for p in r["pieces"]:
             b = p.encode()
-            if len(b) >= 4:
+            if b:
                 x.append(np.frombuffer((b * (SPAN // len(b) + 1))[:SPAN], np.uint8))
                 y.append(at[r["lang"]])
     return langs, np.array(x, dtype=np.uint8).reshape(-1, SPAN), np.array(y, dtype=np.int64)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +21,10 @@ from pyspark.sql import functions as F
 from .common import text_batches
 
 LEAF = 24
-#: Pieces and token pairs that a worker process remembers, about 250 bytes each: at most 32 MB of pieces and 16 MB of pairs.
+#: Token pairs that a worker process remembers, about 250 bytes each.
 CACHE = 1 << 16
+#: Pieces up to so many characters are remembered, in two generations of so many bytes: at most 32 MB of pieces, whatever their lengths.
+PIECE, HELD = 64, 16 << 20
 #: Tokens of a leaf of the tree that decoding goes up.
 DECODE_LEAF = 256
 
@@ -41,6 +44,7 @@ class TreeBPE:
         #: Ids of pieces; a full memory becomes the older one, from which pieces in use come back.
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.held = 0
 
     def leaf(self, piece: bytes) -> list[int]:
         """The plain merge loop, for short strings: always the lowest rank, leftmost first."""
@@ -99,12 +103,18 @@ class TreeBPE:
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
         pieces, known = self.split.findall(text), self.known
+        long: dict[str, bytes] = {}
         for piece in set(pieces).difference(known):
-            ids = self.older.get(piece)
-            known[piece] = np.array(self.encode_piece(piece.encode()), dtype="<u4").tobytes() if ids is None else ids
-        out = b"".join([known[p] for p in pieces])
-        if len(known) > CACHE:
-            self.known, self.older = {}, {p: x for p, x in known.items() if len(p) <= 64}
+            if (ids := self.older.get(piece)) is None:
+                ids = np.array(self.encode_piece(piece.encode()), dtype="<u4").tobytes()
+            if len(piece) > PIECE:
+                long[piece] = ids
+            else:
+                known[piece] = ids
+                self.held += sys.getsizeof(piece) + sys.getsizeof(ids) + 100  # 100: its place in the dictionary
+        out = b"".join([known[p] for p in pieces] if not long else [long[p] if p in long else known[p] for p in pieces])
+        if self.held > HELD:
+            self.known, self.older, self.held = {}, known, 0
         return out
 
     def decode(self, ids: bytes) -> bytes:

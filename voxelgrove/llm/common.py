@@ -53,6 +53,25 @@ def clear(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def set_aside(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with the columns that start with two underscores, as the operators' own do, under other names; and the way back."""
+    names, back = {c.lower() for c in df.columns}, {}
+    for c in df.columns:
+        if c.startswith("__"):
+            k = len(back)
+            while f"aside_{k}" in names:
+                k += 1
+            names.add(f"aside_{k}")
+            back[f"aside_{k}"] = c
+    return df.withColumnsRenamed({c: a for a, c in back.items()}), back
+
+
+def named_aside(back: dict[str, str], *names: str) -> list[str]:
+    """What columns are called after set_aside()."""
+    now = {c.lower(): a for a, c in back.items()}
+    return [now.get(n.lower(), n) for n in names]
+
+
 def text_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Has Spark hand rows with whole texts to Python `rows` at a time, where the session has Spark's own 10,000."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

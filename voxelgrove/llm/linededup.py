@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import named_aside, set_aside, settle
 
 #: A line on this many distinct sites is boilerplate.
 SITES = 10
@@ -60,7 +60,8 @@ def remove_boilerplate(docs: DataFrame, sites: int = SITES, margin: float = MARG
     apart by their texts: each loses its own lines, and of rows equal in both every one keeps a first occurrence.
     An empty table gives an empty one. Columns named like the added ones are replaced. The work on a text grows with
     its length, whatever the number of its lines and of those that go."""
-    docs = docs.drop("n_lines", "n_removed")
+    docs, back = set_aside(docs.drop("n_lines", "n_removed"))
+    id_col, text_col, site_col = named_aside(back, id_col, text_col, site_col)
     seen = settle(occurrences(docs, id_col, text_col, site_col))
     spread = spread_lines(seen, line_sketches(seen), sites, margin)
     gone = seen.join(spread, "line").where(F.struct("doc_id", "pos", "row") != F.col("first"))
@@ -77,4 +78,4 @@ def remove_boilerplate(docs: DataFrame, sites: int = SITES, margin: float = MARG
     n, k = F.coalesce(F.size(lines), F.lit(0)).cast("long"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long")
     n = F.when(F.col(text_col).isNull(), F.lit(0).cast("long")).otherwise(n)
     k = F.when(F.col("__gone").isNull(), F.lit(0).cast("long")).otherwise(k)
-    return out.withColumns({"n_lines": n, "n_removed": k}).withColumn(text_col, clean).drop("__gone", "__id", "__row")
+    return out.withColumns({"n_lines": n, "n_removed": k}).withColumn(text_col, clean).drop("__gone", "__id", "__row").withColumnsRenamed(back)

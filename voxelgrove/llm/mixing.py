@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle, small
+from .common import named_aside, set_aside, settle, small
 
 #: Shares of siblings, in whole units; names that aren't listed have DEFAULT.
 DOMAIN_WEIGHTS = {"web": 5, "reference": 3, "forum": 2}
@@ -74,7 +74,8 @@ def mix_sources(
     Null texts and texts without words have 0 tokens; an empty table gives an empty one. Columns of the added names are
     replaced. Texts are counted twice (for the plan and for the rows that are given back) and never shuffled: leaf plans
     and the prefix's last buckets are joined to them."""
-    docs = docs.drop("mix_domain", "mix_tokens", "mix_target", "copies")
+    docs, back = set_aside(docs.drop("mix_domain", "mix_tokens", "mix_target", "copies"))
+    id_col, text_col, lang_col, source_col = named_aside(back, id_col, text_col, lang_col, source_col)
     rows = docs.withColumns({"__l": F.coalesce(lang_col, F.lit("")), "__s": F.coalesce(source_col, F.lit("")), "__n": token_count(F.col(text_col)), "__i": F.col(id_col)})
     on = ["__l", "__s"]
     light = settle(rows.select("__i", "__n", *on))
@@ -107,4 +108,4 @@ def mix_sources(
     out = placed(rows).join(last.select(*on, "__last", "__upto"), on, "left")
     taken = (F.col("__r") > 0) & F.col("__i").isNotNull() & (F.col("__last").isNull() | (F.col("__b") < F.col("__last")) | F.coalesce(F.col("__o") <= F.col("__upto"), F.lit(False)))
     copies = (F.col("__e") + F.when(taken, 1).otherwise(0)).cast("int")
-    return out.select(*docs.columns, F.col("__d").alias("mix_domain"), F.col("__n").alias("mix_tokens"), F.col("__t").alias("mix_target"), copies.alias("copies"))
+    return out.select(*docs.columns, F.col("__d").alias("mix_domain"), F.col("__n").alias("mix_tokens"), F.col("__t").alias("mix_target"), copies.alias("copies")).withColumnsRenamed(back)

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import named_aside, set_aside
+
 #: (host, path, verdict). A rule fits its host and all subdomains where the path starts with the rule's.
 RULES = (
     ("com", "/en/", "block"),
@@ -123,10 +125,12 @@ def judge_urls(pages: DataFrame, url_col: str = "url", rules: Sequence[tuple[str
     block. A null URL or one without :// has an empty host and path and no rule; its terms still count (a null has none). Each
     row is judged by itself, so repeated rows come back as often; a URL of any length is read whole. No shuffle."""
     own = ("host", "path", "n_strict", "n_soft", "soft_weight", "rule", "verdict")
+    pages, back = set_aside(pages)
+    (url_col,) = named_aside(back, url_col)
     keep = [c for c in pages.columns if c not in own]
     url = F.col(url_col)
     out = pages.select(*keep, host_of(url).alias("host"), path_of(url).alias("path"), term_counts(strict, soft)(url).alias("__terms"))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     bad = (F.col("__terms.n_strict") >= 1) | ((F.col("__terms.n_soft") >= min_soft) & (F.col("__terms.soft_weight") >= min_weight))
     judged = F.coalesce(verdict, F.when(bad, "block").otherwise("allow"))
-    return out.select(*keep, "host", "path", "__terms.n_strict", "__terms.n_soft", "__terms.soft_weight", rule.alias("rule"), judged.alias("verdict"))
+    return out.select(*keep, "host", "path", "__terms.n_strict", "__terms.n_soft", "__terms.soft_weight", rule.alias("rule"), judged.alias("verdict")).withColumnsRenamed(back)

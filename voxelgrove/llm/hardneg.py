@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .topk import integer_vectors
+
 SCALE = 256
 #: Positives of an anchor, negatives of a positive, and the percentage of the positive's score that a negative has at least.
 POSITIVES, NEGATIVES, LOW = 5, 5, 80
@@ -28,20 +30,6 @@ MAX_NORM = 2.0**55
 _PACKED = "cell long, dim int, ids binary, keys binary, labels binary, vectors binary"
 
 
-def integer_vectors(v: pa.Array, scale: int, most: float) -> list[np.ndarray | None]:
-    """floor(scale * x) of each vector; None for the null or empty, and for those with a null or non-finite component or a squared norm over `most`."""
-    out: list[np.ndarray | None] = []
-    for x in v:
-        if not x.is_valid or x.values.null_count or not len(x.values):
-            out.append(None)
-            continue
-        y = np.floor(scale * x.values.to_numpy(zero_copy_only=False).astype(np.float64))
-        with np.errstate(over="ignore", invalid="ignore"):
-            fits = np.isfinite(y).all() and float(y @ y) <= most
-        out.append(y.astype(np.int64) if fits else None)
-    return out
-
-
 def _pack(scale: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """(cell, id, key, label, v) as byte strings, one row for each cell and length of vectors of a batch."""
 

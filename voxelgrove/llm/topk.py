@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 SCALE = 1024
 K = 10
+#: A vector's squared integer norm; by Cauchy-Schwarz all scores then fit 64 bits.
+MAX_NORM = 2.0**62
 #: Segments of each resolution.
 LEVELS = (4, 16)
 #: Rows of a block of candidates and of queries: a task holds one of each.
@@ -75,6 +77,20 @@ def _first_of_each(ids: np.ndarray, order: np.ndarray) -> np.ndarray:
     return order[np.sort(np.unique(ids[order], return_index=True)[1])]
 
 
+def integer_vectors(v: pa.Array, scale: int, most: float) -> list[np.ndarray | None]:
+    """floor(scale * x) of each vector; None for the null or empty, and for those with a null or non-finite component or a squared norm over `most`."""
+    out: list[np.ndarray | None] = []
+    for x in v:
+        if not x.is_valid or x.values.null_count or not len(x.values):
+            out.append(None)
+            continue
+        y = np.floor(scale * x.values.to_numpy(zero_copy_only=False).astype(np.float64))
+        with np.errstate(over="ignore", invalid="ignore"):
+            fits = np.isfinite(y).all() and float(y @ y) <= most
+        out.append(y.astype(np.int64) if fits else None)
+    return out
+
+
 _PACKED = "cell long, dim int, ids binary, vectors binary"
 
 
@@ -83,12 +99,9 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ids, vectors = b.column("id").to_numpy(zero_copy_only=False), b.column("v")
         groups: dict[tuple[int, int], dict[tuple[int, bytes], None]] = {}
-        for i, (cell, v) in enumerate(zip(b.column("cell").to_pylist(), vectors)):
-            if not v.is_valid or v.values.null_count or not len(v.values):
-                continue
-            x = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
-            if np.isfinite(x).all():
-                groups.setdefault((cell, len(x)), {})[int(ids[i]), np.floor(SCALE * x).astype(np.int64).tobytes()] = None
+        for i, (cell, x) in enumerate(zip(b.column("cell").to_pylist(), integer_vectors(vectors, SCALE, MAX_NORM))):
+            if x is not None:
+                groups.setdefault((cell, len(x)), {})[int(ids[i]), x.tobytes()] = None
         for (cell, dim), rows in groups.items():
             yield pa.RecordBatch.from_arrays(
                 [pa.array([cell], pa.int64()), pa.array([dim], pa.int32()), pa.array([np.array([i for i, _ in rows], np.int64).tobytes()]), pa.array([b"".join(v for _, v in rows)])],
@@ -105,7 +118,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, levels: Sequence[i
     """(query_id, rank, vec_id, score): each query's k best other vectors by the inner product of floor(1024 * x).
 
     Ties go to the smaller id; fewer than k candidates give them all. Null or empty vectors, and those with null
-    or non-finite components, take no part; only vectors of one length are compared. Rows without an id are dropped.
+    or non-finite components, or with a squared norm over 2**62 in integers, take no part; only vectors of one length are compared. Rows without an id are dropped.
     Rows that share one are one item of several vectors: a pair of items has one score, the best of its vectors', and an
     item is no candidate of its own; repeated rows change nothing. Vectors are dealt to blocks by id and components, and
     each pair of a candidate block and a query block is one task's work: candidates travel once per query block, queries

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import sys
 import zlib
 from collections import Counter
 
@@ -293,3 +294,24 @@ def test_language_corner_cases(spark):
     some = [(i, ("der die das " if i % 2 else "the of and ") * 20, "de" if i % 2 else "en", 0, "") for i in range(40)] + [(None, "the of and " * 20, "en", 0, "")]
     got = langid.identify_languages(spark.createDataFrame(some, schema)).collect()
     assert all(r["lang_pred"] == ("en" if r["doc_id"] is None or r["doc_id"] % 2 == 0 else "de") for r in got) and len(got) == 41
+
+
+def test_short_labelled_texts_are_learned(spark):
+    rows = [(i, "niño", "es") if i % 2 else (i, "the ", "en") for i in range(200)] + [(900 + i, "x", "y") for i in range(3)]
+    rows = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    got = langid.identify_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    want = dict((r[0], r[2]) for r in rows)
+    assert {r["doc_id"]: r["lang_pred"] for r in got.collect()} == want
+
+
+def test_memory_of_pieces_is_bounded_in_bytes(monkeypatch):
+    coder = bpe.TreeBPE(bpe.coder(RANKS, public_tokenizers.PATTERN).ranks, public_tokenizers.PATTERN)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=coder.ranks, special_tokens={})
+    text = " ".join("ab" * (5000 + i) for i in range(3)) + " short words"
+    assert np.frombuffer(coder.encode(text), "<u4").tolist() == library.encode_ordinary(text)
+    assert max(map(len, coder.known)) <= bpe.PIECE
+    monkeypatch.setattr(bpe, "HELD", 20_000)
+    for i in range(400):
+        text = " ".join(f"w{i * 7 + k}{'é' * (k % 60)}" for k in range(7))
+        assert np.frombuffer(coder.encode(text), "<u4").tolist() == library.encode_ordinary(text)
+        assert coder.held <= 20_000 and sum(sys.getsizeof(k) + sys.getsizeof(v) for d in (coder.known, coder.older) for k, v in d.items()) < 60_000

@@ -312,3 +312,26 @@ def test_pipeline_stages(spark):
     for r in last:
         assert r["ids_sha256"] == hashlib.sha256(coder.encode(text[r["doc_id"]])).hexdigest() and r["decoded_sha256"] == hashlib.sha256(text[r["doc_id"]].encode()).hexdigest()
     assert corpus_pipeline.run(spark, sf).count() > 100
+
+
+def test_columns_named_like_the_operators_own_come_back(spark):
+    """Every name with two underscores that mixing, line dedup and the URL filter use inside."""
+    own = ["__l", "__s", "__n", "__i", "__d", "__t", "__e", "__r", "__o", "__b", "__last", "__before", "__upto", "__id", "__row", "__gone", "__terms", "__N2", "aside_0"]
+    rows = [(i, f"line {i % 3}\nown {i}", "en", f"src{i % 20}", f"http://x/{i}", *range(100 * i, 100 * i + len(own))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, url string, " + ", ".join(f"{c} int" for c in own))
+    from voxelgrove.llm import linededup
+
+    for out in (mixing.mix_sources(df, source_tree(df)), linededup.remove_boilerplate(df), urlfilter.judge_urls(df)):
+        got = {r["doc_id"]: tuple(r[c] for c in own) for r in out.collect()}
+        assert got == {r[0]: r[5:] for r in rows} and [c for c in out.columns if c in df.columns] == df.columns
+    renamed = df.drop("__id", "__s", "__terms").withColumnsRenamed({"doc_id": "__id", "source": "__s", "url": "__terms"})
+    assert mixing.mix_sources(renamed, source_tree(df), id_col="__id", source_col="__s").count() == 60
+    assert linededup.remove_boilerplate(renamed, id_col="__id", site_col="__s").agg(F.sum("n_removed")).first()[0] == 57
+    assert urlfilter.judge_urls(renamed, url_col="__terms").where("host = 'x'").count() == 60
+
+
+def test_vectors_whose_scores_would_overflow_take_no_part(spark):
+    rows = [(0, [1.0, 0.5]), (1, [1e16, 0.0]), (2, [2.0, 2.0]), (3, [1e300, 1e300]), (4, [1e6, -1e6])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in topk.top_k(df, df.where("vec_id in (0, 1)")).collect()]
+    assert sorted(got) == [(0, 1, 4, 2**19 * 10**6), (0, 2, 2, 2**21 + 2**20)]

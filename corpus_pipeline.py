@@ -1,4 +1,4 @@
-"""The training-corpus pipeline: five stages over documents, each one of the operators in voxelgrove.llm.
+"""The training-corpus pipeline: five stages over documents, each one of the operators in voxelgrove.llm. Empty tables give empty ones.
 
 Every stage works on all that the stage before kept, and writes Parquet that the next one reads again."""
 
@@ -24,20 +24,20 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language that the network can tell; lang becomes the prediction."""
+    """Documents with a language that the network can tell; lang becomes the prediction. Rows are judged one by one, so repeats and ties don't matter."""
     named = langid.identify_languages(docs, with_text=True)
     return _documents(named.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).withColumn("lang", F.col("lang_pred")))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines go; so does a document of which nothing is left. n_chars follows the text."""
+    """Boilerplate lines go; so does a document of which nothing is left. n_chars follows the text. Rows with a null id stay as they are."""
     clean = linededup.remove_boilerplate(docs)
     left = (F.col("n_removed") == 0) | (F.length(F.btrim("text", F.lit(" \t\r\n\x0b\x0c"))) > 0)
     return _documents(clean.where(left).withColumn("n_chars", F.length("text").cast("long")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the smallest id."""
+    """One document of each group of near duplicates stays: the one with the smallest id, and all rows that have it. Documents with a null id go."""
     kept = minhash.near_duplicates(docs, words=5, percent=80).where("kept").select("doc_id")
     return _documents(docs.join(kept, "doc_id", "left_semi"))
 

@@ -15,7 +15,8 @@ def case_files(files: DataFrame, ending: str = ".nii.gz", name: str = "name") ->
 
 
 def channel_name(case: Column, channel: Column, ending: str = ".nii.gz") -> Column:
-    return F.concat(case.cast("string"), F.lit("_"), F.lpad(channel.cast("string"), 4, "0"), F.lit(ending))
+    """<case>_<channel><ending>; a channel has four digits, and more where it needs them. A null in either gives null."""
+    return F.concat(case.cast("string"), F.lit("_"), F.when(channel.isNotNull(), F.format_string("%04d", channel.cast("long"))), F.lit(ending))
 
 
 def discover(found: DataFrame, keys: str = "case_id", channels: int | None = None) -> DataFrame:

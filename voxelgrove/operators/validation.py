@@ -32,15 +32,15 @@ def rules() -> list[tuple[str, str, Column, Column]]:
         ("image_shape_mismatch", "error", go & (F.size(F.array_distinct("image_shapes")) > 1), F.lit("images")),
         ("missing_schema_version", "error", go & c("schema_version").isNull(), none),
         ("metadata_read_failed", "error", go & unreadable, none),
-        ("metadata_invalid", "error", on & F.coalesce(F.size("spacing") != F.size("shape"), F.lit(False)), none),
+        ("metadata_invalid", "error", on & (F.size(F.array_compact(F.array(*metadata_problems()))) > 0), none),
         ("missing_image_names", "warning", on & c("image_names").isNull(), none),
         ("image_names_mismatch", "error", on & c("image_names").isNotNull() & ~_same("image_names", "images"), F.lit("images")),
         ("shape_mismatch", "error", on & c("shape").isNotNull() & ~F.array_contains(F.transform("image_shapes", lambda s: s), F.array_join("shape", "x")), F.lit("images")),
         ("seg_presence_mismatch", "error", on & (c("has_seg") != (segs > 0)), F.lit("seg")),
         ("seg_names_mismatch", "error", on & (segs > 0) & ~_same("seg_names", "seg"), F.lit("seg")),
-        ("seg_shape_mismatch", "error", on & F.coalesce(F.exists("seg_shapes", lambda s: s != F.array_join("shape", "x")), F.lit(False)), F.lit("seg")),
+        ("seg_shape_mismatch", "error", on & F.coalesce(F.exists("seg_shapes", lambda s: s != F.get("image_shapes", F.lit(0))), F.lit(False)), F.lit("seg")),
         ("bbox_presence_mismatch", "error", on & (c("has_bbox") != c("n_boxes").isNotNull()), F.lit("bboxes")),
-        ("bbox_shape_invalid", "error", on & F.coalesce(c("box_axes") != F.size("shape"), F.lit(False)), F.lit("bboxes")),
+        ("bbox_shape_invalid", "error", on & F.coalesce(c("box_axes") != F.size(F.split(F.get("image_shapes", F.lit(0)), "x")), F.lit(False)), F.lit("bboxes")),
         ("bbox_scores_mismatch", "error", on & F.coalesce(c("n_scores") != c("n_boxes"), F.lit(False)), F.lit("bbox_scores")),
         ("bbox_labels_mismatch", "error", on & F.coalesce(c("n_box_labels") != c("n_boxes"), F.lit(False)), F.lit("bbox_labels")),
         ("bbox_dependents_without_bboxes", "error", on & c("n_boxes").isNull() & (c("n_scores").isNotNull() | c("n_box_labels").isNotNull()), F.lit("bboxes")),
@@ -53,15 +53,14 @@ def rules() -> list[tuple[str, str, Column, Column]]:
 COLUMNS = {
     "open_error": "string", "images": "array<string>", "image_shapes": "array<string>", "schema_version": "string", "shape": "array<bigint>", "spacing": "array<double>", "image_names": "array<string>",
     "has_seg": "boolean", "seg": "array<string>", "seg_names": "array<string>", "seg_shapes": "array<string>", "has_bbox": "boolean", "n_boxes": "bigint", "box_axes": "bigint", "n_scores": "bigint", "n_box_labels": "bigint",
-    "checksum": "string", "computed": "string",
+    "checksum": "string", "computed": "string", "origin": "array<double>", "direction": "array<array<double>>", "direction_flat": "array<double>", "axis_labels": "array<string>", "patch_size": "array<bigint>",
 }
 
 
 def issues(samples: DataFrame, key: str = "path") -> DataFrame:
     """(key, severity, code, location): all issues, made in one pass without a shuffle."""
-    for name, kind in COLUMNS.items():
-        if name not in samples.columns:
-            samples = samples.withColumn(name, F.lit(None).cast(kind))
+    absent = {name: F.lit(None).cast(kind) for name, kind in COLUMNS.items() if name not in samples.columns}
+    samples = samples.withColumns(absent) if absent else samples
     found = [F.when(broken, F.struct(F.lit(sev).alias("severity"), F.lit(code).alias("code"), where.alias("location"))) for code, sev, broken, where in rules()]
     return samples.select(key, F.inline(F.array_compact(F.array(*found))))
 
@@ -119,13 +118,8 @@ def extra_warnings(samples: DataFrame, key: str, extra: str = "extra") -> DataFr
     return samples.select(key, F.explode(F.array_compact(F.array(*out))).alias("warning"))
 
 
-def metadata_issues(samples: DataFrame, key: str = "path") -> DataFrame:
-    """(key, problem) of metadata that doesn't fit its sample's axes: the number of which is the shape's.
-
-    Columns: shape, spacing, origin, direction (array of rows, or flat in direction_flat), axis_labels, patch_size and extra; those
-    that are absent or null are no problem. Numbers that aren't finite, and patches that aren't positive, are."""
-    kinds = {"shape": "array<bigint>", "spacing": "array<double>", "origin": "array<double>", "direction": "array<array<double>>", "direction_flat": "array<double>", "axis_labels": "array<string>", "patch_size": "array<bigint>", "extra": "string"}
-    rows = samples.select(key, *((F.col(c) if c in samples.columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()))
+def metadata_problems() -> list[Column]:
+    """One expression for each way in which metadata may not fit the axes, the number of which is the shape's: a text, or null."""
     n = F.size("shape")
 
     def bad(x: Column) -> Column:
@@ -138,13 +132,22 @@ def metadata_issues(samples: DataFrame, key: str = "path") -> DataFrame:
         return F.when(F.coalesce(F.exists(x, bad), F.lit(False)), f"{c} has entries that aren't numbers")
 
     square = F.coalesce((F.size("direction") != n) | F.exists("direction", lambda r: F.size(r) != n), F.lit(False))
-    found = F.array(
+    return [
         length("spacing"), length("origin"), length("axis_labels"), length("patch_size"), numbers("spacing", F.col("spacing")), numbers("origin", F.col("origin")), numbers("direction", F.flatten("direction")),
         F.when(square, "direction isn't a square of the axes"), F.when(F.coalesce(F.size("direction_flat") != n * n, F.lit(False)), "direction isn't a square of the axes"),
         F.when(F.coalesce(F.exists("axis_labels", lambda x: x.isNull()), F.lit(False)), "axis_labels has entries that aren't texts"),
         F.when(F.coalesce(F.exists("patch_size", lambda x: x.isNull() | (x <= 0)), F.lit(False)), "patch_size has entries that aren't positive"),
-        F.when(F.col("extra").isNotNull() & F.try_parse_json("extra").isNull(), "extra is not JSON"),
-    )
+    ]
+
+
+def metadata_issues(samples: DataFrame, key: str = "path") -> DataFrame:
+    """(key, problem) of metadata that doesn't fit its sample's axes.
+
+    Columns: shape, spacing, origin, direction (array of rows, or flat in direction_flat), axis_labels, patch_size and extra; those
+    that are absent or null are no problem. Numbers that aren't finite, and patches that aren't positive, are."""
+    kinds = {"shape": "array<bigint>", "spacing": "array<double>", "origin": "array<double>", "direction": "array<array<double>>", "direction_flat": "array<double>", "axis_labels": "array<string>", "patch_size": "array<bigint>", "extra": "string"}
+    rows = samples.select(key, *((F.col(c) if c in samples.columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()))
+    found = F.array(*metadata_problems(), F.when(F.col("extra").isNotNull() & F.try_parse_json("extra").isNull(), "extra is not JSON"))
     return rows.select(key, F.explode(F.array_compact(found)).alias("problem"))
 
 

@@ -438,6 +438,13 @@ def case_discovery(spark, d):
     return found.where("missing = '' and extra = '' and duplicates = 0").select(F.col("case_id").cast("long").alias("case_id"), "n")
 
 
+@query("select o_orderkey as case_id, o_custkey * 13 as channel, o_orderkey || '_' || lpad((o_custkey * 13)::varchar, greatest(4, length((o_custkey * 13)::varchar))::int, '0') || '.nii.gz' as name from orders")
+def case_channel_names(spark, d):
+    """Names of channels below and beyond 9999: no two channels of a case share one."""
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("case_id"), (F.col("o_custkey") * 13).alias("channel"))
+    return rows.withColumn("name", cases.channel_name(F.col("case_id"), F.col("channel")))
+
+
 @query("""with f as (select conv_id, turn from conversations where not (conv_id % 5 = 0 and turn = 1) union all select conv_id, turn from conversations where conv_id % 7 = 0 and turn = 0),
 g as (select conv_id, count(*) as files, list_sort(list(distinct turn)) as have from f group by 1)
 select conv_id as case_id, len(have)::bigint as n, (files - len(have))::bigint as duplicates, array_to_string(list_filter(range(0, 2), lambda x: not list_contains(have, x)), ',') as missing, array_to_string(list_filter(have, lambda x: x > 1), ',') as extra from g""")
@@ -533,11 +540,15 @@ def review_list_counts(spark, d):
 def document_samples(spark, d):
     """The documents as samples, with faults that depend on the id."""
     k, n = F.col("doc_id"), F.lit(None)
-    one = F.array(F.lit("text"))
+    one, m = F.array(F.lit("text")), k % 12
+    mask = F.array(F.lit("m"))
     return table(spark, d, "documents").select(
         k.alias("path"), F.when(k % 97 == 0, "unreadable").alias("open_error"), F.when(k % 89 == 0, n.cast("array<string>")).when(k % 83 == 0, F.array().cast("array<string>")).otherwise(one).alias("images"),
         F.when(k % 79 == 0, F.array(F.lit("1"), F.lit("2"))).otherwise(F.array(F.col("n_chars").cast("string"))).alias("image_shapes"), F.when(k % 73 == 0, n.cast("string")).when(k % 71 == 0, F.lit("2")).otherwise(F.lit("1")).alias("schema_version"),
-        F.array("n_chars").alias("shape"), F.array(F.lit(1.0)).alias("spacing"), F.when(k % 67 == 0, n.cast("array<string>")).otherwise(F.array(F.when(k % 61 == 0, "other").otherwise("text"))).alias("image_names"), F.lit(False).alias("has_seg"), F.lit(False).alias("has_bbox"),
+        F.array("n_chars").alias("shape"), F.array(F.lit(1.0)).alias("spacing"), F.when(k % 67 == 0, n.cast("array<string>")).otherwise(F.array(F.when(k % 61 == 0, "other").otherwise("text"))).alias("image_names"), 
+        m.isin(2, 3).alias("has_seg"), F.when(m.isin(1, 2, 3), mask).alias("seg"), F.when(m == 2, F.array(F.lit("x"))).when(m.isin(1, 3), mask).alias("seg_names"), F.when(m == 3, F.array(F.lit("9x9"))).when(m.isin(1, 2), F.array(F.col("n_chars").cast("string"))).alias("seg_shapes"),
+        m.isin(4, 5, 6, 7).alias("has_bbox"), F.when(m.isin(5, 6, 7), 2).cast("long").alias("n_boxes"), F.when(m == 5, 9).when(m.isin(6, 7), 1).cast("long").alias("box_axes"), F.when(m == 6, 3).when(m.isin(5, 7, 8), 2).cast("long").alias("n_scores"), F.when(m == 7, 1).cast("long").alias("n_box_labels"),
+        F.when(m == 9, F.array(F.lit(0.0), F.lit(0.0))).when(m == 10, F.array(F.lit(float("nan")))).otherwise(F.array(F.lit(0.0))).alias("origin"),
         F.when(k % 59 != 0, F.md5(k.cast("string").cast("binary"))).alias("checksum"), F.when(k % 53 != 0, F.md5(k.cast("string").cast("binary"))).otherwise("0").alias("computed"),
     )
 
@@ -553,6 +564,15 @@ union all select path, 'error', 'metadata_read_failed', null from g where go and
 union all select path, 'warning', 'missing_image_names', null from g where onn and i % 67 = 0
 union all select path, 'error', 'image_names_mismatch', 'images' from g where onn and i % 67 <> 0 and i % 61 = 0
 union all select path, 'error', 'shape_mismatch', 'images' from g where onn and i % 79 = 0
+union all select path, 'error', 'metadata_invalid', null from g where onn and i % 12 in (9, 10)
+union all select path, 'error', 'seg_presence_mismatch', 'seg' from g where onn and i % 12 = 1
+union all select path, 'error', 'seg_names_mismatch', 'seg' from g where onn and i % 12 = 2
+union all select path, 'error', 'seg_shape_mismatch', 'seg' from g where onn and i % 12 = 3 or onn and i % 12 in (1, 2) and i % 79 = 0
+union all select path, 'error', 'bbox_presence_mismatch', 'bboxes' from g where onn and i % 12 = 4
+union all select path, 'error', 'bbox_shape_invalid', 'bboxes' from g where onn and i % 12 = 5
+union all select path, 'error', 'bbox_scores_mismatch', 'bbox_scores' from g where onn and i % 12 = 6
+union all select path, 'error', 'bbox_labels_mismatch', 'bbox_labels' from g where onn and i % 12 = 7
+union all select path, 'error', 'bbox_dependents_without_bboxes', 'bboxes' from g where onn and i % 12 = 8
 union all select path, 'warning', 'missing_checksum', null from g where onn and i % 59 = 0
 union all select path, 'error', 'checksum_mismatch', null from g where onn and i % 59 <> 0 and i % 53 = 0)"""
 
@@ -608,11 +628,20 @@ def audit_summary(spark, d):
     return checksum.audit(_verified(spark, d))
 
 
-@query("""select event_id as id, 'review is not an object' as warning from events where event_id % 4 = 0
-union all select event_id, 'checksum has a newer version' from events where event_id % 4 = 1 union all select event_id, 'extra is not JSON' from events where event_id % 4 = 2""")
+#: An extra and what is to be said of it.
+_EXTRAS = (
+    ('{"review": 1}', "review is not an object"), ('{"nnunetv2": [1]}', "nnunetv2 is not an object"), ('{"checksum": "x"}', "checksum is not an object"),
+    ('{"review": {"schema_version": 2}}', "review has a newer version"), ('{"nnunetv2": {"schema_version": 9}}', "nnunetv2 has a newer version"), ('{"checksum": {"schema_version": 2}}', "checksum has a newer version"),
+    ('{"review": {"status": 3}}', "review.status is not a string"), ('{"nnunetv2": {"labels": {"tumor": true}}}', "nnunetv2.labels is not a map to integers"), ("{broken", "extra is not JSON"),
+)
+
+
+@query(" union all ".join(f"select event_id as id, '{w}' as warning from events where event_id % 11 = {i}" for i, (_, w) in enumerate(_EXTRAS)))
 def extra_warnings(spark, d):
-    i = F.col("event_id") % 4
-    extra = F.when(i == 0, '{"review": 1}').when(i == 1, '{"checksum": {"schema_version": 2}}').when(i == 2, "{broken").otherwise(F.col("props"))
+    """Each warning, and none for what events have as properties nor for an extra without fault."""
+    extra = F.when(F.col("event_id") % 11 == 9, '{"review": {"status": "flagged", "schema_version": 1}, "nnunetv2": {"labels": {"a": 1, "b": 2}}, "own": 5}').otherwise(F.col("props"))
+    for i, (text, _) in enumerate(_EXTRAS):
+        extra = F.when(F.col("event_id") % 11 == i, text).otherwise(extra)
     return validation.extra_warnings(table(spark, d, "events").select(F.col("event_id").alias("id"), extra.alias("extra")), "id")
 
 

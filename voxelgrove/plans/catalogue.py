@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as geo
 from ..operators import boxes, cases, checksum, edit, grids, labels, manifest, patches, records, review, split, stats, transforms, validation
 from ..session import shared_folder
+from ..sources import tiles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -215,6 +216,25 @@ def patch_slice(spark, d):
     return rows.groupBy("label", F.col("c0").alias("z")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("m"))
 
 
+@query(f"""with {_VOL}, g as (select vec_id, label, k, ((vec_id + 3 * k) % 4 - 1)::int as s0, ((vec_id // 4) % 5)::int as s1, ((vec_id + k) % 3)::int as s2 from embeddings, range(2) r(k)),
+p as (select *, i // 6 as d0, i // 2 % 3 as d1, i % 2 as d2 from g, range(18) q(i))
+select p.vec_id, k::int as patch, n.name, i::int as i, round(coalesce(case n.name when 'v' then v when 'mask' then (v > 0)::int::double end, case n.name when 'v' then -1 else 0 end), 6) as value
+from p cross join (values ('v'), ('mask')) n(name) left join x on x.vec_id = p.vec_id and c0 = s0 + d0 and c1 = s1 + d1 and c2 = s2 + d2""")
+def patch_tiles(spark, d):
+    """Two patches of 3 x 3 x 2 of every volume and its mask, some of them over the edges, read from written tiles of 2 x 3 x 2."""
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("sample_id"), F.array(F.lit(4), F.lit(4), F.lit(4)).alias("shape"), "embedding")
+    path = _scratch(spark)
+    images = rows.select("sample_id", F.lit("v").alias("modality"), "shape", F.col("embedding").alias("data"))
+    masks = rows.select("sample_id", F.lit("mask").alias("modality"), "shape", F.transform("embedding", lambda x: x > 0).alias("data"))
+    tiles.write(tiles.cut(images, 2, (2, 3, 2)).unionByName(tiles.cut(masks, 2, (2, 3, 2))), path)
+    at = table(spark, d, "embeddings").select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("patch"))
+    v, k = F.col("vec_id"), F.col("patch")
+    start = F.array(((v + 3 * k) % 4 - 1).cast("int"), (F.floor(v / 4) % 5).cast("int"), ((v + k) % 3).cast("int"))
+    starts = at.select(v.alias("sample_id"), "patch", start.alias("start"), F.array(F.lit(3), F.lit(3), F.lit(2)).alias("size"))
+    out = tiles.numbers(tiles.patches(spark.read.parquet(path), starts, 3, -1.0))
+    return out.select(F.col("sample_id").alias("vec_id"), "patch", "name", F.posexplode("data").alias("i", "value")).withColumn("value", F.round("value", 6))
+
+
 @query(f"with {_VOL}, g as (select vec_id, z, y, w from embeddings, range(5) a(z), range(5) b(y), range(4) c(w)) select g.vec_id, z::int as z, y::int as y, w::int as x, round(coalesce(v, -1), 6) as v from g left join x on x.vec_id = g.vec_id and c0 = z and c1 = y and c2 = w")
 def patch_pad(spark, d):
     rows = volume_voxels(spark, d)

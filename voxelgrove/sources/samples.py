@@ -19,10 +19,7 @@ def options(preset: str) -> dict[str, str]:
 
 
 def write(df: DataFrame, path: str, partition_by: list[str] | None = None, preset: str = "balanced", mode: str = "errorifexists") -> None:
-    """A table in one commit. Tiles are sorted by sample and lower bounds where it has them, so reads can skip row groups."""
-    order = [c for c in ("sample_id", "z0", "y0", "x0") if c in df.columns]
-    if "z0" in order:
-        df = df.sortWithinPartitions(*order)
+    """A table in one commit; sources.tiles.write() is for tiles."""
     writer = df.write.mode(mode).options(**options(preset))
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
@@ -33,13 +30,6 @@ def read(spark: SparkSession, path: str, modalities: list[str] | None = None) ->
     return df.where(df["modality"].isin(modalities)) if modalities is not None else df
 
 
-def read_patch(tiles: DataFrame, lo: tuple[int, int, int], hi: tuple[int, int, int]) -> DataFrame:
-    """Tiles that meet [lo, hi): bare comparisons of their bounds, so that Parquet can skip the others."""
-    for axis, a, b in zip("zyx", lo, hi):
-        tiles = tiles.where((tiles[f"{axis}0"] < b) & (tiles[f"{axis}1"] > a))
-    return tiles
-
-
 def recompress(spark: SparkSession, src: str, dst: str, preset: str) -> None:
     """The table again, in another preset and another place; rows aren't shuffled."""
     spark.read.parquet(src).write.options(**options(preset)).parquet(dst)

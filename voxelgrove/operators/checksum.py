@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import in_order
 
-def digest_parts(parts: Sequence[Column]) -> Column:
-    """SHA-256 of texts in order, each behind a zero byte; null is marked apart from the empty text."""
-    return F.sha2(F.concat(*(F.concat(F.lit("\x00"), F.coalesce(p.cast("string"), F.lit("\x01"))) for p in parts)).cast("binary"), 256)
+#: The tables that hold a sample's content beside the table of samples: the column that names a part of it, and the one that numbers its rows.
+PARTS = {"tiles": ("name", "tile"), "images": ("modality", None), "voxels": ("modality", "pos"), "masks": ("mask", "pos"), "boxes": (None, "box")}
+#: Columns of samples that are about the digest, not under it.
+OUTSIDE = ("checksum", "computed")
 
 
 def sample_digest(chunks: DataFrame, key: str, order: Sequence[str], text: Column) -> DataFrame:
@@ -27,3 +31,94 @@ def verify(stored: Column, computed: Column) -> Column:
 def audit(status: DataFrame) -> DataFrame:
     """(checked, failed) of rows with status; missing passes."""
     return status.agg(F.count("*").alias("checked"), F.count_if(F.col("status") == "mismatch").alias("failed"))
+
+
+def canonical(rows: DataFrame, columns: Sequence[str]) -> Column:
+    """The text of a row: each column's name, the mark of its type and its value, the last with its length in bytes before it.
+
+    Marks: i whole numbers, f other numbers, b booleans, s texts, dates and times, x bytes (as their SHA-256), j lists, maps and structs (as JSON); a
+    null is n. So 1, 1.0, "1" and null differ, and so do a null and an empty text."""
+    kinds = {f.name: f.dataType.typeName() for f in rows.schema}
+    out = []
+    for c in columns:
+        kind, v = kinds[c], F.col(f"`{c}`")
+        if kind in ("byte", "short", "integer", "long"):
+            mark, text = "i", v.cast("string")
+        elif kind in ("float", "double") or kind.startswith("decimal"):
+            mark, text = "f", v.cast("string")
+        elif kind == "boolean":
+            mark, text = "b", v.cast("string")
+        elif kind == "binary":
+            mark, text = "x", F.sha2(v, 256)
+        elif kind in ("array", "map", "struct"):
+            mark, text = "j", F.to_json(v)
+        else:
+            mark, text = "s", v.cast("string")
+        said = F.concat(F.lit(f"{mark}"), F.octet_length(text).cast("string"), F.lit(":"), text)
+        out.append(F.concat(F.lit(f"{c}="), F.coalesce(said, F.lit("n")), F.lit(";")))
+    return F.concat(F.lit(""), *out)
+
+
+def records(table: str, rows: DataFrame, key: str = "sample_id") -> DataFrame:
+    """(key, part, pos, record) of a table of PARTS, or of samples: what a digest runs over, in the order of the last three."""
+    name, number = PARTS.get(table, (None, None))
+    name, number = (name if name in rows.columns else None), (number if number in rows.columns else None)
+    part = F.concat(F.lit(f"{table}/"), F.coalesce(F.col(name).cast("string"), F.lit(""))) if name else F.lit(f"{table}/")
+    pos = F.coalesce(F.col(number).cast("long"), F.lit(-1)) if number else F.lit(0)
+    columns = sorted(c for c in rows.columns if c not in (key, name, number, *(OUTSIDE if table == "samples" else ())))
+    out = rows.where(F.col(key).isNotNull()).select(F.col(key), part.alias("part"), pos.cast("long").alias("pos"), canonical(rows, columns).alias("text"))
+    return out.select(key, "part", "pos", F.concat("part", F.lit("#"), F.col("pos").cast("string"), F.lit("#"), "text", F.lit("\n")).alias("record"))
+
+
+def stored_digests(tables: Mapping[str, DataFrame], key: str = "sample_id") -> DataFrame:
+    """(key, digest): SHA-256 over everything that the tables hold of a sample, in one order whatever order the rows are stored in.
+
+    tables: samples and those of PARTS that there are, each with the key. Bytes of tiles are digested where they are read, so what
+    is shuffled is a short text for each row; each sample's texts run through one hash in order of part, number and text, a batch
+    at a time, and a sample of any size needs no more memory than a batch. Rows without a key are under no digest."""
+    parts = [records(name, df, key) for name, df in sorted(tables.items()) if name == "samples" or name in PARTS]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, h = None, None
+        for b in batches:
+            keys, done = b.column(0), []
+            for k, record in zip(keys.to_pylist(), b.column(3).to_pylist()):
+                if h is None or k != now:
+                    if h is not None:
+                        done.append((now, h.hexdigest()))
+                    now, h = k, hashlib.sha256()
+                h.update(record.encode())
+            kind = keys.type
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], kind), pa.array([d[1] for d in done])], names=[key, "digest"])
+        if h is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([now], kind), pa.array([h.hexdigest()])], names=[key, "digest"])
+
+    return in_order(rows, [key], ["part", "pos", "record"], run, f"`{key}` {rows.schema[key].dataType.simpleString()}, digest string")
+
+
+def stamped(tables: Mapping[str, DataFrame], key: str = "sample_id") -> DataFrame:
+    """samples with the digest of what the tables hold as their checksum."""
+    samples = tables["samples"].drop(*OUTSIDE)
+    return samples.join(stored_digests(tables, key).withColumnRenamed("digest", "checksum"), key, "left")
+
+
+def computed(tables: Mapping[str, DataFrame], key: str = "sample_id") -> DataFrame:
+    """samples with the column computed, the digest as the tables are now; what edits and audits hold against checksum."""
+    samples = tables["samples"].drop("computed")
+    return samples.join(stored_digests(tables, key).withColumnRenamed("digest", "computed"), key, "left")
+
+
+def audited(tables: Mapping[str, DataFrame], key: str = "sample_id") -> DataFrame:
+    """(key, status, digest): ok, mismatch, or missing where samples have no checksum."""
+    rows = computed(tables, key)
+    stored = F.col("checksum") if "checksum" in rows.columns else F.lit(None).cast("string")
+    return rows.select(key, verify(stored, F.col("computed")).alias("status"), F.col("computed").alias("digest"))
+
+
+def restamps(key: str = "sample_id", **others: DataFrame) -> Callable[[Mapping[str, DataFrame]], DataFrame]:
+    """The `digests` of edit.update(): those of the edited tables, and of the others that hold content (tiles, images, voxels)."""
+    return lambda tables: stored_digests({**others, **tables}, key)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as geo
 from ..operators import boxes, cases, checksum, edit, grids, labels, manifest, patches, records, review, split, stats, transforms, validation
 from ..session import shared_folder
-from ..sources import tiles
+from ..sources import samples, tiles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -648,6 +648,30 @@ def audit_summary(spark, d):
     return checksum.audit(_verified(spark, d))
 
 
+def _said(name: str, mark: str, value: str) -> str:
+    return f"'{name}=' || coalesce('{mark}' || octet_length(encode(({value})::varchar)) || ':' || ({value}), 'n') || ';'"
+
+
+_STORED = f"""rec as (select o_orderkey as sample_id, 'samples/' as part, 0 as pos, {_said("custkey", "i", "o_custkey")} || {_said("priority", "s", "o_orderpriority")} || {_said("status", "s", "nullif(o_orderstatus, 'F')")} as text from orders
+union all select sid, 'voxels/' || modality, pos, {_said("value", "i", "v")} from (select sid, pos, unnest(['partkey', 'suppkey']) as modality, unnest([l_partkey, l_suppkey]) as v from (select *, l_orderkey as sid, {_POS} as pos from lineitem))
+union all select sid, 'voxels/' || modality, pos, {_said("value", "i", "v")} from (select sid, pos, 'hurt' as modality, l_partkey + (sid % 11 = 0 and pos = 0)::int as v from (select *, l_orderkey as sid, {_POS} as pos from lineitem))),
+dig as (select sample_id, sha256(string_agg(part || '#' || pos || '#' || text || chr(10), '' order by part, pos)) as digest, count(*) filter (part = 'voxels/hurt' and pos = 0) as n from rec group by sample_id)"""
+
+
+@query(f"with {_STORED} select sample_id, case when sample_id % 10 = 0 then 'missing' when sample_id % 11 = 0 and n > 0 then 'mismatch' else 'ok' end as status, digest from dig")
+def audit_stored(spark, d):
+    """Tables written with their digests, one voxel of every eleventh sample changed in the files, audited as they are read again."""
+    path, orders = _scratch(spark), table(spark, d, "orders")
+    rows = orders.select(F.col("o_orderkey").alias("sample_id"), F.col("o_custkey").alias("custkey"), F.col("o_orderpriority").alias("priority"), F.when(F.col("o_orderstatus") != "F", F.col("o_orderstatus")).alias("status"))
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("sample_id"), (F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*POSITION)) - 1).cast("long").alias("pos"), "l_partkey", "l_suppkey")
+    lines = lines.select("sample_id", "pos", F.expr("stack(3, 'partkey', l_partkey, 'suppkey', l_suppkey, 'hurt', l_partkey) as (modality, value)"))
+    whole = checksum.stamped({"samples": rows, "voxels": lines})
+    samples.write(whole.withColumn("checksum", F.when(F.col("sample_id") % 10 != 0, F.col("checksum"))), f"{path}/samples")
+    hurt = (F.col("modality") == "hurt") & (F.col("sample_id") % 11 == 0) & (F.col("pos") == 0)
+    samples.write(lines.withColumn("value", F.col("value") + hurt.cast("long")), f"{path}/voxels")
+    return checksum.audited({name: samples.read(spark, f"{path}/{name}") for name in ("samples", "voxels")})
+
+
 #: An extra and what is to be said of it.
 _EXTRAS = (
     ('{"review": 1}', "review is not an object"), ('{"nnunetv2": [1]}', "nnunetv2 is not an object"), ('{"checksum": "x"}', "checksum is not an object"),

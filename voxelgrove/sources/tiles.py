@@ -6,7 +6,7 @@ table that is sorted by sample and tile. A patch names the tiles it needs by ari
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tiles import mask_tile, tile_shape
+from ..operators.ordered import in_order
 
 #: Bounds are scalars, so that Parquet's statistics can rule row groups out; axes that a volume lacks go from 0 to 1.
 AXES = 4
@@ -128,12 +129,6 @@ def needed(starts: DataFrame, volumes: DataFrame, ndim: int) -> DataFrame:
     return rows.withColumn("tile", F.when(whole, z_code_of(at, ndim, 60 // ndim))).drop(*(f"t{a}" for a in range(ndim)))
 
 
-def in_order(rows: DataFrame, keys: Sequence[str], within: Sequence[str], run: Callable, schema: str) -> DataFrame:
-    """run over Arrow batches in which the rows of a key follow each other, in the order of `within`: one shuffle, a sort that
-    spills, and no group in memory."""
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *within).mapInArrow(run, schema)
-
-
 def patches(tiles: DataFrame, starts: DataFrame, ndim: int, pad: float = 0.0) -> DataFrame:
     """(sample_id, patch, name, dtype, size, data): the values of each patch in every volume of its sample, as bytes in C order.
 

@@ -1,6 +1,6 @@
 """Command line over sample tables: python -m voxelgrove.cli COMMAND ... Exit codes: 0 well, 1 a known error, 2 bad usage.
 
-A dataset is a folder of Parquet tables: samples, voxels, masks, boxes and review_events, as far as a command needs them."""
+A dataset is a folder of Parquet tables: samples, tiles, images, voxels, masks, boxes and review_events, as far as a command needs them."""
 
 from __future__ import annotations
 
@@ -8,12 +8,13 @@ import argparse
 import json
 import sys
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .errors import EngineError, ValidationError
 from .operators import checksum, manifest, records, review, series, split, stats, validation
-from .session import session
+from .session import session, settle
 from .sources import hdf5, nifti, optional, samples
 
 
@@ -21,6 +22,20 @@ def _table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root.rstrip('/')}/{name}")
 
 
+def _tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """The tables of a dataset that hold its samples' content."""
+    out = {}
+    for name in ("samples", *checksum.PARTS):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name}")
+        if name == "samples" or path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            out[name] = _table(spark, root, name)
+    return out
+
+
+def _key(tables: dict[str, DataFrame]) -> str:
+    return "sample_id" if "sample_id" in tables["samples"].columns else "path"
+
+
 def _show(df: DataFrame) -> None:
     """Prints every row; the driver holds one partition at a time."""
     for row in df.toJSON().toLocalIterator():
@@ -62,7 +77,11 @@ def validate_all(spark, a):
 
 
 def audit(spark, a):
-    rows = _table(spark, a.root, "samples").select("path", checksum.verify(F.col("checksum"), F.col("computed")).alias("status"))
+    tables = _tables(spark, a.root)
+    if a.stamp:
+        checksum.stamped(tables, _key(tables)).write.parquet(a.stamp)
+        return 0
+    rows = settle(checksum.audited(tables, _key(tables)))
     _show(rows.where("status = 'mismatch'"))
     out = checksum.audit(rows)
     _show(out)
@@ -84,8 +103,7 @@ def index(spark, a):
 
 def do_split(spark, a):
     rows = manifest.load(spark, a.manifest)
-    rows = rows.withColumn("ordinal", F.xxhash64("path")) if "ordinal" not in rows.columns else rows
-    kw = {"stratum": a.stratify, "seed": a.seed}
+    kw = {"stratum": a.stratify, "seed": a.seed, "ordinal": "ordinal" if "ordinal" in rows.columns else "path"}
     out = split.make_splits(rows, a.group, parse_ratios(a.ratios) if a.ratios else None, a.k_folds, **kw)
     out.orderBy("path").write.partitionBy("part" if a.ratios else "fold").json(a.out)
 
@@ -135,6 +153,9 @@ def review_set(spark, a):
 
 
 def review_get(spark, a):
+    samples_of = _table(spark, a.root, "samples")
+    if samples_of.where(F.col("sample_id" if "sample_id" in samples_of.columns else "path") == a.sample).isEmpty():
+        raise ValidationError(f"no such sample: {a.sample}")
     row = review.current(_table(spark, a.root, "review_events").where(F.col("sample_id") == a.sample)).first()
     print(row["status"] if row else "pending")
 
@@ -149,9 +170,11 @@ def review_import_seg(spark, a):
 
     which = spark.createDataFrame([(a.sample, a.name)], "sample_id string, mask string")
     one = nifti.read(spark, a.source)
+    if (n := one.select("path").distinct().limit(2).count()) != 1:
+        raise ValidationError(f"{a.source} holds {'no file' if n == 0 else 'several files'}; a mask is one")
     images = _table(spark, a.root, "images").where(F.col("sample_id") == a.sample)
     grid = images.groupBy("sample_id").agg(F.min_by(F.struct("shape", "affine"), "modality").alias("g")).select("sample_id", "g.shape", "g.affine")
-    new = nifti.import_masks(which.crossJoin(one.select("path").limit(1)), one, grid, a.resample)
+    new = nifti.import_masks(which.crossJoin(F.broadcast(one.select("path"))), one, grid, a.resample)
     masks = _table(spark, a.root, "masks")
     new = new.select(*masks.columns)
     out = edit.seg_replace(masks, new) if a.replace else edit.seg_add(masks, new)
@@ -173,7 +196,7 @@ def parser() -> argparse.ArgumentParser:
     add(sub, "info", info, root, path)
     add(sub, "validate", validate, root, ("path", {}), ("--strict", flag))
     add(sub, "validate-all", validate_all, root, ("--strict", flag), ("--fail-fast", flag))
-    add(sub, "audit", audit, root)
+    add(sub, "audit", audit, root, ("--stamp", {"help": "write the table of samples there, with digests of what the tables hold now"}))
     add(sub, "recompress", recompress, *two, ("--preset", {"default": "balanced", "choices": sorted(samples.PRESETS)}))
     add(sub, "index", index, root, ("out", {}), ("--suffix", {"default": manifest.SUFFIX}), ("--files", flag), ("--skip-invalid", flag))
     add(sub, "split", do_split, ("manifest", {}), ("out", {}), ("--ratios", {}), ("--k-folds", {"type": int}), ("--group", {"default": "path"}), ("--stratify", {}), ("--seed", {"type": int, "default": 0}))
@@ -200,6 +223,10 @@ def main(argv: list[str] | None = None) -> int:
     except EngineError as e:
         print(e, file=sys.stderr)
         return 1
+    except AnalysisException as e:
+        # A table, a folder or a column that isn't there.
+        print(str(e).splitlines()[0], file=sys.stderr)
+        return 1
 
 
 if __name__ == "__main__":

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .errors import EngineError, ValidationError
 from .operators import checksum, manifest, records, review, series, split, stats, validation
 from .session import session, settle
-from .sources import hdf5, nifti, optional, samples
+from .sources import dicom, hdf5, nifti, samples
 
 
 def _table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -124,7 +124,15 @@ def import_nifti(spark, a):
 
 
 def import_dicom(spark, a):
-    series.assemble(optional.read_dicom(spark, a.source), a.series_uid, lut=not a.stored_values).withColumn("modality", F.lit(a.modality)).write.parquet(a.target)
+    rows = settle(dicom.read_dicom(spark, a.source))
+    _show(rows.where("problem is not null and problem not in ('not a DICOM file', 'no pixels')").select("path", "problem"))
+    if a.all_series:
+        out = settle(series.volumes(dicom.slices(rows), lut=not a.stored_values))
+        _show(out.where("problem is not null").select("uid", "problem"))
+        out = out.where("problem is null").drop("problem")
+    else:
+        out = series.assemble(dicom.slices(rows), a.series_uid, lut=not a.stored_values)
+    out.withColumn("modality", F.lit(a.modality)).write.parquet(a.target)
 
 
 def import_nnunetv2(spark, a):
@@ -203,7 +211,7 @@ def parser() -> argparse.ArgumentParser:
     add(sub, "stats", do_stats, root, ("--out", {}), ("--modalities", {}), ("--foreground", {}), ("--exact", flag), ("--sample-voxels", {"type": int}))
     imp = sub.add_parser("import").add_subparsers(required=True)
     add(imp, "nifti", import_nifti, *two, ("--skip-invalid", flag))
-    add(imp, "dicom", import_dicom, *two, ("--series-uid", {}), ("--modality", {"default": "image"}), ("--stored-values", flag))
+    add(imp, "dicom", import_dicom, *two, ("--series-uid", {}), ("--all-series", flag), ("--modality", {"default": "image"}), ("--stored-values", flag))
     add(imp, "nnunetv2", import_nnunetv2, *two, ("--no-test", flag))
     exp = sub.add_parser("export").add_subparsers(required=True)
     add(exp, "nifti", export_nifti, *two)

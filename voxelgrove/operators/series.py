@@ -24,7 +24,7 @@ def choose(slices: DataFrame, wanted: str | None = None, uid: str = "uid") -> Da
 
 
 def problems(slices: DataFrame) -> DataFrame:
-    """(path, problem) of slices that can't be placed: no orientation or position, directions of length 0 or parallel, or
+    """(series, path, problem) of slices that can't be placed: no orientation or position, directions of length 0 or parallel, or
     another shape or orientation than the first path's of their series."""
     key = F.coalesce(F.col("uid").cast("string"), F.lit(NO_UID))
     first = slices.groupBy(key.alias("series")).agg(F.min_by(F.struct("shape", "row_dir", "col_dir"), "path").alias("first"))
@@ -41,32 +41,41 @@ def problems(slices: DataFrame) -> DataFrame:
         .when(F.col("shape") != F.col("first.shape"), "another shape")
         .when(far("row_dir") | far("col_dir"), "another orientation")
     )
-    return rows.select("path", problem.alias("problem")).where("problem is not null")
+    return rows.select("series", "path", problem.alias("problem")).where("problem is not null")
 
 
-def assemble(slices: DataFrame, wanted: str | None = None, lut: bool = True) -> DataFrame:
-    """(uid, n, shape, spacing, origin, direction, data, tags): one volume of the chosen series, slices in order along their normal.
+def volumes(slices: DataFrame, lut: bool = True) -> DataFrame:
+    """(uid, n, shape, spacing, origin, direction, data, tags, problem): a volume of each series, slices in order along their normal.
 
-    slices: the columns of optional.SLICES. Spacing between slices is that of their positions, which must be even (1e-4) and
+    slices: the columns of dicom.SLICES. Spacing between slices is that of their positions, which must be even (1e-4) and
     apart (1e-5); of a single slice it is its thickness, or 1. With lut, values are slope * stored + intercept of each slice.
-    A series is one volume, so it is one group; the volumes of a dataset are dealt to tasks by series."""
-    chosen = choose(slices, wanted).withColumn("uid", F.coalesce(F.col("uid").cast("string"), F.lit(NO_UID)))
-    if bad := problems(chosen).orderBy("path").first():
-        raise ValidationError(f"{bad['path']}: {bad['problem']}")
+    A series that can't be put together has its first problem, by path, and no data. Null uids are one series. All series go
+    through one plan, dealt to tasks by uid; a series is one volume, so it is one group."""
+    own = slices.withColumn("uid", F.coalesce(F.col("uid").cast("string"), F.lit(NO_UID)))
+    bad = problems(own).groupBy(F.col("series").alias("uid")).agg(F.min(F.struct("path", "problem")).alias("bad")).select("uid", F.concat("bad.path", F.lit(": "), "bad.problem").alias("bad"))
     normal = cross(unit(F.col("row_dir")), unit(F.col("col_dir")))
-    placed = chosen.withColumns({"normal": normal, "along": dot(F.col("position"), normal)})
-    gaps = cases.slice_spacing(placed, "uid", "along")
-    if bad := gaps.where("status in ('duplicate', 'uneven')").first():
-        raise ValidationError(f"series {bad['uid']}: slices with {'the same position' if bad['status'] == 'duplicate' else 'uneven spacing'}")
+    placed = own.withColumns({"normal": normal, "along": dot(F.col("position"), normal)})
+    gaps = cases.slice_spacing(placed, "uid", "along").select("uid", "first_gap", "status")
     slope, intercept = F.coalesce("slope", F.lit(1.0)), F.coalesce("intercept", F.lit(0.0))
     value = F.transform("data", lambda x: apply_lut(x, slope, intercept)) if lut else F.col("data")
     one = F.array_sort(F.collect_list(F.struct("along", "path", value.alias("data"))))
     first = F.min_by(F.struct("position", "row_dir", "col_dir", "normal", "pixel_spacing", "thickness", "shape", "tags"), F.struct("along", "path"))
-    rows = placed.groupBy("uid").agg(F.count("*").alias("n"), first.alias("f"), F.flatten(F.transform(one, lambda s: s["data"])).alias("data")).join(gaps.select("uid", "first_gap"), "uid")
+    rows = placed.groupBy("uid").agg(F.count("*").alias("n"), first.alias("f"), F.flatten(F.transform(one, lambda s: s["data"])).alias("data")).join(gaps, "uid").join(bad, "uid", "left")
+    uneven = F.when(F.col("status") == "duplicate", "slices with the same position").when(F.col("status") == "uneven", "slices with uneven spacing")
+    rows = rows.withColumn("problem", F.coalesce("bad", uneven))
     between = F.coalesce("first_gap", "f.thickness", F.lit(1.0))
     pixel = F.coalesce("f.pixel_spacing", F.array(F.lit(1.0), F.lit(1.0)))
     turn = [F.col("f.normal"), unit(F.col("f.col_dir")), unit(F.col("f.row_dir"))]
     return rows.select(
         "uid", "n", F.concat(F.array(F.col("n")), F.col("f.shape")).alias("shape"), F.concat(F.array(between), pixel).alias("spacing"), F.col("f.position").alias("origin"),
-        F.array(*(F.array(*(F.get(t, F.lit(r)) for t in turn)) for r in range(3))).alias("direction"), "data", F.col("f.tags").alias("tags"),
+        F.array(*(F.array(*(F.get(t, F.lit(r)) for t in turn)) for r in range(3))).alias("direction"), F.when(F.col("problem").isNull(), F.col("data")).alias("data"), F.col("f.tags").alias("tags"), "problem",
     )
+
+
+def assemble(slices: DataFrame, wanted: str | None = None, lut: bool = True) -> DataFrame:
+    """The volume of one series, as volumes() has it, without the column problem: the wanted one, or the one with most slices. What volumes()
+    calls a problem is an error."""
+    out = volumes(choose(slices, wanted), lut)
+    if bad := out.where("problem is not null").select("uid", "problem").first():
+        raise ValidationError(f"series {bad['uid']}: {bad['problem']}")
+    return out.drop("problem")

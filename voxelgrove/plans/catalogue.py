@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
-from ..operators import boxes, cases, checksum, edit, grids, labels, manifest, patches, records, review, split, stats, transforms, validation
+from ..operators import boxes, cases, checksum, edit, grids, labels, manifest, patches, records, review, series, split, stats, transforms, validation
 from ..session import shared_folder
-from ..sources import samples, tiles
+from ..sources import dicom, samples, tiles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -869,6 +869,26 @@ def bbox_partial_update(spark, d):
     return out.select(F.col("label").cast("long").alias("box_id"), "box", F.get("lo", F.lit(0)).alias("lo0"), F.get("hi", F.lit(0)).alias("hi0"), "score")
 
 
+@query(f"""with {_VOL}, s as (select vec_id, c0 as k, c1 * 4 + c2 as i, floor(1024 * v)::bigint as stored from x)
+select vec_id, case when vec_id % 50 = 0 then 'uneven' when vec_id % 50 = 1 then 'shape' else 'ok' end as state, case when vec_id % 50 < 2 then -1 else k * 16 + i end::int as i, case when vec_id % 50 < 2 then null else 2 * stored - vec_id % 7 end::double as value,
+  case when vec_id % 50 < 2 then null else 2.5 end as spacing, case when vec_id % 50 < 2 then null else vec_id::double end as z from s where vec_id % 50 > 1 or k = 0 and i = 0""")
+def dicom_series(spark, d):
+    """Every volume as four DICOM slices, written in three transfer syntaxes, parsed and put together again; some series are uneven or of two shapes."""
+    v, k = F.col("vec_id"), F.col("k")
+    rows = table(spark, d, "embeddings").select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
+    z = v + k * 2.5 + F.when((v % 50 == 0) & (k == 3), 1.0).otherwise(0.0)
+    axis = lambda *x: F.array(*(F.lit(float(i)) for i in x))
+    rows = rows.select(
+        F.format_string("%d/%d.dcm", v, (k * 7) % 4).alias("path"), F.concat(F.lit("1.2."), v).alias("uid"), F.array(F.lit(0.0), F.lit(0.0), z).alias("position"), axis(1, 0, 0).alias("row_dir"), axis(0, 1, 0).alias("col_dir"), axis(0.5, 0.25).alias("pixel_spacing"),
+        F.lit(2.0).alias("slope"), -(v % 7).cast("double").alias("intercept"), F.when((v % 50 == 1) & (k == 2), F.array(F.lit(2), F.lit(8))).otherwise(F.array(F.lit(4), F.lit(4))).alias("shape"),
+        F.transform(F.slice("embedding", k * 16 + 1, F.lit(16)), lambda x: F.floor(1024 * x.cast("double")).cast("int")).alias("data"), F.element_at(F.array(*(F.lit(s) for s in (dicom.EXPLICIT, dicom.IMPLICIT, dicom.DEFLATED))), (v % 3 + 1).cast("int")).alias("syntax"),
+    )
+    out = series.volumes(dicom.slices(dicom.parsed(dicom.encoded(rows))))
+    state = F.when(F.col("problem").isNull(), "ok").when(F.col("problem").contains("uneven"), "uneven").when(F.col("problem").contains("another shape"), "shape")
+    out = out.select(F.split("uid", "\\.")[2].cast("long").alias("vec_id"), state.alias("state"), F.posexplode_outer("data").alias("i", "value"), F.when(F.col("problem").isNull(), F.get("spacing", F.lit(0))).alias("spacing"), F.when(F.col("problem").isNull(), F.get("origin", F.lit(2))).alias("z"))
+    return out.withColumn("i", F.coalesce("i", F.lit(-1)))
+
+
 @query("select doc_id::varchar as path, coalesce(lang, '') as label, row_number() over (order by doc_id::varchar) - 1 as place from documents")
 def records_in_order(spark, d):
     """Records of documents as samples, in the order of their paths; places are counted within ranges of paths, then over the ranges."""

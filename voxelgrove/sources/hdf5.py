@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib.util
 import io
 import json
 from collections.abc import Iterator, Mapping
@@ -10,11 +11,17 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from ..errors import EngineError, SchemaError
-from .optional import need
+from ..errors import EngineError, SchemaError, SourceError
 from .samples import check_version
 
 SUFFIX = ".h5"
+
+
+def need(module: str) -> None:
+    if importlib.util.find_spec(module) is None:
+        raise SourceError(f"this source needs {module}, which isn't installed")
+
+
 META_SCHEMA = (
     "path string, schema_version string, images array<string>, image_shapes array<string>, image_names array<string>, shape array<bigint>, dtype string, chunks array<bigint>, spacing array<double>, origin array<double>, "
     "direction array<array<double>>, axis_labels array<string>, coord_system string, patch_size array<bigint>, label string, label_name string, has_seg boolean, seg array<string>, seg_names array<string>, has_bbox boolean, "

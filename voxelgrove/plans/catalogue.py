@@ -880,7 +880,7 @@ def dicom_series(spark, d):
     axis = lambda *x: F.array(*(F.lit(float(i)) for i in x))
     rows = rows.select(
         F.format_string("%d/%d.dcm", v, (k * 7) % 4).alias("path"), F.concat(F.lit("1.2."), v).alias("uid"), F.array(F.lit(0.0), F.lit(0.0), z).alias("position"), axis(1, 0, 0).alias("row_dir"), axis(0, 1, 0).alias("col_dir"), axis(0.5, 0.25).alias("pixel_spacing"),
-        F.lit(2.0).alias("slope"), -(v % 7).cast("double").alias("intercept"), F.when((v % 50 == 1) & (k == 2), F.array(F.lit(2), F.lit(8))).otherwise(F.array(F.lit(4), F.lit(4))).alias("shape"),
+        F.lit(2.0).alias("slope"), (0.0 - v % 7).alias("intercept"), F.when((v % 50 == 1) & (k == 2), F.array(F.lit(2), F.lit(8))).otherwise(F.array(F.lit(4), F.lit(4))).alias("shape"),
         F.transform(F.slice("embedding", k * 16 + 1, F.lit(16)), lambda x: F.floor(1024 * x.cast("double")).cast("int")).alias("data"), F.element_at(F.array(*(F.lit(s) for s in (dicom.EXPLICIT, dicom.IMPLICIT, dicom.DEFLATED))), (v % 3 + 1).cast("int")).alias("syntax"),
     )
     out = series.volumes(dicom.slices(dicom.parsed(dicom.encoded(rows))))

@@ -22,10 +22,10 @@ def _table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root.rstrip('/')}/{name}")
 
 
-def _tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """The tables of a dataset that hold its samples' content."""
+def _tables(spark: SparkSession, root: str, *more: str) -> dict[str, DataFrame]:
+    """The tables of a dataset that hold its samples' content, and others, as far as they are there."""
     out = {}
-    for name in ("samples", *checksum.PARTS):
+    for name in ("samples", *checksum.PARTS, *more):
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name}")
         if name == "samples" or path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
             out[name] = _table(spark, root, name)
@@ -110,7 +110,10 @@ def do_split(spark, a):
 
 def do_stats(spark, a):
     modal = a.modalities.split(",") if a.modalities else None
-    out = stats.compute_stats(_table(spark, a.root, "samples"), _table(spark, a.root, "voxels"), modalities=modal, mask=a.foreground, exact=a.exact, cap=a.sample_voxels)
+    voxels, found = _table(spark, a.root, "voxels"), _tables(spark, a.root, "shapes")
+    by_voxel = a.foreground and a.foreground not in voxels.columns and {"masks", "shapes"} <= set(found)
+    inside = {"inside": found["masks"], "shapes": found["shapes"]} if by_voxel else {}
+    out = stats.compute_stats(found["samples"], voxels, modalities=modal, mask=a.foreground, exact=a.exact, cap=a.sample_voxels, **inside)
     if a.out:
         stats.save(out, a.out)
     else:

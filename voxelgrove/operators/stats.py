@@ -7,6 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..errors import ValidationError
+from ..session import settle
+from . import quantiles
+
 
 def unpivot(wide: DataFrame, keys: Sequence[str], modalities: dict[str, str]) -> DataFrame:
     """One row per voxel and modality from a table with a column per modality (name -> column)."""
@@ -34,19 +38,55 @@ def masked(voxels: DataFrame, masks: DataFrame, mask: str, shapes: DataFrame, on
     return rows.where(~F.coalesce("__fits", F.lit(False)) | F.coalesce("__in", F.lit(False))).select(*voxels.columns)
 
 
-def modality_stats(voxels: DataFrame, keys: Sequence[str] = ("modality",), exact: bool = True) -> DataFrame:
+#: The percentiles that statistics hold.
+QUANTILES = {"p01": 0.01, "p99": 0.99}
+
+
+def modality_stats(voxels: DataFrame, keys: Sequence[str] = ("modality",), exact: bool = True, pool: DataFrame | None = None) -> DataFrame:
     """n_voxels, mean, population std, vmin, vmax, p01 and p99 per modality, in doubles.
 
-    One shuffle of partial aggregates. exact percentiles keep a count of each distinct value in memory; for
-    continuous values at scale take exact=False, a sketch of bounded size. NaN in a modality makes mean, std,
-    vmin and vmax NaN. An empty table has no rows."""
+    One shuffle of partial aggregates, then exact percentiles by rounds of counts (quantiles.exact_quantiles), each of which reads voxels
+    again; exact=False takes a sketch of bounded size in the one shuffle instead. With pool (keys, value, weight), as
+    sample_with_replacement() gives it, percentiles are the pool's. NaN in a modality makes all but n_voxels NaN. An empty table has no rows."""
     v = F.col("value")
-    p = F.percentile if exact else (lambda c, q: F.percentile_approx(c, q, 10000))
-    nan = F.max(F.isnan(v))
-    agg = voxels.groupBy(*keys).agg(
-        F.count(v).alias("n_voxels"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("vmin"), F.max(v).alias("vmax"), p(v, F.lit(0.01)).alias("p01"), p(v, F.lit(0.99)).alias("p99"), nan.alias("nan")
-    )
-    return agg.withColumn("vmin", F.when(F.col("nan"), F.lit(float("nan"))).otherwise(F.col("vmin"))).drop("nan").where("n_voxels > 0")
+    aggs = [F.count(v).alias("n_voxels"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("vmin"), F.max(v).alias("vmax"), F.max(F.isnan(v)).alias("nan")]
+    sketch = not exact and pool is None
+    if sketch:
+        aggs += [F.percentile_approx(v, F.lit(q), 10000).alias(c) for c, q in QUANTILES.items()]
+    agg = voxels.groupBy(*keys).agg(*aggs).where("n_voxels > 0")
+    nan = F.lit(float("nan"))
+    if sketch:
+        return agg.withColumns({c: F.when(F.col("nan"), nan).otherwise(F.col(c)) for c in ("vmin", *QUANTILES)}).drop("nan")
+    agg = settle(agg)
+    if pool is None:
+        ends = agg.where("not nan").select(*keys, F.col("n_voxels").alias("n"), F.col("vmin").alias("lo"), F.col("vmax").alias("hi"))
+        found = quantiles.exact_quantiles(voxels, ends, QUANTILES, keys)
+    else:
+        fit = F.col("value").isNotNull()
+        ends = pool.where(fit).groupBy(*keys).agg(F.sum("weight").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.max(F.isnan("value")).alias("nan")).where("not nan").drop("nan")
+        found = quantiles.exact_quantiles(pool, ends, QUANTILES, keys, weight="weight")
+    found = found.withColumnsRenamed({c: f"__{c}" for c in keys})
+    same = F.lit(True)
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    out = agg.join(found, same, "left").withColumns({"vmin": F.when(F.col("nan"), nan).otherwise(F.col("vmin")), **{c: F.when(F.col("nan"), nan).otherwise(F.col(c)) for c in QUANTILES}})
+    return out.select(*keys, "n_voxels", "mean", "std", "vmin", "vmax", *QUANTILES)
+
+
+def sample_with_replacement(voxels: DataFrame, cap: int, seed: int = 0, by: Sequence[str] = ("sample_id", "modality"), pos: str = "pos") -> DataFrame:
+    """voxels plus weight: all of a group of at most cap voxels, once each; of a larger one cap draws with replacement, as the voxels that were
+    drawn and how often.
+
+    Draw i of a group takes the place (in the order of pos) that MD5 of seed, group and i gives, so it is the same wherever it is made. A large group counts
+    for no more than cap in a pool of groups. Draws are made where the group's size is, counted by place, and joined to the voxels
+    by group and place."""
+    sizes = voxels.groupBy(*by).agg(F.count("*").alias("__n")).where(F.col("__n") > cap)
+    text = F.concat_ws(":", F.lit(str(seed)), *(F.col(c).cast("string") for c in by), F.col("__i").cast("string"))
+    place = F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long") % F.col("__n")
+    draws = sizes.withColumn("__i", F.explode(F.sequence(F.lit(0), F.lit(cap - 1)))).select(*by, place.alias("__place")).groupBy(*by, "__place").agg(F.count("*").alias("weight"))
+    placed = voxels.withColumn("__place", (F.row_number().over(Window.partitionBy(*by).orderBy(pos)) - 1).cast("long"))
+    drawn = placed.join(draws, [*by, "__place"]).select(*voxels.columns, "weight")
+    return voxels.join(sizes.select(*by), list(by), "left_anti").select(*voxels.columns, F.lit(1).cast("long").alias("weight")).unionByName(drawn)
 
 
 def partials(voxels: DataFrame) -> DataFrame:
@@ -121,23 +161,25 @@ def load(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 
 
 def compute_stats(
-    samples: DataFrame, voxels: DataFrame, masks: DataFrame | None = None, modalities: Sequence[str] | None = None, mask: str | None = None, exact: bool = True, cap: int | None = None, seed: int = 0
+    samples: DataFrame, voxels: DataFrame, masks: DataFrame | None = None, modalities: Sequence[str] | None = None, mask: str | None = None, exact: bool = True, cap: int | None = None, seed: int = 0,
+    inside: DataFrame | None = None, shapes: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """All statistics of a dataset as lazy tables: modalities, labels, shapes, coverage, n_files.
+    """All statistics of a dataset as tables: modalities, labels, shapes, coverage, n_files.
 
-    With cap, percentiles are those of at most cap voxels of each sample and modality, drawn by a hash; the other
-    statistics are of all voxels."""
+    mask restricts the modalities' statistics to a mask: to the voxels of inside (sample_id, mask, pos) where that and shapes are given, as
+    masked() does, with whole volumes where a sample's mask is absent or of another shape; else by a column of voxels of that name.
+    With cap, percentiles are those of a pool in which a sample and modality of more voxels has cap draws with replacement (voxels need a
+    column pos); the other statistics are of all voxels."""
     if modalities is not None:
         voxels = voxels.where(F.col("modality").isin(list(modalities)))
-    if mask is not None:
+    if mask is not None and inside is not None:
+        if shapes is None:
+            raise ValidationError("a mask by its voxels needs the shapes of images and masks")
+        voxels = masked(voxels, inside, mask, shapes)
+    elif mask is not None:
         voxels = foreground(voxels, mask)
-    found = modality_stats(voxels, exact=exact if cap is None else False)
-    if cap is not None:
-        place = [c for c in voxels.columns if c not in ("sample_id", "modality", "value", mask)]
-        pool = sample_cap(voxels, cap, F.xxhash64(F.lit(seed), "sample_id", "modality", *place), ("sample_id", "modality"))
-        own = pool.groupBy("modality").agg(F.percentile("value", F.lit(0.01)).alias("p01"), F.percentile("value", F.lit(0.99)).alias("p99"))
-        found = found.drop("p01", "p99").join(own, "modality", "left")
-    out = {"modalities": found, "labels": label_counts(samples), "shapes": shape_histogram(samples), "n_files": samples.agg(F.count("*").alias("n_files"))}
+    pool = sample_with_replacement(voxels, cap, seed) if cap is not None else None
+    out = {"modalities": modality_stats(voxels, exact=exact, pool=pool), "labels": label_counts(samples), "shapes": shape_histogram(samples), "n_files": samples.agg(F.count("*").alias("n_files"))}
     if masks is not None:
         out["coverage"] = seg_coverage(masks)
     return out

@@ -139,6 +139,27 @@ def sample_cap(spark, d):
     return stats.sample_cap(rows, 3, F.struct(key, "pos")).select("sample_id", "pos")
 
 
+_DRAWN = """pl as (select sid, modality, pos, v, row_number() over (partition by sid, modality order by pos) - 1 as place from v),
+s as (select sid, modality, count(*) as n from v group by all having count(*) > 3),
+dr as (select sid, modality, ('0x' || substr(md5('0:' || sid || ':' || modality || ':' || i), 1, 15))::bigint % n as place, count(*) as weight from s, range(3) r(i) group by all),
+po as (select pl.sid, pl.modality, pos, v, coalesce(weight, 1) as weight from pl left join dr using (sid, modality, place) where weight is not null or (pl.sid, pl.modality) not in (select (sid, modality) from s))"""
+
+
+@query(f"with {_VOXP}, {_DRAWN} select sid as sample_id, modality, pos, weight from po")
+def sample_replacement(spark, d):
+    """Three draws with replacement from each order and measure with more lines, all lines of the others."""
+    return stats.sample_with_replacement(voxels(spark, d, True), 3).select("sample_id", "modality", "pos", "weight")
+
+
+@query(f"""with {_VOXP}, {_DRAWN}, q as (select modality, quantile_cont(v, 0.01) as p01, quantile_cont(v, 0.99) as p99 from (select modality, v, unnest(range(weight)) from po) group by modality)
+select modality, count(*) as n_voxels, round(avg(v), 5) as mean, round(stddev_pop(v), 5) as std, min(v) as vmin, max(v) as vmax, round(any_value(p01), 6) as p01, round(any_value(p99), 6) as p99 from v join q using (modality) group by modality""")
+def modality_stats_capped(spark, d):
+    """Statistics of all voxels, percentiles of a pool in which no order counts for more than three."""
+    rows = voxels(spark, d, True)
+    out = stats.compute_stats(table(spark, d, "orders").select(F.lit(None).cast("string").alias("label"), F.array(F.lit(1)).alias("shape")), rows, cap=3)["modalities"]
+    return _rounded(_rounded(out, "mean", "std", digits=5), "p01", "p99")
+
+
 @query("select count(*) as n_files from documents")
 def n_files(spark, d):
     return stats.compute_stats(table(spark, d, "documents").select("doc_id", F.lit("").alias("label"), F.array("n_chars").alias("shape")), voxels(spark, d))["n_files"]

@@ -15,14 +15,14 @@ from ..session import settle
 
 #: Bins of an interval in a round. Two quantiles have four ranks, so a group has at most 65,536 bins in a round.
 BINS = 16384
-#: Where the bins' widths grow from, in rounds that part by magnitude.
-LEAST = 1e-300
+#: Over -ln of the least double above 0.
+LEAST = 745.0
 
 
 def _bin(v: Column, lo: Column, hi: Column, bins: int, by_size: bool) -> Column:
     """0 and bins - 1 hold the ends alone, so every round narrows an interval; the bins between have one width, or one ratio."""
     top = 1.7e308
-    at = (lambda x: F.signum(x) * F.log1p(F.abs(x) / LEAST)) if by_size else (lambda x: x / 4)
+    at = (lambda x: F.when(x == 0, 0.0).otherwise(F.signum(x) * (F.log(F.abs(x)) + LEAST))) if by_size else (lambda x: x / 4)
     v_, lo_, hi_ = (at(F.least(F.greatest(x, F.lit(-top)), F.lit(top))) for x in (v, lo, hi))
     share = F.when(hi_ > lo_, (v_ - lo_) / (hi_ - lo_)).otherwise(0.0)
     inner = F.least(F.greatest(F.floor(share * (bins - 2)), F.lit(0)), F.lit(bins - 3)).cast("int") + 1

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import settle, shared_folder
+
+__all__ = ["clear", "settle", "shared_folder"]
+
 #: White space and word bytes of every tokeniser here: [\x20\x09-\x0D]+ parts words.
 WHITE = "[\\x20\\x09-\\x0D]+"
 
@@ -19,34 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """This application's folder in the one of spark.checkpoint.dir; a session on one machine (tests) that names none gets a temporary one.
-
-    A cluster without that setting is an error: a driver's own folder is out of its executors' reach."""
-    global _OWN
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named is None:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
-        named = _OWN = _OWN or tempfile.mkdtemp(prefix="checkpoints-")
-    return f"{named.rstrip('/')}/voxelgrove-{spark.sparkContext.applicationId}"
-
-
-_OWN: str | None = None
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """df, written as Parquet to the shared folder and read again: computed once, and cut from its lineage.
-
-    The files are in reliable storage, so a lost executor costs no more than the tasks it ran. A written table
-    also has a true size, where the estimate of a checkpoint() multiplies with each join of a loop. clear()
-    removes the files."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def clear(spark: SparkSession) -> None:
     """Removes the settled tables of this application, once none of its DataFrames needs them; others' stay."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))

@@ -104,5 +104,5 @@ def test_pruning_is_safe_and_prunes(monkeypatch, wide):
 def test_lengths_beyond_64_bits():
     names = [c.split(" ")[0] for c in lexical._SEGMENT.split(", ")]
     row = dict(zip(names, lexical.segment([1], [np.array([1, 2, 2], np.uint64)])))
-    s = lexical.Read(row | {"lengths": np.array([10**9], np.int64).tobytes()}, 10**12, 10**14)
+    s = lexical.Read(row | {"lengths": np.array([10**9], np.uint32).tobytes()}, 10**12, 10**14)
     assert s.m.tolist() == [25 + 75 * 10**9 * 10**12 // 10**14]

@@ -18,13 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, settle, words_of
+from .common import LOWER, settle, text_batches, words_of
 
 K = 10
-#: Terms (with repeats) of a segment's texts; a longer text is a segment of its own. Item terms of a block. Pairs of a text and an item term at a time.
-SEGMENT, BLOCK, STEP = 1 << 18, 200_000, 1 << 19
+#: Terms (with repeats) of a segment's texts; a longer text is a segment of its own. A row then is under half a megabyte, which the JVM moves
+#: without allocations of unusual size. Item terms of a block. Pairs of a text and an item term at a time.
+SEGMENT, BLOCK, STEP = 1 << 15, 200_000, 1 << 19
 #: Segments' worth of texts that meet a block of items in one task.
-PER_CELL = 4
+PER_CELL = 32
 #: A text's length counts for PERCENT of a hundred; impacts are in millionths.
 PERCENT, ONE = 75, 1_000_000_000
 
@@ -44,13 +45,18 @@ def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - _starts(counts)[:-1], counts) + np.arange(int(counts.sum()))
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """In two bytes each where they fit."""
+    return x.astype(np.uint16 if x.max(initial=0) < 1 << 16 else np.uint32)
+
+
 def segment(ids: list[int], words: list[np.ndarray]) -> tuple:
     """A row of _SEGMENT for texts that each have a term: the sorted distinct terms, and for each its texts and how often it is there."""
     lengths = np.array([len(w) for w in words], np.int64)
     terms, at = np.unique(np.concatenate(words).view(np.int64), return_inverse=True)
     pairs, tfs = np.unique(at.astype(np.int64) * len(ids) + np.repeat(np.arange(len(ids)), lengths), return_counts=True)
     starts = np.searchsorted(pairs, np.arange(len(terms) + 1) * len(ids))
-    parts = (np.array(ids, np.int64), lengths, terms, starts.astype(np.int64), (pairs % len(ids)).astype(np.int32), tfs.astype(np.int32))
+    parts = (np.array(ids, np.int64), lengths.astype(np.uint32), terms, starts.astype(np.uint32), _narrow(pairs % len(ids)), _narrow(tfs))
     return len(ids), int(lengths.sum()), *(p.tobytes() for p in parts)
 
 
@@ -87,6 +93,7 @@ def _segments(most: int):
 
 def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", terms: int = SEGMENT) -> DataFrame:
     """The segments of a table of texts. Rows without an id are left out; texts without a term are in none. No shuffle."""
+    text_batches(docs.sparkSession)
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_segments(terms), _SEGMENT)
 
@@ -103,8 +110,10 @@ class Read:
 
     def __init__(self, row: dict, n: int, total: int) -> None:
         get = lambda c, t: np.frombuffer(row[c], t)
-        self.ids, self.lengths, self.terms = get("ids", np.int64), get("lengths", np.int64), get("terms", np.int64)
-        self.starts, self.docs, self.tfs = get("starts", np.int64), get("docs", np.int32), get("tfs", np.int32)
+        self.ids, self.terms = get("ids", np.int64), get("terms", np.int64)
+        self.lengths, self.starts = get("lengths", np.uint32).astype(np.int64), get("starts", np.uint32).astype(np.int64)
+        wide = [np.uint16 if len(row[c]) == 2 * self.starts[-1] else np.uint32 for c in ("docs", "tfs")]
+        self.docs, self.tfs = get("docs", wide[0]).astype(np.int32), get("tfs", wide[1])
         # Whole numbers of any size where 64 bits don't hold the product.
         long = self.lengths if PERCENT * n * int(self.lengths.max()) < 2**63 else self.lengths.astype(object)
         self.m = (100 - PERCENT + (PERCENT * n * long) // total).astype(np.int64)
@@ -140,17 +149,20 @@ def _term_rows(n: int, total: int, k: int, most: int = 1 << 18):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple] = []
+        held = 0
         for b in batches:
-            for row in b.to_pylist():
-                s = Read(row, n, total)
+            for i in range(b.num_rows):
+                s = Read(b.slice(i, 1).to_pylist()[0], n, total)
                 df = np.diff(s.starts)
                 owner, top = np.repeat(np.arange(len(df)), df), s.impacts(slice(None))
                 keep = best_of_each(owner, top, k)
                 parts.append((s.terms, df, owner[keep], top[keep]))
-                if sum(len(p[3]) for p in parts) > most:
+                held += len(keep)
+                if held > most:
                     parts = [merged(parts)]
                     if len(parts[0][3]) > most // 2:
                         yield rows(*parts.pop())
+                    held = sum(len(p[3]) for p in parts)
         if parts:
             yield rows(*merged(parts))
 

@@ -126,7 +126,7 @@ def test_resampling_between_grids(spark):
         assert z[i, j, k] == (x[p, q, k] if p < 4 and q < 5 else -1)
     assert near["b"]["dtype"] == "int16" and (np.array(grids.onto(np.full((3, 3), 7.0), np.eye(3), (5, 5), np.diag([0.5, 0.5, 1.0]), "linear")) == 7).all()
     with pytest.raises(ValidationError):
-        grids.resample_to(df, to, "bspline")
+        grids.resample_to(df, to, "cubic")
 
 
 def test_masks_and_images_from_files(spark, tmp_path):

@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ValidationError
+from ..functions import spline
 from ..functions.geometry import all_close
 
-ORDERS = ("nearest", "linear")
+ORDERS = ("nearest", "linear", "bspline")
 
 
 def same_grid(shape_a: Column, affine_a: Column, shape_b: Column, affine_b: Column) -> Column:
@@ -23,23 +24,29 @@ def same_grid(shape_a: Column, affine_a: Column, shape_b: Column, affine_b: Colu
 def onto(x: np.ndarray, source: np.ndarray, shape: tuple[int, ...], target: np.ndarray, order: str, fill: float = 0.0) -> np.ndarray:
     """x, whose points lie in space by the affine `source`, read at the points of a grid of `shape` and the affine `target`.
 
-    A slab of the first axis at a time, so that the coordinates of a whole volume are never held. Points outside x are fill."""
+    A slab of the first axis at a time, so that the coordinates of a whole volume are never held. A point reaches half a step to
+    all sides: what is further out than that is fill, and between the outermost points and there a linear read takes the outermost
+    values, a spline goes on mirrored. NaN in x spreads along its lines in a spline."""
     n = x.ndim
     step = np.linalg.inv(source) @ target
     out = np.full(shape, fill, dtype=float)
     rest = np.indices(shape[1:], dtype=float).reshape(n - 1, -1)
     limit = np.array(x.shape, dtype=float)[:, None] - 1
+    coefficients = spline.coefficients(x) if order == "bspline" else None
     for k in range(shape[0]):
         at = step[:n, 1:n] @ rest + (step[:n, 0] * k + step[:n, n])[:, None]
         at = np.where(np.abs(at - np.rint(at)) < 1e-9, np.rint(at), at)
+        near = np.floor(at + 0.5)
+        ok = ((near >= 0) & (near <= limit)).all(axis=0)
         if order == "nearest":
-            near = np.floor(at + 0.5)
-            ok = ((near >= 0) & (near <= limit)).all(axis=0)
             out[k].reshape(-1)[ok] = x[tuple(near[:, ok].astype(int))]
             continue
-        ok = ((at >= 0) & (at <= limit)).all(axis=0)
-        low = np.minimum(np.floor(at[:, ok]), np.maximum(limit - 1, 0)).astype(int)
-        part, total = at[:, ok] - low, np.zeros(int(ok.sum()))
+        if order == "bspline":
+            out[k].reshape(-1)[ok] = spline.at_points(coefficients, at[:, ok])
+            continue
+        at = np.clip(at[:, ok], 0, limit)
+        low = np.minimum(np.floor(at), np.maximum(limit - 1, 0)).astype(int)
+        part, total = at - low, np.zeros(int(ok.sum()))
         for corner in np.ndindex(*(2,) * n):
             c = np.array(corner)[:, None]
             weight = np.where(c == 1, part, 1 - part).prod(axis=0)
@@ -52,9 +59,9 @@ def resample_to(volumes: DataFrame, targets: DataFrame, order: str = "linear", f
     """volumes (key, shape, dtype, affine, data, ...) on the grids of targets (key, shape, affine).
 
     data and affines are flat, in C order. Masks take order `nearest`, which keeps the dtype; whole numbers that are mixed
-    linearly become float32. A volume without a target stays as it is. One volume is one row's work."""
+    (`linear`, `bspline`) become float32. A volume without a target stays as it is. One volume is one row's work."""
     if order not in ORDERS:
-        raise ValidationError(f"{order}: only {' and '.join(ORDERS)} are built")
+        raise ValidationError(f"{order}: only {', '.join(ORDERS)} are built")
     rows = volumes.join(targets.select(F.col(key), F.col("shape").alias("__shape"), F.col("affine").alias("__affine")), key, "left")
     there = rows.schema.names
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ValidationError
+from ..functions import spline
 
 
 def label_map(declared: Mapping[str, int], value: Column) -> Column:
@@ -41,13 +42,17 @@ def label_dtype(declared: Mapping[str, int]) -> str:
 
 
 def resample_array(x: np.ndarray, size: Sequence[int], factor: Sequence[float], order: str, fill: float = 0.0) -> np.ndarray:
-    """x on a grid of `size` whose point i lies at i * factor of x; nearest or linear; fill outside x."""
-    at = np.meshgrid(*(np.arange(s) * f for s, f in zip(size, factor)), indexing="ij")
-    inside = np.all([(a >= -0.5) & (a <= s - 0.5) if order == "nearest" else (a >= 0) & (a <= s - 1) for a, s in zip(at, x.shape)], axis=0)
+    """x on a grid of `size` whose point i lies at i * factor of x; nearest, linear or bspline; fill from half a step outside x."""
+    lines = [np.arange(s) * f for s, f in zip(size, factor)]
+    at = np.meshgrid(*lines, indexing="ij")
+    inside = np.all([(a >= -0.5) & (a < s - 0.5) for a, s in zip(at, x.shape)], axis=0)
+    if order == "bspline":
+        return np.where(inside, spline.on_lines(spline.coefficients(x), lines), fill)
     if order == "nearest":
         idx = [np.clip(np.floor(a + 0.5).astype(int), 0, s - 1) for a, s in zip(at, x.shape)]
         return np.where(inside, x[tuple(idx)], fill)
     out = np.zeros(tuple(size))
+    at = [np.clip(a, 0, s - 1) for a, s in zip(at, x.shape)]
     low = [np.clip(np.floor(a).astype(int), 0, s - 1) for a, s in zip(at, x.shape)]
     part = [a - i for a, i in zip(at, low)]
     for corner in np.ndindex(*(2,) * x.ndim):
@@ -62,8 +67,8 @@ def resample_array(x: np.ndarray, size: Sequence[int], factor: Sequence[float],
 
 def resample(volumes: DataFrame, shape: Sequence[int], size: Sequence[int], factor: Sequence[float], order: str = "linear", fill: float = 0.0, key: str = "sample_id", data: str = "data") -> DataFrame:
     """(key, data): each volume (flat C order, one per row) on another grid; a numpy kernel over Arrow batches."""
-    if order not in ("nearest", "linear"):
-        raise ValidationError(f"{order}: only nearest and linear are built")
+    if order not in ("nearest", "linear", "bspline"):
+        raise ValidationError(f"{order}: only nearest, linear and bspline are built")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

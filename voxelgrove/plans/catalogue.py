@@ -551,6 +551,23 @@ def resample_linear_volume(spark, d):
     return _linear_volumes(spark, d).select("vec_id", F.col("i").alias("idx"), (F.round("v", 6) + F.lit(0.0)).alias("v"))
 
 
+#: 6 times the inverse of a mirrored spline's matrix of four points, in 45ths, and a spline's weights of coefficients at half steps, in 48ths.
+_SPLINE = """m as (select k, i, w / 45.0::double as w from (values (0, 0, 78), (0, 1, -42), (0, 2, 12), (0, 3, -3), (1, 0, -21), (1, 1, 84), (1, 2, -24), (1, 3, 6), (2, 0, 6), (2, 1, -24), (2, 2, 84), (2, 3, -21), (3, 0, -3), (3, 1, 12), (3, 2, -42), (3, 3, 78)) t(k, i, w)),
+b as (select c, abs(3 - abs(3 - ((c + 1) // 2 - 2 + j + (1 - c % 2)))) as k, w / 48.0::double as w from range(7) r(c), (values (0, 0, 8), (0, 1, 32), (0, 2, 8), (0, 3, 0), (1, 0, 1), (1, 1, 23), (1, 2, 23), (1, 3, 1)) t(odd, j, w) where odd = c % 2),
+s as (select c, i, sum(b.w * m.w) as w from b join m using (k) group by c, i),
+y0 as (select vec_id, s.c as a, c1, c2, sum(v * w) as v from x join s on i = c0 group by all),
+y1 as (select vec_id, a, s.c as b, c2, sum(v * w) as v from y0 join s on i = c1 group by all),
+y2 as (select vec_id, a, b, s.c as c, sum(v * w) as v from y1 join s on i = c2 group by all)"""
+
+
+@query(f"with {_VOL}, {_SPLINE} select vec_id, (a * 49 + b * 7 + c)::int as idx, round(v, 6) + 0.0 as v from y2")
+def resample_bspline(spark, d):
+    """Every point of whole volumes at twice the density of each axis, by cubic B-splines."""
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("sample_id"), F.col("embedding").alias("data"))
+    out = labels.resample(rows, (4, 4, 4), (7, 7, 7), (0.5, 0.5, 0.5), "bspline")
+    return out.select(F.col("sample_id").alias("vec_id"), F.posexplode("data").alias("idx", "v")).withColumn("v", F.round("v", 6) + F.lit(0.0))
+
+
 # ---- review, validation, checksum, edits
 
 

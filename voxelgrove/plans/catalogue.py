@@ -330,6 +330,22 @@ def patch_boxes(spark, d):
     return out.select("box_id", *(F.get(c, F.lit(a)).alias(f"{c}{a}") for a in range(3) for c in ("lo", "hi")))
 
 
+@query("""with b as (select p_partkey as box_id, p_partkey // 50 as sample_id, [p_partkey * 37 % 480, p_partkey * 91 % 470, p_partkey * 13 % 60] as lo, p_size * case when p_partkey % 17 = 0 then 8 else 1 end as n from part),
+e as (select box_id, sample_id, lo, [lo[1] + n, lo[2] + n - 5, lo[3] + n // 4] as hi from b),
+p as (select sample_id, k::int as patch, [k * 53 % 450, k * 29 % 450, k * 7 % 40] as st from (select distinct sample_id from b), range(100) r(k))
+select box_id, patch, """ + ", ".join(f"(lo[{a}] - st[{a}])::bigint as lo{a - 1}, (hi[{a}] - st[{a}])::bigint as hi{a - 1}" for a in (1, 2, 3)) + " from e join p using (sample_id) where " + " and ".join(f"hi[{a}] - st[{a}] >= 0 and lo[{a}] - st[{a}] < {p}" for a, p in ((1, 64), (2, 48), (3, 16))))
+def boxes_touching_patches(spark, d):
+    """A hundred patches of each sample and the boxes that they touch, large and small ones, some with ends the wrong way round."""
+    k, s = F.col("p_partkey").cast("long"), F.col("p_size").cast("long")
+    rows = table(spark, d, "part").select(k.alias("box_id"), F.floor(k / 50).alias("sample_id"), F.array(k * 37 % 480, k * 91 % 470, k * 13 % 60).alias("lo"), (s * F.when(k % 17 == 0, 8).otherwise(1)).alias("n"))
+    at = lambda i: F.get("lo", F.lit(i))
+    rows = rows.withColumn("hi", F.array(at(0) + F.col("n"), at(1) + F.col("n") - 5, at(2) + F.floor(F.col("n") / 4))).drop("n")
+    q = F.col("patch")
+    where = rows.select("sample_id").distinct().withColumn("patch", F.explode(F.sequence(F.lit(0), F.lit(99)))).withColumn("start", F.array(q * 53 % 450, q * 29 % 450, q * 7 % 40))
+    out = boxes.touching(rows, where, (64, 48, 16))
+    return out.select("box_id", "patch", *(F.get(c, F.lit(a)).alias(f"{c}{a}") for a in range(3) for c in ("lo", "hi")))
+
+
 @query(f"with {_BOX} select box_id, 59 - hi[1] as lo0, 59 - lo[1] as hi0, lo[2] as lo1, hi[2] as hi1, 19 - hi[3] as lo2, 19 - lo[3] as hi2 from b")
 def flip_boxes(spark, d):
     lo, hi = boxes.flip(F.col("lo"), F.col("hi"), (60, 60, 20), (0, 2))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as geo
 from ..operators import boxes, cases, checksum, edit, grids, labels, manifest, patches, records, review, series, split, stats, transforms, validation
 from ..session import shared_folder
-from ..sources import dicom, samples, tiles
+from ..sources import dicom, nifti_format, samples, tiles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -943,6 +943,24 @@ def dicom_series(spark, d):
     return out.withColumn("i", F.coalesce("i", F.lit(-1)))
 
 
+@query(f"with {_VOL}, n as (select vec_id, row_number() over (partition by vec_id // 64 order by vec_id) - 1 as k from embeddings) select vec_id // 64 as volume, (k * 64 + c0 * 16 + c1 * 4 + c2)::int as i, round(v, 6) as value, 'float32' as dtype, (vec_id // 64)::double as origin from x join n using (vec_id)")
+def nifti_files(spark, d):
+    """Up to 64 vectors a volume of four axes, written as packed NIfTI files by the data source and read back by it."""
+    nifti_format.register(spark)
+    v = F.floor(F.col("vec_id") / 64)
+    rows = table(spark, d, "embeddings").groupBy(v.alias("volume")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("items"))
+    unit = F.array(*(F.col("volume").cast("double") if i == 3 else F.lit(float(i % 5 == 0)) for i in range(16)))
+    files = rows.select(
+        F.format_string("v%d/data.nii.gz", "volume").alias("name"), F.array(F.size("items"), *[F.lit(4)] * 3).cast("array<bigint>").alias("shape"), F.lit("float32").alias("dtype"), unit.alias("affine"),
+        F.flatten(F.transform("items", lambda x: x["embedding"].cast("array<double>"))).alias("data"),
+    )
+    path = _scratch(spark)
+    files.write.format("nifti").mode("append").save(path)
+    got = tiles.numbers(spark.read.format("nifti").load(path).where("error is null"))
+    out = got.select(F.regexp_extract("path", "/v([0-9]+)/", 1).cast("long").alias("volume"), F.posexplode("data").alias("i", "value"), "dtype", F.get("affine", F.lit(3)).alias("origin"))
+    return out.withColumn("value", F.round("value", 6))
+
+
 @query("select doc_id::varchar as path, coalesce(lang, '') as label, row_number() over (order by doc_id::varchar) - 1 as place from documents")
 def records_in_order(spark, d):
     """Records of documents as samples, in the order of their paths; places are counted within ranges of paths, then over the ranges."""

@@ -21,10 +21,8 @@ DTYPES = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 7
 HEADER, OFFSET = 348, 352
 
 
-def parse(content: bytes) -> dict:
-    """shape, dtype, affine (row-major list of 16) and data (float64, C order) of a file's bytes."""
-    if content[:2] == b"\x1f\x8b":
-        content = gzip.decompress(content)
+def header(content: bytes) -> dict:
+    """shape, dtype, affine (row-major list of 16), and kind, offset, slope and inter of the values, from a file's first 348 bytes."""
     if len(content) < HEADER:
         raise SourceError("too short for a NIfTI header")
     end = "<" if struct.unpack("<i", content[:4])[0] == HEADER else ">"
@@ -44,14 +42,33 @@ def parse(content: bytes) -> dict:
         affine = _from_quaternion(np.array(struct.unpack(end + "6f", content[256:280]), dtype=float), pixdim)
     else:
         affine = np.diag([*(float(x) for x in pixdim[1:4]), 1.0])
-    count, kind = int(np.prod(shape)), np.dtype(end + DTYPES[code])
-    raw = content[int(offset) : int(offset) + count * kind.itemsize]
-    if len(raw) < count * kind.itemsize:
+    kind = np.dtype(end + DTYPES[code])
+    return {"shape": shape, "dtype": kind.name, "affine": affine.ravel().tolist(), "kind": kind, "offset": int(offset), "slope": slope, "inter": inter}
+
+
+def stored(content: bytes) -> tuple[dict, np.ndarray]:
+    """A file's header and its values as they are stored, before slope and intercept."""
+    if content[:2] == b"\x1f\x8b":
+        content = gzip.decompress(content)
+    head = header(content)
+    count, kind = int(np.prod(head["shape"])), head["kind"]
+    if len(content) - head["offset"] < count * kind.itemsize or min(head["shape"]) < 0:
         raise SourceError("the file ends before its data")
-    data = np.frombuffer(raw, kind).reshape(shape, order="F").astype(float)
-    if slope not in (0.0, 1.0) or (slope != 0 and inter != 0):
-        data = data * slope + inter
-    return {"shape": shape, "dtype": kind.name, "affine": affine.ravel().tolist(), "data": data.ravel()}
+    return head, np.frombuffer(content, kind, count, head["offset"]).reshape(head["shape"], order="F")
+
+
+def scaled(head: dict) -> bool:
+    """Whether a file's values are numbers on another scale than they are stored on."""
+    return head["slope"] not in (0.0, 1.0) or (head["slope"] != 0 and head["inter"] != 0)
+
+
+def parse(content: bytes) -> dict:
+    """shape, dtype, affine (row-major list of 16) and data (float64, C order) of a file's bytes."""
+    head, values = stored(content)
+    data = values.astype(float)
+    if scaled(head):
+        data = data * head["slope"] + head["inter"]
+    return {c: head[c] for c in ("shape", "dtype", "affine")} | {"data": data.ravel()}
 
 
 def _from_quaternion(q: np.ndarray, pixdim: tuple[float, ...]) -> np.ndarray:
@@ -150,7 +167,7 @@ def _put(path: str, content: bytes) -> None:
 def export(volumes: DataFrame, folder: str) -> None:
     """Writes encode()'s files into a folder that all executors see: in the tasks, one volume at a time.
 
-    Python workers reach mounted folders only; other file systems are written by Hadoop on the driver, a partition at a time."""
+    Other file systems are written by the data source `nifti` (nifti_format), which needs pyarrow's access to them."""
     spark = volumes.sparkSession
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     top = jvm.org.apache.hadoop.fs.Path(folder)
@@ -169,11 +186,10 @@ def export(volumes: DataFrame, folder: str) -> None:
         rows = volumes.select("name", "shape", "dtype", "affine", "data")
         rows.mapInPandas(run, "name string, bytes long").write.format("noop").mode("overwrite").save()
         return
-    for row in encode(volumes).toLocalIterator():
-        path = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{row['name']}")
-        out = path.getFileSystem(conf).create(path, True)
-        out.write(bytearray(row["content"]))
-        out.close()
+    from . import nifti_format
+
+    nifti_format.register(spark)
+    volumes.select("name", "shape", "dtype", "affine", "data").write.format("nifti").mode("overwrite").save(folder)
 
 
 def import_samples(images: DataFrame, files: DataFrame, same_grid: bool = True, onto: str | None = None, order: str = "linear") -> DataFrame:

@@ -1,12 +1,15 @@
-"""The data source nifti: files to rows, rows to files."""
+"""The data source nifti: files to rows, rows to files. And other files that are read by ranges."""
 
+import contextlib
 import gzip
 import os
+import sys
+import types
 
 import numpy as np
 import pytest
 
-from voxelgrove.sources import nifti, nifti_format, tiles
+from voxelgrove.sources import hdf5, nifti, nifti_format, tiles
 
 AFFINE = [float(v) for v in (2, 0, 0, 5, 0, 3, 0, 6, 0, 0, 4, 7, 0, 0, 0, 1)]
 ROWS = "name string, shape array<bigint>, dtype string, affine array<double>, data array<double>, more int"
@@ -113,3 +116,28 @@ def test_a_write_that_fails_leaves_nothing(spark, tmp_path):
     assert np.frombuffer(read(spark, tmp_path)["a.nii"]["data"], "<i2").tolist() == [8, 9] and sorted(os.listdir(tmp_path)) == ["_SUCCESS", "a.nii", "c.nii"]
     spark.createDataFrame([], ROWS).write.format("nifti").mode("append").save(str(tmp_path / "none"))
     assert os.listdir(tmp_path / "none") == ["_SUCCESS"]
+
+
+def test_hdf5_files_are_opened_where_they_lie(spark, tmp_path, monkeypatch):
+    """The library isn't installed: one that reads a file's ends stands in for it. Spark's scan has no column of contents."""
+    path = tmp_path / "long.h5"
+    with open(path, "wb") as f:
+        f.write(b"head")
+        f.truncate(3 << 30)
+    got = {}
+
+    @contextlib.contextmanager
+    def file(raw, mode):
+        got["head"] = raw.read(4)
+        got["end"], before = raw.seek(0, os.SEEK_END), bytearray(2)
+        raw.seek(-2, os.SEEK_CUR)
+        got["n"] = raw.readinto(before)
+        yield {"mode": mode}
+
+    monkeypatch.setitem(sys.modules, "h5py", types.SimpleNamespace(File=file))
+    for name in (f"file:{path}", f"file://{path}", str(path)):
+        with hdf5._opened(name) as f:
+            assert f == {"mode": "r"} and got == {"head": b"head", "end": 3 << 30, "n": 2}
+    monkeypatch.setattr(hdf5, "need", lambda module: None)
+    plan = hdf5.read_meta(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<path:string>" in plan

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import functools
 import importlib.util
-import io
 import json
 from collections.abc import Iterator, Mapping
 
@@ -12,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from ..errors import EngineError, SchemaError, SourceError
+from .nifti_format import place
 from .samples import check_version
 
 SUFFIX = ".h5"
@@ -80,18 +82,28 @@ def boxes(f: Mapping) -> list[tuple[list[float], list[float], float | None, str
     return [(e[:, 0].tolist(), e[:, 1].tolist(), s, x) for e, s, x in zip(ends, scores, labels, strict=True)]
 
 
+@contextlib.contextmanager
+def _opened(path: str) -> Iterator[Mapping]:
+    """A file opened where it lies: the library seeks in it and reads the ranges that it needs."""
+    import h5py
+
+    fs, place_in = place(path)
+    with fs.open_input_file(place_in) as raw, h5py.File(raw, "r") as f:
+        yield f
+
+
 def _each(spark: SparkSession, root: str, suffix: str, rows_of, schema: str) -> DataFrame:
+    """rows_of(path, open) for each file below root. Spark lists the files and reads none of them: tasks open paths, so metadata cost no read of arrays
+    and files may be longer than a row. Paths are those of pyarrow.fs."""
     need("h5py")
     files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", "true").load(root)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import h5py
-
         for b in batches:
-            for path, content in zip(b["path"], b["content"]):
-                yield pd.DataFrame(rows_of(path, lambda: h5py.File(io.BytesIO(content), "r")), columns=[x.strip().split(" ")[0] for x in schema.split(", ")])
+            for path in b["path"]:
+                yield pd.DataFrame(rows_of(path, functools.partial(_opened, path)), columns=[x.strip().split(" ")[0] for x in schema.split(", ")])
 
-    return files.select("path", "content").mapInPandas(run, schema)
+    return files.select("path").mapInPandas(run, schema)
 
 
 def read_meta(spark: SparkSession, root: str, suffix: str = SUFFIX) -> DataFrame:

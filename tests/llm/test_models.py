@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -82,12 +83,12 @@ def test_scores_equal_plain_context_tree_weighting(spark):
     rng = random.Random(3)
     texts = [None, "", " \t", "Solo", "çà É"] + [" ".join(rng.choice(("the", "cat", "Sat", "on", "mats", "énorme")) for _ in range(rng.randrange(1, 12))) for _ in range(60)]
     rows = [(i, t, "en", 1, 2, 0.5) for i, t in enumerate(texts)]
-    for block_bytes in (1 << 26, 200):
-        got = {r["doc_id"]: r for r in ctw.score_documents(spark.createDataFrame(rows, SCHEMA), depth=3, block_bytes=block_bytes).collect()}
+    for block_bytes, depth in ((1 << 26, 3), (200, 3), (1 << 26, ctw.DEPTH)):
+        got = {r["doc_id"]: r for r in ctw.score_documents(spark.createDataFrame(rows, SCHEMA), depth=depth, block_bytes=block_bytes).collect()}
         assert len(got) == len(rows)
         held = [zlib.crc32(str(i).encode()) % 10 == 0 for i in range(len(rows))]
-        stream = [b"\n" * 3 + " ".join(words(t)).encode() + b"\n" for t in texts]
-        model = PlainCTW([s for s, h in zip(stream, held) if not h], 3)
+        stream = [b"\n" * depth + " ".join(words(t)).encode() + b"\n" for t in texts]
+        model = PlainCTW([s for s, h in zip(stream, held) if not h], depth)
         counts = Counter()
         for t, h in zip(texts, held):
             if not h:
@@ -136,13 +137,30 @@ def test_tallies_and_lookups():
     assert ctw.Tally().items()[0].size == 0 and ctw.Lookup(*ctw.Tally().items()).get(keys).sum() == 0
 
 
-def test_slices_cut_between_contexts_and_lose_nothing(monkeypatch):
-    monkeypatch.setattr(ctw, "SLICE", 50)
-    keys = np.unique(ctw.grams(np.random.default_rng(2).integers(97, 103, 4000).astype(np.uint8), 5))
-    parts = [keys[s] for s in ctw._slices(keys, 5)]
-    assert len(parts) > 5 and np.array_equal(np.concatenate(parts), keys)
-    heads = [set((p >> np.uint64(24)).tolist()) for p in parts]
-    assert sum(map(len, heads)) == len(set().union(*heads))
+def test_slices_cut_between_contexts_and_lose_nothing():
+    grams = np.unique(ctw.grams(np.random.default_rng(2).integers(97, 103, 4000).astype(np.uint8), 5)).view(np.int64)
+    nodes = np.unique(grams >> 32) << 32 | 7 << 24
+    rows = sorted([(k >> 32, 0, k, -1) for k in nodes.tolist()] + [(k >> 32, 1, k, 1) for k in grams.tolist()])
+    keys, n = (np.array([r[i] for r in rows], np.int64) for i in (2, 3))
+    for size in (7, 30, 5000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + size]), pa.array(n[i : i + size])], names=["key", "n"]) for i in range(0, len(keys), size)]
+        parts = list(ctw._slices(iter(batches), 5, 50))
+        assert np.array_equal(np.concatenate([p[0] for p in parts]), keys) and np.array_equal(np.concatenate([p[1] for p in parts]), n)
+        assert size == 5000 or len(parts) > 5 and max(len(p[0]) for p in parts) < 500
+        heads = [set((k[m > 0] >> 24).tolist()) for k, m in parts]
+        assert sum(map(len, heads)) == len(set().union(*heads))
+    assert list(ctw._slices(iter([]), 5)) == []
+
+
+def test_scores_are_the_same_in_small_slices(spark):
+    """Nodes are carried from slice to slice."""
+    counts = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(20).toPandas()["text"].fillna("")
+    keys, n = np.unique(np.concatenate([ctw.grams(np.frombuffer(b"\n" * 5 + t.encode()[:300] + b"\n", np.uint8), 5) for t in counts]), return_counts=True)
+    table = spark.createDataFrame(list(zip(keys.view(np.int64).tolist(), n.tolist())), "key long, n long")
+    whole = dict(ctw.predictions(table, 5).collect())
+    assert len(whole) == len(keys)
+    small = dict(ctw.predictions(table.repartition(3), 5, 40).collect())
+    assert small.keys() == whole.keys() and all(small[k] == pytest.approx(whole[k], abs=1e-9) for k in whole)
 
 
 def test_scores_beat_the_base_on_held_out_texts(spark):

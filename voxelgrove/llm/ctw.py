@@ -8,7 +8,7 @@ that was never seen adds nothing to the mix below it, so every bit's two probabi
 All counts are exact and cover all training rows. Texts are dealt to blocks. A block's first pass gives its distinct
 words and grams with their training counts (0 for those of held-out texts); their sums and predictions come back to
 the block by equi-joins. So no model is broadcast or held whole: what a task holds is one block of texts and its
-dictionary, or the grams of some contexts of two bytes, at any size of the corpus.
+dictionary, or a slice of sorted grams that it streams over, at any size of the corpus.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ END_TOKEN = np.uint64(0x0E0D0F7E8D)
 WORD, GRAM = 0, 1
 _HASH = np.uint64(0x9E3779B97F4A7C15)
 _CHUNK = 1 << 18
-#: Subtrees hang below contexts of so many bytes; a task works on about SLICE grams at once, whole subtrees of them.
+#: Subtrees hang below contexts of so many bytes; a task streams over sorted grams, about SLICE at once, whole subtrees of them.
 TOP, SLICE = 3, 1 << 16
 #: Shares into which the grams of a two-byte context are dealt.
 SHARES = 16
@@ -308,41 +308,44 @@ def _share(key: Column, depth: int) -> Column:
 
 
 def _by_context(rows: DataFrame, depth: int) -> DataFrame:
-    """Rows (key, share, ...) by the two-byte context of the gram in key, and its share."""
-    return rows.withColumn("ctx", F.shiftright("key", 8 * (depth - 2) + 8)).repartition("ctx", "share").drop("ctx", "share")
-
-
-def _gather(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
-    """The columns of a partition."""
-    parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
-    return [np.concatenate(x) for x in zip(*parts)] if parts else []
-
-
-def _slices(keys: np.ndarray, depth: int) -> Iterator[slice]:
-    """Slices of sorted grams of about SLICE each, cut between contexts of TOP bytes."""
-    ctx = keys >> np.uint64(8 * (depth - TOP) + 8)
-    cut = np.concatenate([[0], np.flatnonzero(ctx[1:] != ctx[:-1]) + 1, [len(keys)]])
-    at = 0
-    while at < len(keys):
-        end = int(cut[max(np.searchsorted(cut, at + SLICE, "right") - 1, np.searchsorted(cut, at, "right"))])
-        yield slice(at, end)
-        at = end
-
-
-def middle_level(counts: DataFrame, depth: int) -> DataFrame:
+    """Rows (key, n, share, ...) by the two-byte context of the gram in key, and its share; sorted, a context's nodes (n < 0) before its grams."""
+    rows = rows.withColumn("ctx", F.shiftright("key", 8 * (depth - 2) + 8)).repartition("ctx", "share")
+    return rows.sortWithinPartitions("ctx", F.col("n") >= 0, "key").drop("ctx", "share")
+
+
+def _slices(batches: Iterator[pa.RecordBatch], depth: int, size: int = SLICE) -> Iterator[list[np.ndarray]]:
+    """The columns (key, n, ...) of a partition that _by_context() sorted, about `size` rows at a time, cut between contexts of TOP bytes.
+
+    So a task holds a slice and a batch, or the grams of one such context if they are more, whatever the partition has."""
+    parts, held, limit = [], 0, size
+    for b in batches:
+        if not b.num_rows:
+            continue
+        parts.append([c.to_numpy(zero_copy_only=False) for c in b.columns])
+        held += b.num_rows
+        if held < limit:
+            continue
+        cols = [np.concatenate(x) for x in zip(*parts)]
+        ctx = cols[0] >> (8 * (depth - TOP) + 8)
+        ctx = np.where(cols[1] < 0, ctx & ~np.int64(255), ctx)
+        cut = int(np.searchsorted(ctx, ctx[-1]))
+        if cut:
+            yield [x[:cut] for x in cols]
+        parts, held = [[x[cut:].copy() for x in cols]], held - cut
+        limit = max(size, 2 * held)
+    if held:
+        yield [np.concatenate(x) for x in zip(*parts)]
+
+
+def middle_level(counts: DataFrame, depth: int, size: int = SLICE) -> DataFrame:
     """(key, n0, n1, pw, w): the nodes of depth TOP - 1, with the weights that the trees below give them.
 
     counts: (key, n), the grams of training. key is a node, as context and bit prefix, at the place of a gram's context."""
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = _gather(batches)
-        if found:
-            keys = found[0].view(np.uint64)
-            order = np.argsort(keys)
-            keys, n = keys[order], found[1][order]
-            for part in _slices(keys, depth):
-                nodes, n0, n1, below = Subtrees(keys[part], n[part], depth, TOP).above()
-                yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), pa.array(n0), pa.array(n1), pa.array(below)], names=["node", "n0", "n1", "below"])
+        for keys, n in _slices(batches, depth, size):
+            nodes, n0, n1, below = Subtrees(keys.view(np.uint64), n, depth, TOP).above()
+            yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), pa.array(n0), pa.array(n1), pa.array(below)], names=["node", "n0", "n1", "below"])
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -367,25 +370,25 @@ def head_levels(middle: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray, np
     return {0: (root, r0, r1, rw), 1: (node, n0, n1, w)}
 
 
-def predictions(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(key, value): log10 of the probability of each gram of counts (key, n); those with n = 0 weren't seen in training."""
-    middle = settle(middle_level(counts.where("n > 0"), depth))
+def predictions(counts: DataFrame, depth: int = DEPTH, size: int = SLICE) -> DataFrame:
+    """(key, value): log10 of the probability of each gram of counts (key, n); those with n = 0 weren't seen in training. size: grams to a slice."""
+    middle = settle(middle_level(counts.where("n > 0"), depth, size))
     head = head_levels(middle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = _gather(batches)
-        if not found:
-            return
-        keys, n, n0, n1, w = found
-        keys, is_node = keys.view(np.uint64), n < 0
-        order = np.argsort(keys[is_node])
-        # A node came at the place of its context's grams: its marker bit goes back to where the nodes have it.
-        own = head | {TOP - 1: ((keys[is_node][order] >> np.uint64(8 * (depth - TOP + 1))), *(x[is_node][order] for x in (n0, n1, w)))}
-        order = np.argsort(keys[~is_node])
-        keys, n = keys[~is_node][order], n[~is_node][order]
-        for part in _slices(keys, depth):
-            value = Subtrees(keys[part], n[part], depth, TOP).log10(own)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[part].view(np.int64)), pa.array(value)], names=["key", "value"])
+        kept = [np.empty(0, np.int64), *(np.empty(0) for _ in range(3))]
+        for keys, n, n0, n1, w in _slices(batches, depth, size):
+            is_node = n < 0
+            # The nodes of a context whose grams the last slice began with are needed again.
+            kept = [np.concatenate([a, b[is_node]]) for a, b in zip(kept, (keys, n0, n1, w))]
+            if not is_node.all():
+                # A node came at the place of its context's grams: its marker bit goes back to where the nodes have it.
+                own = head | {TOP - 1: (kept[0].view(np.uint64) >> np.uint64(8 * (depth - TOP + 1)), *kept[1:])}
+                grams = keys[~is_node]
+                value = Subtrees(grams.view(np.uint64), n[~is_node], depth, TOP).log10(own)
+                yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(value)], names=["key", "value"])
+            last = kept[0] >> (8 * (depth - 2) + 8) == keys[-1] >> (8 * (depth - 2) + 8)
+            kept = [x[last] for x in kept]
 
     nothing = F.lit(0.0)
     nodes = middle.select(F.shiftleft("node", 8 * (depth - TOP + 1)).alias("key"), F.lit(-1).cast("long").alias("n"), "n0", "n1", "w", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("share"))

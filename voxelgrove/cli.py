@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .errors import EngineError, ValidationError
-from .operators import checksum, manifest, records, review, series, split, stats, validation
+from .operators import checksum, grids, manifest, records, review, series, split, stats, validation
 from .session import session, settle
 from .sources import dicom, hdf5, nifti, samples
 
@@ -59,11 +59,20 @@ def info(spark, a):
         print(row["payload"])
 
 
+def _observed(spark: SparkSession, root: str) -> tuple[DataFrame, str]:
+    """The table of samples beside what the dataset's other tables hold of each, as far as there are any, and the column that names a sample."""
+    tables = _tables(spark, root)
+    rows, key, seen = tables["samples"], _key(tables), {n: tables[n] for n in ("images", "masks", "boxes") if n in tables}
+    if seen and "checksum" in rows.columns:
+        rows = checksum.computed(tables, key)
+    return validation.observed(rows, **seen, key=key), "path" if "path" in rows.columns else key
+
+
 def validate(spark, a):
-    rows = _table(spark, a.root, "samples")
-    found = validation.issues(rows.where(F.col("path") == a.path) if getattr(a, "path", None) else rows)
+    rows, key = _observed(spark, a.root)
+    found = validation.issues(rows.where(F.col(key) == a.path) if getattr(a, "path", None) else rows, key)
     if getattr(a, "fail_fast", False):
-        found = validation.first_failures(found)
+        found = validation.first_failures(found, key)
     _show(found)
     bad = found if getattr(a, "strict", False) or "severity" not in found.columns else found.where("severity = 'error'")
     return 0 if bad.isEmpty() else 1
@@ -71,8 +80,8 @@ def validate(spark, a):
 
 def validate_all(spark, a):
     code = validate(spark, a)
-    rows = _table(spark, a.root, "samples")
-    _show(validation.summary(rows, validation.issues(rows), strict=a.strict))
+    rows, key = _observed(spark, a.root)
+    _show(validation.summary(rows, validation.issues(rows, key), key, strict=a.strict))
     return code
 
 
@@ -122,8 +131,27 @@ def do_stats(spark, a):
             _show(df)
 
 
+def _named(given: list[str] | None) -> dict[str, str] | None:
+    """NAME=FILE arguments."""
+    if any("=" not in x or not all(x.split("=", 1)) for x in given or ()):
+        raise ValidationError("images and masks are given as NAME=FILE")
+    return dict(x.split("=", 1) for x in given) if given else None
+
+
+def _write(tables: dict[str, DataFrame], root: str) -> None:
+    for name, df in tables.items():
+        samples.write(df, f"{root.rstrip('/')}/{name}")
+
+
 def import_nifti(spark, a):
-    nifti.read(spark, a.source, skip_invalid=a.skip_invalid).write.parquet(a.target)
+    if a.volumes:
+        nifti.read(spark, a.source, skip_invalid=a.skip_invalid).write.parquet(a.target)
+        return
+    images, masks = _named(a.image), _named(a.seg)
+    if masks and not images:
+        raise ValidationError("name the images too")
+    out = nifti.import_folder(spark, a.source, images, masks, a.resample_to, a.interpolator, a.resample_seg, not a.any_grid, a.skip_invalid, a.label, a.label_name)
+    _write(out, a.target)
 
 
 def import_dicom(spark, a):
@@ -141,18 +169,29 @@ def import_dicom(spark, a):
 def import_nnunetv2(spark, a):
     from .sources import nnunet
 
-    for name, df in nnunet.import_dataset(spark, a.source, not a.no_test).items():
-        df.write.parquet(f"{a.target.rstrip('/')}/{name}")
+    _write(nnunet.import_dataset(spark, a.source, not a.no_test), a.target)
 
 
 def export_nifti(spark, a):
-    nifti.export(spark.read.parquet(a.source), a.target)
+    modalities, masks = (x.split(",") if x else None for x in (a.modalities, a.masks))
+    found = samples.SampleSet(spark, a.source)
+    if found.images is None:
+        nifti.export(spark.read.parquet(a.source), a.target)
+    else:
+        nifti.export(nifti.export_volumes(found.images, found.masks, modalities, masks), a.target)
 
 
 def export_nnunetv2(spark, a):
     from .sources import nnunet
 
-    nnunet.export(spark.read.parquet(a.source), a.target, json.loads(a.channels), json.loads(a.labels))
+    channels, values = (json.loads(x) if x else None for x in (a.channels, a.labels))
+    found = samples.SampleSet(spark, a.source)
+    if found.images is None:
+        if channels is None or values is None:
+            raise ValidationError("a table of volumes needs --channels and --labels")
+        print(json.dumps(nnunet.export(spark.read.parquet(a.source), a.target, channels, values)))
+    else:
+        print(json.dumps(nnunet.export_dataset({"samples": found.samples, "images": found.images, "masks": found.masks}, a.target, channels, values, a.file_ending, a.dataset_name)))
 
 
 def review_set(spark, a):
@@ -213,12 +252,16 @@ def parser() -> argparse.ArgumentParser:
     add(sub, "split", do_split, ("manifest", {}), ("out", {}), ("--ratios", {}), ("--k-folds", {"type": int}), ("--group", {"default": "path"}), ("--stratify", {}), ("--seed", {"type": int, "default": 0}))
     add(sub, "stats", do_stats, root, ("--out", {}), ("--modalities", {}), ("--foreground", {}), ("--exact", flag), ("--sample-voxels", {"type": int}))
     imp = sub.add_parser("import").add_subparsers(required=True)
-    add(imp, "nifti", import_nifti, *two, ("--skip-invalid", flag))
+    names = {"action": "append", "metavar": "NAME=FILE"}
+    add(
+        imp, "nifti", import_nifti, *two, ("--image", names), ("--seg", names), ("--resample-to", {}), ("--interpolator", {"default": "linear", "choices": grids.ORDERS}), ("--resample-seg", flag), ("--any-grid", flag),
+        ("--label", {}), ("--label-name", {}), ("--skip-invalid", flag), ("--volumes", {**flag, "help": "a table of the files alone, whatever folders they are in"}),
+    )
     add(imp, "dicom", import_dicom, *two, ("--series-uid", {}), ("--all-series", flag), ("--modality", {"default": "image"}), ("--stored-values", flag))
     add(imp, "nnunetv2", import_nnunetv2, *two, ("--no-test", flag))
     exp = sub.add_parser("export").add_subparsers(required=True)
-    add(exp, "nifti", export_nifti, *two)
-    add(exp, "nnunetv2", export_nnunetv2, *two, ("--channels", {"required": True}), ("--labels", {"required": True}))
+    add(exp, "nifti", export_nifti, *two, ("--modalities", {}), ("--masks", {}))
+    add(exp, "nnunetv2", export_nnunetv2, *two, ("--channels", {}), ("--labels", {}), ("--file-ending", {"default": ".nii.gz"}), ("--dataset-name", {}))
     rev = sub.add_parser("review").add_subparsers(required=True)
     add(rev, "set", review_set, root, ("sample", {}), ("status", {"choices": review.STATUSES}), ("--annotator", {}), ("--notes", {}), ("--timestamp", {}))
     add(rev, "get", review_get, root, ("sample", {}))

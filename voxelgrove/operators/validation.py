@@ -65,6 +65,28 @@ def issues(samples: DataFrame, key: str = "path") -> DataFrame:
     return samples.select(key, F.inline(F.array_compact(F.array(*found))))
 
 
+def observed(samples: DataFrame, images: DataFrame | None = None, masks: DataFrame | None = None, boxes: DataFrame | None = None, key: str = "sample_id") -> DataFrame:
+    """samples with the columns that issues() holds against the metadata, as the tables have them; without a table its columns stay as they are.
+
+    images (key, modality, shape), masks (key, mask, shape) and boxes (key, lo, optionally score and label) are narrowed to those columns
+    before they are grouped, so no array of values is read. A sample without images, masks or boxes has nulls; columns of those names are replaced."""
+    out = samples
+
+    def join(columns: list[str], found: DataFrame) -> DataFrame:
+        return out.drop(*columns).join(found, key, "left")
+
+    for rows, name, own, shapes in ((images, "modality", "images", "image_shapes"), (masks, "mask", "seg", "seg_shapes")):
+        if rows is not None:
+            shape = F.array_join("shape", "x") if "shape" in rows.columns else F.lit(None).cast("string")
+            each = rows.groupBy(key).agg(F.array_sort(F.collect_set(F.struct(F.col(name).alias("n"), shape.alias("s")))).alias("each"))
+            out = join([own, shapes], each.select(key, F.array_distinct(F.transform("each", lambda e: e["n"])).alias(own), F.array_compact(F.transform("each", lambda e: e["s"])).alias(shapes)))
+    if boxes is not None:
+        counted = [F.nullif(F.count(c), F.lit(0)).alias(n) for c, n in (("score", "n_scores"), ("label", "n_box_labels")) if c in boxes.columns]
+        names = ["n_boxes", "box_axes", *(n for c, n in (("score", "n_scores"), ("label", "n_box_labels")) if c in boxes.columns)]
+        out = join(names, boxes.groupBy(key).agg(F.count("*").alias("n_boxes"), F.max(F.size("lo")).cast("bigint").alias("box_axes"), *counted))
+    return out
+
+
 def write_issues(inputs: DataFrame, key: str = "path") -> DataFrame:
     """(key, code) for samples that may not be written.
 

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..operators import boxes, cases, checksum, edit, grids, labels, manifest, patches, records, review, series, split, stats, transforms, validation
-from ..session import shared_folder
-from ..sources import dicom, nifti_format, samples, tiles
+from ..session import settle, shared_folder
+from ..sources import dicom, nifti, nifti_format, nnunet, samples, tiles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -862,8 +862,8 @@ def manifest_roundtrip(spark, d):
 @query("select lang as label, count(*) as n from documents group by 1")
 def stats_roundtrip(spark, d):
     path = _scratch(spark)
-    stats.label_counts(table(spark, d, "documents"), "lang").write.json(path)
-    return spark.read.schema("label string, n long").json(path)
+    stats.save({"labels": stats.label_counts(table(spark, d, "documents"), "lang")}, path)
+    return stats.load(spark, path)["labels"]
 
 
 def _recompressed(spark, d):
@@ -961,6 +961,137 @@ def nifti_files(spark, d):
     return out.withColumn("value", F.round("value", 6))
 
 
+#: Vectors of each volume, stacked along its first axis.
+_STACK = 64
+_STACKED = f"{_VOL}, n as (select vec_id, row_number() over (partition by vec_id // {_STACK} order by vec_id) - 1 as k from embeddings), y as (select vec_id // {_STACK} as volume, k * 4 + c0 as r, c1, c2, (k * 64 + c0 * 16 + c1 * 4 + c2)::int as i, v from x join n using (vec_id))"
+
+
+def _stacked(spark: SparkSession, d: str) -> DataFrame:
+    """(sample_id, shape, affine, data) of up to 64 embeddings a volume, as doubles on a grid with a step of 1."""
+    rows = table(spark, d, "embeddings").groupBy(F.floor(F.col("vec_id") / _STACK).alias("volume")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("items"))
+    data = F.flatten(F.transform("items", lambda x: x["embedding"].cast("array<double>")))
+    unit = F.array(*(F.lit(float(i % 5 == 0)) for i in range(16)))
+    return rows.select(F.concat(F.lit("v"), "volume").alias("sample_id"), F.array(F.size("items") * 4, F.lit(4), F.lit(4)).cast("array<bigint>").alias("shape"), unit.alias("affine"), data.alias("data"))
+
+
+@query(f"""with {_STACKED} select volume, case when volume % 5 = 4 then 'test' else 'train' end as part, i, round(v, 6) as raw, round(-v, 6) + 0.0 as turned, case when volume % 5 <> 4 then v > 0.1 end as high, case when volume % 5 <> 4 then v < -0.1 end as low from y""")
+def nnunet_roundtrip(spark, d):
+    """Stacked vectors as samples of two channels and two masks, written as a dataset folder, imported with all checks, written again by what the import kept, and read back."""
+    base, first, second = _stacked(spark, d), _scratch(spark), _scratch(spark)
+    number = F.substring("sample_id", 2, 20).cast("long")
+    rows = base.withColumn("part", F.when(number % 5 == 4, "test").otherwise("train"))
+    both = F.explode(F.array(*(F.struct(F.lit(m).alias("modality"), data.alias("data")) for m, data in (("turned", F.transform("data", lambda x: -x)), ("raw", F.col("data"))))))
+    images = rows.withColumn("m", both).select("sample_id", "m.modality", "shape", F.lit("float32").alias("dtype"), "affine", "m.data")
+    of = F.explode(F.array(*(F.struct(F.lit(m).alias("mask"), data.alias("data")) for m, data in (("high", F.transform("data", lambda x: x > 0.1)), ("low", F.transform("data", lambda x: x < -0.1))))))
+    masks = rows.where("part = 'train'").withColumn("m", of).select("sample_id", "m.mask", "shape", "affine", "m.data")
+    whole = {"samples": rows.select("sample_id", "part"), "images": images, "masks": masks}
+    nnunet.export_dataset(whole, first, {"0": "turned", "1": "raw"}, {"background": 0, "low": 1, "high": 2})
+    nnunet.export_dataset(nnunet.import_dataset(spark, first), second)
+    got = nnunet.import_dataset(spark, second)
+    out = samples.assemble(got["samples"], got["images"].select("sample_id", "modality", "data"), got["masks"].select("sample_id", "mask", "data"))
+    raw, turned = (F.try_element_at("images", F.lit(m)) for m in ("raw", "turned"))
+    high, low = (F.coalesce(F.try_element_at("masks", F.lit(m)), F.transform(raw, lambda x: F.lit(None).cast("boolean"))) for m in ("high", "low"))
+    out = out.select(number.alias("volume"), "part", F.posexplode(F.arrays_zip(raw.alias("raw"), turned.alias("turned"), high.alias("high"), low.alias("low"))).alias("i", "x"))
+    return out.select("volume", "part", "i", F.round("x.raw", 6).alias("raw"), (F.round("x.turned", 6) + F.lit(0.0)).alias("turned"), "x.high", "x.low")
+
+
+@query(f"with {_STACKED}, z as (select *, (r // 2) * 4 + (c1 // 2) * 2 + c2 // 2 as j from y) select volume, i, round(v, 6) as raw, (j + volume)::double as half, case when volume % 4 <> 0 then (j + volume) % 3 = 0 end as spot from z")
+def nifti_import(spark, d):
+    """Stacked vectors with a second modality and a mask on a grid of twice the step, exported as files of a folder a sample, and imported on the first one's grid; each fourth sample has no mask."""
+    base, path = _stacked(spark, d), _scratch(spark)
+    number = F.substring("sample_id", 2, 20).cast("long")
+    coarse = F.array(*(F.lit(float(x)) for x in (2, 0, 0, 0.5, 0, 2, 0, 0.5, 0, 0, 2, 0.5, 0, 0, 0, 1)))
+    shape = F.transform("shape", lambda x: F.floor(x / 2))
+    at = F.sequence(F.lit(0).cast("long"), F.floor(F.size("data") / 8) - 1)
+    half = base.select("sample_id", shape.alias("shape"), coarse.alias("affine"), F.transform(at, lambda j: (j + number).cast("double")).alias("data"))
+    images = base.select("sample_id", F.lit("raw").alias("modality"), "shape", F.lit("float32").alias("dtype"), "affine", "data")
+    images = images.unionByName(half.select("sample_id", F.lit("half").alias("modality"), "shape", F.lit("int32").alias("dtype"), "affine", "data"))
+    masks = half.where(number % 4 != 0).select("sample_id", F.lit("spot").alias("mask"), "shape", "affine", F.transform("data", lambda x: x % 3 == 0).alias("data"))
+    nifti.export(nifti.export_volumes(images, masks), path)
+    got = nifti.import_folder(spark, path, resample_to="raw", order="nearest", resample_masks=True)
+    out = samples.assemble(got["samples"], got["images"].select("sample_id", "modality", "data"), got["masks"].select("sample_id", "mask", "data"))
+    raw, two = (F.try_element_at("images", F.lit(m)) for m in ("raw", "half"))
+    spot = F.coalesce(F.try_element_at("masks", F.lit("spot")), F.transform(raw, lambda x: F.lit(None).cast("boolean")))
+    out = out.select(number.alias("volume"), F.posexplode(F.arrays_zip(raw.alias("raw"), two.alias("half"), spot.alias("spot"))).alias("i", "x"))
+    return out.select("volume", "i", F.round("x.raw", 6).alias("raw"), "x.half", "x.spot")
+
+
+_LINES = f"l as (select l_orderkey as sid, {_POS} as pos, l_partkey as a, l_suppkey as b, l_returnflag as f, l_linenumber as n from lineitem)"
+
+
+@query(f"""with {_LINES}, i as (select sid, string_agg(a, ',' order by pos) as parts, string_agg(b, ',' order by pos) as supps, string_agg((f = 'A')::int, '' order by pos) as ma, string_agg((f = 'R')::int, '' order by pos) as mr, bool_or(f = 'A') as ha, bool_or(f = 'R') as hr from l group by sid),
+b as (select sid, string_agg(pos || ':' || n || '-' || (n + a % 5), ';' order by pos) as boxes from l where b % 4 = 0 group by sid)
+select o_orderkey as sample_id, o_orderstatus as label, 'parts=' || parts || ';supps=' || supps as images, nullif(concat_ws(';', case when ha then 'A=' || ma end, case when hr then 'R=' || mr end), '') as masks, boxes from orders left join i on i.sid = o_orderkey left join b on b.sid = o_orderkey""")
+def assembled_samples(spark, d):
+    """Orders with the lines' numbers as two images, return flags as masks and some lines as boxes, stored as a folder of tables and read back whole; orders without flags have no masks at all."""
+    root = _scratch(spark)
+    lines = table(spark, d, "lineitem").withColumns({"sample_id": F.col("l_orderkey"), "pos": (F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*POSITION)) - 1).cast("long")})
+    sorted_of = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("pos", c.alias("v")))), lambda x: x["v"])
+    wide = lines.groupBy("sample_id").agg(sorted_of(F.col("l_partkey")).alias("parts"), sorted_of(F.col("l_suppkey")).alias("supps"), *(sorted_of(F.col("l_returnflag") == f).alias(f) for f in "AR"))
+    images = wide.select("sample_id", F.explode(F.create_map(F.lit("supps"), "supps", F.lit("parts"), "parts")).alias("modality", "data"))
+    masks = wide.select("sample_id", F.explode(F.create_map(F.lit("R"), "R", F.lit("A"), "A")).alias("mask", "data")).where(F.exists("data", lambda x: x))
+    boxes = lines.where("l_suppkey % 4 = 0").select("sample_id", F.col("pos").alias("box"), F.array(F.col("l_linenumber").cast("long")).alias("lo"), F.array(F.col("l_linenumber") + F.col("l_partkey") % 5).alias("hi"))
+    heads = table(spark, d, "orders").select(F.col("o_orderkey").alias("sample_id"), F.col("o_orderstatus").alias("label"))
+    for name, df in (("samples", heads), ("images", images), ("masks", masks), ("boxes", boxes)):
+        samples.write(df, f"{root}/{name}")
+    out = samples.SampleSet(spark, root).assembled()
+    text = lambda c, sep, f: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat(e["key"], F.lit("="), F.array_join(F.transform(e["value"], f), sep))), ";")
+    span = F.array_join(F.transform("boxes", lambda b: F.concat_ws("", b["box"].cast("string"), F.lit(":"), b["lo"][0].cast("string"), F.lit("-"), b["hi"][0].cast("string"))), ";")
+    return out.select("sample_id", "label", text("images", ",", lambda x: x.cast("string")).alias("images"), text("masks", "", lambda x: x.cast("int").cast("string")).alias("masks"), span.alias("boxes"))
+
+
+@query(f"""with {_LINES}, a as (select sid, bool_or(f = 'A') as ha, bool_or(f = 'R') as hr from l group by sid), x as (select sid, count(*) as nb, count(*) filter (n % 2 = 0) as ns from l where b % 4 = 0 group by sid),
+s as (select o_orderkey as path, o_orderkey % 7 <> 0 and a.sid is not null as ok, o_orderstatus <> 'F' as hs, o_orderkey % 2 = 0 as hb, coalesce(ha, false) as ha, coalesce(hr, false) as hr, nb, ns from orders left join a on a.sid = o_orderkey left join x on x.sid = o_orderkey)
+select path, unnest(list_filter([case when not ok then 'missing_images_group' end, case when ok then 'missing_checksum' end, case when ok and path % 5 = 0 then 'image_shape_mismatch' end, case when ok and hs <> (ha or hr) then 'seg_presence_mismatch' end,
+case when ok and hr then 'seg_names_mismatch' end, case when ok and path % 3 = 0 and ha then 'seg_shape_mismatch' end, case when ok and hb <> (nb is not null) then 'bbox_presence_mismatch' end, case when ok and ns > 0 and ns <> nb then 'bbox_scores_mismatch' end], lambda c: c is not null)) as code from s""")
+def validation_observed(spark, d):
+    """Orders' metadata against what tables of their images, masks and boxes hold: some have no images, images or masks of another shape, other masks, or boxes without scores."""
+    lines = table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "sample_id")
+    n = lines.groupBy("sample_id").agg(F.count("*").alias("n"), *(F.max(F.col("l_returnflag") == f).alias(f) for f in "AR"))
+    k = F.col("sample_id")
+    images = n.where(k % 7 != 0).select("sample_id", F.explode(F.create_map(F.lit("supps"), F.array(F.col("n") + (k % 5 == 0).cast("long")), F.lit("parts"), F.array("n"))).alias("modality", "shape"))
+    shape = F.array(F.col("n") + ((k % 3 == 0) & (F.col("mask") == "A")).cast("long")).alias("shape")
+    masks = n.select("sample_id", "n", F.explode(F.create_map(F.lit("A"), "A", F.lit("R"), "R")).alias("mask", "there")).where("there").select("sample_id", "mask", shape)
+    boxes = lines.where("l_suppkey % 4 = 0").select("sample_id", F.array(F.col("l_linenumber")).alias("lo"), F.when(F.col("l_linenumber") % 2 == 0, 0.5).alias("score"))
+    text = lambda *x: F.array(*(F.lit(v) for v in x))
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("sample_id"), F.lit("1").alias("schema_version"), text("supps", "parts").alias("image_names"), (F.col("o_orderstatus") != "F").alias("has_seg"), text("A").alias("seg_names"), (F.col("o_orderkey") % 2 == 0).alias("has_bbox"))
+    return validation.issues(validation.observed(rows, images, masks, boxes), "sample_id").select(F.col("sample_id").alias("path"), "code")
+
+
+@query(f"""with {_LINES}, m as (select sid, f, count(*) as voxels from l where f <> 'N' group by all), k as (select sid, case when f = 'R' and sid % 3 = 0 then 0 else voxels end as voxels, f as mask from m where not (f = 'A' and sid % 4 = 1) union all select o_orderkey, 7, 'new' from orders where o_orderkey % 5 = 0),
+g as (select sid, string_agg(mask || ':' || voxels, ',' order by mask) as masks from k group by sid), b as (select sid, count(*) as n from l where b % 4 = 0 and sid % 6 <> 2 group by sid)
+select o_orderkey as sample_id, case when o_orderkey % 2 = 0 then 'edited' else o_orderstatus end as label, g.masks, coalesce(b.n, 0) as n_boxes, g.sid is not null as has_seg, b.sid is not null as has_bbox, o_orderkey % 7 = 0 and not (o_orderkey % 2 = 0 or o_orderkey % 5 = 0 or (o_orderkey % 3 = 0 and exists (select 1 from m where m.sid = o_orderkey and m.f = 'R')) or (o_orderkey % 4 = 1 and exists (select 1 from m where m.sid = o_orderkey and m.f = 'A')) or o_orderkey % 6 = 2) as old_stamp
+from orders left join g on g.sid = o_orderkey left join b on b.sid = o_orderkey""")
+def update_whole(spark, d):
+    """Labels, masks and boxes of orders edited at once; digests of what was touched are stored anew, and each seventh order's was wrong before, so the edit is forced."""
+    lines = table(spark, d, "lineitem").withColumns({"sample_id": F.col("l_orderkey"), "pos": (F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*POSITION)) - 1).cast("long")})
+    boxes = lines.where("l_suppkey % 4 = 0").select("sample_id", F.col("pos").alias("box"), F.col("l_linenumber").alias("lo"))
+    masks = _masks(spark, d)
+    heads = table(spark, d, "orders").select(F.col("o_orderkey").alias("sample_id"), F.col("o_orderstatus").alias("label"))
+    tables = {"samples": heads, "masks": masks, "boxes": boxes}
+    whole = checksum.stamped(tables).withColumn("checksum", F.when(F.col("sample_id") % 7 == 0, "old").otherwise(F.col("checksum")))
+    seg = {
+        "remove": masks.where("mask = 'A' and sample_id % 4 = 1"), "replace": masks.where("mask = 'R' and sample_id % 3 = 0").withColumn("voxels", F.lit(0).cast("long")),
+        "add": heads.where("sample_id % 5 = 0").select("sample_id", F.lit("new").alias("mask"), F.lit(7).cast("long").alias("voxels")),
+    }
+    changes = heads.where("sample_id % 2 = 0").select("sample_id", F.lit("edited").alias("new"))
+    tables["samples"] = settle(checksum.computed({**tables, "samples": whole}))
+    out = edit.update(tables, (changes, {"label": "new"}), seg, clear_boxes=heads.where("sample_id % 6 = 2"), digests=checksum.restamps(), force=True)
+    names = out["masks"].groupBy("sample_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "mask", "voxels"))), ",").alias("masks"))
+    n = out["boxes"].groupBy("sample_id").agg(F.count("*").alias("n_boxes"))
+    rows = out["samples"].join(names, "sample_id", "left").join(n, "sample_id", "left").fillna(0, ["n_boxes"])
+    return rows.select("sample_id", "label", "masks", "n_boxes", "has_seg", "has_bbox", (F.col("checksum") == "old").alias("old_stamp"))
+
+
+@query("select doc_id::varchar as path, doc_id::varchar as file, lang as label, '[' || n_chars || ']' as shape, case when doc_id % 3 = 0 then 'flagged' else 'pending' end as review_status, case when doc_id % 3 = 0 then source end as kept, 17::bigint as n_keys, coalesce(doc_id % 2 = 0, false)::varchar as has_bbox from documents")
+def info_payload(spark, d):
+    """What there is to say of each document as a sample: JSON of 17 keys, read again by its paths."""
+    extra = F.when(F.col("doc_id") % 3 == 0, F.to_json(F.struct("source", F.struct(F.lit("flagged").alias("status")).alias("review"))))
+    rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("lang").alias("label"), F.array("n_chars").cast("array<bigint>").alias("shape"), extra.alias("extra"), (F.col("doc_id") % 2 == 0).alias("has_bbox"))
+    at = lambda name: F.get_json_object("payload", f"$.{name}").alias(name.split(".")[-1])
+    return records.info(rows).select("path", *map(at, ("file", "label", "shape", "review_status", "has_bbox")), at("extra.source").alias("kept"), F.size(F.json_object_keys("payload")).cast("long").alias("n_keys"))
+
+
 @query("select doc_id::varchar as path, coalesce(lang, '') as label, row_number() over (order by doc_id::varchar) - 1 as place from documents")
 def records_in_order(spark, d):
     """Records of documents as samples, in the order of their paths; places are counted within ranges of paths, then over the ranges."""

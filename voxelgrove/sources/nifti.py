@@ -6,7 +6,7 @@ import gzip
 import os
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pandas as pd
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..errors import SourceError
 from ..operators import grids
+from ..session import settle
 
 #: Data type codes of the format and numpy's names: fixed values.
 DTYPES = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4"}
@@ -227,6 +228,52 @@ def import_masks(masks: DataFrame, files: DataFrame, grid: DataFrame, resample:
     return rows.select("sample_id", "mask", "shape", "affine", F.transform("data", lambda x: x != 0).alias("data"))
 
 
+def import_folder(
+    spark: SparkSession, root: str, images: Mapping[str, str] | None = None, masks: Mapping[str, str] | None = None, resample_to: str | None = None, order: str = "linear", resample_masks: bool = False,
+    same_grid: bool = True, skip_invalid: bool = False, label: str | None = None, label_name: str | None = None,
+) -> dict[str, DataFrame]:
+    """samples, images and masks of a folder that has a subfolder for each sample.
+
+    images and masks give the name of each modality and mask the name of its file ({"CT": "ct.nii.gz"}); without images both are
+    known by the names that export_volumes() gives. A sample is a subfolder with an image; it must have each image named, and may lack
+    masks. With resample_to, the name of a modality, the others are read on its grid in the given order, and masks, with
+    resample_masks, on the images' to the nearest point. What can't be read, or lies on another grid, is an error that names the first
+    sample, or, with skip_invalid, leaves that sample out. Files are parsed once, in tasks."""
+    files = settle(read(spark, root))
+    file, sample = (F.regexp_extract("path", "([^/]+)/([^/]+)$", k) for k in (2, 1))
+    if images is None:
+        names = {kind: F.regexp_extract(file, f"^{kind}_(.+?)\\.nii(\\.gz)?$", 1) for kind in ("image", "seg")}
+        names = {kind: F.when(c != "", c) for kind, c in names.items()}
+    else:
+        named = {kind: [F.lit(x) for k, v in (given or {}).items() for x in (v, k)] for kind, given in (("image", images), ("seg", masks))}
+        names = {kind: F.try_element_at(F.create_map(*pairs), file) if pairs else F.lit(None).cast("string") for kind, pairs in named.items()}
+    found = files.select("path", sample.alias("sample_id"), names["image"].alias("modality"), names["seg"].alias("mask"))
+    image_files = found.where("modality is not null").select("sample_id", "modality", "path")
+    ids = image_files.select("sample_id").distinct()
+    want = ids.withColumn("modality", F.explode(F.array(*map(F.lit, images or ())).cast("array<string>")))
+    out = import_samples(want.join(image_files, ["sample_id", "modality"], "full") if images else image_files, files, same_grid, resample_to, order)
+    if resample_to is not None:
+        # A sample that lacks the target has nothing to be read on.
+        target = out.where((F.col("modality") == resample_to) & F.col("data").isNotNull()).select("sample_id", F.lit(True).alias("there"))
+        out = out.join(target, "sample_id", "left").withColumn("problem", F.coalesce("problem", F.when(F.col("there").isNull(), f"no {resample_to} to resample to"))).drop("there")
+    out = settle(out)
+    bad = out.where("problem is not null")
+    if not skip_invalid and (first := bad.orderBy("sample_id", "modality").select("sample_id", "modality", "problem").first()):
+        raise SourceError(f"{first['sample_id']}, {first['modality']}: {first['problem']}")
+    out = out.join(bad.select("sample_id").distinct(), "sample_id", "left_anti").drop("problem")
+    grid = out.groupBy("sample_id").agg(F.min_by(F.struct("shape", "affine"), "modality").alias("g"), F.array_sort(F.collect_set("modality")).alias("image_names"))
+    grid = settle(grid.select("sample_id", "g.shape", "g.affine", "image_names"))
+    mask_files = found.where("mask is not null").select("sample_id", "mask", "path").join(grid.select("sample_id"), "sample_id", "left_semi")
+    inside = settle(import_masks(mask_files, files, grid, resample_masks))
+    segs = inside.groupBy("sample_id").agg(F.array_sort(F.collect_set("mask")).alias("seg_names"))
+    spacing = F.array(*(F.sqrt(sum((F.get("affine", F.lit(4 * r + c)) * F.get("affine", F.lit(4 * r + c)) for r in range(3)), F.lit(0.0))) for c in range(3)))
+    samples = grid.join(segs, "sample_id", "left").select(
+        "sample_id", F.col("sample_id").alias("path"), F.lit(label).cast("string").alias("label"), F.lit(label_name).cast("string").alias("label_name"), "image_names", "shape", spacing.alias("spacing"),
+        F.transform(F.sequence(F.lit(0), F.lit(2)), lambda r: F.get("affine", 4 * r + 3)).alias("origin"), F.col("seg_names").isNotNull().alias("has_seg"), "seg_names", F.lit(False).alias("has_bbox"), F.lit("1").alias("schema_version"),
+    )
+    return {"samples": samples, "images": out, "masks": inside}
+
+
 def export_volumes(images: DataFrame, masks: DataFrame | None = None, modalities: list[str] | None = None, names: list[str] | None = None, suffix: str = ".nii.gz") -> DataFrame:
     """(name, shape, dtype, affine, data) for export(): <sample>/image_<modality> and <sample>/seg_<mask> (uint8).
 

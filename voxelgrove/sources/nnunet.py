@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..errors import ValidationError
 from ..operators import cases, grids, labels
+from ..session import settle
 from . import nifti
 
 REQUIRED = ("channel_names", "labels", "numTraining", "file_ending")
@@ -94,7 +95,7 @@ def collect_samples(paths: DataFrame, root: str) -> DataFrame:
 def import_dataset(spark: SparkSession, root: str, include_test: bool = True) -> dict[str, DataFrame]:
     """samples, images and masks of a dataset folder.
 
-    samples: (sample_id, part, modalities, extra); images: (sample_id, part, modality, shape, dtype, affine, data); masks:
+    samples: (sample_id, part, modalities, extra) and the metadata of records; images: (sample_id, part, modality, shape, dtype, affine, data); masks:
     (sample_id, mask, shape, affine, data array<boolean>), one for each label but the background. Every case must have each channel
     once and nothing else, training cases a label volume too, and all volumes of a case one grid; a label volume has declared
     values only. What doesn't hold is an error that names the first such case. Files are read and parsed in tasks; the driver sees dataset.json."""
@@ -111,7 +112,10 @@ def import_dataset(spark: SparkSession, root: str, include_test: bool = True) ->
         rows = found.select("path", F.col("case_id").alias("sample_id"), F.try_element_at(modality, F.col("channel")).alias("modality"), F.lit(part).alias("part"))
         rows = rows.join(nifti.read(spark, f"{base}/{folder}", f"*{ending}"), "path")
         images = rows if images is None else images.union(rows)
+    # Written once: every check below, and each table that is given back, would parse the files again.
+    images = settle(images)
     labels_read = nifti.read(spark, f"{base}/labelsTr", f"*{ending}").withColumn("sample_id", F.regexp_replace(F.regexp_extract("path", "([^/]+)$", 1), f"{re.escape(ending)}$", ""))
+    labels_read = settle(labels_read)
     if bad := images.select("path", "error").union(labels_read.select("path", "error")).where("error is not null").orderBy("path").first():
         raise ValidationError(f"{bad['path']}: {bad['error']}")
     train = images.where("part = 'train'").select("sample_id").distinct()
@@ -128,7 +132,12 @@ def import_dataset(spark: SparkSession, root: str, include_test: bool = True) ->
     each = F.array(*(F.struct(F.lit(k).alias("mask"), F.lit(float(v)).alias("value")) for k, v in d["labels"].items() if v))
     masks = labels_read.select("sample_id", F.explode(each).alias("m"), "shape", "affine", "data")
     masks = masks.select("sample_id", F.col("m.mask").alias("mask"), "shape", "affine", F.transform("data", lambda x: x == F.col("m.value")).alias("data"))
-    samples = images.groupBy("sample_id", "part").agg(F.array_sort(F.collect_set("modality")).alias("modalities")).withColumn("extra", F.lit(json.dumps({"nnunetv2": json.loads(kept_json(d))})))
+    segs = F.when(F.col("part") == "train", F.array(*(F.lit(k) for k in sorted(k for k, v in d["labels"].items() if v))).cast("array<string>"))
+    samples = images.groupBy("sample_id", "part").agg(F.array_sort(F.collect_set("modality")).alias("modalities"), F.min_by("shape", "modality").alias("shape"))
+    samples = samples.withColumns({
+        "path": F.col("sample_id"), "image_names": F.col("modalities"), "has_seg": F.coalesce(F.size(segs) > 0, F.lit(False)), "seg_names": segs, "has_bbox": F.lit(False), "schema_version": F.lit("1"),
+        "extra": F.lit(json.dumps({"nnunetv2": json.loads(kept_json(d))})),
+    })
     return {"samples": samples, "images": images.select("sample_id", "part", "modality", "shape", "dtype", "affine", "data"), "masks": masks}
 
 
@@ -149,6 +158,45 @@ def label_volumes(masks: DataFrame, values: Mapping[str, int]) -> DataFrame:
     return rows.groupBy("sample_id").agg(F.first("shape").alias("shape"), F.first("affine").alias("affine"), whole.alias("data"))
 
 
+def kept_dataset(samples: DataFrame) -> dict:
+    """What samples keep of the dataset.json they came from; {} if none keeps anything. Two that differ are an error, as a folder has one."""
+    if "extra" not in samples.columns:
+        return {}
+    kept = F.get_json_object("extra", "$.nnunetv2")
+    rows = samples.select(*(F.get_json_object(kept, f"$.{k}").alias(k) for k in ("channel_names", "labels"))).where("channel_names is not null or labels is not null").distinct().limit(2).collect()
+    if len(rows) > 1:
+        raise ValidationError("samples of datasets with other channels or labels can't share a folder")
+    return {k: json.loads(v) for k, v in rows[0].asDict().items() if v is not None} if rows else {}
+
+
+def export_dataset(tables: Mapping[str, DataFrame], folder: str, channels: Mapping[str, str] | None = None, values: Mapping[str, int] | None = None, ending: str = ".nii.gz", name: str | None = None) -> dict[str, int]:
+    """samples, images and masks, as import_dataset() and nifti.import_folder() give them, as a dataset folder.
+
+    Channels and label values are those given, else those that the samples keep of their dataset.json, else the modalities by name and
+    1, 2, ... for the masks by name. The part is that of samples, where they have one, else train. A training sample without a mask gets a label
+    volume of zeros. Names of modalities and masks come to the driver, volumes don't. Otherwise as export()."""
+    samples, images, masks = tables["samples"], tables["images"], tables.get("masks")
+    kept = kept_dataset(samples)
+    if channels is None:
+        have = [r[0] for r in images.select("modality").distinct().collect()]
+        channels = {str(i): m for i, m in enumerate(channel_order(kept.get("channel_names"), have))}
+    if values is None:
+        have = [r[0] for r in masks.select("mask").distinct().collect()] if masks is not None and "labels" not in kept else []
+        values = label_values(kept.get("labels"), have)
+    part = samples.select("sample_id", F.coalesce("part", F.lit("train")).alias("part") if "part" in samples.columns else F.lit("train").alias("part"))
+    images = images.drop("part").join(part, "sample_id")
+    first = images.where("part = 'train'").groupBy("sample_id").agg(F.min_by(F.struct("shape", "affine"), "modality").alias("g")).select("sample_id", "g.shape", "g.affine")
+    size = F.aggregate("shape", F.lit(1).cast("bigint"), lambda a, x: a * x).cast("int")
+    empty = first.select("sample_id", "shape", "affine", F.array_repeat(F.lit(0.0), size).alias("data"))
+    if masks is not None:
+        whole = label_volumes(masks.join(first.select("sample_id"), "sample_id", "left_semi"), values)
+        empty = whole.unionByName(empty.join(masks.select("sample_id").distinct(), "sample_id", "left_anti"))
+    case = stem(F.col("sample_id").cast("string"))
+    image = images.select(case.alias("case_id"), F.lit("image").alias("kind"), "modality", "shape", "dtype", "affine", "data", "part")
+    lab = empty.select(case.alias("case_id"), F.lit("label").alias("kind"), F.lit(None).cast("string").alias("modality"), "shape", F.lit("uint8").alias("dtype"), "affine", "data", F.lit("train").alias("part"))
+    return export(image.unionByName(lab), folder, channels, values, ending, name)
+
+
 def export(volumes: DataFrame, folder: str, channels: Mapping[str, str], values: Mapping[str, int], ending: str = ".nii.gz", name: str | None = None) -> dict[str, int]:
     """volumes (case_id, kind image or label, modality, shape, dtype, affine, data, optionally part train or test) as a dataset folder; (numTraining, numTest) as a dict.
 

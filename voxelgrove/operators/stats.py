@@ -45,12 +45,14 @@ QUANTILES = {"p01": 0.01, "p99": 0.99}
 def modality_stats(voxels: DataFrame, keys: Sequence[str] = ("modality",), exact: bool = True, pool: DataFrame | None = None) -> DataFrame:
     """n_voxels, mean, population std, vmin, vmax, p01 and p99 per modality, in doubles.
 
-    One shuffle of partial aggregates, then exact percentiles by rounds of counts (quantiles.exact_quantiles), each of which reads voxels
-    again; exact=False takes a sketch of bounded size in the one shuffle instead. With pool (keys, value, weight), as
+    One shuffle of partial aggregates, then exact percentiles by rounds of counts (quantiles.exact_quantiles). Each of them reads keys and values
+    again, which are settled first, so that joins and windows below voxels (and below pool) run once; exact=False takes a sketch of bounded size in the one shuffle instead. With pool (keys, value, weight), as
     sample_with_replacement() gives it, percentiles are the pool's. NaN in a modality makes all but n_voxels NaN. An empty table has no rows."""
     v = F.col("value")
     aggs = [F.count(v).alias("n_voxels"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("vmin"), F.max(v).alias("vmax"), F.max(F.isnan(v)).alias("nan")]
     sketch = not exact and pool is None
+    if not sketch and pool is None:
+        voxels = settle(voxels.select(*keys, "value"))
     if sketch:
         aggs += [F.percentile_approx(v, F.lit(q), 10000).alias(c) for c, q in QUANTILES.items()]
     agg = voxels.groupBy(*keys).agg(*aggs).where("n_voxels > 0")
@@ -63,6 +65,7 @@ def modality_stats(voxels: DataFrame, keys: Sequence[str] = ("modality",), exact
         found = quantiles.exact_quantiles(voxels, ends, QUANTILES, keys)
     else:
         fit = F.col("value").isNotNull()
+        pool = settle(pool.select(*keys, "value", "weight"))
         ends = pool.where(fit).groupBy(*keys).agg(F.sum("weight").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.max(F.isnan("value")).alias("nan")).where("not nan").drop("nan")
         found = quantiles.exact_quantiles(pool, ends, QUANTILES, keys, weight="weight")
     found = found.withColumnsRenamed({c: f"__{c}" for c in keys})

@@ -44,13 +44,16 @@ _VOXP = f"v as (select sid, pos, unnest(['quantity', 'extendedprice', 'discount'
 _STATS = "modality, count(*) as n_voxels, round(avg(v), 6) as mean, round(stddev_pop(v), 6) as std, min(v) as vmin, max(v) as vmax, round(quantile_cont(v, 0.01), 6) as p01, round(quantile_cont(v, 0.99), 6) as p99"
 
 
-def voxels(spark: SparkSession, d: str, position: bool = False) -> DataFrame:
+def voxels(spark: SparkSession, d: str, position: bool = False, heads: DataFrame | None = None) -> DataFrame:
+    """heads (sample_id and more columns) are joined to the lines, before there is a row for each measure."""
     rows = table(spark, d, "lineitem")
     keys = [F.col("l_orderkey").alias("sample_id"), (F.col("l_returnflag") == "R").alias("fg")]
     if position:
         keys.append((F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*POSITION)) - 1).cast("long").alias("pos"))
-    wide = rows.select(*keys, *MODALITIES.values())
-    return stats.unpivot(wide, ["sample_id", "fg", *(["pos"] if position else [])], MODALITIES)
+    wide, kept = rows.select(*keys, *MODALITIES.values()), ["sample_id", "fg", *(["pos"] if position else [])]
+    if heads is not None:
+        wide, kept = wide.join(heads, "sample_id"), kept + [c for c in heads.columns if c != "sample_id"]
+    return stats.unpivot(wide, kept, MODALITIES)
 
 
 def _rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
@@ -85,7 +88,7 @@ def modality_stats_full(spark, d):
 def modality_stats_fallback(spark, d):
     """Samples without a mask (orders of status F) count whole; a mask that is there but empty adds nothing."""
     masked = table(spark, d, "orders").select(F.col("o_orderkey").alias("sample_id"), (F.col("o_orderstatus") != "F").alias("has_mask"))
-    rows = voxels(spark, d).join(masked, "sample_id").withColumn("mask", F.when(F.col("has_mask"), F.col("fg")))
+    rows = voxels(spark, d, heads=masked).withColumn("mask", F.when(F.col("has_mask"), F.col("fg")))
     return _rounded(stats.modality_stats(stats.foreground(rows, "mask")), "mean", "std", "p01", "p99")
 
 

@@ -26,3 +26,41 @@ def test_statistics_run_what_lies_below_voxels_once(spark, tmp_path):
     rows, passes = counted(spark, rows, tmp_path, "a")
     r = stats.modality_stats(rows).first()
     assert r["n_voxels"] == 3000 and r["p01"] < r["p99"] and passes() == 1
+
+
+def test_masked_voxels_are_made_once_for_statistics(spark, tmp_path):
+    rows = spark.createDataFrame([(s, "m", p, float(10 * s + p)) for s in range(50) for p in range(4)], "sample_id long, modality string, pos long, value double")
+    rows, passes = counted(spark, rows, tmp_path, "b")
+    shapes = spark.createDataFrame([(s, "m", None, [4]) for s in range(50)] + [(1, None, "t", [4]), (2, None, "t", [4]), (2, None, "u", [4]), (3, None, "t", [5])], "sample_id long, modality string, mask string, shape array<int>")
+    inside = spark.createDataFrame([(1, "t", 3), (2, "u", 0)], "sample_id long, mask string, pos long")
+    r = stats.modality_stats(stats.masked(rows, inside, "t", shapes)).first()
+    assert (r["n_voxels"], r["vmin"], r["vmax"]) == (4 * 48 + 1, 0.0, 493.0) and passes() == 1
+
+
+def test_draws_with_replacement_take_one_shuffle(spark, tmp_path):
+    rows = spark.createDataFrame([(s, "m", p, float(p)) for s in (1, 2, None) for p in range(40)] + [(9, "m", 0, 1.0)], "sample_id long, modality string, pos long, value double")
+    out = stats.sample_with_replacement(rows, 8)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    sums = {r["sample_id"]: r["w"] for r in out.groupBy("sample_id").agg(F.sum("weight").alias("w")).collect()}
+    assert sums == {1: 8, 2: 8, None: 8, 9: 1}  # a null sample is a group, capped as any other
+
+
+def test_capped_statistics_make_voxels_once(spark, tmp_path):
+    rows = spark.range(400).select((F.col("id") % 2).alias("sample_id"), F.lit("m").alias("modality"), F.col("id").alias("pos"), F.sin("id").alias("value"))
+    rows, passes = counted(spark, rows, tmp_path, "c")
+    samples = spark.createDataFrame([("x", [4])], "label string, shape array<int>")
+    r = stats.compute_stats(samples, rows, cap=10)["modalities"].first()
+    assert r["n_voxels"] == 400 and r["p01"] < r["p99"] and passes() == 1
+
+
+def test_partials_are_merged_from_one_pass(spark, tmp_path):
+    rows = spark.range(300).select((F.col("id") % 7).alias("sample_id"), F.lit("m").alias("modality"), F.col("id").cast("double").alias("value"))
+    rows, passes = counted(spark, rows, tmp_path, "d")
+    r = stats.merge(stats.partials(rows)).first()
+    assert r["n_voxels"] == 300 and r["mean"] == 149.5 and passes() == 1
+
+
+def test_a_samples_lines_meet_before_there_is_a_row_for_each_measure(spark):
+    plan = catalogue.QUERIES["per_sample_partials"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Generate") < plan.index("Exchange hashpartitioning")

@@ -29,13 +29,14 @@ def masked(voxels: DataFrame, masks: DataFrame, mask: str, shapes: DataFrame, on
     """voxels of (sample_id, modality, pos, value) inside a named mask; the whole of a volume that has none of its shape.
 
     masks: the inside voxels (sample_id, mask, pos); shapes: (sample_id, modality or null, mask or null, shape), the shape of
-    each image and of each mask, in one table. Masks are joined by sample and place, volumes by sample and modality."""
+    each image and of each mask, in one table. Voxels are joined by sample to the names of the volumes that fit, then by sample and place to masks."""
     own = shapes.where("mask is null").select("sample_id", "modality", F.col("shape").alias("__image"))
     its = shapes.where(F.col("mask") == mask).select("sample_id", F.col("shape").alias("__mask"))
-    fits = own.join(its, "sample_id", "left").select("sample_id", "modality", F.coalesce(F.col("__image") == F.col("__mask"), F.lit(False)).alias("__fits"))
+    fits = own.join(its, "sample_id").where("__image = __mask").groupBy("sample_id").agg(F.collect_set("modality").alias("__fits"))
     inside = masks.where(F.col("mask") == mask).select(*on).distinct().withColumn("__in", F.lit(True))
-    rows = voxels.join(fits, ["sample_id", "modality"], "left").join(inside, list(on), "left")
-    return rows.where(~F.coalesce("__fits", F.lit(False)) | F.coalesce("__in", F.lit(False))).select(*voxels.columns)
+    fit = F.coalesce(F.array_contains("__fits", F.col("modality")), F.lit(False))
+    rows = voxels.join(fits, "sample_id", "left").withColumn("__fits", fit).join(inside, list(on), "left")
+    return rows.where(~F.col("__fits") | F.coalesce("__in", F.lit(False))).select(*voxels.columns)
 
 
 #: The percentiles that statistics hold.

@@ -96,7 +96,7 @@ def modality_stats_fallback(spark, d):
 def modality_stats_masked(spark, d):
     """As with modality_stats_fallback, from tables of masks and shapes; masks of every fifth order have another shape than its images."""
     rows = voxels(spark, d, position=True)
-    n = rows.groupBy("sample_id", "modality").agg(F.count("*").alias("n"))
+    n = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("sample_id")).agg(F.count("*").alias("n")).withColumn("modality", F.explode(F.array(*(F.lit(m) for m in MODALITIES))))
     with_mask = table(spark, d, "orders").where("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("sample_id"))
     none = F.lit(None).cast("string")
     its = n.where("modality = 'tax'").join(with_mask, "sample_id").select("sample_id", none.alias("modality"), F.lit("m").alias("mask"), F.array(F.col("n") + (F.col("sample_id") % 5 == 0).cast("long")).alias("shape"))

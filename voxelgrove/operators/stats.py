@@ -82,15 +82,18 @@ def sample_with_replacement(voxels: DataFrame, cap: int, seed: int = 0, by: Sequ
     drawn and how often.
 
     Draw i of a group takes the place (in the order of pos) that MD5 of seed, group and i gives, so it is the same wherever it is made. A large group counts
-    for no more than cap in a pool of groups. Draws are made where the group's size is, counted by place, and joined to the voxels
-    by group and place."""
-    sizes = voxels.groupBy(*by).agg(F.count("*").alias("__n")).where(F.col("__n") > cap)
+    for no more than cap in a pool of groups. A group's first row makes its draws, which are counted beside the voxel at their place. All of it is
+    dealt to tasks by group, so the voxels travel once, and not at all where they are dealt by columns of `by` already. A null in `by` is a group."""
+    group = Window.partitionBy(*by)
     text = F.concat_ws(":", F.lit(str(seed)), *(F.col(c).cast("string") for c in by), F.col("__i").cast("string"))
     place = F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long") % F.col("__n")
-    draws = sizes.withColumn("__i", F.explode(F.sequence(F.lit(0), F.lit(cap - 1)))).select(*by, place.alias("__place")).groupBy(*by, "__place").agg(F.count("*").alias("weight"))
-    placed = voxels.withColumn("__place", (F.row_number().over(Window.partitionBy(*by).orderBy(pos)) - 1).cast("long"))
-    drawn = placed.join(draws, [*by, "__place"]).select(*voxels.columns, "weight")
-    return voxels.join(sizes.select(*by), list(by), "left_anti").select(*voxels.columns, F.lit(1).cast("long").alias("weight")).unionByName(drawn)
+    rows = voxels.withColumns({"__place": (F.row_number().over(group.orderBy(pos)) - 1).cast("long"), "__n": F.count("*").over(group)})
+    first = (F.col("__place") == 0) & (F.col("__n") > cap)
+    rows = rows.withColumn("__i", F.explode(F.when(first, F.sequence(F.lit(-1), F.lit(cap - 1))).otherwise(F.array(F.lit(-1)))))
+    rows = rows.withColumn("__place", F.when(F.col("__i") < 0, F.col("__place")).otherwise(place))
+    rows = rows.withColumn("__drawn", F.count_if(F.col("__i") >= 0).over(Window.partitionBy(*by, "__place")))
+    rows = rows.where((F.col("__i") < 0) & ((F.col("__n") <= cap) | (F.col("__drawn") > 0)))
+    return rows.select(*voxels.columns, F.when(F.col("__n") <= cap, F.lit(1)).otherwise(F.col("__drawn")).cast("long").alias("weight"))
 
 
 def partials(voxels: DataFrame) -> DataFrame:

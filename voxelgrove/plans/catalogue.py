@@ -46,10 +46,10 @@ _STATS = "modality, count(*) as n_voxels, round(avg(v), 6) as mean, round(stddev
 
 def voxels(spark: SparkSession, d: str, position: bool = False, heads: DataFrame | None = None) -> DataFrame:
     """heads (sample_id and more columns) are joined to the lines, before there is a row for each measure."""
-    rows = table(spark, d, "lineitem")
-    keys = [F.col("l_orderkey").alias("sample_id"), (F.col("l_returnflag") == "R").alias("fg")]
+    rows = table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "sample_id")
+    keys = ["sample_id", (F.col("l_returnflag") == "R").alias("fg")]
     if position:
-        keys.append((F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*POSITION)) - 1).cast("long").alias("pos"))
+        keys.append((F.row_number().over(Window.partitionBy("sample_id").orderBy(*POSITION)) - 1).cast("long").alias("pos"))
     wide, kept = rows.select(*keys, *MODALITIES.values()), ["sample_id", "fg", *(["pos"] if position else [])]
     if heads is not None:
         wide, kept = wide.join(heads, "sample_id"), kept + [c for c in heads.columns if c != "sample_id"]

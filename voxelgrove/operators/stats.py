@@ -185,6 +185,8 @@ def compute_stats(
         voxels = masked(voxels, inside, mask, shapes)
     elif mask is not None:
         voxels = foreground(voxels, mask)
+    if cap is not None:
+        voxels = settle(voxels.select("sample_id", "modality", "pos", "value"))
     pool = sample_with_replacement(voxels, cap, seed) if cap is not None else None
     out = {"modalities": modality_stats(voxels, exact=exact, pool=pool), "labels": label_counts(samples), "shapes": shape_histogram(samples), "n_files": samples.agg(F.count("*").alias("n_files"))}
     if masks is not None:

@@ -44,13 +44,15 @@ _VOXP = f"v as (select sid, pos, unnest(['quantity', 'extendedprice', 'discount'
 _STATS = "modality, count(*) as n_voxels, round(avg(v), 6) as mean, round(stddev_pop(v), 6) as std, min(v) as vmin, max(v) as vmax, round(quantile_cont(v, 0.01), 6) as p01, round(quantile_cont(v, 0.99), 6) as p99"
 
 
-def voxels(spark: SparkSession, d: str, position: bool = False, heads: DataFrame | None = None) -> DataFrame:
-    """heads (sample_id and more columns) are joined to the lines, before there is a row for each measure."""
+def voxels(spark: SparkSession, d: str, position: bool = False, heads: DataFrame | None = None, together: bool = False) -> DataFrame:
+    """heads (sample_id and more columns) are joined to the lines, and with together a sample's lines come to one task, before there is a row for each measure."""
     rows = table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "sample_id")
     keys = ["sample_id", (F.col("l_returnflag") == "R").alias("fg")]
     if position:
         keys.append((F.row_number().over(Window.partitionBy("sample_id").orderBy(*POSITION)) - 1).cast("long").alias("pos"))
     wide, kept = rows.select(*keys, *MODALITIES.values()), ["sample_id", "fg", *(["pos"] if position else [])]
+    if together:
+        wide = wide.repartition("sample_id")
     if heads is not None:
         wide, kept = wide.join(heads, "sample_id"), kept + [c for c in heads.columns if c != "sample_id"]
     return stats.unpivot(wide, kept, MODALITIES)
@@ -107,7 +109,7 @@ def modality_stats_masked(spark, d):
 
 @query(f"with {_VOX} select sid as sample_id, modality, count(*) as n, round(avg(v), 6) as mean, round(sqrt(var_pop(v)), 5) as std, min(v) as vmin, max(v) as vmax from v group by all")
 def per_sample_partials(spark, d):
-    parts = stats.partials(voxels(spark, d)).withColumn("std", F.sqrt(F.col("m2") / F.col("n"))).drop("m2")
+    parts = stats.partials(voxels(spark, d, together=True)).withColumn("std", F.sqrt(F.col("m2") / F.col("n"))).drop("m2")
     return _rounded(_rounded(parts, "mean"), "std", digits=5)
 
 

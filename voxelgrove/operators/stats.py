@@ -105,9 +105,11 @@ def partials(voxels: DataFrame) -> DataFrame:
 def merge(parts: DataFrame) -> DataFrame:
     """Statistics of the union from partials: m2 = sum of m2 + sum of n * (mean - grand mean)^2.
 
-    The grand means come first, by an aggregate of their own, so that nothing large is subtracted from something large."""
+    The grand means come first, by an aggregate of their own, so that nothing large is subtracted from something large. The partials are settled,
+    so that they are made once."""
+    parts = settle(parts.select("modality", "n", "mean", "m2", "vmin", "vmax"))
     grand = parts.groupBy(F.col("modality").alias("__m")).agg(F.try_divide(F.sum(F.col("n") * F.col("mean")), F.sum("n")).alias("mean_all"))
-    rows = parts.join(grand, F.col("modality").eqNullSafe(F.col("__m")))
+    rows = parts.join(F.broadcast(grand), F.col("modality").eqNullSafe(F.col("__m")))
     off = F.col("mean") - F.col("mean_all")
     agg = rows.groupBy("modality").agg(
         F.sum("n").alias("n_voxels"), F.first("mean_all").alias("mean"), F.sum(F.coalesce("m2", F.lit(0.0)) + F.coalesce(F.col("n") * off * off, F.lit(0.0))).alias("m2"), F.min("vmin").alias("vmin"), F.max("vmax").alias("vmax")

@@ -116,7 +116,7 @@ def per_sample_partials(spark, d):
 @query(f"with {_VOX} select modality, count(*) as n_voxels, round(avg(v), 5) as mean, round(stddev_pop(v), 5) as std from v group by modality")
 def chan_merge_check(spark, d):
     """Merged per-sample partials against the plain statistics."""
-    return _rounded(stats.merge(stats.partials(voxels(spark, d))), "mean", "std", digits=5).select("modality", "n_voxels", "mean", "std")
+    return _rounded(stats.merge(stats.partials(voxels(spark, d, together=True))), "mean", "std", digits=5).select("modality", "n_voxels", "mean", "std")
 
 
 @query("select quality::varchar as label, count(*) as n from documents d join labels l on d.doc_id = l.doc_id where quality is not null group by 1")

@@ -74,9 +74,18 @@ def cross(a: Column, b: Column) -> Column:
 
 
 def slice_normal(row: Column, col: Column) -> Column:
-    """The normal of a slice from its row and column directions; directions of length 0 or parallel ones fail the query."""
-    normal = cross(unit(row), unit(col))
-    size = F.sqrt(dot(normal, normal))
+    """The normal of a slice from its row and column directions; directions of length 0 or parallel ones fail the query.
+
+    Written on the three numbers of each direction: functions over arrays would be evaluated anew for every use of an element."""
+
+    def scaled(a: Column) -> Column:
+        x = [_at(a, i) for i in range(3)]
+        n = F.sqrt(x[0] * x[0] + x[1] * x[1] + x[2] * x[2])
+        return F.array(*(v / n for v in x))
+
+    normal = cross(scaled(row), scaled(col))
+    x = [_at(normal, i) for i in range(3)]
+    size = F.sqrt(x[0] * x[0] + x[1] * x[1] + x[2] * x[2])
     return F.when((size > 1e-6) | row.isNull() | col.isNull(), normal).otherwise(F.raise_error(F.lit("slice directions of length 0 or parallel")).cast("array<double>"))
 
 

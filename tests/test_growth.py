@@ -4,7 +4,8 @@ import os
 
 from pyspark.sql import functions as F
 
-from voxelgrove.operators import stats
+from voxelgrove.functions import geometry as geo
+from voxelgrove.operators import boxes, stats
 from voxelgrove.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -67,3 +68,29 @@ def test_partials_are_merged_from_one_pass(spark, tmp_path):
 def test_a_samples_lines_meet_before_there_is_a_row_for_each_measure(spark):
     plan = catalogue.QUERIES["per_sample_partials"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Generate") < plan.index("Exchange hashpartitioning")
+
+
+def test_a_patch_is_in_one_cell_of_a_level(spark):
+    """Boxes of one level against many patches: each pair meets once, and no side has more than 2 cells an axis."""
+    b = spark.range(200).select(F.col("id"), F.lit("a").alias("s"), F.array(F.col("id") * 7 % 90 - 20, F.col("id") * 3 % 80).alias("lo")).withColumn("hi", F.transform("lo", lambda x: x + 5))
+    p = spark.range(300).select(F.lit("a").alias("s"), F.col("id").alias("patch"), F.array(F.col("id") * 11 % 90 - 12, F.col("id") * 5 % 80).alias("start"))
+    met = boxes._candidates(b, p, (8, 6), "s")
+    assert met.count() == met.distinct().count() > 0
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("explode(sequence") == 2  # boxes alone, an axis each
+
+
+def test_boxes_of_fractions_and_below_zero(spark):
+    rows = [(i, "a", [v], [v + w]) for i, (v, w) in enumerate((a / 4, w / 4) for a in range(-60, 60, 3) for w in (0, 1, 9, 70))]
+    b = spark.createDataFrame(rows, "id int, s string, lo array<double>, hi array<double>")
+    p = spark.createDataFrame([("a", s, [s]) for s in range(-40, 40)], "s string, patch int, start array<int>")
+    got = sorted((r["id"], r["patch"]) for r in boxes.touching(b, p, (8,), "s").collect())
+    assert got == sorted((i, s) for i, _, lo, hi in rows for s in range(-40, 40) if hi[0] - s >= 0 and lo[0] - s < 8)
+
+
+def test_a_slice_normal_is_evaluated_once(spark):
+    """No function over arrays is left to be evaluated for each use of an element."""
+    df = spark.createDataFrame([([3.0, 0.0, 0.0], [0.0, 2.0, 0.0]), (None, [0.0, 1.0, 0.0])], "r array<double>, c array<double>")
+    out = df.select(geo.slice_normal(F.col("r"), F.col("c")).alias("n"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert [r["n"] for r in out.collect()] == [[0.0, 0.0, 1.0], [None] * 3] and not any(x in plan for x in ("transform(", "aggregate(", "zip_with("))

@@ -48,12 +48,9 @@ def in_patches(boxes: DataFrame, patches: DataFrame, patch: Sequence[int], key:
     return rows.where(keep).withColumns({"lo": F.col("__lo"), "hi": F.col("__hi")}).drop("__lo", "__hi")
 
 
-def _dealt(rows: DataFrame, ends: Sequence[tuple[Column, Column]], patch: Sequence[int], first: str) -> DataFrame:
-    """A row for each cell that a row's ends reach at its level: columns c0, c1, ... and, under the name `first`, its lowest cells."""
-    for a, (lo, hi) in enumerate(ends):
-        size = F.call_function("shiftleft", F.lit(int(patch[a])).cast("long"), F.col("level"))
-        rows = rows.withColumn(f"{first}{a}", F.floor(lo / size)).withColumn(f"c{a}", F.explode(F.sequence(f"{first}{a}", F.floor(hi / size))))
-    return rows
+def _size(n: int) -> Column:
+    """The length of a cell at a row's level."""
+    return F.call_function("shiftleft", F.lit(int(n)).cast("long"), F.col("level"))
 
 
 def _at(c: str, axis: int) -> Column:
@@ -61,28 +58,32 @@ def _at(c: str, axis: int) -> Column:
 
 
 def _candidates(boxes: DataFrame, patches: DataFrame, patch: Sequence[int], key: str) -> DataFrame:
-    """Rows b and p (structs of a box and a patch) that meet in a cell, once for each cell; fb and fp are their first cells."""
+    """Rows k, b and p (the key, and structs of a box and a patch) that meet in a cell, once for each pair."""
     axes = range(len(patch))
-    b = boxes.select(boxes[key].alias("k"), F.struct(*(boxes[c] for c in boxes.columns)).alias("b"))
-    p = patches.select(patches[key].alias("k"), F.struct(*(patches[c] for c in patches.columns)).alias("p"))
+    b = boxes.select(boxes[key].alias("k"), F.struct(*(boxes[c] for c in boxes.columns if c != key)).alias("b"))
+    p = patches.select(patches[key].alias("k"), F.struct(*(patches[c] for c in patches.columns if c != key)).alias("p"))
     for a in axes:
         b, p = b.where(_at("b.lo", a).isNotNull() & _at("b.hi", a).isNotNull()), p.where(_at("p.start", a).isNotNull())
-    lows, highs = [F.least(_at("b.lo", a), _at("b.hi", a)) for a in axes], [F.greatest(_at("b.lo", a), _at("b.hi", a)) for a in axes]
+    lows, highs = [F.floor(_at("b.lo", a)) - (int(patch[a]) - 1) for a in axes], [F.floor(_at("b.hi", a)) for a in axes]
+    for x, h in zip(lows, highs):
+        b = b.where(h >= x)
     level = F.greatest(F.lit(0), F.lit(0), *(F.ceil(F.log2((h - x + 1) / int(n))).cast("int") for x, h, n in zip(lows, highs, patch)))
     b = b.withColumn("level", level)
-    p = p.join(b.select("k", "level").distinct(), "k")
-    b = _dealt(b, list(zip(lows, highs)), patch, "fb")
-    p = _dealt(p, [(_at("p.start", a), _at("p.start", a) + (int(patch[a]) - 1)) for a in axes], patch, "fp")
+    levels = b.groupBy("k").agg(F.collect_set("level").alias("levels"))
+    p = p.join(levels.hint("shuffle_hash"), "k").withColumn("level", F.explode("levels")).drop("levels")  # patches pass by the levels unsorted
+    for a, (x, h) in enumerate(zip(lows, highs)):
+        b = b.withColumn(f"c{a}", F.explode(F.sequence(F.floor(x / _size(patch[a])), F.floor(h / _size(patch[a])))))
+    p = p.withColumns({f"c{a}": F.floor(_at("p.start", a) / _size(patch[a])) for a in axes})
     return b.join(p, ["k", "level", *(f"c{a}" for a in axes)])
 
 
 def touching(boxes: DataFrame, patches: DataFrame, patch: Sequence[int], key: str = "sample_id") -> DataFrame:
     """in_patches() for many patches a sample: one row for each box and patch that it touches, with the columns of both.
 
-    Space is dealt into cells of the patch's size, and of twice, four times, ... that size; a box lies at the first level whose
-    cells are no smaller than it. So a box is in at most 2 cells an axis, a patch in at most 2 an axis of each level that its sample
-    has, and an equi-join on sample, level and cell brings them together. A pair that shares several cells is kept at the highest
-    of its first cells, so it comes once; then the exact test. A sample with many boxes is spread over its cells.
+    Space is dealt into cells of the patch's size, and of twice, four times, ... that size. A box is touched by the patches that start between
+    its lower end less the patch and its upper end; it lies at the first level whose cells are no smaller than that. So a box is in at most 2 cells
+    an axis, a patch in the one that it starts in of each level that its sample has, and an equi-join on sample, level and cell
+    brings each pair together once; then the exact test. A sample with many boxes is spread over its cells.
 
     Ends the wrong way round are tested as they are. A box or patch with a null in key, ends or start touches nothing. Repeated rows
     give repeated pairs. Both sides having a column of one name, other than key, is an error."""
@@ -90,6 +91,6 @@ def touching(boxes: DataFrame, patches: DataFrame, patch: Sequence[int], key: st
         raise ValidationError(f"boxes and patches both have {', '.join(both)}")
     rows = _candidates(boxes, patches, patch, key)
     for a, n in enumerate(patch):
-        rows = rows.where((F.col(f"c{a}") == F.greatest(f"fb{a}", f"fp{a}")) & (_at("b.hi", a) - _at("p.start", a) >= 0) & (_at("b.lo", a) - _at("p.start", a) < int(n)))
+        rows = rows.where((_at("b.hi", a) - _at("p.start", a) >= 0) & (_at("b.lo", a) - _at("p.start", a) < int(n)))
     moved = {e: F.zip_with(f"b.{e}", "p.start", lambda x, s: x - s).alias(e) for e in ("lo", "hi")}
-    return rows.select(*(moved.get(c, F.col("b")[c].alias(c)) for c in boxes.columns), *(F.col("p")[c].alias(c) for c in patches.columns if c != key))
+    return rows.select(*(F.col("k").alias(key) if c == key else moved.get(c, F.col("b")[c].alias(c)) for c in boxes.columns), *(F.col("p")[c].alias(c) for c in patches.columns if c != key))

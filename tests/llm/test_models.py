@@ -333,3 +333,21 @@ def test_memory_of_pieces_is_bounded_in_bytes(monkeypatch):
         text = " ".join(f"w{i * 7 + k}{'é' * (k % 60)}" for k in range(7))
         assert np.frombuffer(coder.encode(text), "<u4").tolist() == library.encode_ordinary(text)
         assert coder.held <= 20_000 and sum(sys.getsizeof(k) + sys.getsizeof(v) for d in (coder.known, coder.older) for k, v in d.items()) < 60_000
+
+
+def test_short_pieces_of_several_texts_are_merged_side_by_side(monkeypatch):
+    """One call for the pieces of many texts gives what the plain merge loop gives of each."""
+    coder = bpe.TreeBPE(bpe.coder(RANKS, public_tokenizers.PATTERN).ranks, public_tokenizers.PATTERN)
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choices("abcehtß漢é1!\n", k=rng.randint(1, 22))) for _ in range(rng.randint(0, 60))) for _ in range(300)] + ["", "x" * 500, "\U0001f600" * 9]
+    pieces = {p.encode() for t in texts for p in coder.split.findall(t)}
+    short = [p for p in pieces if len(p) <= bpe.LEAF and p not in coder.ranks]
+    monkeypatch.setattr(bpe, "SIDE", 1000)
+    assert len(short) > 3000 and coder.leaves(short) == [np.array(coder.leaf(p), "<u4").tobytes() for p in short] and coder.leaves([]) == []
+    want = [np.array([i for p in coder.split.findall(t) for i in coder.encode_piece(p.encode())], "<u4").tobytes() for t in texts]
+    calls = []
+    monkeypatch.setattr(coder, "leaf", lambda p, leaf=coder.leaf: calls.append(p) or leaf(p))
+    apart = [k for k, t in enumerate(texts) if all(len(p.encode()) <= bpe.LEAF for p in coder.split.findall(t))]
+    assert len(apart) > 50 and list(coder.encode_all(texts[k] for k in apart)) == [want[k] for k in apart] and not calls
+    assert list(coder.encode_all(texts)) == want
+    assert [coder.decode(x).decode() for x in want] == texts

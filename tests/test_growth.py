@@ -1,11 +1,12 @@
 """What grows with the tables: upstream plans that run once, rows that travel once."""
 
+import hashlib
 import os
 
 from pyspark.sql import functions as F
 
 from voxelgrove.functions import geometry as geo
-from voxelgrove.operators import boxes, stats
+from voxelgrove.operators import boxes, checksum, stats
 from voxelgrove.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -94,3 +95,23 @@ def test_a_slice_normal_is_evaluated_once(spark):
     out = df.select(geo.slice_normal(F.col("r"), F.col("c")).alias("n"))
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert [r["n"] for r in out.collect()] == [[0.0, 0.0, 1.0], [None] * 3] and not any(x in plan for x in ("transform(", "aggregate(", "zip_with("))
+
+
+def test_digests_hash_a_samples_rows_of_a_batch_in_one_call(spark):
+    """Python is given keys and records alone; samples that reach over batches, texts of several bytes and empty ones hash as row by row."""
+    rows = [(f"s{i % 5}" if i % 7 else None, "m", i, "é" * (i % 4) if i % 3 else None) for i in range(90)] + [(f"t{i}", "m", 0, "") for i in range(9)]
+    voxels = spark.createDataFrame(rows, "sample_id string, modality string, pos long, value string")
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "4")
+    try:
+        out = checksum.stored_digests({"voxels": voxels})
+        got = {r["sample_id"]: r["digest"] for r in out.collect()}
+        pairs = checksum.stored_digests({"voxels": voxels.withColumn("sample_id", F.struct(F.col("sample_id").alias("a")))}).collect()
+    finally:
+        spark.conf.set(name, before)
+    said = lambda v: "value=n;" if v is None else f"value=s{len(v.encode())}:{v};"
+    want = {k: hashlib.sha256("".join(f"voxels/m#{p}#{said(v)}\n" for s, _, p, v in rows if s == k).encode()).hexdigest() for k in {r[0] for r in rows} - {None}}
+    assert got == want and {r["sample_id"]["a"]: r["digest"] for r in pairs if r["sample_id"]["a"]} == want
+    python = next(x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "MapInArrow" in x)
+    assert python.split("(")[1].split(")")[0].count("#") == 2

@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,15 +61,29 @@ def canonical(rows: DataFrame, columns: Sequence[str]) -> Column:
     return F.concat(F.lit(""), *out)
 
 
-def records(table: str, rows: DataFrame, key: str = "sample_id") -> DataFrame:
-    """(key, part, pos, record) of a table of PARTS, or of samples: what a digest runs over, in the order of the last three."""
+def texts(table: str, rows: DataFrame, key: str = "sample_id") -> DataFrame:
+    """(key, part, pos, text) of a table of PARTS, or of samples: what a digest runs over, in the order of the last three."""
     name, number = PARTS.get(table, (None, None))
     name, number = (name if name in rows.columns else None), (number if number in rows.columns else None)
     part = F.concat(F.lit(f"{table}/"), F.coalesce(F.col(name).cast("string"), F.lit(""))) if name else F.lit(f"{table}/")
     pos = F.coalesce(F.col(number).cast("long"), F.lit(-1)) if number else F.lit(0)
     columns = sorted(c for c in rows.columns if c not in (key, name, number, *(OUTSIDE if table == "samples" else ())))
-    out = rows.where(F.col(key).isNotNull()).select(F.col(key), part.alias("part"), pos.cast("long").alias("pos"), canonical(rows, columns).alias("text"))
-    return out.select(key, "part", "pos", F.concat("part", F.lit("#"), F.col("pos").cast("string"), F.lit("#"), "text", F.lit("\n")).alias("record"))
+    return rows.where(F.col(key).isNotNull()).select(F.col(key), part.alias("part"), pos.cast("long").alias("pos"), canonical(rows, columns).alias("text"))
+
+
+def _views(column: pa.Array) -> tuple[np.ndarray, memoryview]:
+    """(n + 1 offsets, bytes) of a column of texts or bytes without nulls."""
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    _, offsets, data = column.buffers()
+    return np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1], memoryview(data)
+
+
+def _starts(keys: pa.Array) -> list[int]:
+    """The rows at which a key begins that isn't that of the row before."""
+    if pa.types.is_nested(keys.type):
+        values = keys.to_pylist()
+        return [0, *(i for i in range(1, len(values)) if values[i] != values[i - 1])]
+    return [0, *(np.flatnonzero(pc.not_equal(keys.slice(1), keys.slice(0, len(keys) - 1)).to_numpy(zero_copy_only=False)) + 1).tolist()]
 
 
 def stored_digests(tables: Mapping[str, DataFrame], key: str = "sample_id") -> DataFrame:
@@ -75,29 +91,34 @@ def stored_digests(tables: Mapping[str, DataFrame], key: str = "sample_id") -> D
 
     tables: samples and those of PARTS that there are, each with the key. Bytes of tiles are digested where they are read, so what
     is shuffled is a short text for each row; each sample's texts run through one hash in order of part, number and text, a batch
-    at a time, and a sample of any size needs no more memory than a batch. Rows without a key are under no digest."""
-    parts = [records(name, df, key) for name, df in sorted(tables.items()) if name == "samples" or name in PARTS]
+    at a time, and a sample of any size needs no more memory than a batch. A sample's rows of a batch lie side by side and are hashed
+    in one call. Rows without a key are under no digest."""
+    parts = [texts(name, df, key) for name, df in sorted(tables.items()) if name == "samples" or name in PARTS]
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, h = None, None
+        now, h, kind = None, None, None
         for b in batches:
-            keys, done = b.column(0), []
-            for k, record in zip(keys.to_pylist(), b.column(3).to_pylist()):
+            if not b.num_rows:
+                continue
+            keys, kind = b.column(0), b.column(0).type
+            (at, data), starts, done = _views(b.column(1)), _starts(keys), []
+            firsts = keys.take(pa.array(starts)).to_pylist()
+            for k, i, j in zip(firsts, starts, [*starts[1:], b.num_rows]):
                 if h is None or k != now:
                     if h is not None:
                         done.append((now, h.hexdigest()))
                     now, h = k, hashlib.sha256()
-                h.update(record.encode())
-            kind = keys.type
+                h.update(data[at[i] : at[j]])
             if done:
                 yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], kind), pa.array([d[1] for d in done])], names=[key, "digest"])
         if h is not None:
             yield pa.RecordBatch.from_arrays([pa.array([now], kind), pa.array([h.hexdigest()])], names=[key, "digest"])
 
-    return in_order(rows, [key], ["part", "pos", "record"], run, f"`{key}` {rows.schema[key].dataType.simpleString()}, digest string")
+    record = F.concat("part", F.lit("#"), F.col("pos").cast("string"), F.lit("#"), "text", F.lit("\n")).alias("record")
+    return in_order(rows, [key], ["part", "pos", "text"], run, f"`{key}` {rows.schema[key].dataType.simpleString()}, digest string", [key, record])
 
 
 def stamped(tables: Mapping[str, DataFrame], key: str = "sample_id") -> DataFrame:

@@ -723,7 +723,7 @@ def audit_stored(spark, d):
     path, orders = _scratch(spark), table(spark, d, "orders")
     rows = orders.select(F.col("o_orderkey").alias("sample_id"), F.col("o_custkey").alias("custkey"), F.col("o_orderpriority").alias("priority"), F.when(F.col("o_orderstatus") != "F", F.col("o_orderstatus")).alias("status"))
     lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("sample_id"), (F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*POSITION)) - 1).cast("long").alias("pos"), "l_partkey", "l_suppkey")
-    lines = lines.select("sample_id", "pos", F.expr("stack(3, 'partkey', l_partkey, 'suppkey', l_suppkey, 'hurt', l_partkey) as (modality, value)"))
+    lines = settle(lines).select("sample_id", "pos", F.expr("stack(3, 'partkey', l_partkey, 'suppkey', l_suppkey, 'hurt', l_partkey) as (modality, value)"))
     whole = checksum.stamped({"samples": rows, "voxels": lines})
     samples.write(whole.withColumn("checksum", F.when(F.col("sample_id") % 10 != 0, F.col("checksum"))), f"{path}/samples")
     hurt = (F.col("modality") == "hurt") & (F.col("sample_id") % 11 == 0) & (F.col("pos") == 0)

@@ -6,7 +6,7 @@ import os
 from pyspark.sql import functions as F
 
 from voxelgrove.functions import geometry as geo
-from voxelgrove.operators import boxes, checksum, stats
+from voxelgrove.operators import boxes, checksum, edit, stats
 from voxelgrove.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -115,3 +115,15 @@ def test_digests_hash_a_samples_rows_of_a_batch_in_one_call(spark):
     assert got == want and {r["sample_id"]["a"]: r["digest"] for r in pairs if r["sample_id"]["a"]} == want
     python = next(x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "MapInArrow" in x)
     assert python.split("(")[1].split(")")[0].count("#") == 2
+
+
+def test_what_an_edit_gives_back_is_made_once(spark, tmp_path):
+    masks, passes = counted(spark, spark.range(30).select((F.col("id") % 10).alias("sample_id"), F.concat(F.lit("m"), F.floor(F.col("id") / 10)).alias("mask"), F.lit(1).alias("voxels")), tmp_path, "e")
+    boxes_, box_passes = counted(spark, spark.range(20).select((F.col("id") % 10).alias("sample_id"), F.col("id").alias("box")), tmp_path, "f")
+    samples = spark.range(10).select(F.col("id").alias("sample_id"), F.lit("x").alias("label"))
+    gone = spark.createDataFrame([(3, "m1")], "sample_id long, mask string")
+    out = edit.update({"samples": samples, "masks": masks, "boxes": boxes_}, seg={"remove": gone}, clear_boxes=spark.createDataFrame([(4,)], "sample_id long"))
+    at = passes(), box_passes()
+    assert at == (2, 1)  # the check, and the edit
+    assert out["masks"].count() == 29 and out["boxes"].count() == 18 and out["samples"].where("has_seg").count() == 10 and out["samples"].where("has_bbox").count() == 9
+    assert (passes(), box_passes()) == at

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ValidationError
+from ..session import settle
 
 
 def update_meta(samples: DataFrame, changes: DataFrame, columns: Mapping[str, str], key: str = "sample_id") -> DataFrame:
@@ -20,16 +21,16 @@ def update_meta(samples: DataFrame, changes: DataFrame, columns: Mapping[str, st
 def seg_add(masks: DataFrame, new: DataFrame, check: bool = True) -> DataFrame:
     """masks with those of new; a (sample, mask) that is there already is an error."""
     keys = ["sample_id", "mask"]
-    if check and not new.select(*keys).distinct().join(masks.select(*keys).distinct(), keys, "left_semi").isEmpty():
+    if check and not new.select(*keys).join(masks.select(*keys), keys, "left_semi").isEmpty():
         raise ValidationError("a mask of that name exists")
     return masks.unionByName(new)
 
 
 def _gone(masks: DataFrame, which: DataFrame, check: bool) -> DataFrame:
     keys = ["sample_id", "mask"]
-    if check and not which.select(*keys).distinct().join(masks.select(*keys).distinct(), keys, "left_anti").isEmpty():
+    if check and not which.select(*keys).join(masks.select(*keys), keys, "left_anti").isEmpty():
         raise ValidationError("there is no mask of that name")
-    return masks.join(which.select(*keys).distinct(), keys, "left_anti").select(*masks.columns)
+    return masks.join(which.select(*keys), keys, "left_anti").select(*masks.columns)
 
 
 def seg_remove(masks: DataFrame, which: DataFrame, check: bool = True) -> DataFrame:
@@ -46,7 +47,7 @@ def bbox_set(boxes: DataFrame, new: DataFrame, key: str = "sample_id") -> DataFr
 
 
 def bbox_clear(boxes: DataFrame, which: DataFrame, key: str = "sample_id") -> DataFrame:
-    return boxes.join(which.select(key).distinct(), key, "left_anti").select(*boxes.columns)
+    return boxes.join(which.select(key), key, "left_anti").select(*boxes.columns)
 
 
 def bbox_update(boxes: DataFrame, new: DataFrame, columns: Sequence[str], key: str = "sample_id", order: str = "box") -> DataFrame:
@@ -103,7 +104,8 @@ def update(
     Every operation is checked before the first is done. A sample that is touched and whose stored checksum isn't the computed
     one (columns checksum and computed of samples) is an error, unless forced. Afterwards has_seg, seg_names and has_bbox
     follow the tables; digests gives (key, digest) of the edited tables, and those of the touched samples are stored. done is
-    called with the result. Nothing is written: save the tables beside the old ones and swap them."""
+    called with the result. The touched keys and the edited masks and boxes are settled once, as checks, digests and has_seg read them again; the tables
+    themselves aren't written: save them beside the old ones and swap them."""
     samples, masks, old = tables["samples"], tables["masks"], tables["boxes"]
     if seg and (unknown := set(seg) - {"add", "replace", "remove"}):
         raise ValidationError(f"unknown mask operations: {', '.join(sorted(unknown))}")
@@ -113,7 +115,7 @@ def update(
     touched = parts[0]
     for p in parts[1:]:
         touched = touched.union(p)
-    touched = touched.distinct()
+    touched = settle(touched.distinct())
     if not touched.join(samples.select(key), key, "left_anti").isEmpty():
         raise ValidationError("an edit of a sample that isn't there")
     if {"checksum", "computed"} <= set(samples.columns):
@@ -123,10 +125,11 @@ def update(
     for name, step in (("remove", seg_remove), ("replace", seg_replace), ("add", seg_add)):
         if seg and name in seg:
             masks = step(masks, seg[name])
-    out["masks"] = masks
+    out["masks"] = settle(masks) if seg else masks
     if clear_boxes is not None:
         old = bbox_clear(old, clear_boxes, key)
-    out["boxes"] = bbox_set(old, boxes, key) if boxes is not None else old
+    old = bbox_set(old, boxes, key) if boxes is not None else old
+    out["boxes"] = old if old is tables["boxes"] else settle(old)
     samples = update_meta(samples, *meta, key) if meta else samples
     columns = samples.columns
     samples = resync(samples, out["masks"], out["boxes"], key)

@@ -1073,14 +1073,15 @@ def update_whole(spark, d):
     boxes = lines.where("l_suppkey % 4 = 0").select("sample_id", F.col("pos").alias("box"), F.col("l_linenumber").alias("lo"))
     masks = _masks(spark, d)
     heads = table(spark, d, "orders").select(F.col("o_orderkey").alias("sample_id"), F.col("o_orderstatus").alias("label"))
+    masks, boxes = settle(masks), settle(boxes)  # the tables that are edited, as an edit reads stored ones
     tables = {"samples": heads, "masks": masks, "boxes": boxes}
-    whole = checksum.stamped(tables).withColumn("checksum", F.when(F.col("sample_id") % 7 == 0, "old").otherwise(F.col("checksum")))
+    whole = checksum.computed(tables).withColumn("checksum", F.when(F.col("sample_id") % 7 == 0, "old").otherwise(F.col("computed")))  # stored and computed are of the same tables: one pass
     seg = {
         "remove": masks.where("mask = 'A' and sample_id % 4 = 1"), "replace": masks.where("mask = 'R' and sample_id % 3 = 0").withColumn("voxels", F.lit(0).cast("long")),
         "add": heads.where("sample_id % 5 = 0").select("sample_id", F.lit("new").alias("mask"), F.lit(7).cast("long").alias("voxels")),
     }
     changes = heads.where("sample_id % 2 = 0").select("sample_id", F.lit("edited").alias("new"))
-    tables["samples"] = settle(checksum.computed({**tables, "samples": whole}))
+    tables["samples"] = settle(whole)
     out = edit.update(tables, (changes, {"label": "new"}), seg, clear_boxes=heads.where("sample_id % 6 = 2"), digests=checksum.restamps(), force=True)
     names = out["masks"].groupBy("sample_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "mask", "voxels"))), ",").alias("masks"))
     n = out["boxes"].groupBy("sample_id").agg(F.count("*").alias("n_boxes"))

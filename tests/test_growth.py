@@ -3,11 +3,13 @@
 import hashlib
 import os
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from voxelgrove.functions import geometry as geo
-from voxelgrove.operators import boxes, checksum, edit, stats
+from voxelgrove.operators import boxes, checksum, edit, series, stats
 from voxelgrove.plans import catalogue
+from voxelgrove.sources import dicom
 
 SF = "/root/testdata/sf0.001"
 
@@ -127,3 +129,14 @@ def test_what_an_edit_gives_back_is_made_once(spark, tmp_path):
     assert at == (2, 1)  # the check, and the edit
     assert out["masks"].count() == 29 and out["boxes"].count() == 18 and out["samples"].where("has_seg").count() == 10 and out["samples"].where("has_bbox").count() == 9
     assert (passes(), box_passes()) == at
+
+
+def test_files_of_series_are_parsed_once_and_given_back_together(spark, tmp_path):
+    rows = [{"path": f"{u}/{k}", "uid": f"1.{u}", "position": [0.0, 0.0, float(k + (u == 3 and k == 2) * 0.5)], "row_dir": [1.0, 0.0, 0.0], "col_dir": [0.0, 1.0, 0.0], "shape": [1, 2 + (u == 4 and k == 1)], "data": [u, k, 7][: 2 + (u == 4 and k == 1)]} for u in range(6) for k in range(3)]
+    files = spark.createDataFrame([(r["path"], dicom.encode(r)) for r in rows], "path string, content binary")
+    files, passes = counted(spark, files, tmp_path, "g")
+    got = {r["uid"]: r for r in series.volumes(dicom.slices(dicom.parsed(files))).collect()}
+    assert passes() == 1 and got["1.2"]["data"] == [2.0, 0.0, 2.0, 1.0, 2.0, 2.0] and got["1.2"]["spacing"][0] == 1.0
+    assert {u: r["problem"] for u, r in got.items() if r["problem"]} == {"1.3": "slices with uneven spacing", "1.4": "4/1: another shape"}
+    sizes = dicom.parsed(files).mapInArrow(lambda batches: (pa.record_batch({"n": [b.num_rows]}) for b in batches), "n long")
+    assert [r["n"] for r in sizes.collect()] == [18]

@@ -51,18 +51,27 @@ def largest_series(slices: DataFrame, uid: str = "uid", wanted: str | None = Non
     return n.where(F.col("uid") == wanted) if wanted is not None else n.orderBy(F.desc("n"), "uid").limit(1)
 
 
+def gap_measures(position: str) -> list[Column]:
+    """Aggregates of the column gap, the distance to the slice before: the first gap, the least and the greatest."""
+    return [F.min_by("gap", F.when(F.col("gap").isNotNull(), F.col(position))).alias("first_gap"), F.min("gap").alias("g0"), F.max("gap").alias("g1")]
+
+
+def gap_status(atol: float = 1e-4, rtol: float = 1e-4) -> Column:
+    """ok, duplicate, uneven or single, from n and gap_measures()."""
+    first, tol = F.col("first_gap"), atol + rtol * F.abs("first_gap")
+    even = (F.abs(F.col("g0") - first) <= tol) & (F.abs(F.col("g1") - first) <= tol)
+    return F.when(F.col("n") == 1, "single").when(F.col("g0") <= 1e-5, "duplicate").when(even, "ok").otherwise("uneven")
+
+
 def slice_spacing(slices: DataFrame, key: str, position: str, atol: float = 1e-4, rtol: float = 1e-4, thickness: str | None = None) -> DataFrame:
     """(key, n, first_gap, status) of ordered slices: ok, duplicate (a gap of 1e-5 or less), uneven, or single. With thickness, that column of a
     single slice takes the place of its gap."""
     thick = F.first(thickness, True) if thickness else F.lit(None).cast("double")
     gap = F.col(position) - F.lag(position).over(Window.partitionBy(key).orderBy(position))
     rows = slices.select(key, position, gap.alias("gap"), *([thickness] if thickness else []))
-    agg = rows.groupBy(key).agg(F.count("*").alias("n"), F.min_by("gap", F.when(F.col("gap").isNotNull(), F.col(position))).alias("first_gap"), F.min("gap").alias("g0"), F.max("gap").alias("g1"), thick.alias("thick"))
-    first, tol = F.col("first_gap"), atol + rtol * F.abs("first_gap")
-    even = (F.abs(F.col("g0") - first) <= tol) & (F.abs(F.col("g1") - first) <= tol)
-    status = F.when(F.col("n") == 1, "single").when(F.col("g0") <= 1e-5, "duplicate").when(even, "ok").otherwise("uneven")
+    agg = rows.groupBy(key).agg(F.count("*").alias("n"), *gap_measures(position), thick.alias("thick"))
     first_gap = F.when(F.col("n") == 1, F.coalesce("first_gap", "thick")).otherwise(F.col("first_gap"))
-    return agg.select(key, "n", first_gap.alias("first_gap"), status.alias("status"))
+    return agg.select(key, "n", first_gap.alias("first_gap"), gap_status(atol, rtol).alias("status"))
 
 
 def stack_slices(slices: DataFrame, key: str, position: str, data: str) -> DataFrame:

@@ -942,6 +942,7 @@ def dicom_series(spark, d):
         F.lit(2.0).alias("slope"), (0.0 - v % 7).alias("intercept"), F.when((v % 50 == 1) & (k == 2), F.array(F.lit(2), F.lit(8))).otherwise(F.array(F.lit(4), F.lit(4))).alias("shape"),
         F.transform(F.slice("embedding", k * 16 + 1, F.lit(16)), lambda x: F.floor(1024 * x.cast("double")).cast("int")).alias("data"), F.element_at(F.array(*(F.lit(s) for s in (dicom.EXPLICIT, dicom.IMPLICIT, dicom.DEFLATED))), (v % 3 + 1).cast("int")).alias("syntax"),
     )
+    rows = rows.repartition(spark.sparkContext.defaultParallelism, "path")  # vectors are small and what is done to them isn't, so a file or two are dealt to all tasks
     out = series.volumes(dicom.slices(dicom.parsed(dicom.encoded(rows))))
     state = F.when(F.col("problem").isNull(), "ok").when(F.col("problem").contains("uneven"), "uneven").when(F.col("problem").contains("another shape"), "shape")
     out = out.select(F.split("uid", "\\.")[2].cast("long").alias("vec_id"), state.alias("state"), F.posexplode_outer("data").alias("i", "value"), F.when(F.col("problem").isNull(), F.get("spacing", F.lit(0))).alias("spacing"), F.when(F.col("problem").isNull(), F.get("origin", F.lit(2))).alias("z"))

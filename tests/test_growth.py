@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from voxelgrove.functions import geometry as geo
 from voxelgrove.operators import boxes, checksum, edit, series, stats
 from voxelgrove.plans import catalogue
-from voxelgrove.sources import dicom
+from voxelgrove.sources import dicom, samples
 
 SF = "/root/testdata/sf0.001"
 
@@ -140,3 +140,23 @@ def test_files_of_series_are_parsed_once_and_given_back_together(spark, tmp_path
     assert {u: r["problem"] for u, r in got.items() if r["problem"]} == {"1.3": "slices with uneven spacing", "1.4": "4/1: another shape"}
     sizes = dicom.parsed(files).mapInArrow(lambda batches: (pa.record_batch({"n": [b.num_rows]}) for b in batches), "n long")
     assert [r["n"] for r in sizes.collect()] == [18]
+
+
+def test_assembled_samples_are_not_broadcast(spark, tmp_path, monkeypatch):
+    """Samples, images, masks and boxes meet by sorted joins, however small their files are; keys are broadcast only if they were counted to be few."""
+    planned = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    ids = spark.range(40).withColumnRenamed("id", "sample_id")
+    tables = {"samples": ids.where("sample_id < 30"), "images": ids.select("sample_id", F.lit("CT").alias("modality"), F.col("sample_id").alias("data")), "masks": ids.select("sample_id", F.lit("m").alias("mask"), F.lit(1).alias("data")), "boxes": ids.select("sample_id", F.lit(0).alias("box"))}
+    tables["images"] = tables["images"].union(tables["images"].where("sample_id >= 30"))  # twice, but of samples that aren't there
+    for name, df in tables.items():
+        samples.write(df, f"{tmp_path}/{name}")
+    own = samples.SampleSet(spark, str(tmp_path))
+    plan = planned(own.assembled())
+    assert "Broadcast" not in plan and plan.count("Scan parquet") == 4
+    want = {i: ({"CT": i}, {"m": 1}, 1) for i in range(30)}
+    assert {r["sample_id"]: (r["images"], r["masks"], len(r["boxes"])) for r in own.assembled().collect()} == want
+    assert {r["sample_id"]: (r["images"], r["masks"], len(r["boxes"])) for r in samples.assemble(own.samples, own.images, own.masks, own.boxes).collect()} == want
+    assert planned(own.where("sample_id < 3", "images")["images"]).count("BroadcastHashJoin") == 1
+    monkeypatch.setattr(samples, "FEW", 2)
+    out = own.where("sample_id < 3", "images")["images"]
+    assert "Broadcast" not in planned(out) and sorted(r["data"] for r in out.collect()) == [0, 1, 2]

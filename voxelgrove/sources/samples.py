@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..errors import SchemaError, ValidationError
 
+#: Samples that are chosen for a read, up to this many, have their keys broadcast.
+FEW = 100_000
 #: Presets of storage: fast to write, balanced, or small.
 PRESETS = {"fast": ("lz4raw", None), "balanced": ("zstd", 3), "max": ("zstd", 9)}
 SCHEMA_VERSION = 1
@@ -37,19 +39,20 @@ def assemble(samples: DataFrame, images: DataFrame | None = None, masks: DataFra
     images and masks: rows (key, modality or mask, ...), whose other columns are the map's values, as a struct where they are several; a
     name that comes twice for a sample is an error when it is read. A sample without images, masks or boxes has a null there. Columns of samples
     by those three names are replaced. The volumes of a sample meet in one row, so choose samples and columns before: read one box of large volumes by
-    sources.tiles instead."""
+    sources.tiles instead. Rows meet by sorted joins: files say little of how large maps are, so none is broadcast."""
     out = samples.drop("images", "masks", "boxes")
     for name, rows, column in (("images", images, "modality"), ("masks", masks, "mask")):
         if rows is None:
             continue
         rest = [c for c in rows.columns if c not in (key, column)]
         value = F.col(f"`{rest[0]}`") if len(rest) == 1 else F.struct(*(F.col(f"`{c}`") for c in rest))
-        of = rows.where(F.col(column).isNotNull()).groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(column).alias("k"), F.struct(value.alias("v")).alias("v"))), lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0))).alias(name))
-        out = out.join(of.withColumn(name, F.transform_values(name, lambda k, v: v["v"])), key, "left")
+        of = rows.where(F.col(column).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(column).alias("k"), F.struct(value.alias("v")).alias("v"))), lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0)).alias(name))
+        named = F.transform_values(F.map_from_entries(name), lambda k, v: v["v"])  # after the join, as names of samples that aren't asked for may come twice
+        out = out.join(of.hint("merge"), key, "left").withColumn(name, named)
     if boxes is not None:
         rest = [c for c in boxes.columns if c != key]
         of = boxes.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("box", *(c for c in rest if c != "box")))).alias("boxes"))
-        out = out.join(of, key, "left")
+        out = out.join(of.hint("merge"), key, "left")
     return out
 
 
@@ -77,15 +80,22 @@ class SampleSet:
             return None
         return self.spark.read.parquet(f"{self.root}/{name}")
 
+    def _found(self, *names: str) -> dict[str, DataFrame]:
+        return {n: t for n in names or self.TABLES if n != "samples" and (t := getattr(self, n)) is not None}
+
     def where(self, condition: Column | str, *names: str) -> dict[str, DataFrame]:
-        """The named tables (all, if none is named) of the samples that fit a condition on the table of samples."""
-        ids = self.samples.where(condition)
-        found = {n: t for n in names or self.TABLES if n != "samples" and (t := getattr(self, n)) is not None}
-        return {"samples": ids} | {n: t.join(ids.select(self.key), self.key, "left_semi") for n, t in found.items()}
+        """The named tables (all, if none is named) of the samples that fit a condition on the table of samples.
+
+        Samples that fit are counted first, up to FEW + 1: the keys of a few are broadcast, more meet the tables by sorted joins."""
+        ids, found = self.samples.where(condition), self._found(*names)
+        keys = ids.select(self.key)
+        keys = F.broadcast(keys) if keys.limit(FEW + 1).count() <= FEW else keys.hint("merge")
+        return {"samples": ids} | {n: t.join(keys, self.key, "left_semi") for n, t in found.items()}
 
     def assembled(self, condition: Column | str | None = None) -> DataFrame:
         """assemble() of the folder's samples, or of those that fit a condition."""
-        tables = self.where("true" if condition is None else condition, "images", "masks", "boxes")
+        names = ("images", "masks", "boxes")
+        tables = {"samples": self.samples} | self._found(*names) if condition is None else self.where(condition, *names)
         return assemble(tables["samples"], tables.get("images"), tables.get("masks"), tables.get("boxes"), self.key)
 
 

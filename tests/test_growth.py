@@ -142,6 +142,13 @@ def test_files_of_series_are_parsed_once_and_given_back_together(spark, tmp_path
     assert [r["n"] for r in sizes.collect()] == [18]
 
 
+def test_boxes_and_patches_meet_without_a_broadcast(spark):
+    """Cells are many more rows than the table that they are made of, by whose size Spark would broadcast them."""
+    out = catalogue.QUERIES["boxes_touching_patches"](spark, SF)
+    planned = lambda: out._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in planned() and len(out.collect()) > 0 and "Broadcast" not in planned()
+
+
 def test_assembled_samples_are_not_broadcast(spark, tmp_path, monkeypatch):
     """Samples, images, masks and boxes meet by sorted joins, however small their files are; keys are broadcast only if they were counted to be few."""
     planned = lambda df: df._jdf.queryExecution().executedPlan().toString()

@@ -74,7 +74,7 @@ def _candidates(boxes: DataFrame, patches: DataFrame, patch: Sequence[int], key:
     for a, (x, h) in enumerate(zip(lows, highs)):
         b = b.withColumn(f"c{a}", F.explode(F.sequence(F.floor(x / _size(patch[a])), F.floor(h / _size(patch[a])))))
     p = p.withColumns({f"c{a}": F.floor(_at("p.start", a) / _size(patch[a])) for a in axes})
-    return b.join(p, ["k", "level", *(f"c{a}" for a in axes)])
+    return b.join(p.hint("merge"), ["k", "level", *(f"c{a}" for a in axes)])  # sorted, as what is exploded is larger than Spark thinks, and would be broadcast
 
 
 def touching(boxes: DataFrame, patches: DataFrame, patch: Sequence[int], key: str = "sample_id") -> DataFrame:

@@ -7,6 +7,7 @@ import sys
 import types
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from voxelgrove.sources import hdf5, nifti, nifti_format, tiles
@@ -118,6 +119,26 @@ def test_a_write_that_fails_leaves_nothing(spark, tmp_path):
     assert os.listdir(tmp_path / "none") == ["_SUCCESS"]
 
 
+def test_a_task_that_runs_on_after_an_abort_leaves_nothing(tmp_path):
+    batch = pa.RecordBatch.from_pylist([{"name": "a.nii", "shape": [1, 1, 2], "dtype": "int16", "affine": AFFINE, "data": [1.0, 2.0]}])
+    late = nifti_format._Writer(str(tmp_path), False)
+    assert len(late.write(iter([batch])).files) == 1
+    late.abort([])
+    with pytest.raises(OSError):
+        late.write(iter([batch]))
+    assert os.listdir(tmp_path) == []
+
+    def aborted():
+        yield batch
+        other.abort([])
+        yield batch
+
+    other = nifti_format._Writer(str(tmp_path), False)
+    with pytest.raises(OSError):
+        other.write(aborted())
+    assert os.listdir(tmp_path) == []
+
+
 def test_hdf5_files_are_opened_where_they_lie(spark, tmp_path, monkeypatch):
     """The library isn't installed: one that reads a file's ends stands in for it. Spark's scan has no column of contents."""
     path = tmp_path / "long.h5"

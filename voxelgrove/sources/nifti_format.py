@@ -15,6 +15,7 @@ from __future__ import annotations
 import fnmatch
 import os
 import struct
+import time
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -155,11 +156,13 @@ class _Writer(DataSourceArrowWriter):
     def __init__(self, path: str, overwrite: bool) -> None:
         self.path, self.overwrite = path.rstrip("/"), overwrite
         self.hidden = f".writing-{uuid.uuid4().hex}"
+        fs, root = place(self.path)  # here, on the driver: tasks that run on after an abort find it gone, and don't make it again
+        fs.create_dir(f"{root}/{self.hidden}", recursive=True)
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         fs, root = place(self.path)
         own, done = f"{root}/{self.hidden}/{uuid.uuid4().hex}", []
-        fs.create_dir(own, recursive=True)
+        fs.create_dir(own, recursive=False)
         for b in batches:
             for i in range(b.num_rows):
                 r = {c: b.column(c)[i] for c in ("name", "shape", "dtype", "affine", "data")}
@@ -217,5 +220,13 @@ class _Writer(DataSourceArrowWriter):
         self._clear(*place(self.path))
 
     def _clear(self, fs: pafs.FileSystem, root: str) -> None:
-        fs.create_dir(f"{root}/{self.hidden}", recursive=True)
-        fs.delete_dir(f"{root}/{self.hidden}")
+        """Again, if tasks that still run put something into the folder meanwhile."""
+        for left in range(9, -1, -1):
+            try:
+                return fs.delete_dir(f"{root}/{self.hidden}")
+            except FileNotFoundError:
+                return None
+            except OSError:
+                if not left:
+                    raise
+                time.sleep(0.1)

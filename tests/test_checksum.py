@@ -88,3 +88,35 @@ def test_the_command_finds_damage_and_updates_restamp(spark, tmp_path, capsys):
     assert {r["sample_id"] for r in after["samples"].where("label = 'new'").collect()} == {1}
     status = {r["sample_id"]: r["status"] for r in checksum.audited({**held, "samples": after["samples"].drop("computed")}).collect()}
     assert status[1] == "ok" and status[2] == "mismatch"
+
+
+def test_plain_values_and_bytes_of_digests_are_shuffled(spark):
+    """Texts of rows are made after the shuffle of rows, texts of digests after that of digests."""
+    samples_ = spark.createDataFrame([(1, "a"), (2, None)], "sample_id long, label string")
+    voxels = spark.createDataFrame([(1, "m", 0, 5), (2, "m", 0, None)], "sample_id long, modality string, pos long, value long")
+    plan = checksum.audited({"samples": samples_, "voxels": voxels})._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.splitlines()
+    shuffle = next(i for i, x in enumerate(lines) if "RepartitionByExpression" in x)
+    python = next(i for i, x in enumerate(lines) if "MapInArrow" in x)
+    assert any("octet_length" in x for x in lines[python:shuffle]) and not any("octet_length" in x for x in lines[shuffle:])
+    assert "hex(" in "".join(lines[:2]) and not any("hex(" in x for x in lines[2:])
+
+
+def test_odd_rows_are_under_a_digest_as_they_were(spark):
+    """Nulls in names, numbers and values, rows that come twice, columns by the names that a text's own parts have, and tables of a key alone."""
+    samples_ = spark.createDataFrame([(1, "a", 7, b"xy", [1, None]), (1, "a", 7, b"xy", [1, None]), (2, None, None, None, None), (3, "", 0, b"", []), (None, "lost", 1, b"z", [3])], "sample_id int, part string, pos int, raw binary, list array<int>")
+    voxels = spark.createDataFrame([(1, None, None, 1.5), (1, "", None, 0.5), (1, "m", 1, None), (1, "m", 0, 2.0), (9, "m", 0, 1.0), (None, "m", 0, 1.0)], "sample_id long, modality string, pos long, value double")
+    tables = {"samples": samples_, "voxels": voxels, "boxes": spark.createDataFrame([(2,), (2,), (3,)], "sample_id long"), "reviews": voxels}
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    one = f"samples/#0#list=j8:[1,null];part=s1:a;pos=i1:7;raw=x64:{sha(b'xy')};\n"
+    want = {
+        1: one + one + "voxels/#-1#value=f3:0.5;\nvoxels/#-1#value=f3:1.5;\nvoxels/m#0#value=f3:2.0;\nvoxels/m#1#value=n;\n",
+        2: "boxes/#0#\nboxes/#0#\nsamples/#0#list=n;part=n;pos=n;raw=n;\n",
+        3: f"boxes/#0#\nsamples/#0#list=j2:[];part=s0:;pos=i1:0;raw=x64:{sha(b'')};\n",
+        9: "voxels/m#0#value=f3:1.0;\n",
+    }
+    want = {k: sha(v.encode()) for k, v in want.items()}
+    assert digests(tables) == want
+    rows = [(r["sample_id"], r["computed"]) for r in checksum.computed(tables).collect()]
+    assert sorted(rows, key=str) == sorted([(1, want[1]), (1, want[1]), (2, want[2]), (3, want[3]), (None, None)], key=str)
+    assert {(r["sample_id"], r["status"]) for r in checksum.audited({**tables, "samples": samples_.withColumn("checksum", F.when(F.col("sample_id") == 1, want[1]).when(F.col("sample_id") == 2, "x"))}).collect()} == {(1, "ok"), (2, "mismatch"), (3, "missing"), (None, "missing")}

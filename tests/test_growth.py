@@ -53,6 +53,31 @@ def test_draws_with_replacement_take_one_shuffle(spark, tmp_path):
     assert sums == {1: 8, 2: 8, None: 8, 9: 1}  # a null sample is a group, capped as any other
 
 
+
+def test_few_draws_are_counted_without_sorting_voxels_again(spark):
+    """Draws are carried beside the rows of their group, so nothing but the order of voxels is sorted for; many draws still are."""
+    rows = spark.createDataFrame([(s, "m", p, float(p)) for s in (1, 2) for p in range(40)], "sample_id long, modality string, pos long, value double")
+    planned = lambda cap: stats.sample_with_replacement(rows, cap)._jdf.queryExecution().executedPlan().toString()
+    sorts = lambda plan: sum("Sort [" in x for x in plan.splitlines())
+    assert sorts(planned(3)) == 1 and "explode" not in planned(3) and sorts(planned(stats.FEW_DRAWS + 1)) == 2
+
+
+def test_draws_carried_and_draws_sorted_are_the_same(spark, monkeypatch):
+    """Groups below, at and over the cap, null keys, names, places and values, a group that comes twice under other places, and no rows at all."""
+    sizes = {1: 1, 2: 3, 3: 4, 4: 5, 5: 17, 6: 60, None: 9}
+    rows = [(s, m, p if p != 2 or s != 5 else None, None if p % 5 == 4 else p / 8) for s, n in sizes.items() for m in ("a", None) for p in range(n)] + [(4, "a", p + 100, 0.5) for p in range(5)]
+    voxels = spark.createDataFrame(rows, "sample_id long, modality string, pos long, value double")
+    for cap in (0, 1, 3, 4, 16):
+        found = {}
+        for few in (0, 16):
+            monkeypatch.setattr(stats, "FEW_DRAWS", few)
+            found[few] = sorted(map(tuple, stats.sample_with_replacement(voxels.repartition(3), cap, seed=5).collect()), key=str)
+        large = [(s, m) for s, m in {(r[0], r[1]) for r in rows} if sum((r[0], r[1]) == (s, m) for r in rows) > cap]
+        sums = {k: sum(r[4] for r in found[0] if (r[0], r[1]) == k) for k in large}
+        assert found[0] == found[16] and set(sums.values()) == {cap} and sum(r[4] for r in found[0]) == cap * len(large) + sum((r[0], r[1]) not in large for r in rows)
+        assert stats.sample_with_replacement(voxels.limit(0), cap).collect() == []
+
+
 def test_capped_statistics_make_voxels_once(spark, tmp_path):
     rows = spark.range(400).select((F.col("id") % 2).alias("sample_id"), F.lit("m").alias("modality"), F.col("id").alias("pos"), F.sin("id").alias("value"))
     rows, passes = counted(spark, rows, tmp_path, "c")

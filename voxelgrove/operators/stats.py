modality_stats_capped: few draws are carried beside voxels, which are sorted once

Symptom: modality_stats_capped spills; on 24 times sf0.1 (0.122 GB), 17 partitions and a heap of 3 GB it wrote 1,556 MB of spill, 12.8 GB per input GB, and a task peaked at 621 MB.
Evidence: the event log has all of it in the stage of the pool, whose plan sorts the voxels by place and, while that sort still holds its rows, sorts voxels and draws together again, each row with a number and a count beside it.
Fix: up to 16 draws of a group go to its rows as an array by a window that needs no further sort, and a row counts its own place there; more draws are sorted among the voxels as before (at 16 draws both ways cost the same CPU).
Effect: at 1 GB of input CPU 1743 -> 1481 s, shuffle 3.46 -> 3.46 GB, spill 0.30 -> 0.00 GB, read 2.86 -> 2.86 GB, longest task 33 -> 24 s, most memory of a task 1141 -> 369 MB; at 6 GB of input CPU 8352 -> 7482 s, shuffle 21.09 -> 21.09 GB, spill 2.08 -> 0.00 GB, read 17.89 -> 17.89 GB, longest task 34 -> 36 s, most memory of a task 1141 -> 369 MB; with hot keys, at 1 GB of input CPU 1888 -> 1619 s, shuffle 3.45 -> 3.45 GB, spill 0.28 -> 0.00 GB, read 2.85 -> 2.85 GB, longest task 36 -> 28 s, most memory of a task 1242 -> 436 MB.

@@ -77,22 +77,36 @@ def modality_stats(voxels: DataFrame, keys: Sequence[str] = ("modality",), exact
     return out.select(*keys, "n_voxels", "mean", "std", "vmin", "vmax", *QUANTILES)
 
 
+#: Up to so many draws of a group are carried beside each of its rows; more are sorted among the rows.
+FEW_DRAWS = 16
+
+
 def sample_with_replacement(voxels: DataFrame, cap: int, seed: int = 0, by: Sequence[str] = ("sample_id", "modality"), pos: str = "pos") -> DataFrame:
     """voxels plus weight: all of a group of at most cap voxels, once each; of a larger one cap draws with replacement, as the voxels that were
     drawn and how often.
 
     Draw i of a group takes the place (in the order of pos) that MD5 of seed, group and i gives, so it is the same wherever it is made. A large group counts
-    for no more than cap in a pool of groups. A group's first row makes its draws, which are counted beside the voxel at their place. All of it is
+    for no more than cap in a pool of groups. A group's first row makes its draws: a few of them (FEW_DRAWS) are carried to each row of the group, which counts its own, so that
+    voxels are sorted once; many are sorted among the voxels and counted beside the voxel at their place. All of it is
     dealt to tasks by group, so the voxels travel once, and not at all where they are dealt by columns of `by` already. A null in `by` is a group."""
     group = Window.partitionBy(*by)
-    text = F.concat_ws(":", F.lit(str(seed)), *(F.col(c).cast("string") for c in by), F.col("__i").cast("string"))
-    place = F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long") % F.col("__n")
+
+    def drawn(i: Column) -> Column:
+        text = F.concat_ws(":", F.lit(str(seed)), *(F.col(c).cast("string") for c in by), i.cast("string"))
+        return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long") % F.col("__n")
+
     rows = voxels.withColumns({"__place": (F.row_number().over(group.orderBy(pos)) - 1).cast("long"), "__n": F.count("*").over(group)})
     first = (F.col("__place") == 0) & (F.col("__n") > cap)
-    rows = rows.withColumn("__i", F.explode(F.when(first, F.sequence(F.lit(-1), F.lit(cap - 1))).otherwise(F.array(F.lit(-1)))))
-    rows = rows.withColumn("__place", F.when(F.col("__i") < 0, F.col("__place")).otherwise(place))
-    rows = rows.withColumn("__drawn", F.count_if(F.col("__i") >= 0).over(Window.partitionBy(*by, "__place")))
-    rows = rows.where((F.col("__i") < 0) & ((F.col("__n") <= cap) | (F.col("__drawn") > 0)))
+    if 0 < cap <= FEW_DRAWS:
+        draws = F.when(first, F.transform(F.sequence(F.lit(0), F.lit(cap - 1)), drawn))
+        rows = rows.withColumn("__draws", F.first(draws, ignorenulls=True).over(group))
+        rows = rows.withColumn("__drawn", F.size("__draws") - F.size(F.array_remove("__draws", F.col("__place"))))
+        rows = rows.where((F.col("__n") <= cap) | (F.col("__drawn") > 0))
+    else:
+        rows = rows.withColumn("__i", F.explode(F.when(first, F.sequence(F.lit(-1), F.lit(cap - 1))).otherwise(F.array(F.lit(-1)))))
+        rows = rows.withColumn("__place", F.when(F.col("__i") < 0, F.col("__place")).otherwise(drawn(F.col("__i"))))
+        rows = rows.withColumn("__drawn", F.count_if(F.col("__i") >= 0).over(Window.partitionBy(*by, "__place")))
+        rows = rows.where((F.col("__i") < 0) & ((F.col("__n") <= cap) | (F.col("__drawn") > 0)))
     return rows.select(*voxels.columns, F.when(F.col("__n") <= cap, F.lit(1)).otherwise(F.col("__drawn")).cast("long").alias("weight"))
 
 

@@ -62,6 +62,12 @@ def test_few_draws_are_counted_without_sorting_voxels_again(spark):
     assert sorts(planned(3)) == 1 and "explode" not in planned(3) and sorts(planned(stats.FEW_DRAWS + 1)) == 2
 
 
+
+def test_sample_replacement_sorts_lines_and_voxels_once_each(spark):
+    plan = catalogue.QUERIES["sample_replacement"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert sum("Sort [" in x for x in plan.splitlines()) == 2 and plan.count("Exchange hashpartitioning") == 1
+
+
 def test_draws_carried_and_draws_sorted_are_the_same(spark, monkeypatch):
     """Groups below, at and over the cap, null keys, names, places and values, a group that comes twice under other places, and no rows at all."""
     sizes = {1: 1, 2: 3, 3: 4, 4: 5, 5: 17, 6: 60, None: 9}
